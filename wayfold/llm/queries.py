@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import packing, token_store
+from . import chat, fingerprints, lines, packing, token_store
 
 
 def queries() -> dict:
     return {
+        "op1_chat_snapshots": chat.op1_chat_snapshots,
+        "op2_multiset_fingerprints": fingerprints.op2_multiset_fingerprints,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
+        "op7_line_dedup": lines.op7_line_dedup,
         "op9_token_store": token_store.op9_token_store,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat_snapshots": chat.OP1_SQL, "op7_line_dedup": lines.OP7_SQL}
