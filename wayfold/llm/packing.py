@@ -30,13 +30,14 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capac
     path = tokenizer or tokens.default_path()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.Encoder(path)
-        end = np.array([end_id], encoder.dtype).tobytes()
+        encoder = tokens.encoder(path)
         for batch in batches:
-            for part in common.slices(batch, "text", 8 << 20):
+            for part in common.slices(batch, "text", 4 << 20):
                 rows: list[tuple] = []
-                for doc_id, raw in zip(part.column(0).to_pylist(), encoder.encode_all(part.column(1).to_pylist()), strict=True):
-                    ids = np.frombuffer(raw + end, encoder.dtype).astype("<u4")
+                flat, ends = encoder.encode(*reversed(common.utf8(part.column(1))), end_id)
+                flat, ends = flat.astype("<u4"), ends.tolist()
+                for i, doc_id in enumerate(part.column(0).to_pylist()):
+                    ids = flat[ends[i] : ends[i + 1]]
                     bounds = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
                     rows += [(doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * 5

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, lines, packing, token_store
+from . import chat, fingerprints, lines, packing, quality, token_store, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_chat_snapshots": chat.op1_chat_snapshots,
         "op2_multiset_fingerprints": fingerprints.op2_multiset_fingerprints,
+        "op3_quality_vote": quality.op3_quality_vote,
+        "op4_toxicity_fm": toxicity.op4_toxicity_fm,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op7_line_dedup": lines.op7_line_dedup,
         "op9_token_store": token_store.op9_token_store,

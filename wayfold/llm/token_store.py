@@ -114,7 +114,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, encoder = TaskContext.get().partitionId(), tokens.Encoder(path)
+        shard, encoder = TaskContext.get().partitionId(), tokens.encoder(path)
         files, top = _open(folder)
         files.create_dir(top, recursive=True)
         keys: list[np.ndarray] = []
@@ -122,15 +122,14 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
 
         def payload() -> Iterator[bytes]:
             for batch in batches:
-                for piece in common.slices(batch, "text", 8 << 20):
-                    ids, text = piece.column(0), piece.column(1)
+                for piece in common.slices(batch, "text", 4 << 20):
+                    ids = piece.column(0)
                     k = np.zeros(len(ids), KEY)
                     k["doc_id"], k["is_null"] = ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False)
                     keys.append(k)
-                    for raw in encoder.encode_all(text.to_pylist()):
-                        ended = raw + np.array([end_id], encoder.dtype).tobytes()
-                        lengths.append(len(ended) // encoder.dtype.itemsize)
-                        yield ended
+                    flat, ends = encoder.encode(*reversed(common.utf8(piece.column(1))), end_id)
+                    lengths.extend(np.diff(ends).tolist())
+                    yield flat.tobytes()
 
         _put(files, f"{top}/ids-{shard:05d}.bin", payload())
         if not lengths:
