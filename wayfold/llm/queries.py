@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, lines, packing, quality, token_store, toxicity
+from . import chat, decontamination, fingerprints, lines, packing, quality, token_store, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_toxicity_fm": toxicity.op4_toxicity_fm,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op7_line_dedup": lines.op7_line_dedup,
+        "op8_benchmark_leaks": decontamination.op8_benchmark_leaks,
         "op9_token_store": token_store.op9_token_store,
     }
 
