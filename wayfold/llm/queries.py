@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, fingerprints, lines, packing, quality, token_store, toxicity
+from . import chat, decontamination, fingerprints, lines, near_dup, packing, quality, token_store, toxicity
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op7_line_dedup": lines.op7_line_dedup,
         "op8_benchmark_leaks": decontamination.op8_benchmark_leaks,
         "op9_token_store": token_store.op9_token_store,
+        "op10_bagminhash": near_dup.op10_bagminhash,
     }
 
 
