@@ -5,10 +5,10 @@ sum of the vectors, lane by lane modulo a power of two. So it doesn't depend on
 or taken out by adding or subtracting its vector (``insert``, ``delete``).
 
 The vector has two parts. ``EQUAL`` lanes modulo 2**32 are uniform words of a SHA-256-keyed hash of the whole paragraph: equal
-fingerprints mean equal multisets. ``LIKE`` lanes modulo 2**32 sum a sign for each pair of adjacent words in the paragraph, so that the difference
+fingerprints mean equal multisets. ``LIKE`` lanes modulo 2**20 sum a sign for each pair of adjacent words in the paragraph, so that the difference
 of two fingerprints estimates how many word pairs the texts don't share: the likeness is 1 - |a - b|^2 / (|a|^2 + |b|^2), within 0 and 1.
 
-Defined cases: null text counts as empty; a null doc_id comes first; of rows that share a doc_id each gets its fingerprint, and the one
+Defined cases: null text counts as empty; a null doc_id comes first (as the least number); of rows that share a doc_id each gets its fingerprint, and the one
 with the least opening stands for "the next document" of the id before.
 """
 
@@ -19,24 +19,36 @@ from pyspark.sql import functions as F
 
 from . import common
 
-EQUAL, LIKE, WORD = 16, 64, 1 << 32
+EQUAL, LIKE = 16, 64
+#: Lanes are kept modulo these powers, and written as that many hex digits.
+WORD, WORD_DIGITS, SIGN, SIGN_DIGITS = 1 << 32, 8, 1 << 20, 5
 SUMS = LIKE // 4
 #: Four 16-bit fields of a long; a chunk of elements is short enough not to carry from one to the next.
 FIELDS, CHUNK = 0x0001000100010001, 32768
 MAX_BUCKETS = 256
+#: Stands for a null doc_id where rows are joined.
+NO_ID = -(1 << 63)
 
 
-def _fold(lanes: Column) -> Column:
-    """A lane array as hex digits, eight a lane."""
-    return F.array_join(F.transform(lanes, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+def _hex(lanes: Column, digits: int) -> Column:
+    return F.array_join(F.transform(lanes, lambda x: F.lpad(F.lower(F.hex(x)), digits, "0")), "")
 
 
-def _lanes(fingerprint: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(EQUAL + LIKE - 1)), lambda i: F.conv(F.substring(fingerprint, i * 8 + 1, F.lit(8)), 16, 10).cast("bigint"))
+def _numbers(fingerprint: Column, start: int, count: int, digits: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.conv(F.substring(fingerprint, i * digits + start, F.lit(digits)), 16, 10).cast("bigint"))
+
+
+def _words(fingerprint: Column) -> Column:
+    return _numbers(fingerprint, 1, EQUAL, WORD_DIGITS)
+
+
+def _signs(fingerprint: Column) -> Column:
+    return _numbers(fingerprint, EQUAL * WORD_DIGITS + 1, LIKE, SIGN_DIGITS)
 
 
 def _combine(a: Column, b: Column, sign: int) -> Column:
-    return _fold(F.zip_with(_lanes(a), _lanes(b), lambda x, y: F.pmod(x + sign * y, F.lit(WORD))))
+    add = lambda x, y, power: F.zip_with(x, y, lambda p, q: F.pmod(p + sign * q, F.lit(power)))
+    return F.concat(_hex(add(_words(a), _words(b), WORD), WORD_DIGITS), _hex(add(_signs(a), _signs(b), SIGN), SIGN_DIGITS))
 
 
 def insert(fingerprint: Column, paragraphs: Column) -> Column:
@@ -51,15 +63,12 @@ def delete(fingerprint: Column, paragraphs: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1, from the LIKE lanes of two fingerprints; equal fingerprints give 1."""
-    signed = lambda f: F.transform(F.slice(_lanes(f), EQUAL + 1, LIKE), lambda x: F.when(x >= WORD // 2, x - WORD).otherwise(x).cast("double"))
-    return _likeness(signed(a), signed(b))
-
-
-def _likeness(a: Column, b: Column) -> Column:
+    signed = lambda f: F.transform(_signs(f), lambda x: F.when(x >= SIGN // 2, x - SIGN).otherwise(x).cast("double"))
     square = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
-    apart = F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    both = square(a) + square(b)
-    return F.when(both == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 - apart / both))
+    x, y = signed(a), signed(b)
+    apart = F.aggregate(F.zip_with(x, y, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, d: s + d)
+    both = square(x) + square(y)
+    return F.when((both == 0) | (a == b), 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 - apart / F.greatest(both, F.lit(1.0))))
 
 
 def _equal_lanes(text: Column) -> Column:
@@ -79,60 +88,66 @@ def _pairs(text: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, texts: list[str], keep: list[str]) -> DataFrame:
-    """``keep`` columns, which tell rows apart, and for each of ``texts`` its fingerprint, named ``fp_<text>``.
+    """``keep`` columns, which tell rows apart, and for each of ``texts`` its fingerprint, named ``fp_<text>`` (binary).
 
     The signs of an element are the bits of its hash. They are summed four to a long, over chunks of elements that can't overflow a field,
-    by a plain sum with partial aggregation: after it a text is one row, and nothing of its length is shuffled.
+    by a plain sum with partial aggregation: after it a text is one row, and nothing of its length is shuffled. Only texts of several chunks are summed again.
     """
-    rows = docs.select(*keep, *[_fold(_equal_lanes(F.col(t))).alias(f"__eq_{t}") for t in texts], *[_pairs(F.col(t)).alias(f"__p_{t}") for t in texts])
-    rows = rows.select(*keep, *[F.col(f"__eq_{t}") for t in texts], *[F.size(f"__p_{t}").cast("bigint").alias(f"__n_{t}") for t in texts], F.posexplode(F.arrays_zip(*[F.col(f"__p_{t}") for t in texts])).alias("__pos", "__e"))
-    names = [*keep, *[f"__eq_{t}" for t in texts], *[f"__n_{t}" for t in texts]]
-    rows = rows.select(*names, (F.col("__pos") / CHUNK).cast("int").alias("__chunk"), *[F.coalesce(F.col(f"__e.__p_{t}"), F.lit(0)).alias(f"__h_{t}") for t in texts])
-    packed = rows.groupBy(*names, "__chunk").agg(*[F.sum(F.shiftrightunsigned(f"__h_{t}", k).bitwiseAND(F.lit(FIELDS))).alias(f"__s_{t}_{k}") for t in texts for k in range(SUMS)])
-    # one row a chunk: unpack its fields; a chunk is a whole text but for the very long
+    eq, n = [F.col(f"__eq_{t}") for t in texts], [F.col(f"__n_{t}") for t in texts]
+    rows = docs.select(*keep, *[F.unhex(_hex(_equal_lanes(F.col(t)), WORD_DIGITS)).alias(f"__eq_{t}") for t in texts], *[_pairs(F.col(t)).alias(f"__p_{t}") for t in texts])
+    rows = rows.select(*keep, *eq, *[F.size(f"__p_{t}").cast("bigint").alias(f"__n_{t}") for t in texts], F.posexplode(F.arrays_zip(*[F.col(f"__p_{t}") for t in texts])).alias("__pos", "__e"))
+    rows = rows.select(*keep, *eq, *n, F.floor(F.col("__pos") / CHUNK).cast("int").alias("__chunk"), *[F.coalesce(F.col(f"__e.__p_{t}"), F.lit(0)).alias(f"__h_{t}") for t in texts])
+    packed = rows.groupBy(*keep, *eq, *n, "__chunk").agg(*[F.sum(F.shiftrightunsigned(f"__h_{t}", k).bitwiseAND(F.lit(FIELDS))).alias(f"__s_{t}_{k}") for t in texts for k in range(SUMS)])
     field = lambda t, j: F.shiftrightunsigned(f"__s_{t}_{j % SUMS}", 16 * (j // SUMS)).bitwiseAND(F.lit(0xFFFF))
-    ones = packed.groupBy(*names).agg(*[F.sum(field(t, j)).alias(f"__o_{t}_{j}") for t in texts for j in range(LIKE)])
-    signs = lambda t: F.array(*[F.pmod(2 * F.col(f"__o_{t}_{j}") - F.col(f"__n_{t}"), F.lit(WORD)) for j in range(LIKE)])
-    return ones.select(*keep, *[F.concat(F.col(f"__eq_{t}"), _fold(signs(t))).alias(f"fp_{t}") for t in texts])
+    chunks = F.ceil(F.greatest(*n, F.lit(0)) / CHUNK)
+    one = packed.filter(chunks <= 1).select(*keep, *eq, *n, *[F.array(*[field(t, j) for j in range(LIKE)]).alias(f"__o_{t}") for t in texts])
+    several = packed.filter(chunks > 1).groupBy(*keep, *eq, *n).agg(*[F.sum(field(t, j)).alias(f"__o_{t}_{j}") for t in texts for j in range(LIKE)])
+    several = several.select(*keep, *eq, *n, *[F.array(*[F.col(f"__o_{t}_{j}") for j in range(LIKE)]).alias(f"__o_{t}") for t in texts])
+    signs = lambda t: F.transform(f"__o_{t}", lambda x: F.pmod(2 * x - F.col(f"__n_{t}"), F.lit(SIGN)))
+    return one.unionByName(several).select(*keep, *[F.concat(F.col(f"__eq_{t}"), F.unhex(_hex(signs(t), SIGN_DIGITS))).alias(f"fp_{t}") for t in texts])
 
 
 def successors(keys: DataFrame) -> DataFrame:
-    """(doc_id, next_id, need) of distinct doc_ids with the ``need`` of each: the id after it in ascending order, round to the first.
+    """``keys`` (id, need; ids distinct) with next_id: the id after it in ascending order, round to the first.
 
     Ids are dealt over ranges by approximate quantiles (a fixed number); only one row a range meets in one window.
     """
     n = min(MAX_BUCKETS, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = keys.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000).alias("c")).first()["c"] or []
-    bucket = F.coalesce(F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts))]), lambda c: c <= F.col("doc_id"))), F.lit(-1)) if cuts else F.lit(0)
-    first = lambda c: F.col(c).asc_nulls_first()
-    dealt = keys.select("doc_id", "need", bucket.alias("b"))
-    # a struct, so that a null doc_id isn't taken for "none"
-    inside = Window.partitionBy("b").orderBy(first("doc_id"))
-    rows = dealt.withColumn("__next", F.lead(F.struct("doc_id")).over(inside))
-    ends = dealt.groupBy("b").agg(F.min(F.struct("doc_id")).alias("low"))
+    cuts = keys.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 10_000).alias("c")).first()["c"] or []
+    bounds = F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts))]) if cuts else F.array().cast("array<long>")
+    dealt = keys.select("id", "need", F.size(F.filter(bounds, lambda c: c <= F.col("id"))).alias("b"))
+    rows = dealt.withColumn("__next", F.lead("id").over(Window.partitionBy("b").orderBy("id")))
     whole = Window.orderBy("b")
-    ends = ends.select(F.col("b").alias("__b"), F.coalesce(F.lead("low").over(whole), F.first("low").over(whole)).alias("__low"))
-    joined = rows.join(F.broadcast(ends), F.col("b") == F.col("__b"))
-    return joined.select("doc_id", "need", F.coalesce("__next", "__low")["doc_id"].alias("next_id"))
+    ends = dealt.groupBy("b").agg(F.min("id").alias("low"))
+    ends = ends.select(F.col("b").alias("__b"), F.coalesce(F.lead("low").over(whole), F.first("low").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("__low"))
+    joined = rows.join(F.broadcast(ends), F.col("b") == F.col("__b"))  # MAX_BUCKETS rows
+    return joined.select("id", "need", F.coalesce("__next", "__low").alias("next_id"))
 
 
 def with_edits(docs: DataFrame) -> DataFrame:
-    """doc_id, text, next_id, n, edited: the last floor(n/4) code points replaced by the first as many of the next document."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text")).withColumn("n", F.length("text").cast("long"))
-    keys = rows.select("doc_id", "n").groupBy("doc_id").agg(F.max(F.floor(F.col("n") / 4)).alias("need"))
-    links = successors(keys).select(F.col("doc_id").alias("from_id"), "need", "next_id")
-    heads = rows.join(links, F.col("doc_id").eqNullSafe(F.col("next_id"))).groupBy("from_id", "next_id").agg(F.min(F.substring(F.col("text"), F.lit(1), F.col("need").cast("int"))).alias("head"))
-    both = rows.join(heads, F.col("doc_id").eqNullSafe(F.col("from_id")))
-    q = F.floor(F.col("n") / 4).cast("int")
-    return both.select("doc_id", "text", "next_id", "n", F.concat(F.substring("text", F.lit(1), F.col("n").cast("int") - q), F.substring("head", F.lit(1), q)).alias("edited"))
+    """id, text, next_id, edited: the last floor(n/4) code points replaced by the first as many of the next document.
+
+    Both joins read the same exchange of the texts; what is sent to meet them is the openings, a quarter of a text each.
+    """
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), common.text_or_empty().alias("text"))
+    quarter = F.floor(F.length("text") / 4).cast("int")
+    links = successors(rows.groupBy("id").agg(F.max(quarter).alias("need")))
+    links = links.select(F.col("id").alias("from_id"), "need", F.col("next_id").alias("to_id"))
+    heads = rows.join(links, F.col("id") == F.col("to_id")).select("from_id", "to_id", F.substring(F.col("text"), F.lit(1), F.col("need")).alias("head"))
+    heads = heads.groupBy("from_id").agg(F.min("to_id").alias("next_id"), F.min("head").alias("head"))
+    both = rows.join(heads, F.col("id") == F.col("from_id"))
+    return both.select("id", "text", "next_id", F.concat(F.substring("text", F.lit(1), F.length("text") - quarter), F.substring("head", F.lit(1), quarter)).alias("edited"))
 
 
 def op2_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_edits(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("edited_sha256", F.sha2("edited", 256)).withColumn("row", F.monotonically_increasing_id())
-    done = common.stored(fingerprints(rows, ["text", "edited"], ["row", "doc_id", "next_id", "n", "edited_sha256"]), "fingerprints")
-    after = done.groupBy(F.col("doc_id").alias("__id")).agg(F.min("fp_text").alias("fp_next"))
-    both = done.join(after, F.col("next_id").eqNullSafe(F.col("__id")))
+    rows = with_edits(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    rows = rows.select("id", "next_id", "text", "edited", F.length("text").cast("long").alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("sha"), F.monotonically_increasing_id().alias("row"))
+    done = common.stored(fingerprints(rows, ["text", "edited"], ["row", "id", "next_id", "n_chars", "sha"]), "fingerprints")
+    after = done.groupBy(F.col("id").alias("__id")).agg(F.min("fp_text").alias("fp_next"))
+    both = done.join(after, F.col("next_id") == F.col("__id"))
+    own, edited, next_ = (F.lower(F.hex(f"fp_{x}")) for x in ("text", "edited", "next"))
+    both = both.select("id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), own.alias("fingerprint"), edited.alias("edited_fingerprint"), next_.alias("__next"))
     return both.select(
-        "doc_id", F.col("n").alias("n_chars"), "edited_sha256", F.col("fp_text").alias("fingerprint"), F.col("fp_edited").alias("edited_fingerprint"),
-        likeness(F.col("fp_text"), F.col("fp_edited")).alias("near_edited"), likeness(F.col("fp_text"), F.col("fp_next")).alias("near_next"),
+        F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("__next")).alias("near_next"),
     )

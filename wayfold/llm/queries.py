@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, fingerprints, lines, near_dup, packing, quality, token_store, toxicity
+from . import chat, decontamination, fingerprints, lines, near_dup, packing, quality, repeats, token_store, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_multiset_fingerprints": fingerprints.op2_multiset_fingerprints,
         "op3_quality_vote": quality.op3_quality_vote,
         "op4_toxicity_fm": toxicity.op4_toxicity_fm,
+        "op5_run_length_index": repeats.op5_run_length_index,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op7_line_dedup": lines.op7_line_dedup,
         "op8_benchmark_leaks": decontamination.op8_benchmark_leaks,
