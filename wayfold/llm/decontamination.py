@@ -208,6 +208,11 @@ def contamination(benchmark: DataFrame, column: str = "text", rate: float = RATE
     return F.concat(*parts) if parts else F.array().cast(HITS)
 
 
+def contaminated(benchmark: DataFrame, column: str = "text", rate: float = RATE) -> Column:
+    """Whether any item occurs in ``column``."""
+    return F.size(contamination(benchmark, column, rate)) > 0
+
+
 def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document in which a benchmark item occurs: the items, and the least edits of any occurrence."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
