@@ -117,7 +117,7 @@ def smooth(df: DataFrame, sigma: float, boundary: str, values: tuple[str, ...] =
     w = Window.partitionBy(*key).orderBy("t", "tie")
     rows = df.withColumn("_i", (F.row_number().over(w) - 1).cast("long")).withColumn("_n", F.count("*").over(Window.partitionBy(*key)))
     sides = rows.filter("_i = 0").select(*key, "_n")
-    beyond = sides.select(*key, "_n", F.explode(F.concat(F.sequence(F.lit(-r), F.lit(-1)), F.transform(F.sequence(F.lit(0), F.lit(r - 1)), lambda x: x + F.col("_n").cast("int")))).cast("long").alias("_e"))
+    beyond = sides.select(*key, "_n", F.explode(F.concat(F.sequence(F.lit(-r).cast("long"), F.lit(-1).cast("long")), F.sequence(F.col("_n"), F.col("_n") + r - 1))).alias("_e"))
     if boundary == "extrapolate":
         width = F.least(F.lit(r), F.col("_n"))
         left, right = F.col("_i") < width, F.col("_i") >= F.col("_n") - width
