@@ -41,9 +41,9 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def partitions_for(df: DataFrame, mb: int = 64) -> int:
-    """Partitions of about ``mb`` MB of the plan's estimated size, and no fewer than the session's shuffle partitions."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, math.ceil(min(plan_bytes(df), 1 << 60) / (mb << 20)))
+    """Partitions of about ``mb`` MB of the plan's estimated size, and no fewer than the session's shuffle partitions (which hold alone where Catalyst has no estimate)."""
+    least, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), plan_bytes(df)
+    return max(least, math.ceil(size / (mb << 20))) if size < 1 << 55 else least
 
 
 def text_or_empty(column: str = "text"):

@@ -65,10 +65,10 @@ def dedup(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """``docs`` with ``__kept`` (text, n_lines, n_removed): the text without lines that later occurrences cover."""
     hits = later(docs, span)
     left = docs.withColumn("__key", common.row_key())
-    both = left.join(hits.withColumnRenamed("doc_id", "__id").withColumnRenamed("__key", "__k"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")), "left")
-    cut = both.withColumn("__cut", _keeper(span)(F.when(F.col("hits").isNotNull(), F.col("text")), F.col("hits")))
+    both = left.join(hits.select(F.col("doc_id").alias("__id"), F.col("__key").alias("__k"), F.col("hits").alias("__hits")), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")), "left")
+    cut = both.withColumn("__cut", _keeper(span)(F.when(F.col("__hits").isNotNull(), F.col("text")), F.col("__hits")))
     whole = F.struct(F.col("text").alias("text"), F.size(F.split(common.text_or_empty(), "\n", -1)).alias("n_lines"), F.lit(0).alias("n_removed"))
-    return cut.withColumn("__kept", F.when(F.col("hits").isNull(), whole).otherwise(F.col("__cut"))).select(*docs.columns, "__kept")
+    return cut.withColumn("__kept", F.when(F.col("__hits").isNull(), whole).otherwise(F.col("__cut"))).select(*docs.columns, "__kept")
 
 
 def line_dedup(docs: DataFrame, span: int = SPAN) -> DataFrame:

@@ -7,8 +7,10 @@ in a component with a probability of exactly their weighted Jaccard similarity.
 share a bucket are candidates, and the exact similarity of their multisets verifies them.
 
 Copies are collapsed first, and only different texts are compared. A bucket of any size is worked off without a cap: each of several rounds
-compares its members with one pivot, leaving out those whose classes have met already; a last round compares whatever pairs of different classes are
-left in a bucket. So links within a class that is known aren't sought, and no class is missed that some bucket holds.
+compares its members with one pivot, leaving out those whose classes have met already; when few pairs of different classes are left, a last
+round compares them all. So links within a class that is known aren't sought, and no class is missed that some bucket holds. From the second round on
+a bound takes texts out of buckets: shingles that no other open text has can't be shared, and where the rest is too few for any partner of
+the bucket's sizes, no link exists. Pivots are then taken from the texts with the fewest shingles of their own.
 
 Defined cases: null text is empty; empty texts are copies of each other and of nothing else; a text of one to four words is one shingle;
 a null doc_id gets its class like any other; the class id is the least doc_id of the class, null if it has none.
@@ -30,7 +32,9 @@ from .words import BLANKS, word_hashes
 
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 25, 5
-ROUNDS = 3
+ROUNDS = 10
+#: All pairs of different classes are compared once there are no more than this many for each member of a bucket.
+LAST = 2
 SIZE = BANDS * ROWS
 _MULTIPLIERS = common.mix64(np.arange(301, 301 + WORDS)) | np.uint64(1)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -155,6 +159,25 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFr
     return pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
+def shared_shingles(texts: DataFrame) -> DataFrame:
+    """(node, size, shared): the shingles of each text, and those of them that another of ``texts`` has; a repeated shingle counts as often as it comes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.slices(batch, "text", 1 << 20):
+                at, data = common.utf8(part.column(1))
+                shingle, row, count = bags(data, at)
+                token = np.repeat(shingle, count)
+                token = common.mix64(token + (np.arange(len(token)) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64) * _GOLD)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(row, count))), pa.array(token.view(np.int64))], ["node", "token"])
+
+    tokens = texts.select("node", "text").mapInArrow(run, "node long, token long")
+    # one row a token: how many texts have it, and the only one if it is one; so texts are told how many of their tokens are alone
+    alone = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    sizes = tokens.groupBy("node").agg(F.count("*").alias("size"))
+    return sizes.join(alone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
+
+
 def classes(docs: DataFrame, rounds: int = ROUNDS, least: float = LEAST) -> DataFrame:
     """(doc_id, __key, class_id, __class_key): a row for each of ``docs``; the class is named by its least doc_id, and __class_key is that row's key."""
     rows = common.stored(signed(docs), "signatures")
@@ -168,28 +191,40 @@ def classes(docs: DataFrame, rounds: int = ROUNDS, least: float = LEAST) -> Data
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.row_key().alias("__key"), common.text_or_empty().alias("text"))
     texts = source.join(wanted, source["doc_id"].eqNullSafe(F.col("__id")) & (source["__key"] == F.col("__k"))).select("node", "text")
     texts = common.stored(texts.dropDuplicates(["node"]) if _repeated(rows) else texts, "candidate-texts")
-    tried, root = None, None
+    tried, root, own = None, None, None
     for k in range(rounds + 1):
-        at = members if root is None else members.join(root.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        at = at if root is not None else at.withColumn("root", F.col("node"))
-        open_ = at.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "root")).alias("pivot")).filter("a < b").select("bucket", "pivot")
-        open_ = common.stored(open_, "open-buckets")
-        mixed = at.join(open_, "bucket")
-        if k < rounds:
-            pairs = mixed.filter("root <> pivot.root").select("node", F.col("pivot.node").alias("other"))
+        at = members.withColumn("root", F.col("node")) if root is None else members.join(root.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        spread = at.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("bucket")
+        mixed = common.stored(at.join(spread, "bucket").select("bucket", "node", "root"), "open-members")
+        last = False
+        if k:
+            if own is None:
+                own = common.stored(shared_shingles(texts.join(mixed.select("node").distinct(), "node", "left_semi")), "shared-shingles")
+            low = mixed.join(own, "node").groupBy("bucket").agg(F.min("size").alias("least_size"))
+            most = F.col("shared") / (F.col("size") + F.col("least_size") - F.col("shared"))
+            mixed = common.stored(mixed.join(own, "node").join(low, "bucket").filter(most >= least).select("bucket", "node", "root", F.floor(10 * (1 - F.col("shared") / F.col("size"))).alias("odd")), "open-members")
+            sizes = mixed.groupBy("bucket", "root").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("s"))
+            n, left = sizes.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("s")) / 2)).first()
+            if not left:
+                break
+            last = k == rounds or left <= LAST * n
         else:
+            mixed = mixed.withColumn("odd", F.lit(0))
+        if last:
             other = mixed.select("bucket", F.col("node").alias("other"), F.col("root").alias("other_root"))
-            pairs = mixed.select("bucket", "node", "root").join(other, "bucket").filter("root < other_root").select("node", "other")
+            pairs = mixed.join(other, "bucket").filter("root < other_root").select("node", "other")
+        else:
+            pivots = mixed.groupBy("bucket").agg(F.min(F.struct("odd", F.xxhash64("node", F.lit(k)).alias("h"), "node", "root")).alias("pivot"))
+            pivots = common.stored(pivots.select("bucket", "pivot"), "pivots")
+            pairs = mixed.join(pivots, "bucket").filter("root <> pivot.root").select("node", F.col("pivot.node").alias("other"))
         pairs = pairs.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = common.stored(pairs, "pairs")
-        if k == 0 and pairs.isEmpty():
-            break
+        pairs = common.stored(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
         links = common.stored(verified(pairs, texts, least), "links")
         tried = pairs if tried is None else tried.unionByName(pairs)
         if not links.isEmpty():
             root = roots(links if root is None else root.unionByName(links))
+        if last:
+            break
     of = nodes.withColumn("root", F.col("node")) if root is None else nodes.join(root.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     low = F.min(F.when(F.col("low.doc_id").isNotNull(), F.col("low"))).alias("low")
     of = of.select("digest", "root", F.struct(F.col("least_id").alias("doc_id"), F.col("low.__key").alias("__key")).alias("low"))

@@ -289,7 +289,8 @@ def repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     distinct = common.stored(distinct, "different-contexts")
     per = distinct.groupBy("gram").agg(F.count("*").alias("k"), F.min("m").alias("low"))
     per = common.stored(per.filter("k > 1 AND low = 1").select("gram", "k"), "open-grams")
-    asked = distinct.join(per, "gram").select("ref", F.struct("place", "gram", "ctx").alias("w"), "gram", "k")
+    asked = common.stored(distinct.join(per, "gram").select("ref", F.struct("place", "gram", "ctx").alias("w"), "gram", "k"), "asked-contexts")
+    _freed(spark)
     wanted = asked.filter(F.col("k") <= crowd)
     total = wanted.agg(F.sum(F.col("w.place").bitwiseAND(F.lit(255)) + LENGTH)).first()[0] or 0
 
