@@ -99,13 +99,13 @@ def creation_time(ts: Column) -> Column:
 def elapsed(seconds: Column) -> Column:
     """H:MM:SS, hours unpadded and not wrapped; a negative span reads 0."""
     s = F.greatest(F.floor(seconds), F.lit(0)).cast("long")
-    return F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(F.pmod(s, F.lit(3600)) / 60), F.pmod(s, F.lit(60)))
+    return F.when(seconds.isNotNull(), F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(F.pmod(s, F.lit(3600)) / 60), F.pmod(s, F.lit(60))))
 
 
 def minutes(seconds: Column) -> Column:
     """M:SS, cut to the second."""
     s = F.greatest(F.floor(seconds), F.lit(0)).cast("long")
-    return F.format_string("%d:%02d", F.floor(s / 60), F.pmod(s, F.lit(60)))
+    return F.when(seconds.isNotNull(), F.format_string("%d:%02d", F.floor(s / 60), F.pmod(s, F.lit(60))))
 
 
 def axis_label(d: Column, span: Column, decimals: int) -> Column:

@@ -299,6 +299,14 @@ def correction_path(spark, d):
     return rounded(trajectory.corrections(trajectory.trajectory(_motion(spark, d)), 5.0), "dx", digits=5).select("series_id", "frame", "dx")
 
 
+_CORNERS = ", ".join(f"abs(cos(rotation) * ({x} - dx) + sin(rotation) * ({y} - dy)) / 480.000001, abs(cos(rotation) * ({y} - dy) - sin(rotation) * ({x} - dx)) / 270.000001" for x in (-480, 480) for y in (-270, 270))
+
+
+@query(f"WITH {M} SELECT series_id, frame, round(greatest(1, least(3, greatest({_CORNERS}) / scale)), 6) AS required FROM m")
+def required_zoom(spark, d):
+    return rounded(trajectory.zoom(_motion(spark, d), 960, 540), "required").select("series_id", "frame", "required")
+
+
 @query()
 def zoom_plan(spark, d):
     """Per-frame zoom envelopes; tests hold the bisection against closed forms."""
