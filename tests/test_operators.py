@@ -430,3 +430,24 @@ def test_calibration_in_two_passes(spark):
     df = spark.createDataFrame([("a", i, float(i)) for i in range(10)] + [("b", 0, 1.0)], "key string, frame long, value double")
     got = sessions.calibrated_batch(df, 5).collect()
     assert len(got) == 10 and {r["level"] for r in got} == {2.0}
+
+
+def test_rotation_zoom_plan(spark):
+    a = [0.0, 0.02, 0.05, 0.1]
+    df = spark.createDataFrame([("a", i, math.cos(x / 2), 0.0, math.sin(x / 2), 0.0) for i, x in enumerate(a)], "series_id string, frame long, w double, x double, y double, z double")
+    got = trajectory.rotation_zoom_plan(df, "rectilinear", 800.0, 960, 540, 1.0, 1.2).orderBy("frame").collect()
+    need = [r["required"] for r in got]
+    assert need[0] == 1.0 and need == sorted(need) and need[1] > 1.0
+    assert all(r["zoom"] >= min(r["required"], 1.2) - 1e-9 and r["zoom"] <= 1.2 for r in got)
+    q = np.array([[r["w"], r["x"], r["y"], r["z"]] for r in got])
+    assert maths.rotation_fits(q, np.array([r["zoom"] for r in got]) + 1e-8, "rectilinear", 800.0, 960, 540).all() and got[3]["alpha"] < 1
+
+
+def test_rectifiers_and_margins(spark):
+    df = spark.createDataFrame([("a", i, 4.0, 2.0, i != 1) for i in range(3)], "series_id string, frame long, dx double, dy double, ok boolean")
+    got = trajectory.rectifiers(df, 0.5, 100)
+    assert [r["kx"] for r in got.orderBy("frame").collect()] == [0.02] * 4
+    assert abs(trajectory.worst_margin(got, 200, 100).first()["margin"] - 0.01) < 1e-12
+    assert one(spark, F.array(*maths.vertex_counts(F.lit(16), F.lit(1920), F.lit(1080)))) == [17, 10]
+    mesh = spark.createDataFrame([("a", 0, r, c, 3.0, 0.0) for r in range(3) for c in range(3)], "series_id string, frame int, r int, c int, dx double, dy double")
+    assert abs(trajectory.mesh_border_margin(mesh, 3, 3, 960, 540).first()["margin"] - 2 * 2 * 3 / 960) < 1e-12

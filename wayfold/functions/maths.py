@@ -169,16 +169,42 @@ def quaternion_log(q: Column) -> Column:
     return F.struct((q["x"] * s).alias("x"), (q["y"] * s).alias("y"), (q["z"] * s).alias("z"))
 
 
-def rectifier_margin(shear: Column, stretch: Column, rho: Column, width: float, height: float) -> Column:
-    """Zoom that hides the edges a rolling-shutter rectification opens."""
-    return 1 + F.greatest(F.abs(rho * shear) / width, F.abs(rho * stretch) / height)
+def rectifier(vx: Column, vy: Column, rho: float, height: float) -> tuple[Column, Column]:
+    """(kx, ky) of a row-wise shift that undoes motion (vx, vy) during a readout of the share ``rho`` of a frame."""
+    return rho * vx / height, rho * vy / height
 
 
-def vertex_counts(grid: Column, width: Column, height: Column) -> tuple[Column, Column]:
-    """Columns and rows of a mesh: ``grid`` along the longer side, in proportion along the other, 2 at least."""
-    at_least = lambda v: F.greatest(v, F.lit(2)).cast("int")
-    wide = width >= height
-    return at_least(F.when(wide, grid).otherwise(F.round(grid * width / height))), at_least(F.when(wide, F.round(grid * height / width)).otherwise(grid))
+def rectifier_margin(kx: Column, ky: Column, width: float, height: float) -> Column:
+    """Share of the frame that a rectifier pulls in from its edges."""
+    return F.greatest(F.abs(kx) * height / width, F.abs(ky))
+
+
+def vertex_counts(cells: Column, width: Column, height: Column) -> tuple[Column, Column]:
+    """Columns and rows of a mesh with ``cells`` across and as many down as keep them square, one at least."""
+    n = F.greatest(cells, F.lit(1))
+    down = F.when(width > 0, F.floor(n * height / F.when(width > 0, width) + 0.5)).otherwise(1)
+    return (n + 1).cast("int"), (F.greatest(down, F.lit(1)) + 1).cast("int")
+
+
+def tool_settings(strength: Column) -> Column:
+    """Struct (shakiness 1..10, smoothing 10..100, zoom 0..5) of a strength within 0 and 1."""
+    s = clamp(strength, 0.0, 1.0)
+    whole = lambda v: F.floor(v + 0.5).cast("int")
+    return F.struct((1 + whole(s * 9)).alias("shakiness"), (10 + whole(s * 90)).alias("smoothing"), whole(s * 5).alias("zoom"))
+
+
+def lens_reliable(forced: Column, focal: Column, pairs: Column, error: Column, flat_error: Column, margin: float) -> Column:
+    """A forced lens needs a focal length; a measured one twenty pairs and an error well under that of no lens."""
+    return F.when(forced, focal > 0).otherwise((pairs >= 20) & (error > 0) & (flat_error > 0) & (error < margin * flat_error))
+
+
+def readout_reliable(ok: Column, samples: Column, r: Column, ratio: Column) -> Column:
+    return ok & (samples >= 30) & (r >= 0.2) & (ratio > 0) & (ratio <= 1)
+
+
+def consistent(ok: Column, dx: Column, dy: Column, most: float) -> Column:
+    """A point tracked there and back that comes within ``most`` of where it began."""
+    return ok & (F.hypot(dx, dy) <= most)
 
 
 def source_scale(source_width: Column, analysis_width: Column) -> Column:
@@ -250,3 +276,55 @@ def fit_rotation(a: np.ndarray, b: np.ndarray, rounds: int = 2, knee: float = 2.
         s = np.sort(err)[len(err) // 2] * 1.4826 * knee
         w = np.where(err <= max(s, 1e-12), 1.0, s / np.maximum(err, 1e-12))
     return rot
+
+
+def pixels(d: np.ndarray, kind: str, focal: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, seen) of rays, relative to the lens centre; not seen beyond what the lens can show."""
+    rho = np.hypot(d[..., 0], d[..., 1])
+    theta = np.arctan2(rho, d[..., 2])
+    limit = {"rectilinear": math.pi / 2 - 1e-6, "stereographic": math.pi - 1e-6}.get(kind, math.inf)
+    seen = theta < limit
+    t = np.where(seen, theta, 0.0)
+    r = {"rectilinear": focal * np.tan(t), "equidistant": focal * t, "equisolid": 2 * focal * np.sin(t / 2), "stereographic": 2 * focal * np.tan(t / 2)}[kind]
+    k = np.where(rho < 1e-9, 0.0, r / np.maximum(rho, 1e-9))
+    return d[..., 0] * k, d[..., 1] * k, seen
+
+
+def border(width: float, height: float, each: int = 48) -> np.ndarray:
+    """Points along the four sides, relative to the centre."""
+    x, y = np.linspace(-width / 2, width / 2, each), np.linspace(-height / 2, height / 2, each)
+    return np.concatenate([np.stack(p, 1) for p in ((x, np.full(each, -height / 2)), (x, np.full(each, height / 2)), (np.full(each, -width / 2), y), (np.full(each, width / 2), y))])
+
+
+def rotation_fits(q: np.ndarray, zoom: np.ndarray, kind: str, focal: float, width: float, height: float) -> np.ndarray:
+    """Whether every border point of the output, at its zoom, comes from within the frame when its ray is turned by q."""
+    p = border(width, height)[None] / zoom[:, None, None]
+    d = rays(p[..., 0].ravel(), p[..., 1].ravel(), kind, focal).reshape(len(q), -1, 3)
+    v = q[:, None, 1:]
+    turned = d + 2 * np.cross(v, np.cross(v, d) + q[:, None, :1] * d)
+    x, y, seen = pixels(turned, kind, focal)
+    return (seen & (np.abs(x) <= width / 2 + EPS) & (np.abs(y) <= height / 2 + EPS)).all(1)
+
+
+def rotation_zoom(q: np.ndarray, kind: str, focal: float, width: float, height: float, rounds: int = 40) -> np.ndarray:
+    """Least zoom in [1, 3] for each correction, by bisection over the whole batch; 3 where none fits."""
+    low, high = np.ones(len(q)), np.full(len(q), MAX_SEARCH)
+    one, most = rotation_fits(q, low, kind, focal, width, height), rotation_fits(q, high, kind, focal, width, height)
+    for _ in range(rounds):
+        mid = (low + high) / 2
+        good = rotation_fits(q, mid, kind, focal, width, height)
+        low, high = np.where(good, low, mid), np.where(good, mid, high)
+    return np.where(one, 1.0, np.where(most, high, MAX_SEARCH))
+
+
+def weakened_rotation(q: np.ndarray, zoom: np.ndarray, kind: str, focal: float, width: float, height: float, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
+    """(q, alpha): the largest share of each rotation vector that fits at its zoom."""
+    v = q_log(q)
+    whole = rotation_fits(q, zoom, kind, focal, width, height)
+    low, high = np.zeros(len(q)), np.ones(len(q))
+    for _ in range(rounds):
+        mid = (low + high) / 2
+        good = rotation_fits(q_exp(v * mid[:, None]), zoom, kind, focal, width, height)
+        low, high = np.where(good, mid, low), np.where(good, high, mid)
+    alpha = np.where(whole, 1.0, low)
+    return np.where(whole[:, None], q, q_exp(v * alpha[:, None])), alpha

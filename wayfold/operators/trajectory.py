@@ -201,3 +201,71 @@ def best_lens(swept: DataFrame) -> DataFrame:
 def render_path(rotations: Column, perspective: Column, mesh: Column) -> Column:
     """Which correction owns a render: rotation before homography before mesh before similarity."""
     return F.when(rotations, "rotation").when(perspective, "homography").when(mesh, "mesh").otherwise("similarity")
+
+
+def rectifiers(motion: DataFrame, rho: float, height: int) -> DataFrame:
+    """kx, ky of each frame (one more than there are transitions): the mean motion of the transitions before and after it, or the one that was measured; null without either."""
+    moved = motion.select("series_id", "frame", F.when(F.col("ok"), F.col("dx")).alias("dx"), F.when(F.col("ok"), F.col("dy")).alias("dy"))
+    ends = motion.groupBy("series_id").agg((F.max("frame") + 1).alias("frame"))
+    rows = moved.unionByName(ends.select("series_id", "frame", F.lit(None).cast("double").alias("dx"), F.lit(None).cast("double").alias("dy")))
+    w = Window.partitionBy("series_id").orderBy("frame")
+    mean = lambda c: F.coalesce((F.lag(c).over(w) + F.col(c)) / 2, F.lag(c).over(w), F.col(c))
+    kx, ky = maths.rectifier(mean("dx"), mean("dy"), rho, height)
+    return rows.select("series_id", "frame", kx.alias("kx"), ky.alias("ky"))
+
+
+def worst_margin(rects: DataFrame, width: int, height: int) -> DataFrame:
+    return rects.groupBy("series_id").agg(F.coalesce(F.max(maths.rectifier_margin(F.col("kx"), F.col("ky"), width, height)), F.lit(0.0)).alias("margin"))
+
+
+def mesh_border_margin(corr: DataFrame, cols: int, rows: int, width: int, height: int, scale_factor: float = 1.0, safety: float = 2.0) -> DataFrame:
+    """Crop that hides what border vertices pull inward: twice the larger of the two directions, with a safety factor."""
+    inward = lambda edge, v: F.coalesce(F.max(F.when(edge, F.greatest(v, F.lit(0.0)))), F.lit(0.0))
+    r, c = F.col("r"), F.col("c")
+    x = F.greatest(inward(c == 0, F.col("dx")), inward(c == cols - 1, -F.col("dx")))
+    y = F.greatest(inward(r == 0, F.col("dy")), inward(r == rows - 1, -F.col("dy")))
+    return corr.groupBy("series_id").agg((2 * F.greatest(safety * x * scale_factor / width, safety * y * scale_factor / height)).alias("margin"))
+
+
+def motion_summary(motion: DataFrame) -> DataFrame:
+    """Transitions, failures, mean and range of tracked points and inliers of each series."""
+    return motion.groupBy("series_id").agg(
+        F.count("*").alias("n"), F.count(F.when(~F.col("ok"), 1)).alias("failed"), F.avg("tracked").alias("mean_tracked"), F.avg("inliers").alias("mean_inliers"), F.min("inliers").alias("min_inliers"), F.max("inliers").alias("max_inliers")
+    )
+
+
+def every_nth(frames: DataFrame, step: int) -> DataFrame:
+    return frames.filter(F.col("frame") % step == 0)
+
+
+def implied_crop(stats_: DataFrame, width: int, height: int) -> DataFrame:
+    """Crop that the largest translation asks for along either side."""
+    return stats_.withColumn("crop", F.greatest(F.col("max_translation") / width, F.col("max_translation") / height))
+
+
+def rotation_corrections(path: DataFrame, sigma: float) -> DataFrame:
+    """What turns each orientation into the smoothed one, for sigma > 0: conj(orientation) times smoothed."""
+    soft = smooth_orientations(path, sigma).select("series_id", "frame", F.struct("w", "x", "y", "z").alias("s"))
+    q = F.struct("w", (-F.col("x")).alias("x"), (-F.col("y")).alias("y"), (-F.col("z")).alias("z"))
+    return path.join(soft, ["series_id", "frame"]).select("series_id", "frame", maths.quaternion_product(q, F.col("s")).alias("q")).select("series_id", "frame", "q.*")
+
+
+def rotation_zoom_plan(corr: DataFrame, kind: str, focal: float, width: int, height: int, sigma: float, cap: float = 0.0) -> DataFrame:
+    """A zoom for each rotation correction (series_id, frame, w, x, y, z): required, its upper envelope, capped; rotations that don't fit under the cap are weakened."""
+
+    def need(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.assign(required=maths.rotation_zoom(f[["w", "x", "y", "z"]].to_numpy(float), kind, focal, width, height))
+
+    def weaken(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            q, alpha = maths.weakened_rotation(f[["w", "x", "y", "z"]].to_numpy(float), f["zoom"].to_numpy(float) + 1e-9, kind, focal, width, height)
+            yield f.assign(**dict(zip("wxyz", q.T, strict=True)), alpha=alpha)
+
+    base = corr.select("series_id", "frame", "w", "x", "y", "z")
+    names = ", ".join(f"{n} {t}" for n, t in base.dtypes)
+    rows = base.mapInPandas(need, f"{names}, required double").withColumn("t", F.col("frame")).withColumn("tie", F.col("frame"))
+    rows = series.upper_envelope(rows, sigma, "required", "zoom").select(*base.columns, "required", "zoom")
+    if cap > 0:
+        rows = rows.withColumn("zoom", F.least("zoom", F.lit(cap)))
+    return rows.mapInPandas(weaken, f"{names}, required double, zoom double, alpha double")
