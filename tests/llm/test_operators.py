@@ -449,3 +449,14 @@ def test_one_of_each_keeps_one_row(spark, docs, none):
     assert out.columns == ["doc_id", "text", "root"]
     got = sorted((r["text"] or "") for r in out.collect())
     assert len(got) == len(set(got)) and set(got) <= set(texts) and near_dup.one_of_each(none).count() == 0
+
+
+def test_stored_tables_are_cleaned_up(spark):
+    from wayfold.llm import common
+
+    df = common.stored(spark.range(5), "clean-up")
+    path = spark._wayfold_paths[-1]
+    assert df.count() == 5
+    common.clean_up(spark)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

@@ -25,7 +25,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not hasattr(spark, "_wayfold_paths"):
+        spark._wayfold_paths = []
+    spark._wayfold_paths.append(path)
+    return path
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes the tables that this session has stored. Call it when their results have been written: frames made from them can't be read after it."""
+    for path in getattr(spark, "_wayfold_paths", []):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    spark._wayfold_paths = []
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -178,45 +178,60 @@ def shared_shingles(texts: DataFrame) -> DataFrame:
     return sizes.join(alone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
 
 
+def _different_buckets(rows: DataFrame) -> DataFrame:
+    """(bucket, node) of the buckets with several texts, without those that hold the same texts as another: a group of near copies meets in most bands.
+
+    Sets are told apart by their size and two 64-bit sums of hashes.
+    """
+    total = lambda seed: F.sum(F.xxhash64("node", F.lit(seed)).cast("decimal(20,0)"))
+    sets = rows.groupBy("bucket").agg(F.count("*").alias("n"), total(1).alias("a"), total(2).alias("b")).filter("n > 1")
+    kept = common.stored(sets.groupBy("n", "a", "b").agg(F.min("bucket").alias("bucket")).select("bucket"), "different-buckets")
+    return rows.join(kept, "bucket").select("bucket", "node")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows of buckets with texts of several classes."""
+    several = rows.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("bucket")
+    return rows.join(several, "bucket", "left_semi")
+
+
 def classes(docs: DataFrame, rounds: int = ROUNDS, least: float = LEAST) -> DataFrame:
     """(doc_id, __key, class_id, __class_key): a row for each of ``docs``; the class is named by its least doc_id, and __class_key is that row's key."""
     rows = common.stored(signed(docs), "signatures")
     held = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "__key")).alias("low"), F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"))
     nodes = common.stored(held.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    buckets = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = common.stored(buckets.groupBy("bucket").count().filter("count > 1").select("bucket"), "shared-buckets")
-    members = common.stored(buckets.join(shared, "bucket").select("bucket", "node"), "members")
+    members = common.stored(_different_buckets(nodes.select("node", F.explode("bands").alias("bucket"))), "members")
     # whole texts of the candidates, and of no others
     wanted = members.select("node").distinct().join(nodes.select("node", F.col("low.doc_id").alias("__id"), F.col("low.__key").alias("__k")), "node")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.row_key().alias("__key"), common.text_or_empty().alias("text"))
     texts = source.join(wanted, source["doc_id"].eqNullSafe(F.col("__id")) & (source["__key"] == F.col("__k"))).select("node", "text")
     texts = common.stored(texts.dropDuplicates(["node"]) if _repeated(rows) else texts, "candidate-texts")
-    tried, root, own = None, None, None
+    tried, root, open_ = None, None, members.withColumn("root", F.col("node"))
     for k in range(rounds + 1):
-        at = members.withColumn("root", F.col("node")) if root is None else members.join(root.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        spread = at.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("bucket")
-        mixed = common.stored(at.join(spread, "bucket").select("bucket", "node", "root"), "open-members")
         last = False
-        if k:
-            if own is None:
-                own = common.stored(shared_shingles(texts.join(mixed.select("node").distinct(), "node", "left_semi")), "shared-shingles")
-            low = mixed.join(own, "node").groupBy("bucket").agg(F.min("size").alias("least_size"))
+        if k:  # classes only grow, so a bucket that has come to one class stays out, and so does a text that can have no more links
+            new = root.select(F.col("u").alias("node"), F.col("v").alias("__root")) if root is not None else None
+            at = open_.join(new, "node", "left").withColumn("root", F.coalesce("__root", "node")).drop("__root") if new is not None else open_
+            open_ = common.stored(_mixed(at), "open-members")
+            if k == 1:
+                own = shared_shingles(texts.join(open_.select("node").distinct(), "node", "left_semi"))
+                open_ = common.stored(open_.join(common.stored(own, "shared-shingles"), "node"), "open-members")
+            low = open_.groupBy("bucket").agg(F.min("size").alias("least_size"))
             most = F.col("shared") / (F.col("size") + F.col("least_size") - F.col("shared"))
-            mixed = common.stored(mixed.join(own, "node").join(low, "bucket").filter(most >= least).select("bucket", "node", "root", F.floor(10 * (1 - F.col("shared") / F.col("size"))).alias("odd")), "open-members")
-            sizes = mixed.groupBy("bucket", "root").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("s"))
+            open_ = common.stored(_mixed(open_.join(low, "bucket").filter(most >= least).drop("least_size")), "open-members")
+            sizes = open_.groupBy("bucket", "root").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("s"))
             n, left = sizes.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("s")) / 2)).first()
             if not left:
                 break
             last = k == rounds or left <= LAST * n
-        else:
-            mixed = mixed.withColumn("odd", F.lit(0))
         if last:
-            other = mixed.select("bucket", F.col("node").alias("other"), F.col("root").alias("other_root"))
-            pairs = mixed.join(other, "bucket").filter("root < other_root").select("node", "other")
+            other = open_.select("bucket", F.col("node").alias("other"), F.col("root").alias("other_root"), F.col("size").alias("other_size"), F.col("shared").alias("other_shared"))
+            both = F.least("shared", "other_shared")
+            pairs = open_.join(other, "bucket").filter((F.col("root") < F.col("other_root")) & (both >= least * (F.col("size") + F.col("other_size") - both))).select("node", "other")
         else:
-            pivots = mixed.groupBy("bucket").agg(F.min(F.struct("odd", F.xxhash64("node", F.lit(k)).alias("h"), "node", "root")).alias("pivot"))
-            pivots = common.stored(pivots.select("bucket", "pivot"), "pivots")
-            pairs = mixed.join(pivots, "bucket").filter("root <> pivot.root").select("node", F.col("pivot.node").alias("other"))
+            odd = F.floor(10 * (1 - F.col("shared") / F.col("size"))) if k else F.lit(0)
+            pivots = open_.groupBy("bucket").agg(F.min(F.struct(odd.alias("odd"), F.xxhash64("node", F.lit(k)).alias("h"), "node", "root")).alias("pivot")).select("bucket", "pivot")
+            pairs = open_.join(common.stored(pivots, "pivots"), "bucket").filter("root <> pivot.root").select("node", F.col("pivot.node").alias("other"))
         pairs = pairs.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
         pairs = common.stored(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
         links = common.stored(verified(pairs, texts, least), "links")
