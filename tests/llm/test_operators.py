@@ -415,11 +415,12 @@ def copies(n, seed, words=150):
     return out
 
 
-@pytest.mark.parametrize("rounds", [10, 1])
-def test_near_duplicates_match_brute_force(spark, rounds):
+@pytest.mark.parametrize("block", [512, 9])
+def test_near_duplicates_match_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", block)
     texts = copies(60, 1) + copies(40, 2) + [prose(60) for _ in range(20)] + ["", None, "a b", "a  b", "a b c d e f", ("ha " * 40).strip(), ("ha " * 45).strip()]
     rows = list(enumerate(texts))
-    got = near_dup.classes(spark.createDataFrame(rows, DOCS).withColumn("bands", pa_lit()), rounds=rounds).collect()
+    got = near_dup.classes(spark.createDataFrame(rows, DOCS).withColumn("bands", pa_lit())).collect()
     groups = defaultdict(set)
     for r in got:
         groups[r["class_id"]].add(r["doc_id"])

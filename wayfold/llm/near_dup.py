@@ -6,11 +6,10 @@ for a text if its height is below the shingle's count there. A component of the
 in a component with a probability of exactly their weighted Jaccard similarity. Bands of ``ROWS`` components are hashed to buckets; texts that
 share a bucket are candidates, and the exact similarity of their multisets verifies them.
 
-Copies are collapsed first, and only different texts are compared. A bucket of any size is worked off without a cap: each of several rounds
-compares its members with one pivot, leaving out those whose classes have met already; when few pairs of different classes are left, a last
-round compares them all. So links within a class that is known aren't sought, and no class is missed that some bucket holds. From the second round on
-a bound takes texts out of buckets: shingles that no other open text has can't be shared, and where the rest is too few for any partner of
-the bucket's sizes, no link exists. Pivots are then taken from the texts with the fewest shingles of their own.
+Copies are collapsed first, and only different texts are compared. First every bucket compares its members with one pivot, which settles most buckets. A bucket
+whose members are still of several classes, and that has pairs left to try, is then compared whatever its size, without a cap: its members are dealt to blocks of about ``BLOCK``, each pair of blocks is
+one group, and a product of its shingle matrices gives all its similarities at once. A group sends out only links that join different classes (fewer than it has texts), so
+neither pairs nor links are ever listed, and no class is missed that some bucket holds.
 
 Defined cases: null text is empty; empty texts are copies of each other and of nothing else; a text of one to four words is one shingle;
 a null doc_id gets its class like any other; the class id is the least doc_id of the class, null if it has none.
@@ -32,9 +31,7 @@ from .words import BLANKS, word_hashes
 
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 25, 5
-ROUNDS = 10
-#: All pairs of different classes are compared once there are no more than this many for each member of a bucket.
-LAST = 2
+BLOCK, COLUMNS = 512, 4096
 SIZE = BANDS * ROWS
 _MULTIPLIERS = common.mix64(np.arange(301, 301 + WORDS)) | np.uint64(1)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -159,34 +156,71 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFr
     return pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def shared_shingles(texts: DataFrame) -> DataFrame:
-    """(node, size, shared): the shingles of each text, and those of them that another of ``texts`` has; a repeated shingle counts as often as it comes."""
+def joining_links(texts: list[str], roots_: list[int], least: float = LEAST) -> list[tuple[int, int]]:
+    """Pairs (i, j) of similar texts that join classes: with them and the classes given by ``roots_``, all similar texts are connected. Exact, over all pairs.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in common.slices(batch, "text", 1 << 20):
-                at, data = common.utf8(part.column(1))
-                shingle, row, count = bags(data, at)
-                token = np.repeat(shingle, count)
-                token = common.mix64(token + (np.arange(len(token)) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64) * _GOLD)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(row, count))), pa.array(token.view(np.int64))], ["node", "token"])
-
-    tokens = texts.select("node", "text").mapInArrow(run, "node long, token long")
-    # one row a token: how many texts have it, and the only one if it is one; so texts are told how many of their tokens are alone
-    alone = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    sizes = tokens.groupBy("node").agg(F.count("*").alias("size"))
-    return sizes.join(alone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
+    Similarities come from products of the matrix texts x shingles, a stretch of shingles at a time; a shingle that comes k times in a text is k columns.
+    """
+    raw = [t.encode() for t in texts]
+    shingle, row, count = bags(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64))
+    n, size = len(texts), np.bincount(row, weights=count, minlength=len(texts))
+    token, row = np.repeat(shingle, count), np.repeat(row, count)
+    token = common.mix64(token + (np.arange(len(token)) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64) * _GOLD)
+    which, at, times = np.unique(token, return_inverse=True, return_counts=True)
+    place = np.cumsum(times > 1) - 1  # of the shingles that two texts share
+    keep = times[at] > 1
+    column, row = place[at[keep]], row[keep]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    both = np.zeros((n, n), np.float32)
+    for low in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        m = np.zeros((n, COLUMNS), np.float32)
+        m[row[a:b], column[a:b] - low] = 1
+        both += m @ m.T
+    i, j = np.nonzero(np.triu(both >= least * (size[:, None] + size[None] - both) - 1e-6, 1) & (both > 0))
+    up = {r: r for r in roots_}
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    out = []
+    for p, q in zip(i.tolist(), j.tolist(), strict=True):
+        x, y = find(roots_[p]), find(roots_[q])
+        if x != y:
+            up[x] = y
+            out.append((p, q))
+    return out
+
+
+def _compare(table: pa.Table) -> pa.Table:
+    table = table.sort_by("node")
+    node, root = table["node"].to_pylist(), table["root"].to_pylist()
+    links = joining_links(table["text"].to_pylist(), root) if len(set(root)) > 1 else []
+    return pa.table([pa.array([node[j] for _, j in links], pa.int64()), pa.array([node[i] for i, _ in links], pa.int64())], ["u", "v"])
+
+
+def compared(open_: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (u, v) that join classes, from all pairs within each bucket of ``open_`` (bucket, node, root)."""
+    blocks = open_.join(open_.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb")), "bucket")
+    own = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
+    dealt = blocks.withColumn("b", own).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    dealt = dealt.select("bucket", F.least("b", "c").alias("lo"), F.greatest("b", "c").alias("hi"), "node", "root")
+    return dealt.join(texts, "node").groupBy("bucket", "lo", "hi").applyInArrow(lambda t: _compare(t), "u long, v long")
 
 
 def _different_buckets(rows: DataFrame) -> DataFrame:
-    """(bucket, node) of the buckets with several texts, without those that hold the same texts as another: a group of near copies meets in most bands.
+    """(bucket, node, n) of the buckets with several (n) texts, without those that hold the same texts as another: a group of near copies meets in most bands.
 
     Sets are told apart by their size and two 64-bit sums of hashes.
     """
     total = lambda seed: F.sum(F.xxhash64("node", F.lit(seed)).cast("decimal(20,0)"))
     sets = rows.groupBy("bucket").agg(F.count("*").alias("n"), total(1).alias("a"), total(2).alias("b")).filter("n > 1")
-    kept = common.stored(sets.groupBy("n", "a", "b").agg(F.min("bucket").alias("bucket")).select("bucket"), "different-buckets")
-    return rows.join(kept, "bucket").select("bucket", "node")
+    kept = common.stored(sets.groupBy("n", "a", "b").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "different-buckets")
+    return rows.join(kept, "bucket").select("bucket", "node", "n")
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
@@ -195,7 +229,7 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.join(several, "bucket", "left_semi")
 
 
-def classes(docs: DataFrame, rounds: int = ROUNDS, least: float = LEAST) -> DataFrame:
+def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """(doc_id, __key, class_id, __class_key): a row for each of ``docs``; the class is named by its least doc_id, and __class_key is that row's key."""
     rows = common.stored(signed(docs), "signatures")
     held = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "__key")).alias("low"), F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"))
@@ -206,40 +240,15 @@ def classes(docs: DataFrame, rounds: int = ROUNDS, least: float = LEAST) -> Data
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.row_key().alias("__key"), common.text_or_empty().alias("text"))
     texts = source.join(wanted, source["doc_id"].eqNullSafe(F.col("__id")) & (source["__key"] == F.col("__k"))).select("node", "text")
     texts = common.stored(texts.dropDuplicates(["node"]) if _repeated(rows) else texts, "candidate-texts")
-    tried, root, open_ = None, None, members.withColumn("root", F.col("node"))
-    for k in range(rounds + 1):
-        last = False
-        if k:  # classes only grow, so a bucket that has come to one class stays out, and so does a text that can have no more links
-            new = root.select(F.col("u").alias("node"), F.col("v").alias("__root")) if root is not None else None
-            at = open_.join(new, "node", "left").withColumn("root", F.coalesce("__root", "node")).drop("__root") if new is not None else open_
-            open_ = common.stored(_mixed(at), "open-members")
-            if k == 1:
-                own = shared_shingles(texts.join(open_.select("node").distinct(), "node", "left_semi"))
-                open_ = common.stored(open_.join(common.stored(own, "shared-shingles"), "node"), "open-members")
-            low = open_.groupBy("bucket").agg(F.min("size").alias("least_size"))
-            most = F.col("shared") / (F.col("size") + F.col("least_size") - F.col("shared"))
-            open_ = common.stored(_mixed(open_.join(low, "bucket").filter(most >= least).drop("least_size")), "open-members")
-            sizes = open_.groupBy("bucket", "root").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("s"))
-            n, left = sizes.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("s")) / 2)).first()
-            if not left:
-                break
-            last = k == rounds or left <= LAST * n
-        if last:
-            other = open_.select("bucket", F.col("node").alias("other"), F.col("root").alias("other_root"), F.col("size").alias("other_size"), F.col("shared").alias("other_shared"))
-            both = F.least("shared", "other_shared")
-            pairs = open_.join(other, "bucket").filter((F.col("root") < F.col("other_root")) & (both >= least * (F.col("size") + F.col("other_size") - both))).select("node", "other")
-        else:
-            odd = F.floor(10 * (1 - F.col("shared") / F.col("size"))) if k else F.lit(0)
-            pivots = open_.groupBy("bucket").agg(F.min(F.struct(odd.alias("odd"), F.xxhash64("node", F.lit(k)).alias("h"), "node", "root")).alias("pivot")).select("bucket", "pivot")
-            pairs = open_.join(common.stored(pivots, "pivots"), "bucket").filter("root <> pivot.root").select("node", F.col("pivot.node").alias("other"))
-        pairs = pairs.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
-        pairs = common.stored(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
-        links = common.stored(verified(pairs, texts, least), "links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if not links.isEmpty():
-            root = roots(links if root is None else root.unionByName(links))
-        if last:
-            break
+    pivots = common.stored(members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("pivot")).select("bucket", F.col("pivot.node").alias("pivot")), "pivots")
+    pairs = members.join(pivots, "bucket").filter("node <> pivot").select(F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v")).distinct()
+    links = common.stored(verified(pairs, texts, least), "links")
+    root = None if links.isEmpty() else roots(links)
+    at = members.withColumn("root", F.col("node")) if root is None else members.join(root.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = common.stored(_mixed(at.filter("n > 2").select("bucket", "node", "root")), "open-members")
+    more = common.stored(compared(open_, texts), "links")
+    if not more.isEmpty():
+        root = roots(more if root is None else root.unionByName(more))
     of = nodes.withColumn("root", F.col("node")) if root is None else nodes.join(root.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     low = F.min(F.when(F.col("low.doc_id").isNotNull(), F.col("low"))).alias("low")
     of = of.select("digest", "root", F.struct(F.col("least_id").alias("doc_id"), F.col("low.__key").alias("__key")).alias("low"))
