@@ -1,6 +1,6 @@
 """Quality by nearest-neighbour voting in a latent-semantic space (operator 3).
 
-Terms are hashed byte trigrams, and 4-grams of byte classes (case, digit, space, mark), counted over whole texts. Document frequencies
+Terms are hashed byte trigrams, 4-grams of byte classes (case, digit, space, mark) and ranges of the share of repeated words, counted over whole texts. Document frequencies
 come from all documents. The labelled sample's tf-idf vectors are reduced by a randomised singular value decomposition; its latent
 vectors and labels are broadcast (``SAMPLE`` x ``RANK`` floats, whatever the corpus). Every document's exact cosine with every labelled vector is
 computed in blocks, and its ``NEIGHBOURS`` nearest vote with weights that grow with similarity, corrected for the sample's share of each label.
@@ -19,10 +19,13 @@ from pyspark.sql import functions as F
 
 from . import common
 from .labels import remainder, sampled
+from .words import word_hashes
 
 SAMPLE, RANK, NEIGHBOURS, SHARP = 4096, 64, 7, 30.0
 HALF = 2048
-DIMS = 2 * HALF
+#: After the two kinds of grams: a term for each range of the share of words that repeat the one before, as heavy as the text is long.
+SHARES = (0.0, 0.02, 0.1, 0.3)
+DIMS = 2 * HALF + len(SHARES)
 MODULUS, HELD_OUT = 3, 1
 
 _CLASS = np.full(256, 1, np.uint32)  # control characters and other
@@ -47,6 +50,12 @@ def term_counts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
         code = (code * np.uint32(2654435761)) >> np.uint32(21)
         same = row[:n] == row[k - 1 :]
         out[:, low : low + HALF] = np.bincount((row[:n] * HALF + code)[same], minlength=docs * HALF).reshape(docs, HALF)
+    words, ends = word_hashes(data, at)
+    of = np.repeat(np.arange(docs), np.diff(ends))
+    again = (words[1:] == words[:-1]) & (of[1:] == of[:-1])
+    n = np.diff(ends)
+    share = np.bincount(of[1:][again], minlength=docs) / np.maximum(n, 1)
+    out[np.arange(docs), 2 * HALF + np.searchsorted(SHARES, share, side="right") - 1] = n
     return out
 
 
