@@ -31,7 +31,7 @@ from .words import BLANKS, word_hashes
 
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 25, 5
-BLOCK, COLUMNS = 512, 4096
+BLOCK, COLUMNS = 256, 4096
 SIZE = BANDS * ROWS
 _MULTIPLIERS = common.mix64(np.arange(301, 301 + WORDS)) | np.uint64(1)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
