@@ -243,6 +243,19 @@ def test_encoder_equals_the_library():
         assert flat[ends[i] : ends[i + 1]].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids + [0]
 
 
+def test_special_tokens_are_those_of_the_untouched_library():
+    from tokenizers import Tokenizer
+
+    plain, e, r = Tokenizer.from_file(tokens.default_path()), tokens.Encoder(tokens.default_path(), cached=500), random.Random(2)
+    assert e.with_end("a <|endoftext|> b").tolist() == [64, 220, 50256, 275, 0]
+    pieces = ["<|endoftext|>", "<|endoftext|>", "a", "é", "it's", "'s", ",", ".", " ", "  ", "\n", "\t", "\x01", "1", "<|", "|>", "\u00a0", "x" * 150]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randint(0, 15))) for _ in range(4000)]
+    raw = [t.encode() for t in texts]
+    flat, ends = e.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(b) for b in raw])]), 0)
+    for i, t in enumerate(texts):
+        assert flat[ends[i] : ends[i + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids + [0], t
+
+
 def test_packing_places_every_piece(spark, docs, none):
     got = packing.pack_documents(docs).toPandas()
     texts = defaultdict(list)

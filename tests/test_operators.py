@@ -308,6 +308,41 @@ def test_names_are_claimed_in_order(spark):
     assert [r["path"] for r in batch.named(jobs, taken).orderBy("ord").collect()] == ["/o/clip - hud.mp4", "/o/clip - hud - 2.mp4", "/o/clip - hud - 3.mp4", "/o/b - x - y.mov"]
 
 
+def names_of(spark, stems, taken=()):
+    """What naming.ResolveBatch gives, beside the operator's paths."""
+    claimed, want = set(taken), []
+    for stem in stems:
+        want.append(next((p for p in [f"/o/{stem}.mp4"] + [f"/o/{stem} - {i}.mp4" for i in range(1, 1001)] if p not in claimed), None))
+        claimed.add(want[-1])
+    jobs = spark.createDataFrame([(i, "/o", s, [], ".mp4") for i, s in enumerate(stems)], "ord int, dir string, stem string, slugs array<string>, extension string")
+    got = batch.named(jobs, spark.createDataFrame([(p,) for p in taken], "path string")).orderBy("ord").collect()
+    assert len(got) == len(stems)
+    return [r["path"] for r in got], want
+
+
+def test_no_two_jobs_get_one_name(spark):
+    got, want = names_of(spark, ["x", "x", "x - 1"])
+    assert got == want == ["/o/x.mp4", "/o/x - 1.mp4", "/o/x - 1 - 1.mp4"]
+    r = random.Random(3)
+    stems = ["".join(r.choice(["x", "x", "y"]) + "".join(r.choice(["", " - 1", " - 2", " - 01", " - 1.5", " 1"]) for _ in range(3))) for _ in range(400)]
+    got, want = names_of(spark, stems, ["/o/x - 1.mp4", "/o/y.mp4", "/o/y - 2 - 1.mp4"])
+    assert got == want and len(set(got)) == 400
+
+
+def test_jobs_without_a_name_are_rows_with_none(spark):
+    got, want = names_of(spark, ["x"] * 1005 + ["x - 7", "y"])
+    assert got == want and got[1001:] == [None] * 4 + ["/o/x - 7 - 1.mp4", "/o/y.mp4"]
+
+
+def test_places_of_all_jobs(spark):
+    r = random.Random(4)
+    rows = [(i, r.choice([0.0, 0.0, 0.0, 1.0, r.random() * 9, float("nan"), None])) for i in range(3000)]
+    df = spark.createDataFrame(r.sample(rows, len(rows)), "ord long, cost double")
+    got = {r["ord"]: r["place"] for r in batch.places(df).collect()}
+    assert got == {r["ord"]: i + 1 for i, r in enumerate(batch.longest_first(df).collect())}
+    assert batch.places(df.filter("ord < 0")).count() == 0
+
+
 def test_trim_windows(spark):
     rows = [(None, None, 10.0), (2.0, 0.0, 10.0), (11.0, None, 10.0), (5.0, 3.0, 10.0), (-4.0, 20.0, 10.0), (-4.0, -1.0, 10.0)]
     df = spark.createDataFrame(rows, "a double, b double, d double").select(batch.trim_window(F.col("a"), F.col("b"), F.col("d")).alias("w"))

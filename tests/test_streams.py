@@ -28,6 +28,21 @@ def test_calibration_equals_its_two_passes(rocks, tmp_path):
     assert sorted(map(tuple, got)) == sorted(tuple(r) for r in sessions.calibrated_batch(df, 8).select("key", "frame", "value", "level").collect())
 
 
+def test_short_keys_are_calibrated_at_their_end(rocks, tmp_path):
+    schema = "key string, frame long, value double"
+    sizes = {"a": 20, "b": 3, "c": 8, "d": 1}
+    rows = [(k, i, float((i * 7) % 11)) for k, n in sizes.items() for i in range(n)]
+    (tmp_path / "in").mkdir()
+    # b ends in a batch of its own, d in that of its row; one row of b comes late
+    for i, part in enumerate([rows, [("a", None, None), ("b", None, None)], [("c", None, None), ("d", None, None), ("e", None, None), ("b", 9, 1.0)]]):
+        rocks.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"p={i}"))
+    source = rocks.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    got = drained(rocks, sessions.calibrated_whole(source, 8), "calibrated_whole_test", tmp_path)
+    want = sessions.calibrated_whole_batch(rocks.createDataFrame([*rows, ("b", None, None)], schema), 8).select("key", "frame", "value", "level", "reliable").collect()
+    assert len(want) == len(rows) and {(r["key"], r["level"], r["reliable"]) for r in want} == {("a", 6.0, True), ("b", 3.0, False), ("c", 6.0, True), ("d", 0.0, False)}
+    assert sorted(map(tuple, got)) == sorted([*map(tuple, want), ("b", 9, 1.0, 3.0, False)])
+
+
 def test_throttle_lets_few_through(rocks, tmp_path):
     df = rocks.createDataFrame([("a", i * 100_000, i) for i in range(0, 41)], "key string, t long, done long")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))

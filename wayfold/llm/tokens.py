@@ -3,7 +3,8 @@
 A byte-level pre-tokenizer always begins a new pre-token at a single space between two non-space characters, at a single line feed
 between two and after it, and at a comma or full stop between a letter or digit and white space; its only look-ahead stops there
 too. So texts may be cut at these places and each piece encoded alone. Pieces are found, hashed (64 bits) and looked up with numpy;
-those that a worker hasn't met go to the library, many in one call. White space of any other kind is never cut. Ids equal those of the whole text.
+those that a worker hasn't met go to the library, many in one call. White space of any other kind is never cut. A special token in a text (<|endoftext|>) gets
+its own id, as by the library's default; it holds no place where texts are cut. Ids equal those of the whole text.
 """
 
 from __future__ import annotations
@@ -76,7 +77,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.cached = cached
         self.separator, self.separator_id = self._find_separator()

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
 
 MAX_NAMES = 1000
+#: Sampled jobs for each range of places.
+SAMPLED = 40
 
 
 def longest_first(jobs: DataFrame, cost: str = "cost", ord_: str = "ord") -> DataFrame:
@@ -15,6 +19,26 @@ def longest_first(jobs: DataFrame, cost: str = "cost", ord_: str = "ord") -> Dat
     return jobs.orderBy(F.desc(cost), F.asc(ord_))
 
 
+def places(jobs: DataFrame, cost: str = "cost", ord_: str = "ord") -> DataFrame:
+    """``place`` (from 1) of every job in the order of ``longest_first``.
+
+    Sampled jobs cut the order into ranges; each is numbered by itself and begins after the counts of those before it, so no task holds all.
+    Ranges are by cost and input order, so equal costs don't pile up in one.
+    """
+    spark, ranges = jobs.sparkSession, int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    value = F.col(cost)
+    keyed = jobs.withColumn("_key", F.struct(value.isNull().alias("none"), (~F.coalesce(F.isnan(value), F.lit(False))).alias("number"), (-value).alias("cost"), F.col(ord_).alias("ord")))
+    share = min(1.0, SAMPLED * ranges / max(1, jobs.count()))
+    sample = [r["_key"] for r in keyed.select("_key").sample(share, 7).orderBy("_key").collect()]
+    step = max(1, len(sample) // ranges)
+    bounds = spark.createDataFrame([(sample[step - 1 :: step],)], T.StructType([T.StructField("_bounds", T.ArrayType(keyed.schema["_key"].dataType))]))
+    placed = keyed.crossJoin(F.broadcast(bounds)).withColumn("_range", F.size(F.filter("_bounds", lambda b: b < F.col("_key")))).drop("_bounds")
+    counts = placed.groupBy("_range").count()
+    before = counts.select("_range", F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy("_key"))
+    return placed.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn("place", F.col("_before") + F.col("_own")).select(*jobs.columns, "place")
+
+
 def trim_window(start: Column, end: Column, duration: Column) -> Column:
     """Struct (start, end, status) of a span in clip seconds; null start or end is open, an end of 0 too. Status: ok, outside or inverted."""
     open_end = end.isNull() | (end == 0)
@@ -43,16 +67,34 @@ def calibration_start(start: Column, duration: Column) -> Column:
 def named(jobs: DataFrame, taken: DataFrame) -> DataFrame:
     """``path`` for each job (ord, dir, stem, slugs, extension): the base name, or the first free number after it, in input order.
 
-    Jobs that share a base name take its free numbers in turn. ``taken`` (path) lists what exists; numbers go to a thousand, beyond them path is null.
-    A name that is another's numbered form is claimed in a second pass: those jobs move on by input order.
+    No path repeats, and none is in ``taken`` (path); numbers go to a thousand, beyond them path is null. An extension is empty or begins with a dot.
+    Names that are alike but for numbers at their end may be one another's numbered form, so these are claimed together, in input order; all others
+    are independent. Of jobs that share a base name only the first 1001 can get one, so no more are looked at.
     """
-    base = jobs.withColumn("name", F.concat(F.col("dir"), F.lit("/"), text.output_name(F.col("stem"), F.col("slugs"), F.lit("")))).withColumn("_k", F.row_number().over(Window.partitionBy("name", "extension").orderBy("ord")))
-    groups = base.groupBy("name", "extension").agg(F.count("*").alias("_n"))
-    used = taken.select(F.col("path").alias("_p"))
-    tries = groups.join(base.select("name", "extension").distinct(), ["name", "extension"]).withColumn("no", F.explode(F.sequence(F.lit(0), F.lit(MAX_NAMES))))
-    tries = tries.withColumn("_p", F.when(F.col("no") == 0, F.concat("name", "extension")).otherwise(F.concat_ws("", "name", F.lit(" - "), F.col("no").cast("string"), "extension")))
-    free = tries.join(used, "_p", "left_anti").withColumn("_k", F.row_number().over(Window.partitionBy("name", "extension").orderBy("no"))).filter("_k <= _n")
-    return base.join(free.select("name", "extension", "_k", F.col("_p").alias("path")), ["name", "extension", "_k"], "left").select(*jobs.columns, "path")
+    root = lambda path: F.regexp_replace(path, r"( - [0-9]+)+(?=\.|\z)", "")
+    base = jobs.withColumn("name", F.concat(F.col("dir"), F.lit("/"), text.output_name(F.col("stem"), F.col("slugs"), F.lit("")))).withColumn("_root", root(F.concat("name", "extension")))
+    base = base.withColumn("_k", F.row_number().over(Window.partitionBy("_root", "name", "extension").orderBy("ord")))
+    asking = base.filter(F.col("_root").isNotNull() & (F.col("_k") <= MAX_NAMES + 1)).select("_root", "ord", "name", "extension", "_k")
+    used = taken.select(root(F.col("path")).alias("_root"), F.col("path").alias("_p"))
+    claims = asking.groupBy("_root").cogroup(used.groupBy("_root")).applyInPandas(_claimed, "name string, extension string, _k int, path string")
+    return base.join(claims, ["name", "extension", "_k"], "left").select(*jobs.columns, "path")
+
+
+def _claimed(jobs: pd.DataFrame, used: pd.DataFrame) -> pd.DataFrame:
+    """Names given one after the other; what is taken stays so, hence a name's numbers are tried once."""
+    jobs = jobs.sort_values(["ord", "_k"], na_position="first")
+    taken, tried, out = set(used["_p"]), {}, []
+    for name, extension in zip(jobs["name"], jobs["extension"], strict=True):
+        no = tried.get((name, extension), 0)
+        path = None
+        while path is None and no <= MAX_NAMES:
+            path = f"{name} - {no}{extension}" if no else f"{name}{extension}"
+            path = None if path in taken else path
+            no += 1
+        tried[name, extension] = no
+        taken.add(path)
+        out.append(path)
+    return jobs[["name", "extension", "_k"]].assign(path=pd.Series(out, jobs.index, object))
 
 
 def duplicates(effects: DataFrame, key: str = "effect") -> DataFrame:

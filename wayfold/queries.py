@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import maths, text
 from .operators import activity, alignment, batch, governance, series, stats, trajectory
+from .sources import sinks
 from .streaming import sessions
 
 HOUR = 3_600_000_000
@@ -299,6 +300,25 @@ def correction_path(spark, d):
     return rounded(trajectory.corrections(trajectory.trajectory(_motion(spark, d)), 5.0), "dx", digits=5).select("series_id", "frame", "dx")
 
 
+_REPORTED = ", ".join(f"max(i.value) FILTER (WHERE i.series_id % 4 = {c}) AS p{c}, max(v) FILTER (WHERE i.series_id % 4 = {c}) AS s{c}" for c in range(4))
+
+
+@query(f"""
+WITH {M}, p AS (SELECT series_id, frame, sum(CASE WHEN ok THEN dx ELSE 0 END) OVER w AS p0, sum(CASE WHEN ok THEN dy ELSE 0 END) OVER w AS p1, sum(CASE WHEN ok THEN rotation ELSE 0 END) OVER w AS p2, sum(CASE WHEN ok AND scale > 0 THEN ln(scale) ELSE 0 END) OVER w AS p3 FROM m WINDOW w AS (PARTITION BY series_id ORDER BY frame ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT unnest(range(0, 4)) AS c), e AS (SELECT series_id * 4 + c AS series_id, frame AS t, (series_id * 4 + c) * 1000000 + frame AS tie, CASE c WHEN 0 THEN p0 WHEN 1 THEN p1 WHEN 2 THEN p2 ELSE p3 END AS value FROM p, c),
+{I}, {_kernel_sql(5.0)}, {_extrapolated(5.0)}, r AS (SELECT i.series_id // 4 AS series_id, i.t AS frame, {_REPORTED} FROM s JOIN i ON i.tie = s.tie GROUP BY 1, 2),
+d AS (SELECT *, sqrt((s0 - p0) * (s0 - p0) + (s1 - p1) * (s1 - p1)) AS size, s2 - p2 AS turn FROM r)
+SELECT series_id, frame, round(p0, 5) AS raw_x, round(p1, 5) AS raw_y, round(p2, 5) AS raw_rotation, round(exp(p3), 6) AS raw_scale, round(s0, 5) AS smoothed_x, round(s1, 5) AS smoothed_y, round(s2, 5) AS smoothed_rotation, round(exp(s3), 6) AS smoothed_scale,
+round((s0 - p0) * CASE WHEN size > 4 THEN 4 / size ELSE 1 END, 5) AS correction_dx, round((s1 - p1) * CASE WHEN size > 4 THEN 4 / size ELSE 1 END, 5) AS correction_dy, round(greatest(-0.08, least(0.08, turn)), 5) AS correction_rotation, round(exp((s3 - p3) * 0.5), 6) AS correction_scale,
+size > 4 OR abs(turn) > 0.08 AS clamped FROM d
+""")
+def diagnostics_report(spark, d):
+    """The whole report: a row for every frame."""
+    report = sinks.diagnostics(trajectory.corrections(trajectory.trajectory(_motion(spark, d)), 5.0, scale_weight=0.5, max_translation=4.0, max_rotation=0.08))
+    scales = [n for n in sinks.DIAGNOSTICS if n.endswith("scale")]  # products of short decimals: halfway cases at five digits
+    return rounded(rounded(report, *[n for n in sinks.DIAGNOSTICS if n not in ("frame", "clamped", *scales)], digits=5), *scales)
+
+
 _CORNERS = ", ".join(f"abs(cos(rotation) * ({x} - dx) + sin(rotation) * ({y} - dy)) / 480.000001, abs(cos(rotation) * ({y} - dy) - sin(rotation) * ({x} - dx)) / 270.000001" for x in (-480, 480) for y in (-270, 270))
 
 
@@ -501,6 +521,12 @@ def lpt_order(spark, d):
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey")).cast("long")).select("o_orderkey", "place")
 
 
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders")
+def dispatch_order(spark, d):
+    """The place of every job."""
+    return batch.places(table(spark, d, "orders"), "o_totalprice", "o_orderkey").select("o_orderkey", "place")
+
+
 @query("""
 WITH j AS (SELECT l_orderkey, l_linenumber, l_quantity * 7 AS duration, l_discount * 500 AS a, l_tax * 4000 AS b FROM lineitem)
 SELECT l_orderkey, l_linenumber, round(greatest(a, 0), 6) AS "start", round(CASE WHEN b = 0 THEN 0 WHEN b > duration THEN duration ELSE b END, 6) AS "end", CASE WHEN a >= duration OR (b <> 0 AND b < 0) THEN 'outside' WHEN b <> 0 AND b <= a THEN 'inverted' ELSE 'ok' END AS status FROM j
@@ -517,6 +543,14 @@ def claimed_names(spark, d):
     return batch.named(jobs, taken).filter("path IS NOT NULL").select(F.col("ord").alias("p_partkey"), "path")
 
 
+@query("SELECT p_partkey, CASE WHEN k <= 1001 THEN '/out/' || p_brand || ' - hud' || CASE WHEN k > 1 THEN ' - ' || (k - 1) ELSE '' END || '.mp4' END AS path FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part)")
+def batch_names(spark, d):
+    """As ``claimed_names``, with a row for every job: path is null where no name was free."""
+    jobs = table(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.lit("/out").alias("dir"), F.col("p_brand").alias("stem"), F.array(F.lit("hud")).alias("slugs"), F.lit(".mp4").alias("extension"))
+    taken = spark.createDataFrame([("/out/none.mp4",)], "path string")
+    return batch.named(jobs, taken).select(F.col("ord").alias("p_partkey"), "path")
+
+
 @query("SELECT o_orderpriority, min(o_orderkey) FILTER (WHERE o_totalprice >= 100000) AS quality FROM orders GROUP BY 1")
 def first_reaching(spark, d):
     return table(spark, d, "orders").groupBy("o_orderpriority").agg(F.min(F.when(F.col("o_totalprice") >= 100000, F.col("o_orderkey"))).alias("quality"))

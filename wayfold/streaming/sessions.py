@@ -95,6 +95,54 @@ def calibrated(rows: DataFrame, need: int = 200) -> DataFrame:
     return rows.groupBy("key").transformWithStateInPandas(Calibrate(need), "key string, frame long, value double, level double", "Append", "None")
 
 
+class CalibrateWhole(Calibrate):
+    """As Calibrate, until a row without a frame says that the key has ended: rows still held then go out with the level they give, not reliable. What comes later gets that level too."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.short = handle.getValueState("short", "level double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        ended = False
+
+        def usable() -> Iterator[pd.DataFrame]:
+            nonlocal ended
+            for frame in rows:
+                ended |= bool(frame["frame"].isna().any())
+                yield frame[frame["frame"].notna()]
+
+        if self.short.exists():
+            level = self.short.get()[0]
+            yield from (f[["key", "frame", "value"]].astype({"frame": "int64"}).assign(level=level, reliable=False) for f in usable())
+            return
+        for out in super().handleInputRows(key, usable(), timerValues):
+            yield out.assign(reliable=True)
+        held = sorted(tuple(r) for r in self.held.get()) if ended and not self.level.exists() else []
+        if held:
+            s = sorted(v for _, v in held)
+            level = s[len(s) // 2]
+            self.short.update((level,))
+            self.held.clear()
+            yield pd.DataFrame([(key[0], f, v, level, False) for f, v in held], columns=["key", "frame", "value", "level", "reliable"])
+
+
+def calibrated_whole(rows: DataFrame, need: int = 200) -> DataFrame:
+    """``calibrated`` with every row: a key's end is marked by a row with a null frame, and ``reliable`` is false where fewer than ``need`` rows gave the level."""
+    return rows.groupBy("key").transformWithStateInPandas(CalibrateWhole(need), "key string, frame long, value double, level double, reliable boolean", "Append", "None")
+
+
+def calibrated_whole_batch(rows: DataFrame, need: int = 200) -> DataFrame:
+    """The same in two passes; the end of the input is that of every key."""
+    from pyspark.sql import Window
+
+    from ..operators.stats import median_upper
+
+    usable = rows.filter("frame IS NOT NULL")
+    n = usable.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy("frame")))
+    level = n.filter(F.col("_r") <= need).groupBy(F.col("key").alias("_key")).agg(median_upper(F.col("value")).alias("level"), (F.count("*") >= need).alias("reliable"))
+    return usable.join(level, F.col("key").eqNullSafe(F.col("_key"))).drop("_key")
+
+
 def calibrated_batch(rows: DataFrame, need: int = 200) -> DataFrame:
     """The same in two passes: the level of the first ``need`` rows, joined to all; keys with fewer have none."""
     from pyspark.sql import Window
