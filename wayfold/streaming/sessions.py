@@ -80,9 +80,9 @@ class Calibrate(StatefulProcessor):
                     level = s[len(s) // 2]
                     out += [(key[0], a, b, level) for a, b in held]
                     held = []
-        if level is None:
+        if level is None and held:
             self.held.put(held)
-        else:
+        elif level is not None:
             self.level.update((level,))
             self.held.clear()
         yield pd.DataFrame(out, columns=["key", "frame", "value", "level"])
