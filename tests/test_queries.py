@@ -47,3 +47,13 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 402
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize(("name", "module", "operator"), [("unexpected_keys", "governance", "unexpected"), ("first_reaching", "batch", "suggestion"), ("session_windows", "sessions", "sessions")])
+def test_queries_call_the_operators_they_are_listed_for(spark, monkeypatch, name, module, operator):
+    called = []
+    owner = getattr(queries, module)
+    whole = getattr(owner, operator)
+    monkeypatch.setattr(owner, operator, lambda *a, **b: called.append(operator) or whole(*a, **b))
+    queries.QUERIES[name](spark, SF)
+    assert called == [operator]

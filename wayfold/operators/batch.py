@@ -101,9 +101,9 @@ def duplicates(effects: DataFrame, key: str = "effect") -> DataFrame:
     return effects.groupBy(key).count().filter("count > 1")
 
 
-def suggestion(points: DataFrame, target: float) -> DataFrame:
-    """The first quality, ascending, whose score reaches the target; null if none does."""
-    return points.agg(F.min(F.when(F.col("score") >= target, F.col("quality"))).alias("quality"))
+def suggestion(points: DataFrame, target: float, *by: str) -> DataFrame:
+    """The first quality, ascending, whose score reaches the target (of each ``by``); null if none does."""
+    return points.groupBy(*by).agg(F.min(F.when(F.col("score") >= target, F.col("quality"))).alias("quality"))
 
 
 def tally(results: DataFrame) -> DataFrame:

@@ -485,7 +485,7 @@ def presence_counts(spark, d):
 @query("SELECT user_id, count(*) AS n, min(ts) AS start FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 10 HOUR THEN 1 ELSE 0 END AS new FROM events)) GROUP BY user_id, s")
 def session_windows(spark, d):
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return e.groupBy("user_id", F.session_window("ts", "10 hours")).agg(F.count("*").alias("n")).select("user_id", "n", F.col("session_window.start").cast("timestamp_ntz").alias("start"))
+    return sessions.sessions(e, "user_id", "ts", "10 hours", "0 seconds").select("user_id", "n", F.col("start").cast("timestamp_ntz").alias("start"))
 
 
 # --- governance and batches ----------------------------------------------------------------
@@ -497,7 +497,8 @@ def leak_check(spark, d):
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def unexpected_keys(spark, d):
-    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    keys = lambda name, key: table(spark, d, name).select(F.lit("out").alias("file"), F.lit(-1).alias("stream"), F.col(key).cast("string").alias("key"), F.lit("-").alias("value"))
+    return governance.unexpected(keys("customer", "c_custkey"), keys("orders", "o_custkey")).select(F.col("key").cast("long").alias("c_custkey"))
 
 
 def _jobs(spark, d) -> DataFrame:
@@ -553,7 +554,8 @@ def batch_names(spark, d):
 
 @query("SELECT o_orderpriority, min(o_orderkey) FILTER (WHERE o_totalprice >= 100000) AS quality FROM orders GROUP BY 1")
 def first_reaching(spark, d):
-    return table(spark, d, "orders").groupBy("o_orderpriority").agg(F.min(F.when(F.col("o_totalprice") >= 100000, F.col("o_orderkey"))).alias("quality"))
+    points = table(spark, d, "orders").withColumnsRenamed({"o_totalprice": "score", "o_orderkey": "quality"})
+    return batch.suggestion(points, 100000, "o_orderpriority")
 
 
 @query("SELECT count(*) AS jobs, count(*) FILTER (WHERE o_orderstatus = 'F') AS failed FROM orders")
