@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from wayfold.llm import chat, decontamination, fingerprints, lines, near_dup, packing, quality, repeats, token_store, tokens, toxicity
+from wayfold.llm import chat, decontamination, fingerprints, lines, near_dup, packing, quality, repeats, token_store, tokens, toxicity, words
 
 DOCS = "doc_id long, text string"
 R = random.Random(7)
@@ -392,7 +393,8 @@ def test_benchmarks_larger_than_a_block(spark):
 # --- 10 -------------------------------------------------------------------------------------
 
 def bag(t):
-    w = (t or "").split()
+    """Five-word shingles; words are runs of letters and digits, ASCII ones in lower case."""
+    w = re.findall("[a-z0-9\u0080-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
     return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
 
 
@@ -408,7 +410,7 @@ def brute_classes(rows):
     for i in range(len(rows)):
         for j in range(i):
             a, b = bags[i], bags[j]
-            if (rows[i][1] or "") == (rows[j][1] or "") or (a and b and sum((a & b).values()) >= 0.8 * sum((a | b).values())):
+            if (rows[i][1] or "") == (rows[j][1] or "") or (a and b and 2 * sum((a & b).values()) >= 0.8 * sum((a + b).values())):
                 up[find(i)] = find(j)
     groups = defaultdict(list)
     for i in range(len(rows)):
@@ -451,16 +453,51 @@ def test_signatures_are_unbiased():
         raw = [x.encode(), y.encode()]
         s = near_dup.signatures(np.frombuffer(b"".join(raw), np.uint8), np.array([0, len(raw[0]), sum(map(len, raw))]))
         est.append((s[0] == s[1]).mean())
-        true.append(near_dup.similarity(x, y))
         p, q = bag(x), bag(y)
-        assert abs(true[-1] - sum((p & q).values()) / sum((p | q).values())) < 1e-12
+        true.append(sum((p & q).values()) / sum((p | q).values()))
+        assert abs(near_dup.similarity(x, y) - 2 * sum((p & q).values()) / sum((p + q).values())) < 1e-12
     assert abs(np.mean(np.array(est) - true)) < 0.012
 
 
+def test_blocks_by_bytes_and_outsiders_of_a_hot_bucket(spark, monkeypatch):
+    """One bucket holds two classes and outsiders; whatever the blocks, classes are those of brute force."""
+    texts = copies(30, 5, 60) + copies(12, 6, 60) + [prose(60) for _ in range(5)]
+    df = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    members = df.selectExpr("1L AS bucket", "node", "octet_length(text) AS size", "CASE WHEN node < 20 THEN 0L ELSE node END AS root")
+    want = {g for g in brute_classes(list(enumerate(texts)))}
+    for block, size in ((512, 1 << 24), (4, 1 << 24), (512, 1500)):
+        links = [(r["u"], r["v"]) for r in near_dup.compared(members, df, block, size).collect()]
+        up = {i: 0 if i < 20 else i for i in range(len(texts))}
+        for _ in texts:
+            for a, b in links:
+                up[a] = up[b] = min(up[a], up[b])
+            up = {i: min(up[i], up[up[i]]) for i in up}
+        groups = defaultdict(set)
+        for i, r in up.items():
+            groups[r].add(i)
+        joined = {frozenset(g) for g in groups.values()}
+        assert all(any(w <= g for g in joined) for w in want) and len(joined) <= len(want)
+
+
+def test_words_of_stretches_are_those_of_whole_texts():
+    raw = [t.encode() for t in ("", "ab é, cd.", "x" * 50, " ", "日本 語", "a b c d e f g h")]
+    at = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    d = np.frombuffer(b"".join(raw), np.uint8)
+    for table in (words.BLANKS, words.LETTERS, words.WORDS):
+        whole = words.word_hashes(d, at, table)
+        for stretch in (1, 3, 7, 30):
+            part = words.word_hashes(d, at, table, stretch)
+            assert (whole[0] == part[0]).all() and (whole[1] == part[1]).all()
+
+
 def test_one_of_each_keeps_one_row(spark, docs, none):
-    out = near_dup.one_of_each(docs.withColumn("root", pa_lit()))
+    clash = ["root", "key", "row", "id", "kept_id", "__key", "a.b"]
+    own = docs
+    for c in clash:
+        own = own.withColumn(c, pa_lit())
+    out = near_dup.one_of_each(own)
     texts = [t or "" for _, t in ODD]
-    assert out.columns == ["doc_id", "text", "root"]
+    assert out.columns == ["doc_id", "text", *clash] and all(r[2] == own.first()[2] for r in out.collect())
     got = sorted((r["text"] or "") for r in out.collect())
     assert len(got) == len(set(got)) and set(got) <= set(texts) and near_dup.one_of_each(none).count() == 0
 

@@ -14,37 +14,60 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where that is unset (tests on one machine) is one made."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not (own := getattr(spark, "_wayfold_dir", None)):
-        own = "file://" + tempfile.mkdtemp(prefix="wayfold-")
-        spark._wayfold_dir = own
-    return own
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the one given to ``SparkContext.setCheckpointDir``, with the scheme of the file system that Spark has it on.
+
+    Without either a session on one machine (master ``local``) makes its own; on a cluster that is an error, as each executor would write to its own disk.
+    """
+    if not (found := getattr(spark, "_wayfold_dir", None)):
+        context = spark.sparkContext
+        named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = spark._jvm.org.apache.hadoop.fs.Path(named or "file://" + tempfile.mkdtemp(prefix="wayfold-"))
+        found = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
+        found = found.replace("file:/", "file:///", 1) if found.startswith("file:/") and not found.startswith("file://") else found
+        spark._wayfold_dir = found
+    return found
+
+
+def _paths(spark: SparkSession) -> list[str]:
+    if not hasattr(spark, "_wayfold_paths"):
+        spark._wayfold_paths = []
+    return spark._wayfold_paths
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if not hasattr(spark, "_wayfold_paths"):
-        spark._wayfold_paths = []
-    spark._wayfold_paths.append(path)
+    _paths(spark).append(path)
     return path
 
 
-def clean_up(spark: SparkSession) -> None:
-    """Deletes the tables that this session has stored. Call it when their results have been written: frames made from them can't be read after it."""
-    for path in getattr(spark, "_wayfold_paths", []):
+def mark(spark: SparkSession) -> int:
+    """For ``release``: what is stored from now on."""
+    return len(_paths(spark))
+
+
+def release(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Deletes the tables stored after ``mark`` gave ``since``, but for those of ``keep``. Only frames that don't read them may still be used."""
+    paths, kept = _paths(spark), {getattr(df, "_wayfold_path", None) for df in keep}
+    for path in [p for p in paths[since:] if p not in kept]:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    spark._wayfold_paths = []
+        paths.remove(path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes all tables that this session has stored. Call it when their results have been written: frames made from them can't be read after it."""
+    release(spark)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: lineage is cut there, and a lost executor costs no recomputation."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._wayfold_path = path
+    return out
 
 
 def plan_bytes(df: DataFrame) -> int:
@@ -67,6 +90,26 @@ def row_key(column: str = "text"):
     return F.xxhash64(text_or_empty(column))
 
 
+def packed(docs: DataFrame):
+    """All columns as one struct: beside it an operator's own columns clash with none of them, whatever their names."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row")
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """The columns that ``packed`` has put together."""
+    return rows.select("row.*")
+
+
+#: Rows of a keyed table that a broadcast may have.
+SMALL = 200_000
+
+
+def joined(rows: DataFrame, keyed: DataFrame, key: str, small: int = SMALL) -> DataFrame:
+    """``rows`` with the columns of ``keyed`` (a stored table, one short row a key). Up to ``small`` rows are broadcast, so that a hot key's rows stay where they are; a larger table
+    is joined by two plain exchanges, which adaptive execution splits where a key is hot."""
+    return rows.join(F.broadcast(keyed) if keyed.count() <= small else keyed, key)
+
+
 def plain(array: pa.Array | pa.ChunkedArray) -> pa.Array:
     return array.combine_chunks() if isinstance(array, pa.ChunkedArray) else array
 
