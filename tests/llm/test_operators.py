@@ -51,12 +51,13 @@ def test_chat_collapses_snapshots(spark):
     rows += [(6, 0, "user", "hi"), (6, 0, "user", "hi")]  # a repeated row; then a prefix
     rows += [(None, 0, "user", "alone"), (7, None, None, "x"), (7, 0, "b", "t"), (7, 0, "a", "t")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("piece", pa_lit())
-    rows = chat.chat_format(df).orderBy("piece").collect()
+    rows = chat.chat_format(df).collect()
     got = {r["conv_id"]: r for r in rows}
+    assert len(rows) == len(got)
     assert set(got) == {2, 5, None, 7}
     assert got[2]["n_turns"] == 4 and got[2]["n_copies"] == 2
     assert got[2]["text"].count(chat.CLOSE) == 4 and "hello < |im_end|>" in got[2]["text"]
-    seven = "".join(r["text"] for r in rows if r["conv_id"] == 7)  # a null turn is a block of its own, the first
+    seven = got[7]["text"]  # a null turn is a block of its own, the first
     assert seven.index("\nx") < seven.index("a\nt") < seven.index("b\nt")
 
 
@@ -72,7 +73,11 @@ def test_chat_blocks_do_not_matter(spark):
     wide = {r["conv_id"] for r in chat.chat_format(df, 10_000).collect()}
     small = chat.chat_format(df, 64).collect()
     assert wide == {r["conv_id"] for r in small} == {3, 4}
-    assert len([r for r in small if r["conv_id"] == 3]) == 11
+    assert len(small) == 2
+    text = next(r["text"] for r in small if r["conv_id"] == 3)
+    assert text == "".join(f"{chat.OPEN}user\nt{i}{chat.CLOSE}\n" for i in range(701))
+    sparse = spark.createDataFrame([(1, 1000 * i, "user", f"t{i}") for i in range(300)], df.schema)
+    assert [(r["n_turns"], r["text"].count(chat.OPEN)) for r in chat.chat_format(sparse).collect()] == [(300, 300)]
     assert chat.chat_format(df.limit(0)).count() == 0
 
 
@@ -128,18 +133,67 @@ def test_quality_learns_and_handles_odd_rows(spark, docs):
     assert d.limit(0).select(quality.quality_score(d.limit(0), labels.limit(0)).alias("s")).count() == 0
 
 
-def test_toxicity_machine_learns_pairs():
-    """Two terms that are harmless alone and toxic together: no linear weights could tell."""
-    rng = np.random.default_rng(1)
-    terms, ends, y = [], [0], []
-    noise = rng.integers(10, 1 << 60, 500).astype(np.uint64)
-    for _ in range(3000):
-        a, b = rng.random() < 0.5, rng.random() < 0.5
-        own = np.concatenate([np.array([1] * a + [2] * b, np.uint64), rng.choice(noise, 5, replace=False)])
-        terms.append(np.unique(own)), ends.append(ends[-1] + len(terms[-1])), y.append(float(a == b))
-    m = toxicity.learn(np.concatenate(terms), np.array(ends), np.array(y), least=0.0)
-    s = m.score(np.concatenate(terms), np.array(ends))
-    assert np.mean((s >= 0.5) == (np.array(y) == 1)) > 0.9
+def test_toxicity_learns_pairs_with_the_settings_of_the_query(spark):
+    """Two words that are harmless alone and toxic together or apart: no linear weights could tell, and neither tells anything by itself."""
+    r = random.Random(1)
+    rows, labels = [], []
+    for i in range(3000):
+        a, b = r.random() < 0.5, r.random() < 0.5
+        words_ = ["left"] * a + ["right"] * b + r.sample(WORDS, 5)
+        r.shuffle(words_)
+        rows.append((i, " ".join(words_))), labels.append((i, 1, int(a == b)))
+    d, y = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {x["doc_id"]: x["s"] for x in d.select("doc_id", toxicity.toxicity_score(d, y).alias("s")).collect()}
+    held = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert np.mean([(got[i] >= 0.5) == (labels[i][2] == 1) for i in held]) > 0.9
+
+
+def test_classifier_queries_mark_what_is_held_out(spark, tmp_path):
+    rows = [(i, prose(30) + (" vileword" if i % 3 == 0 else "") if i % 2 else " ".join(w.upper() + "!!" for w in prose(30).split()) + (" vileword" if i % 3 == 0 else "")) for i in range(240)]
+    rows += [(300, None), (300, ""), (301, prose(20)), (301, prose(20)), (None, prose(10))]
+    top = str(tmp_path)
+    spark.createDataFrame([(i, t, "key", "score") for i, t in rows], "doc_id long, text string, key string, score string").write.parquet(f"{top}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, int(i % 3 == 0)) for i in range(240)] + [(301, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{top}/labels.parquet")
+    for query, modulus, rest, least in ((quality.op3_quality_vote, 3, 1, 0.5), (toxicity.op4_toxicity_fm, 4, 2, 0.3)):
+        got = query(spark, top).collect()
+        assert len(got) == len(rows) and {"doc_id", "held_out", "score", "predicted"} <= set(got[0].asDict())
+        for x in got:
+            if x["doc_id"] is not None:
+                assert x["held_out"] == (zlib.crc32(str(x["doc_id"]).encode()) % modulus == rest)
+            assert 0 <= x["score"] <= 1 and x["predicted"] == int(x["score"] >= least)
+        wrong = [x["doc_id"] for x in got if x["held_out"] and x["doc_id"] is not None and x["doc_id"] < 240 and x["predicted"] != (x["doc_id"] % 2 if modulus == 3 else int(x["doc_id"] % 3 == 0))]
+        assert len(wrong) <= 3
+
+
+def test_votes_match_brute_force():
+    """Scores against a plain evaluation of the definition: every cosine, the nearest sorted, votes weighted by similarity and by what the sample's balance hides."""
+    r = random.Random(2)
+    raw = [(prose(30, r) if i % 2 else prose(30, r).upper()).encode() for i in range(60)] + [b"", b"ab"]
+    at = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    counts = quality.term_counts(np.frombuffer(b"".join(raw), np.uint8), at)
+    y = np.array([i % 2 for i in range(40)], np.float32)
+    m = quality.Model(62, (counts > 0).sum(0), counts[:40], y, 0.8)
+    got = m.score(counts)
+    for i in range(62):
+        if not counts[i].sum():
+            assert got[i] == 0.8
+            continue
+        x = np.log1p(counts[i]) * m.idf
+        z = (x / np.linalg.norm(x)) @ m.to_latent
+        cos = m.latent @ (z / max(np.linalg.norm(z), 1e-12))
+        top = sorted(range(40), key=lambda j: -cos[j])[: quality.NEIGHBOURS]
+        w = {j: np.exp(quality.SHARP * (cos[j] - cos[top[0]])) * (0.8 / 0.5 if y[j] else 0.2 / 0.5) for j in top}
+        assert abs(got[i] - sum(w[j] * y[j] for j in top) / sum(w.values())) < 1e-3
+
+
+def test_term_counts_of_stretches_are_those_of_whole_texts():
+    raw = [t.encode() for t in ("", "ab", "the the cat", prose(50), "日本 語" * 9, "x")]
+    at = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    d = np.frombuffer(b"".join(raw), np.uint8)
+    whole = quality.term_counts(d, at)
+    assert whole[3, : quality.HALF].sum() == len(raw[3]) - 2 and whole[1].sum() == 1
+    for stretch in (1, 2, 3, 7, 50):
+        assert (quality.term_counts(d, at, stretch) == whole).all()
 
 
 def test_toxicity_scores_all_rows(spark, docs):
@@ -336,8 +390,10 @@ def test_line_dedup_matches_brute_force(spark, none):
             seen.add(w)
         exp[i] = t if not gone else "\n".join(x for k, x in enumerate(ls) if k not in gone)
     df = spark.createDataFrame([(i, t, 5, "x") for i, t in rows], "doc_id long, text string, n_chars long, hits string")
+    for c in ("__key", "__hits", "__kept", "key", "kept", "row", "a.b"):
+        df = df.withColumn(c, pa_lit())
     out = lines.line_dedup(df)
-    assert out.columns == df.columns
+    assert out.columns == df.columns and all(r["__key"] == r["kept"] == r["a.b"] == "clash" for r in out.collect())
     assert {r["doc_id"]: r["text"] for r in out.collect()} == exp
     assert lines.line_dedup(none).count() == 0
     same = spark.createDataFrame([(1, "a\nb\nc")] * 2, DOCS)
@@ -358,10 +414,57 @@ def test_leaks_within_the_budget_are_found(spark):
     clean = [(1000 + i, prose(200, r)) for i in range(40)]
     d = spark.createDataFrame(rows + clean + [(2000, None), (2001, ""), (2002, "has tiny# inside"), (2003, prose(30000, r) + items[3][1])], DOCS)
     b = spark.createDataFrame(items, "item_id long, text string")
-    got = {r["doc_id"]: {h["item_id"] for h in r["h"]} for r in d.select("doc_id", decontamination.contamination(b).alias("h")).collect()}
+    got = {r["doc_id"]: {h["item_id"] for h in r["hits"]} for r in decontamination.leaks(d, b).collect()}
     assert all(i in got[i] for i in range(30)) and got[2002] == {52} and 3 in got[2003]
-    assert all(not got[i] for i, _ in clean) and not got[2000] and not got[2001]
-    assert d.select(decontamination.contamination(b.limit(0)).alias("h")).filter("size(h) > 0").count() == 0
+    assert all(i not in got for i, _ in clean) and 2000 not in got and 2001 not in got
+    assert decontamination.leaks(d, b.limit(0)).count() == 0 and decontamination.leaks(d.limit(0), b).count() == 0
+    named = d.withColumn("hits", pa_lit()).withColumn("key", pa_lit()).unionByName(d.filter("doc_id = 2002").withColumn("hits", pa_lit()).withColumn("key", pa_lit()))
+    kept = decontamination.clean(named, b)
+    assert kept.columns == named.columns and {r["doc_id"] for r in kept.collect()} == {i for i, _ in clean} | {2000, 2001}
+
+
+def test_leaks_match_brute_force_over_several_blocks(spark, monkeypatch):
+    """Whole texts against every item by the full edit-distance table, with a benchmark of several blocks; repeated rows are one document."""
+    r = random.Random(11)
+    items = [(i, prose(r.randint(4, 8), r)) for i in range(14)]
+    rows = []
+    for i in range(40):
+        s = list(items[i % 14][1])
+        for _ in range(r.randint(0, 5)):
+            k = r.randrange(len(s))
+            s[k : k + 1] = [r.choice("xyz")] if r.random() < 0.6 else []
+        rows.append((i, (prose(r.randint(0, 12), r) + " " + "".join(s[:200]) + " " + prose(r.randint(0, 12), r))[:400]))
+    rows += [rows[0], (100, None), (101, prose(3, r))]
+
+    def fold(t):
+        return bytes(x if x not in range(9, 14) else 32 for x in (t or "").encode().lower())
+
+    def least(item, text):
+        row = np.zeros(len(text) + 1, int)
+        for i, x in enumerate(item, 1):
+            new = np.empty_like(row)
+            new[0] = i
+            new[1:] = np.minimum(row[:-1] + (np.frombuffer(text, np.uint8) != x), row[1:] + 1)
+            row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+        return int(row.min())
+
+    want = {}
+    for i, t in rows:
+        hits = {(k, least(fold(x), fold(t))) for k, x in items if least(fold(x), fold(t)) <= decontamination.budget(len(fold(x)))}
+        if hits:
+            want[i] = hits
+    monkeypatch.setattr(decontamination, "blocks", lambda b, size=120, real=decontamination.blocks: real(b, size))
+    b = spark.createDataFrame(items, "item_id long, text string")
+    assert len(list(decontamination.blocks(b))) > 3
+    df = spark.createDataFrame(rows, DOCS)
+    found = decontamination.leaks(df, b).collect()
+    got = {}
+    for x in found:
+        for h in x["hits"]:
+            e = got.setdefault(x["doc_id"], {})
+            e[h["item_id"]] = min(h["edits"], e.get(h["item_id"], 99))
+    assert len(found) == len({x["doc_id"] for x in found}) and {i: set(h.items()) for i, h in got.items()} == want
+    assert {x["doc_id"] for x in decontamination.clean(df, b).collect()} == {i for i, _ in rows} - set(want)
 
 
 def test_banded_alignment_gives_the_edit_distance():

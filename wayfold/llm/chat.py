@@ -4,11 +4,12 @@ A conversation that was logged again after each turn leaves snapshots that are p
 rolled from turn to turn: two 60-bit lanes of SHA-256 over (position, role, text), summed. A conversation whose last prefix hash is
 an inner prefix hash of another is a snapshot, and an anti-join takes it away; of equal conversations the least conv_id stays.
 
-Turns are held in blocks of ``BLOCK`` turn numbers, so that one conversation with a large share of all turns is spread over tasks:
-only its blocks, not its turns, meet in one window.
+Turns are held in blocks of ``BLOCK`` turn numbers, so that one conversation with a large share of all turns is hashed and collapsed by many tasks:
+only its blocks, not its turns, meet in one window. Blocks change no result: the blocks of a conversation that is kept are joined to one text.
 
 Defined cases: null role or text counts as empty; turns are ordered by turn (nulls first), role, text; repeated rows count once; a null
-conv_id is one conversation; a conversation of several blocks is rendered as one row a block, in the order of ``piece``.
+conv_id is one conversation; every kept conversation is one row, whatever its number of turns and the gaps in their numbers (``piece`` is 0); an empty table gives no rows;
+columns besides conv_id, turn, role and text are left out.
 """
 
 from __future__ import annotations
@@ -59,18 +60,23 @@ def maximal(hashes: DataFrame) -> DataFrame:
 
 
 def render(held: DataFrame, kept: DataFrame) -> DataFrame:
-    """Each kept conversation in chat markup; a marker within a text is broken up by a space."""
+    """Each kept conversation in chat markup, its blocks joined in order; a marker within a text is broken up by a space."""
     safe = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))
     text = F.array_join(F.transform("turns", lambda t: F.concat(F.lit(OPEN), safe(t["role"]), F.lit("\n"), safe(t["text"]), F.lit(CLOSE + "\n"))), "")
-    order = Window.partitionBy("conv_id").orderBy(F.col("blk").asc_nulls_first())
-    rows = held.join(kept.withColumnRenamed("conv_id", "__id"), F.col("conv_id").eqNullSafe(F.col("__id")))
-    return rows.select("conv_id", (F.row_number().over(order) - 1).cast("long").alias("piece"), "n_turns", "n_copies", text.alias("text"))
+    rows = held.join(kept.withColumnRenamed("conv_id", "kept_id"), F.col("conv_id").eqNullSafe(F.col("kept_id"))).select("conv_id", "n_turns", "n_copies", "blk", text.alias("text"))
+    first = F.coalesce(F.max(F.when(F.col("blk").isNull(), F.col("text"))), F.lit(""))
+    rest = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("blk").isNotNull(), F.struct("blk", "text")))), lambda b: b["text"]), "")
+    return rows.groupBy("conv_id", "n_turns", "n_copies").agg(F.concat(first, rest).alias("text")).select("conv_id", F.lit(0).cast("long").alias("piece"), "n_turns", "n_copies", "text")
 
 
 def chat_format(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     """conv_id, piece, n_turns, n_copies, text of every maximal conversation."""
+    spark = turns.sparkSession
+    begun = common.mark(spark)
     held = common.stored(blocks(turns.select("conv_id", "turn", "role", "text"), block), "turn-blocks")
-    return render(held, maximal(common.stored(prefix_hashes(held), "prefix-hashes")))
+    kept = common.stored(maximal(common.stored(prefix_hashes(held), "prefix-hashes")), "maximal-conversations")
+    common.release(spark, begun, (held, kept))
+    return render(held, kept)
 
 
 def op1_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:

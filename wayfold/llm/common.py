@@ -104,10 +104,10 @@ def unpacked(rows: DataFrame) -> DataFrame:
 SMALL = 200_000
 
 
-def joined(rows: DataFrame, keyed: DataFrame, key: str, small: int = SMALL) -> DataFrame:
+def joined(rows: DataFrame, keyed: DataFrame, key: str, how: str = "inner", small: int = SMALL) -> DataFrame:
     """``rows`` with the columns of ``keyed`` (a stored table, one short row a key). Up to ``small`` rows are broadcast, so that a hot key's rows stay where they are; a larger table
     is joined by two plain exchanges, which adaptive execution splits where a key is hot."""
-    return rows.join(F.broadcast(keyed) if keyed.count() <= small else keyed, key)
+    return rows.join(F.broadcast(keyed) if keyed.count() <= small else keyed, key, how)
 
 
 def plain(array: pa.Array | pa.ChunkedArray) -> pa.Array:

@@ -5,10 +5,12 @@ least n - q + 1 - q e of its q-grams with it, all on diagonals (place in the doc
 shared q-grams are counted in bands of 2 (2 e + 1) diagonals, each half over the next; bands that reach the bound are retained, and a banded
 alignment of the item with that region verifies that it takes e edits at most.
 
-The items are broadcast in blocks of ``BLOCK`` bytes of text, whose index has a fixed bound; a larger benchmark takes a pass for each block.
+The items are broadcast in blocks of ``BLOCK`` bytes of text, whose index has a fixed bound; a larger benchmark takes a pass over the texts for each block, one after the other, so that
+one block is in memory at a time.
 
 Defined cases: null text is empty; null or empty items match nothing; items of fewer than q bytes are looked for as they are; items alike are
-found under each of their ids; a text of any length is searched whole, in overlapping stretches.
+found under each of their ids; a text of any length is searched whole, in overlapping stretches; rows alike in doc_id and text are one document in ``leaks``, and stay or go together in
+``clean``; without documents or items nothing is found.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -190,33 +192,63 @@ def blocks(benchmark: DataFrame, size: int = BLOCK) -> Iterator[list[tuple[int,
         yield block
 
 
-def _searcher(held):
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())]))
+KIND = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())]))
 
-    @F.arrow_udf(HITS)
-    def search(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for t in texts:
-            yield pa.array([[dict(zip(("item_id", "start", "end", "edits"), h, strict=True)) for h in x] for x in hits(held.value, t)], kind)
 
-    return search
+def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+    """(doc_id, key, hits) of each document in which an item occurs: hits are (item_id, start, end, edits). A text is searched once for each block of items, and only hits leave the task."""
+    spark, passes = docs.sparkSession, []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.row_key().alias("key"), common.text_or_empty().alias("text"))
 
+    def searched(held) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = hits(held.value, batch.column(2))
+                some = pa.array([i for i, x in enumerate(found) if x], pa.int64())
+                if len(some):
+                    each = [[dict(zip(("item_id", "start", "end", "edits"), h, strict=True)) for h in x] for x in found if x]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(1).take(some), pa.array(each, KIND)], ["doc_id", "key", "hits"])
 
-def contamination(benchmark: DataFrame, column: str = "text", rate: float = RATE) -> Column:
-    """The column of occurrences of items in ``column``: array of (item_id, start, end, edits)."""
-    context = benchmark.sparkSession.sparkContext
-    parts = [_searcher(context.broadcast(Index(block, rate)))(F.coalesce(F.col(column), F.lit(""))) for block in blocks(benchmark)]
-    return F.concat(*parts) if parts else F.array().cast(HITS)
+        return rows.mapInArrow(run, f"doc_id long, key long, hits {HITS}")
 
+    for n, block in enumerate(blocks(benchmark)):
+        held = spark.sparkContext.broadcast(Index(block, rate))
+        passes.append(common.stored(searched(held).groupBy("doc_id", "key").agg(F.first("hits").alias("hits")).withColumn("pass", F.lit(n)), "leaks"))
+        held.destroy()
+    if not passes:
+        return spark.createDataFrame([], f"doc_id long, key long, hits {HITS}")
+    if len(passes) == 1:
+        return passes[0].drop("pass")
+    every = passes[0]
+    for p in passes[1:]:
+        every = every.unionByName(p)
+    return every.groupBy("doc_id", "key").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
 
-def contaminated(benchmark: DataFrame, column: str = "text", rate: float = RATE) -> Column:
-    """Whether any item occurs in ``column``."""
-    return F.size(contamination(benchmark, column, rate)) > 0
+
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+    """``docs`` without the documents in which an item occurs: each pass drops those of its block of items, and no column is touched."""
+    def searched(docs: DataFrame, held) -> DataFrame:
+        place = docs.columns.index("text")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([not x for x in hits(held.value, batch.column(place))], pa.bool_()))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    waiting = None
+    for block in blocks(benchmark):
+        if waiting is not None:
+            docs = common.stored(docs, "clean-documents")
+            waiting.destroy()
+        waiting = docs.sparkSession.sparkContext.broadcast(Index(block, rate))
+        docs = searched(docs, waiting)
+    return docs
 
 
 def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document in which a benchmark item occurs: the items, and the least edits of any occurrence."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = docs.select("doc_id", contamination(spark.read.parquet(f"{sf_dir}/benchmark.parquet")).alias("hits")).filter(F.size("hits") > 0)
+    found = leaks(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(
         "doc_id", F.array_sort(F.array_distinct(F.col("hits.item_id"))).alias("item_ids"), F.size("hits").cast("long").alias("n_hits"),
         F.array_min(F.col("hits.edits")).alias("least_edits"), F.array_min(F.col("hits.start")).alias("first_start"),

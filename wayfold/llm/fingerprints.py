@@ -5,11 +5,13 @@ sum of the vectors, lane by lane modulo a power of two. So it doesn't depend on
 or taken out by adding or subtracting its vector (``insert``, ``delete``).
 
 The vector has two parts. ``EQUAL`` lanes modulo 2**32 are uniform words of a SHA-256-keyed hash of the whole paragraph: equal
-fingerprints mean equal multisets. ``LIKE`` lanes modulo 2**20 sum a sign for each pair of adjacent words in the paragraph, so that the difference
-of two fingerprints estimates how many word pairs the texts don't share: the likeness is 1 - |a - b|^2 / (|a|^2 + |b|^2), within 0 and 1.
+fingerprints mean equal multisets. ``LIKE`` lanes modulo 2**20 sum a sign for each piece of the paragraph together with the piece after it, so that the difference
+of two fingerprints estimates how many such pairs the texts don't share: the likeness is 1 - |a - b|^2 / (|a|^2 + |b|^2), within 0 and 1. Pieces are the words of a paragraph, those of
+more than ``PIECE`` code points cut; so a text without blanks has pieces as any other.
 
 Defined cases: null text counts as empty; a null doc_id comes first (as the least number); of rows that share a doc_id each gets its fingerprint, and the one
-with the least opening stands for "the next document" of the id before.
+with the least opening stands for "the next document" of the id before; repeated rows get equal fingerprints, each its own row; an empty table gives no rows, and a lone document is its own
+successor; a text of any length is taken whole, its pieces summed in chunks; columns besides doc_id and text aren't read.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ SUMS = LIKE // 4
 #: Four 16-bit fields of a long; a chunk of elements is short enough not to carry from one to the next.
 FIELDS, CHUNK = 0x0001000100010001, 32768
 MAX_BUCKETS = 256
+PIECE = 8
 #: Stands for a null doc_id where rows are joined.
 NO_ID = -(1 << 63)
 
@@ -82,29 +85,49 @@ def _equal_lanes(text: Column) -> Column:
 
 
 def _pairs(text: Column) -> Column:
-    """A hash for each word of each paragraph with the word after it (the last with none)."""
-    words = lambda p: F.split(p, " ")
-    return F.flatten(F.transform(F.split(text, "\n", -1), lambda p: F.zip_with(words(p), F.slice(words(p), F.lit(2), F.size(words(p))), lambda a, b: F.xxhash64(a, b))))
+    """A hash for each piece of each paragraph with the piece after it (the last with none)."""
+    pieces = F.transform(F.split(text, "\n", -1), lambda p: F.regexp_extract_all(p, F.lit("[^ ]{1,%d}" % PIECE), F.lit(0)))
+    return F.flatten(F.transform(pieces, lambda q: F.zip_with(q, F.slice(q, F.lit(2), F.size(q)), lambda a, b: F.xxhash64(a, b))))
+
+
+def _doubled(lanes: Column) -> list[Column]:
+    """Lanes of 32 bits, two to a long."""
+    return [F.shiftleft(F.element_at(lanes, 2 * i + 1), 32).bitwiseOR(F.element_at(lanes, 2 * i + 2)) for i in range(EQUAL // 2)]
+
+
+def _halves(name: str) -> Column:
+    return F.flatten(F.array(*[F.array(F.shiftrightunsigned(f"{name}{i}", 32), F.col(f"{name}{i}").bitwiseAND(F.lit(WORD - 1))) for i in range(EQUAL // 2)]))
 
 
 def fingerprints(docs: DataFrame, texts: list[str], keep: list[str]) -> DataFrame:
-    """``keep`` columns, which tell rows apart, and for each of ``texts`` its fingerprint, named ``fp_<text>`` (binary).
+    """``keep`` columns (longs; the first tells rows apart) and for each of ``texts`` its fingerprint, named ``fp_<text>`` (binary).
 
     The signs of an element are the bits of its hash. They are summed four to a long, over chunks of elements that can't overflow a field,
-    by a plain sum with partial aggregation: after it a text is one row, and nothing of its length is shuffled. Only texts of several chunks are summed again.
+    by a plain sum with partial aggregation, keyed by the row alone; what else belongs to the row comes with its first element. After it a text is one row, and nothing of its length is
+    shuffled. Only texts of several chunks are summed again.
     """
-    eq, n = [F.col(f"__eq_{t}") for t in texts], [F.col(f"__n_{t}") for t in texts]
-    rows = docs.select(*keep, *[F.unhex(_hex(_equal_lanes(F.col(t)), WORD_DIGITS)).alias(f"__eq_{t}") for t in texts], *[_pairs(F.col(t)).alias(f"__p_{t}") for t in texts])
-    rows = rows.select(*keep, *eq, *[F.size(f"__p_{t}").cast("bigint").alias(f"__n_{t}") for t in texts], F.posexplode(F.arrays_zip(*[F.col(f"__p_{t}") for t in texts])).alias("__pos", "__e"))
-    rows = rows.select(*keep, *eq, *n, F.floor(F.col("__pos") / CHUNK).cast("int").alias("__chunk"), *[F.coalesce(F.col(f"__e.__p_{t}"), F.lit(0)).alias(f"__h_{t}") for t in texts])
-    packed = rows.groupBy(*keep, *eq, *n, "__chunk").agg(*[F.sum(F.shiftrightunsigned(f"__h_{t}", k).bitwiseAND(F.lit(FIELDS))).alias(f"__s_{t}_{k}") for t in texts for k in range(SUMS)])
-    field = lambda t, j: F.shiftrightunsigned(f"__s_{t}_{j % SUMS}", 16 * (j // SUMS)).bitwiseAND(F.lit(0xFFFF))
-    chunks = F.ceil(F.greatest(*n, F.lit(0)) / CHUNK)
-    one = packed.filter(chunks <= 1).select(*keep, *eq, *n, *[F.array(*[field(t, j) for j in range(LIKE)]).alias(f"__o_{t}") for t in texts])
-    several = packed.filter(chunks > 1).groupBy(*keep, *eq, *n).agg(*[F.sum(field(t, j)).alias(f"__o_{t}_{j}") for t in texts for j in range(LIKE)])
-    several = several.select(*keep, *eq, *n, *[F.array(*[F.col(f"__o_{t}_{j}") for j in range(LIKE)]).alias(f"__o_{t}") for t in texts])
-    signs = lambda t: F.transform(f"__o_{t}", lambda x: F.pmod(2 * x - F.col(f"__n_{t}"), F.lit(SIGN)))
-    return one.unionByName(several).select(*keep, *[F.concat(F.col(f"__eq_{t}"), F.unhex(_hex(signs(t), SIGN_DIGITS))).alias(f"fp_{t}") for t in texts])
+    row, *more = keep
+    own = [*more, *[f"eq_{t}_{i}" for t in texts for i in range(EQUAL // 2)], *[f"n_{t}" for t in texts]]
+    rows = docs.select(*keep, *[_equal_lanes(F.col(t)).alias(f"eq_{t}") for t in texts], *[_pairs(F.col(t)).alias(f"p_{t}") for t in texts])
+    rows = rows.select(
+        *keep, *[c.alias(f"eq_{t}_{i}") for t in texts for i, c in enumerate(_doubled(F.col(f"eq_{t}")))], *[F.size(f"p_{t}").cast("bigint").alias(f"n_{t}") for t in texts],
+        F.posexplode_outer(F.arrays_zip(*[F.col(f"p_{t}") for t in texts])).alias("pos", "e"),
+    )
+    begins = F.coalesce(F.col("pos"), F.lit(0)) == 0
+    rows = rows.select(
+        row, F.coalesce(F.floor(F.col("pos") / CHUNK), F.lit(0)).cast("int").alias("chunk"), *[F.when(begins, F.col(c)).alias(c) for c in own], *[F.coalesce(F.col(f"e.p_{t}"), F.lit(0)).alias(f"h_{t}") for t in texts]
+    )
+    sums = [F.sum(F.shiftrightunsigned(f"h_{t}", k).bitwiseAND(F.lit(FIELDS))).alias(f"s_{t}_{k}") for t in texts for k in range(SUMS)]
+    packed = rows.groupBy(row, "chunk").agg(*[F.max(c).alias(c) for c in own], *sums)
+    field = lambda t, j: F.shiftrightunsigned(f"s_{t}_{j % SUMS}", 16 * (j // SUMS)).bitwiseAND(F.lit(0xFFFF))
+    # a text of one chunk is done; of several, those after the first know no size
+    n = F.greatest(F.lit(0), *[F.coalesce(F.col(f"n_{t}"), F.lit(CHUNK + 1)) for t in texts])
+    one = packed.filter(n <= CHUNK).select(row, *own, *[F.array(*[field(t, j) for j in range(LIKE)]).alias(f"o_{t}") for t in texts])
+    several = packed.filter(n > CHUNK).groupBy(row).agg(*[F.max(c).alias(c) for c in own], *[F.sum(field(t, j)).alias(f"o_{t}_{j}") for t in texts for j in range(LIKE)])
+    several = several.select(row, *own, *[F.array(*[F.col(f"o_{t}_{j}") for j in range(LIKE)]).alias(f"o_{t}") for t in texts])
+    signs = lambda t: F.transform(f"o_{t}", lambda x: F.pmod(2 * x - F.col(f"n_{t}"), F.lit(SIGN)))
+    lanes = lambda t: F.concat(_hex(_halves(f"eq_{t}_"), WORD_DIGITS), _hex(signs(t), SIGN_DIGITS))
+    return one.unionByName(several).select(*keep, *[F.unhex(lanes(t)).alias(f"fp_{t}") for t in texts])
 
 
 def successors(keys: DataFrame) -> DataFrame:
@@ -141,13 +164,17 @@ def with_edits(docs: DataFrame) -> DataFrame:
 
 def op2_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_edits(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    rows = rows.select("id", "next_id", "text", "edited", F.length("text").cast("long").alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("sha"), F.monotonically_increasing_id().alias("row"))
-    done = common.stored(fingerprints(rows, ["text", "edited"], ["row", "id", "next_id", "n_chars", "sha"]), "fingerprints")
-    after = done.groupBy(F.col("id").alias("__id")).agg(F.min("fp_text").alias("fp_next"))
-    both = done.join(after, F.col("next_id") == F.col("__id"))
+    sha = F.sha2("edited", 256)
+    quarter = lambda k: F.shiftleft(F.conv(F.substring(F.col("sha"), 16 * k + 1, 8), 16, 10).cast("long"), 32).bitwiseOR(F.conv(F.substring(F.col("sha"), 16 * k + 9, 8), 16, 10).cast("long"))
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "id", "next_id", F.length("text").cast("long").alias("n_chars"), sha.alias("sha"), "text", "edited")
+    rows = rows.select("row", "id", "next_id", "n_chars", *[quarter(k).alias(f"sha{k}") for k in range(4)], "text", "edited")
+    done = common.stored(fingerprints(rows, ["text", "edited"], ["row", "id", "next_id", "n_chars", *[f"sha{k}" for k in range(4)]]), "fingerprints")
+    after = done.groupBy(F.col("id").alias("after_id")).agg(F.min("fp_text").alias("fp_next"))
+    both = done.join(after, F.col("next_id") == F.col("after_id"))
     own, edited, next_ = (F.lower(F.hex(f"fp_{x}")) for x in ("text", "edited", "next"))
-    both = both.select("id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), own.alias("fingerprint"), edited.alias("edited_fingerprint"), next_.alias("__next"))
+    digest = F.concat(*[F.lpad(F.lower(F.hex(f"sha{k}")), 16, "0") for k in range(4)])
+    both = both.select("id", "n_chars", digest.alias("edited_sha256"), own.alias("fingerprint"), edited.alias("edited_fingerprint"), next_.alias("next_fingerprint"))
     return both.select(
         F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("__next")).alias("near_next"),
+        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )

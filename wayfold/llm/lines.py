@@ -5,7 +5,7 @@ occurrence, and the lines that later occurrences cover are removed. The first oc
 
 Defined cases: a text of fewer than three lines is left alone; null text stays null; rows that share a doc_id count as documents
 ordered by a hash of their text, and rows alike in doc_id and text get one decision, so neither is the other's later occurrence;
-null doc_ids come first.
+null doc_ids come first; an empty table gives no rows; a text of any length is taken whole; columns of any name are carried through.
 """
 
 from __future__ import annotations
@@ -21,25 +21,25 @@ KEPT = "text string, n_lines int, n_removed int"
 
 
 def windows(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """(doc_id, __key, i, h): a row for each window of ``span`` lines."""
-    lines = docs.select("doc_id", common.row_key().alias("__key"), F.split(common.text_or_empty(), "\n", -1).alias("lines")).filter(F.size("lines") >= span)
+    """(doc_id, key, i, h): a row for each window of ``span`` lines."""
+    lines = docs.select("doc_id", common.row_key().alias("key"), F.split(common.text_or_empty(), "\n", -1).alias("lines")).filter(F.size("lines") >= span)
     # lines hold no line feed, so the joined window is unambiguous
     hashed = F.transform(F.sequence(F.lit(0), F.size("lines") - span), lambda i: F.struct(i.alias("i"), F.unhex(F.md5(F.array_join(F.slice("lines", i + 1, span), "\n"))).alias("h")))
-    return lines.select("doc_id", "__key", F.inline(hashed))
+    return lines.select("doc_id", "key", F.inline(hashed))
 
 
 def later(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """(doc_id, __key, hits): the first lines of windows that are later occurrences, for each document that has any.
+    """(doc_id, key, hits): the first lines of windows that are later occurrences, for each document that has any.
 
     Windows are counted with partial aggregation, so a window that a third of all lines form arrives as one row a task. The
     repeated ones are stored; the join that finds their later occurrences then reads two plain exchanges, which adaptive
     execution splits where one window is hot.
     """
     every = windows(docs, span)
-    first = every.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "__key", "i")).alias("first")).filter("n > 1").select("h", "first")
+    first = every.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "i")).alias("first")).filter("n > 1").select("h", "first")
     first = common.stored(first, "repeated-windows")
-    hits = every.join(first, "h").filter(~F.struct("doc_id", "__key", "i").eqNullSafe(F.col("first")))
-    return hits.groupBy("doc_id", "__key").agg(F.collect_set("i").alias("hits"))
+    hits = every.join(first, "h").filter(~F.struct("doc_id", "key", "i").eqNullSafe(F.col("first")))
+    return hits.groupBy("doc_id", "key").agg(F.collect_set("i").alias("hits"))
 
 
 def _keeper(span: int):
@@ -62,25 +62,24 @@ def _keeper(span: int):
 
 
 def dedup(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """``docs`` with ``__kept`` (text, n_lines, n_removed): the text without lines that later occurrences cover."""
-    hits = later(docs, span)
-    left = docs.withColumn("__key", common.row_key())
-    both = left.join(hits.select(F.col("doc_id").alias("__id"), F.col("__key").alias("__k"), F.col("hits").alias("__hits")), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")), "left")
-    cut = both.withColumn("__cut", _keeper(span)(F.when(F.col("__hits").isNotNull(), F.col("text")), F.col("__hits")))
-    whole = F.struct(F.col("text").alias("text"), F.size(F.split(common.text_or_empty(), "\n", -1)).alias("n_lines"), F.lit(0).alias("n_removed"))
-    return cut.withColumn("__kept", F.when(F.col("__hits").isNull(), whole).otherwise(F.col("__cut"))).select(*docs.columns, "__kept")
+    """``row`` (all columns of ``docs``) and ``kept`` (text, n_lines, n_removed): the text without lines that later occurrences cover."""
+    hits = later(docs, span).select(F.col("doc_id").alias("hit_id"), F.col("key").alias("hit_key"), "hits")
+    left = docs.select(common.packed(docs), F.col("doc_id").alias("id"), common.row_key().alias("key"), F.col("text").alias("own"))
+    both = left.join(hits, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key")), "left")
+    cut = _keeper(span)(F.when(F.col("hits").isNotNull(), F.col("own")), F.col("hits"))
+    whole = F.struct(F.col("own").alias("text"), F.size(F.split(common.text_or_empty("own"), "\n", -1)).alias("n_lines"), F.lit(0).alias("n_removed"))
+    return both.withColumn("cut", cut).select("row", F.when(F.col("hits").isNull(), whole).otherwise(F.col("cut")).alias("kept"))
 
 
 def line_dedup(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """``docs``, same columns and rows, with the text (and n_chars, where there is one) of what is kept."""
-    out = dedup(docs, span)
-    new = {"text": F.col("__kept.text")} | ({"n_chars": F.length("__kept.text").cast("long")} if "n_chars" in docs.columns else {})
-    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    new = {"text": F.col("kept.text")} | ({"n_chars": F.length("kept.text").cast("long")} if "n_chars" in docs.columns else {})
+    return dedup(docs, span).select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return out.select("doc_id", F.col("__kept.n_lines").cast("long").alias("n_lines"), F.col("__kept.n_removed").cast("long").alias("n_removed"), F.coalesce("__kept.text", F.lit("")).alias("text"))
+    return out.select("row.doc_id", F.col("kept.n_lines").cast("long").alias("n_lines"), F.col("kept.n_removed").cast("long").alias("n_removed"), F.coalesce("kept.text", F.lit("")).alias("text"))
 
 
 OP7_SQL = """

@@ -296,8 +296,10 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     of = with_roots(nodes)
     low = F.min(F.when(F.col("low.doc_id").isNotNull(), F.col("low"))).alias("low")
     of = of.select("digest", "root", F.struct(F.col("least_id").alias("doc_id"), F.col("low.key").alias("key")).alias("low"))
-    names = of.groupBy("root").agg(low, F.min("low").alias("any")).select("root", F.coalesce("low", "any").alias("low"))
-    named = common.stored(of.select("digest", "root").join(names, "root").select("digest", F.col("low.doc_id").alias("class_id"), F.col("low.key").alias("class_key")), "classes")
+    # a text in no class with another names itself
+    names = of.groupBy("root").agg(F.count("*").alias("n"), low, F.min("low").alias("any")).filter("n > 1").select("root", F.coalesce("low", "any").alias("name"))
+    named = common.joined(of, common.stored(names, "names"), "root", "left").withColumn("name", F.coalesce("name", "low"))
+    named = common.stored(named.select("digest", F.col("name.doc_id").alias("class_id"), F.col("name.key").alias("class_key")), "classes")
     common.release(spark, begun, (rows, named))
     return rows.select("doc_id", "key", "digest").join(named, "digest").drop("digest")
 

@@ -3,9 +3,12 @@
 Terms are hashed byte trigrams, 4-grams of byte classes (case, digit, space, mark) and ranges of the share of repeated words, counted over whole texts. Document frequencies
 come from all documents. The labelled sample's tf-idf vectors are reduced by a randomised singular value decomposition; its latent
 vectors and labels are broadcast (``SAMPLE`` x ``RANK`` floats, whatever the corpus). Every document's exact cosine with every labelled vector is
-computed in blocks, and its ``NEIGHBOURS`` nearest vote with weights that grow with similarity, corrected for the sample's share of each label.
+computed in blocks, and its ``NEIGHBOURS`` nearest vote with weights that grow with similarity. The sample is half of each label where there are enough; a neighbour's vote is weighted by its
+label's share of all learning labels over its share of the sample, which corrects for that.
 
-Defined cases: a null or very short text has no terms and gets the share of label 1; without labelled documents every score is 0.5.
+Defined cases: a null or very short text has no terms and gets the share of label 1 among the learning labels; without labelled documents every score is 0.5; of rows that share a doc_id each is
+scored, and all that are labelled teach; among neighbours equally near those first in the order of doc_id and counts vote; no documents give no scores; a text of any length is counted whole, in
+stretches; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -18,11 +21,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .labels import remainder, sampled
+from .labels import learning, remainder, sampled
 from .words import word_hashes
 
 SAMPLE, RANK, NEIGHBOURS, SHARP = 4096, 64, 7, 30.0
-HALF = 2048
+HALF, STRETCH = 2048, 4 << 20
 #: After the two kinds of grams: a term for each range of the share of words that repeat the one before, as heavy as the text is long.
 SHARES = (0.0, 0.02, 0.1, 0.3)
 DIMS = 2 * HALF + len(SHARES)
@@ -34,22 +37,27 @@ for _i, _c in enumerate(b".,!?#$%&*|-"):
     _CLASS[_c] = 8 + min(_i, 7)
 
 
-def term_counts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A row of ``DIMS`` term counts for each text (bytes at[i] to at[i + 1])."""
+def term_counts(data: np.ndarray, at: np.ndarray, stretch: int = STRETCH) -> np.ndarray:
+    """A row of ``DIMS`` term counts for each text (bytes at[i] to at[i + 1]); bytes are looked through in stretches, so a long text takes no more room than they do."""
     docs = len(at) - 1
-    d = data[at[0] : at[-1]]
     out = np.zeros((docs, DIMS), np.float32)
-    row = np.repeat(np.arange(docs), np.diff(at))
-    for k, codes, low in ((3, d.astype(np.uint32), 0), (4, _CLASS[d], HALF)):
-        if len(d) < k:
-            continue
-        n = len(d) - k + 1
-        code = codes[:n].copy()
-        for j in range(1, k):
-            code = (code << np.uint32(8 if k == 3 else 4)) | codes[j : n + j]
-        code = (code * np.uint32(2654435761)) >> np.uint32(21)
-        same = row[:n] == row[k - 1 :]
-        out[:, low : low + HALF] = np.bincount((row[:n] * HALF + code)[same], minlength=docs * HALF).reshape(docs, HALF)
+    for a in range(int(at[0]), int(at[-1]), stretch):
+        z = min(int(at[-1]), a + stretch)
+        for k, low in ((3, 0), (4, HALF)):
+            d = data[a : min(int(at[-1]), z + k - 1)]
+            n = min(z - a, len(d) - k + 1)
+            if n <= 0:
+                continue
+            codes = d.astype(np.uint32) if k == 3 else _CLASS[d]
+            code = codes[:n].copy()
+            for j in range(1, k):
+                code = (code << np.uint32(8 if k == 3 else 4)) | codes[j : n + j]
+            code = (code * np.uint32(2654435761)) >> np.uint32(21)
+            first, last = np.searchsorted(at, [a, a + len(d) - 1], side="right") - 1
+            row = np.repeat(np.arange(last - first + 1), np.diff(np.clip(at[first : last + 2], a, a + len(d))))
+            same = row[:n] == row[k - 1 : n + k - 1]
+            some = last - first + 1
+            out[first : last + 1, low : low + HALF] += np.bincount((row[:n] * HALF + code)[same], minlength=some * HALF).reshape(some, HALF)
     words, ends = word_hashes(data, at)
     of = np.repeat(np.arange(docs), np.diff(ends))
     again = (words[1:] == words[:-1]) & (of[1:] == of[:-1])
@@ -93,7 +101,7 @@ def _statistics(docs: DataFrame, chosen: DataFrame) -> tuple[int, np.ndarray, np
                 for k in range(i, j):
                     if names[k] in held.value:
                         ids.append(names[k])
-                        found.append(np.minimum(counts[k - i], 65535).astype("<u2").tobytes())
+                        found.append(counts[k - i].astype("<u4").tobytes())
             if len(ids) >= 256:
                 yield out(0, None)
                 ids.clear(), found.clear()
@@ -105,18 +113,20 @@ def _statistics(docs: DataFrame, chosen: DataFrame) -> tuple[int, np.ndarray, np
     df = np.zeros(DIMS, np.int64)
     for r in rows.filter("df IS NOT NULL").select(F.posexplode("df").alias("term", "n")).groupBy("term").agg(F.sum("n").alias("n")).collect():  # DIMS rows
         df[r["term"]] = r["n"]
-    seen = {r["doc_id"]: np.frombuffer(r["counts"], "<u2") for r in rows.filter("counts IS NOT NULL").select("doc_id", "counts").collect()}  # the sample
-    order = sorted(seen)
-    return total, df, np.array([seen[i] for i in order], np.float32).reshape(-1, DIMS), np.array([label[i] for i in order], np.float32)
+    seen = sorted((r["doc_id"], bytes(r["counts"])) for r in rows.filter("counts IS NOT NULL").select("doc_id", "counts").collect())  # the sample
+    return total, df, np.array([np.frombuffer(c, "<u4") for _, c in seen], np.float32).reshape(-1, DIMS), np.array([label[i] for i, _ in seen], np.float32)
 
 
 class Model:
     """Latent vectors of the sample, their labels, and what turns counts into latent vectors."""
 
-    def __init__(self, docs: int, df: np.ndarray, counts: np.ndarray, y: np.ndarray, rank: int = RANK):
+    def __init__(self, docs: int, df: np.ndarray, counts: np.ndarray, y: np.ndarray, share: float | None = None, rank: int = RANK):
         self.idf = np.log((1 + docs) / (1 + df)).astype(np.float32) + np.float32(1)
         self.y = y
-        self.share = float(y.mean()) if len(y) else 0.5
+        own = float(y.mean()) if len(y) else 0.5
+        self.share = own if share is None else share
+        # what a vote for label 0 and for label 1 weighs
+        self.vote = np.array([(1 - self.share) / (1 - own), self.share / own]) if 0 < own < 1 else np.ones(2)
         x = self.weigh(counts)
         rng = np.random.default_rng(7)
         k = min(rank, *x.shape) if len(x) else 0
@@ -149,12 +159,18 @@ class Model:
         sim = np.take_along_axis(near, top, 1)
         weight = np.exp(sharp * (sim - sim.max(1, keepdims=True))) + 1e-9
         y = self.y[top]
+        weight = weight * self.vote[y.astype(np.int64)]
         vote = (weight * y).sum(1) / weight.sum(1)
         return np.where(empty, self.share, vote).astype(np.float64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    return Model(*_statistics(docs, sampled(labels, "quality", MODULUS, HELD_OUT, sample)))
+    begun = common.mark(docs.sparkSession)
+    share = learning(labels, "quality", MODULUS, HELD_OUT).agg(F.avg("y")).first()[0]
+    chosen = common.stored(sampled(labels, "quality", MODULUS, HELD_OUT, sample), "quality-sample")
+    model = Model(*_statistics(docs, chosen), share)
+    common.release(docs.sparkSession, begun)
+    return model
 
 
 def scorer(spark: SparkSession, model: Model):

@@ -5,19 +5,19 @@ Every byte covered by a ``LENGTH``-byte string that also starts elsewhere in the
 1. Each window of LENGTH bytes is dealt to the place of the least hash among its ``GRAM``-byte grams, which its content alone decides. The windows
    dealt to one place are consecutive: a *context* is the text they cover. Two equal windows have places with equal grams, so only contexts whose
    gram occurs twice matter; they are counted, with partial aggregation, by a hash of the gram.
-2. A context that occurs twice as a whole has all its windows repeated, and stands in the index once. The others, and those they may share
-   windows with, are brought together by gram in collections of bounded size.
+2. Different contexts, with the number of their occurrences, are brought together by gram in collections of bounded size. A context that occurs more than once stands in its collection
+   twice, so that the index itself finds what it repeats; more copies would find nothing more.
 3. For each collection a Burrows-Wheeler transform is built (suffixes ranked by doubling) and held as runs, with the suffix-array samples at the run
    ends. Only there are matches with the neighbouring suffixes measured; matching statistics of all other places follow by
    streaming through the text, as within a run a match is one shorter than at the place before. A place with LENGTH or more starts a repeated window. Each window is
-   whole in one context only, so a match never is with itself.
+   whole in one place of a context only, so a match never is with itself.
 4. The marked windows go back to all occurrences of their contexts, are merged for each text, and cut.
 
-A gram with more than ``CROWD`` different contexts would outgrow a collection; its windows are counted by a 128-bit hash instead, each window a row,
-which spreads over tasks and is as exact.
+Hashes only bring together what may be equal (counts of grams, occurrences of contexts); which windows are repeated is what the index says, but for one case: a gram with more than ``CROWD``
+different contexts would outgrow a collection, and its windows are counted by a 128-bit hash instead, each window a row, which spreads over tasks and is as exact.
 
 Defined cases: null text is empty; texts under LENGTH bytes lose nothing; windows never cross texts; rows that share a doc_id are texts of
-their own (two rows with one long text are copies of each other); a null doc_id is kept.
+their own (two rows with one long text are copies of each other); a null doc_id is kept; an empty table gives no rows; a text of any length is looked through whole, in stretches; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -180,16 +180,17 @@ def matching_statistics(text: np.ndarray, most: int) -> np.ndarray:
     return best
 
 
-def repeated_starts(found: list[bytes], starts: list[int], length: int = LENGTH) -> list[list[tuple[int, int]]]:
-    """For each context (its number of starts given) the runs (first, last) of starts whose window occurs in another context or start."""
+def repeated_starts(found: list[bytes], starts: list[int], twice: list[bool] | None = None, length: int = LENGTH) -> list[list[tuple[int, int]]]:
+    """For each context (its number of starts given) the runs (first, last) of starts whose window occurs in another context or start, or once more because the context does (``twice``)."""
     if not found:
         return []
-    sizes = np.array([len(c) for c in found])
-    text = np.frombuffer(bytes([END]).join(found) + bytes([END]), np.uint8)
+    whole = found + [c for c, t in zip(found, twice or [], strict=bool(twice)) if t]
+    sizes = np.array([len(c) for c in whole])
+    text = np.frombuffer(bytes([END]).join(whole) + bytes([END]), np.uint8)
     begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     match = matching_statistics(text, int(sizes.max()))
     out = []
-    for b, size, n in zip(begin.tolist(), sizes.tolist(), starts, strict=True):
+    for b, size, n in zip(begin[: len(found)].tolist(), sizes[: len(found)].tolist(), starts, strict=True):
         good = np.minimum(match[b : b + n], size - np.arange(n)) >= length
         edge = np.flatnonzero(np.diff(np.concatenate([[0], good.astype(np.int8), [0]])))
         out.append(list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True)))
@@ -217,28 +218,28 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at, data = common.utf8(batch.column(0))
         raw = data[at[0] : at[-1]].tobytes()
-        columns: list[list] = [[], [], [], []]
+        columns: list[list] = [[], [], [], [], []]
         for base, wanted in zip((at[:-1] - at[0]).tolist(), batch.column(1), strict=True):
             for w in wanted.as_py():
                 start, n = base + (w["place"] >> 8), w["place"] & 255
-                for c, v in zip(columns, (w["gram"], w["ctx"], n, raw[start : start + n + LENGTH - 1]), strict=True):
+                for c, v in zip(columns, (w["gram"], w["ctx"], n, w["twice"], raw[start : start + n + LENGTH - 1]), strict=True):
                     c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["gram", "ctx", "n", "bytes"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], ["gram", "ctx", "n", "twice", "bytes"])
 
 
 def _index(table: pa.Table) -> pa.Table:
     order = np.lexsort([table["ctx"].to_numpy(), table["gram"].to_numpy()])
     table = table.take(pa.array(order))
-    runs = repeated_starts(table["bytes"].to_pylist(), table["n"].to_pylist())
+    runs = repeated_starts(table["bytes"].to_pylist(), table["n"].to_pylist(), table["twice"].to_pylist())
     keep = pa.array([bool(r) for r in runs], pa.bool_())
     return pa.table([table["gram"], table["ctx"], _runs(runs)], ["gram", "ctx", "runs"]).filter(keep)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for gram, ctx, n, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for gram, ctx, n, twice, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
             digest = [xxhash.xxh3_128_digest(raw[i : i + LENGTH]) for i in range(n)]
-            yield pa.RecordBatch.from_arrays([pa.array([gram] * n, pa.int64()), pa.array([ctx] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(digest, pa.binary())], ["gram", "ctx", "start", "window"])
+            yield pa.RecordBatch.from_arrays([pa.array([gram] * n, pa.int64()), pa.array([ctx] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([1 + twice] * n, pa.int32()), pa.array(digest, pa.binary())], ["gram", "ctx", "start", "times", "window"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,6 +276,7 @@ def _freed(spark: SparkSession) -> None:
 def repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (from, to in bytes) of each text."""
     spark = docs.sparkSession
+    begun = common.mark(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
     if rows.groupBy("doc_id").count().filter("count > 1").isEmpty():
         rows = rows.withColumn("ref", F.coalesce("doc_id", F.lit(-(1 << 63))))
@@ -284,28 +286,26 @@ def repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     twice = common.stored(every.groupBy("gram").count().filter("count > 1").select("gram"), "repeated-grams")
     held = common.stored(every.join(twice, "gram").select("ref", "place", "gram", "ctx"), "contexts")
     _freed(spark)
-    # different contexts, and how many texts have each
-    distinct = held.groupBy("gram", "ctx").agg(F.count("*").alias("m"), F.first("ref").alias("ref"), F.first("place").alias("place"))
-    distinct = common.stored(distinct, "different-contexts")
-    per = distinct.groupBy("gram").agg(F.count("*").alias("k"), F.min("m").alias("low"))
-    per = common.stored(per.filter("k > 1 AND low = 1").select("gram", "k"), "open-grams")
-    asked = common.stored(distinct.join(per, "gram").select("ref", F.struct("place", "gram", "ctx").alias("w"), "gram", "k"), "asked-contexts")
+    # different contexts, how often each occurs, and how many there are of each gram
+    distinct = common.stored(held.groupBy("gram", "ctx").agg(F.count("*").alias("m"), F.first("ref").alias("ref"), F.first("place").alias("place")), "different-contexts")
+    crowded = common.stored(distinct.groupBy("gram").count().filter(F.col("count") > crowd).select("gram"), "crowded-grams")
     _freed(spark)
-    wanted = asked.filter(F.col("k") <= crowd)
-    total = wanted.agg(F.sum(F.col("w.place").bitwiseAND(F.lit(255)) + LENGTH)).first()[0] or 0
+    asked = distinct.select("ref", F.struct("place", "gram", "ctx", (F.col("m") > 1).alias("twice")).alias("w"), "gram", "m")
+    wanted = asked.join(crowded, "gram", "left_anti")
+    total = wanted.agg(F.sum((F.col("w.place").bitwiseAND(F.lit(255)) + LENGTH) * F.least("m", F.lit(2)))).first()[0] or 0
 
     def texts_of(some: DataFrame) -> DataFrame:
         ask = some.groupBy("ref").agg(F.collect_list("w").alias("wanted"))
-        return rows.select("ref", "text").join(ask, "ref").select("text", "wanted").mapInArrow(_extract, "gram long, ctx long, n int, bytes binary")
+        return rows.select("ref", "text").join(ask, "ref").select("text", "wanted").mapInArrow(_extract, "gram long, ctx long, n int, twice boolean, bytes binary")
 
-    marks = distinct.filter("m > 1").select("gram", "ctx", F.array(F.struct(F.lit(0).alias("a"), (F.col("place").bitwiseAND(F.lit(255)) - 1).cast("int").alias("b"))).alias("runs"))
+    marks = spark.createDataFrame([], f"gram long, ctx long, runs {RUNS}")
     if total:
         collections = max(1, -(-total // COLLECTION))
         dealt = texts_of(wanted).withColumn("collection", F.pmod(F.xxhash64("gram"), F.lit(collections)))
-        marks = marks.unionByName(dealt.groupBy("collection").applyInArrow(lambda t: _index(t), f"gram long, ctx long, runs {RUNS}"))
-    if not (crowds := asked.filter(F.col("k") > crowd)).isEmpty():
-        windows = common.stored(texts_of(crowds).mapInArrow(_windows, "gram long, ctx long, start int, window binary"), "crowded-windows")
-        again = common.stored(windows.groupBy("window").count().filter("count > 1").select("window"), "crowded-repeats")
+        marks = dealt.groupBy("collection").applyInArrow(lambda t: _index(t), f"gram long, ctx long, runs {RUNS}")
+    if not crowded.isEmpty():
+        windows = common.stored(texts_of(asked.join(crowded, "gram", "left_semi")).mapInArrow(_windows, "gram long, ctx long, start int, times int, window binary"), "crowded-windows")
+        again = common.stored(windows.groupBy("window").agg(F.sum("times").alias("n")).filter("n > 1").select("window"), "crowded-repeats")
         one = F.struct(F.col("start").alias("a"), F.col("start").alias("b"))
         marks = marks.unionByName(windows.join(again, "window").groupBy("gram", "ctx").agg(F.collect_list(one).alias("runs")))
     marks = common.stored(marks, "marks")
@@ -313,6 +313,7 @@ def repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     spans = held.join(marks, ["gram", "ctx"]).select("ref", F.shiftright("place", 8).alias("at"), F.inline("runs"))
     spans = spans.groupBy("ref").agg(F.collect_list(F.struct((F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b") + LENGTH).alias("b"))).alias("spans"))
     spans = common.stored(spans, "spans")
+    common.release(spark, begun, (rows, spans))
     _freed(spark)
     return rows.join(spans, "ref", "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
 

@@ -22,8 +22,8 @@ WORDS[48:58] = np.arange(48, 58)
 STRETCH = 4 << 20
 
 
-def _stretch(d: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first places, hashes) of the words in ``d``, whose blanks are 0; a word begins anew at each of ``edges``."""
+def _stretch(d: np.ndarray, edges: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """(first places, hashes) of the words in ``d``, whose blanks are 0; a word begins anew at each of ``edges``, and only its first ``most`` bytes count."""
     inside = d != 0
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -33,13 +33,15 @@ def _stretch(d: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return starts, np.zeros(0, np.uint64)
     place = np.arange(len(d)) - np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [len(d)]])))
     # a word's length sets apart what a wrap of places would not; blanks add nothing
+    if most is not None:
+        inside &= place < most
     value = np.where(inside, _VALUES[d] * _PLACES[place & 255], np.uint64(0))
     size = np.add.reduceat(inside.astype(np.int64), starts)
     return starts, common.mix64(np.add.reduceat(value, starts) + common.mix64(size))
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray, table: np.ndarray = BLANKS, stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, offsets): the words of text i are hashes[offsets[i]:offsets[i + 1]], in order.
+def word_hashes(data: np.ndarray, at: np.ndarray, table: np.ndarray = BLANKS, stretch: int = STRETCH, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, offsets): the words of text i are hashes[offsets[i]:offsets[i + 1]], in order; of each its first ``most`` bytes, if that is given.
 
     Bytes are looked through in stretches that end at a blank or between texts, so that what a long text takes beside its words is bounded; only a single
     word longer than a stretch lengthens it.
@@ -57,7 +59,7 @@ def word_hashes(data: np.ndarray, at: np.ndarray, table: np.ndarray = BLANKS, st
                 blank = next((k + int(x[0]) for k in range(z, end, stretch) if len(x := np.flatnonzero(table[data[k : min(end, k + stretch)]] == 0))), end - 1)
                 z = blank + 1
         i, j = np.searchsorted(at, [a, z])
-        first, h = _stretch(table[data[a:z]], at[i:j] - a)
+        first, h = _stretch(table[data[a:z]], at[i:j] - a, most)
         starts.append(first + a)
         hashes.append(h)
         a = z
