@@ -48,6 +48,72 @@ def yaw_rate(y: Column, fps: Column | float, ok: Column) -> Column:
     return F.when(ok, -y * fps * 180 / math.pi).otherwise(0.0)
 
 
+def heading_rate(q: Column, fps: Column | float, ok: Column) -> Column:
+    """``yaw_rate`` from a rotation as a quaternion (struct w, x, y, z); without one the row counts as failed."""
+    return yaw_rate(quaternion_log(q)["y"], fps, F.coalesce(ok, F.lit(False)) & q["w"].isNotNull())
+
+
+def total_zoom(zoom: Column, mesh_margin: Column, readout_margin: Column) -> Column:
+    """The share of the picture that all margins together take, compounded."""
+    return (1 + zoom) * (1 + mesh_margin) * (1 + readout_margin) - 1
+
+
+def scaled_focal(focal: Column, from_width: Column, to_width: Column) -> Column:
+    """A focal length in pixels of another width."""
+    return focal * to_width / from_width
+
+
+def current_distance(distance: Column, start: Column, end: Column) -> Column:
+    """Where a sample is on an axis: at its start without a distance, else within its ends."""
+    return F.when(distance.isNull(), start).otherwise(clamp(distance, start, end))
+
+
+def elevation_window(low: Column, high: Column, flat: float = 1.0) -> Column:
+    """Struct (base, range) of a plot: the elevations' own, or a window of ``flat`` metres about their middle where they are closer together."""
+    narrow = high - low < flat
+    return F.struct(F.when(narrow, (low + high) / 2 - flat / 2).otherwise(low).alias("base"), F.when(narrow, F.lit(flat)).otherwise(high - low).alias("range"))
+
+
+def matrix(rows: list[list[Column | float]]) -> Column:
+    """A 3x3 matrix as an array of nine, row by row."""
+    return F.array(*[x if isinstance(x, Column) else F.lit(float(x)) for r in rows for x in r])
+
+
+def _entries(m: Column) -> list[list[Column]]:
+    return [[F.element_at(m, 3 * r + c + 1) for c in range(3)] for r in range(3)]
+
+
+def matrix_product(m: Column, n: Column) -> Column:
+    a, b = _entries(m), _entries(n)
+    return matrix([[sum((a[r][k] * b[k][c] for k in range(1, 3)), a[r][0] * b[0][c]) for c in range(3)] for r in range(3)])
+
+
+def matrix_inverse(m: Column) -> Column:
+    """By cofactors; null where the determinant is 0."""
+    a = _entries(m)
+    minor = lambda r, c: a[(r + 1) % 3][(c + 1) % 3] * a[(r + 2) % 3][(c + 2) % 3] - a[(r + 1) % 3][(c + 2) % 3] * a[(r + 2) % 3][(c + 1) % 3]
+    det = sum((a[0][c] * minor(0, c) for c in range(1, 3)), a[0][0] * minor(0, 0))
+    return F.when(det != 0, matrix([[minor(c, r) / F.when(det != 0, det) for c in range(3)] for r in range(3)]))
+
+
+def matrix_unit(m: Column) -> Column:
+    """Scaled so that the last entry is 1; as it is where that is 0."""
+    last = F.element_at(m, 9)
+    return F.transform(m, lambda x: F.when(last != 0, x / F.when(last != 0, last)).otherwise(x))
+
+
+def matrix_rescaled(m: Column, s: Column | float) -> Column:
+    """A matrix measured in pixels of one scale, for pixels ``s`` times as fine: conjugated by that scaling."""
+    a = _entries(m)
+    return matrix([[a[0][0], a[0][1], a[0][2] * s], [a[1][0], a[1][1], a[1][2] * s], [a[2][0] / s, a[2][1] / s, a[2][2]]])
+
+
+def perspective_residual(a: Column, b: Column, tx: Column, ty: Column, h: Column) -> Column:
+    """What of a frame pair's matrix ``h`` its similarity (a, b, tx, ty) can't represent: inverse(similarity) times h, the last entry 1."""
+    similar = matrix([[a, -b, tx], [b, a, ty], [0, 0, 1]])
+    return matrix_unit(matrix_product(matrix_inverse(similar), h))
+
+
 def similarity(dx: Column, dy: Column, rotation: Column, scale: Column, width: float, height: float, zoom: Column, factor: float = 1.0) -> tuple[Column, Column, Column, Column]:
     """(a, b, tx, ty) of a correction about the frame's centre with the zoom folded in."""
     cx, cy = width / 2, height / 2
@@ -231,6 +297,18 @@ def job_cost(frames: Column, duration: Column, fps: Column, width: Column, heigh
 
 # --- numpy, for grouped functions ----------------------------------------------
 
+def extended(values: np.ndarray, before: int, after: int, window: int) -> np.ndarray:
+    """``values`` (rows x channels) with rows put before and after: each channel goes on along the line fitted to the ``window`` rows at that end (all, if there are fewer)."""
+    w = min(max(window, 1), len(values))
+    x = np.arange(w) - (w - 1) / 2
+    spread = max((x * x).sum(), 1e-300)
+
+    def line(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return rows.mean(0) + (at - (w - 1) / 2)[:, None] * ((x[:, None] * rows).sum(0) / spread)
+
+    return np.concatenate([line(values[:w], np.arange(-before, 0)), values, line(values[-w:], w + np.arange(after))])
+
+
 def q_mul(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     aw, ax, ay, az = np.moveaxis(np.asarray(a, float), -1, 0)
     bw, bx, by, bz = np.moveaxis(np.asarray(b, float), -1, 0)

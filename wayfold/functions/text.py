@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from dataclasses import dataclass, replace
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,14 +22,54 @@ SPEED = {"m/s": 1.0, "km/h": 3.6, "mph": 3600 / 1609.344, "kn": 3600 / 1852.0}
 PACE = {"min/km": 1000.0, "min/mi": 1609.344}
 
 
+@dataclass(frozen=True)
+class Units:
+    """The unit of each quantity: ``Units.of("imperial", ["distance=nm"])`` is a system with one quantity's unit put over it."""
+
+    distance: str = "km"
+    elevation: str = "m"
+    speed: str = "km/h"
+    pace: str = "min/km"
+
+    @classmethod
+    def of(cls, system: str = "metric", each: Iterable[str] = ()) -> Units:
+        systems = {"": cls(), "metric": cls(), "imperial": cls("mi", "ft", "mph", "min/mi")}
+        known = {"distance": ("km", "mi", "nm"), "elevation": ("m", "ft"), "speed": tuple(SPEED), "pace": tuple(PACE)}
+        if system not in systems:
+            raise ValueError(f"unknown units {system!r}: metric or imperial")
+        out = systems[system]
+        for spec in each:
+            quantity, _, unit = spec.partition("=")
+            if unit not in known.get(quantity, ()):
+                raise ValueError(f"{spec!r} is no quantity=unit: " + "; ".join(f"{q}={'|'.join(u)}" for q, u in known.items()))
+            out = replace(out, **{quantity: unit})
+        return out
+
+
+METRIC = Units()
+
+
 def _number(c: Column) -> Column:
     return F.when(c != "", c.cast("double"))
 
 
 def fixed(v: Column, decimals: int) -> Column:
-    """Fixed decimals, halves to even as the binary value has it, and never a negative zero."""
-    s = F.format_string(f"%.{decimals}f", F.bround(v, decimals))
-    return F.when(s.rlike(r"^-0(\.0*)?$"), F.substring(s, 2, 40)).otherwise(s)
+    """Fixed decimals, rounded as the exact binary value says (2.675 is a little less, so 2.67; a true half to even), and never a negative zero.
+
+    v x 10^decimals is known exactly as a product and its rounding error, so a product that looks like a half is told from one that is.
+    """
+    c = float(10**decimals)
+    x = v.cast("double")
+    product = x * c
+    split = 134217729.0 * x
+    high = split - (split - x)
+    error = (high * c - product) + (x - high) * c
+    low = F.floor(product).cast("double")
+    part = product - low
+    odd = F.pmod(low, F.lit(2.0)) != 0
+    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & odd)))
+    whole = (low + F.when(up, 1.0).otherwise(0.0)).cast("decimal(28,0)")
+    return (whole * F.lit(Decimal(1).scaleb(-decimals))).cast(f"decimal(38,{decimals})").cast("string")
 
 
 def clock_seconds(s: Column) -> Column:
@@ -108,31 +152,44 @@ def minutes(seconds: Column) -> Column:
     return F.when(seconds.isNotNull(), F.format_string("%d:%02d", F.floor(s / 60), F.pmod(s, F.lit(60))))
 
 
-def axis_label(d: Column, span: Column, decimals: int) -> Column:
-    """Metres where the axis spans less than a kilometre, else kilometres with ``decimals``."""
-    return F.when(span / 1000 < 1.0, F.concat(fixed(d, 0), F.lit(" m"))).otherwise(F.concat(fixed(d / 1000, decimals), F.lit(" km")))
+def _short(span: Column, units: Units) -> Column:
+    """Whether an axis is labelled in the short unit (metres, feet): where it spans less than one of the long."""
+    return span * DISTANCE[units.distance] < 1.0
 
 
-def reads_as_zero(d: Column, span: Column, decimals: int) -> Column:
-    return axis_label(d, span, decimals) == axis_label(F.lit(0.0), span, decimals)
+def axis_label(d: Column, span: Column, decimals: int, units: Units = METRIC) -> Column:
+    """Whole short units where the axis spans less than one of the long, else long units with ``decimals``. ``d`` and ``span`` are metres."""
+    short = F.concat(fixed(d * DISTANCE[units.elevation], 0), F.lit(f" {units.elevation}"))
+    return F.when(_short(span, units), short).otherwise(F.concat(fixed(d * DISTANCE[units.distance], decimals), F.lit(f" {units.distance}")))
 
 
-def elevation_axis_labels(start: Column, end: Column) -> Column:
-    """[start, end]: a decimal under 10 km of span, or where the start would read as zero without one and not with it."""
+def readout(d: Column, span: Column, units: Units = METRIC) -> Column:
+    """A live value in the unit its axis is labelled in, without the unit: whole short ones, long ones with a decimal."""
+    return F.when(_short(span, units), fixed(d * DISTANCE[units.elevation], 0)).otherwise(fixed(d * DISTANCE[units.distance], 1))
+
+
+def reads_as_zero(d: Column, span: Column, decimals: int, units: Units = METRIC) -> Column:
+    return axis_label(d, span, decimals, units) == axis_label(F.lit(0.0), span, decimals, units)
+
+
+def elevation_axis_labels(start: Column, end: Column, units: Units = METRIC) -> Column:
+    """[start, end]: a decimal under ten long units of span, or where the start would read as zero without one and not with it."""
     span = end - start
-    one = (span / 1000 < 10.0) | (reads_as_zero(start, span, 0) & ~reads_as_zero(start, span, 1))
-    pick = lambda d: F.when(one, axis_label(d, span, 1)).otherwise(axis_label(d, span, 0))
+    one = (span * DISTANCE[units.distance] < 10.0) | (reads_as_zero(start, span, 0, units) & ~reads_as_zero(start, span, 1, units))
+    pick = lambda d: F.when(one, axis_label(d, span, 1, units)).otherwise(axis_label(d, span, 0, units))
     return F.array(pick(start), pick(end))
 
 
-def elevation_label(e: Column, span: Column) -> Column:
-    return F.concat(F.when(span < 10.0, fixed(e, 1)).otherwise(fixed(e, 0)), F.lit(" m"))
+def elevation_label(e: Column, span: Column, units: Units = METRIC) -> Column:
+    """A decimal where the range is under ten of the elevation unit; ``e`` and ``span`` are metres."""
+    k = DISTANCE[units.elevation]
+    return F.concat(F.when(span * k < 10.0, fixed(e * k, 1)).otherwise(fixed(e * k, 0)), F.lit(f" {units.elevation}"))
 
 
-def elevation_range_labels(low: Column, high: Column) -> Column:
+def elevation_range_labels(low: Column, high: Column, units: Units = METRIC) -> Column:
     """[high, low], or the middle alone where they are less than a metre apart."""
     span = high - low
-    return F.when(span < 1.0, F.array(elevation_label((low + high) / 2, span))).otherwise(F.array(elevation_label(high, span), elevation_label(low, span)))
+    return F.when(span < 1.0, F.array(elevation_label((low + high) / 2, span, units))).otherwise(F.array(elevation_label(high, span, units), elevation_label(low, span, units)))
 
 
 def or_placeholder(v: Column, unit: str, pattern: str = "%d") -> Column:
@@ -176,8 +233,9 @@ def metric_rows(*rows: Column, optional: tuple[Column, ...] = ()) -> Column:
     return F.filter(F.array(*rows, *optional), lambda x: x.isNotNull())
 
 
-def gain_loss(gain: Column, loss: Column) -> Column:
-    return F.array(F.concat(F.lit("+"), F.coalesce(fixed(gain, 0), F.lit("--")), F.lit(" m")), F.concat(F.lit("-"), F.coalesce(fixed(loss, 0), F.lit("--")), F.lit(" m")))
+def gain_loss(gain: Column, loss: Column, units: Units = METRIC) -> Column:
+    k, unit = DISTANCE[units.elevation], F.lit(f" {units.elevation}")
+    return F.array(F.concat(F.lit("+"), F.coalesce(fixed(gain * k, 0), F.lit("--")), unit), F.concat(F.lit("-"), F.coalesce(fixed(loss * k, 0), F.lit("--")), unit))
 
 
 def splits_header(current: Column, last: Column, unit: str = "km") -> Column:
@@ -185,8 +243,16 @@ def splits_header(current: Column, last: Column, unit: str = "km") -> Column:
 
 
 def signed_offset(seconds: Column) -> Column:
-    s = F.regexp_replace(F.format_string("%.3f", seconds), r"\.?0+$", "")
-    return F.concat(F.when(seconds >= 0, "+").otherwise(""), s, F.lit("s"))
+    """An offset with its sign and all of its digits, no exponent."""
+    digits = F.regexp_replace(seconds.cast("string").cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
+    return F.concat(F.when(seconds >= 0, "+").otherwise(""), digits, F.lit("s"))
+
+
+def time_text(set_: Column, seconds: Column, instant: Column) -> Column:
+    """A time for messages: ``unset``, an instant as it is, or the seconds of a relative time, however it was written."""
+    digits = F.regexp_replace(seconds.cast("string").cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
+    stamp = F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return F.when(~set_, "unset").when(instant.isNotNull(), stamp).otherwise(F.concat(digits, F.lit("s")))
 
 
 def swap_extension(path: Column, extension: str) -> Column:
@@ -207,7 +273,7 @@ def positional(path: Column) -> Column:
 
 
 def escape_filter_path(path: Column) -> Column:
-    for c in ("\\", ":", "'", ",", "[", "]", ";"):
+    for c in ("\\", ":", "'"):
         path = F.replace(path, F.lit(c), F.lit("\\" + c))
     return path
 

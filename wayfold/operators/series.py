@@ -48,18 +48,17 @@ def grid_runs(df: DataFrame, step: int = GRID_STEP) -> DataFrame:
 def at(probes: DataFrame, data: DataFrame, max_gap: int = MAX_INTERPOLATION_GAP, values: tuple[str, ...] = ("value",)) -> DataFrame:
     """``probes`` (series_id, t, probe) with the data's values at t: an exact hit wins, else linear between neighbours no more than ``max_gap`` apart, else null.
 
-    One union and one sort per series; no range join. Never extrapolates.
+    One union, sorted forward and backward; no range join. Never extrapolates.
     """
     point = F.struct("t", *[F.col(v) for v in values])
     rows = data.select("series_id", "t", F.lit(0).alias("kind"), F.col("tie").cast("string").alias("tie"), point.alias("p"), F.lit(None).cast(probes.schema["probe"].dataType).alias("probe"))
     asks = probes.select("series_id", "t", F.lit(1).alias("kind"), F.lit("").alias("tie"), F.lit(None).cast(rows.schema["p"].dataType).alias("p"), "probe")
     forward = Window.partitionBy("series_id").orderBy("t", "kind", "tie")
-    back = Window.partitionBy("series_id").orderBy(F.desc("t"), F.desc("kind"), F.desc("tie"))
-    # of several points at one time the first stands for it, on either side
-    first = F.first("p", ignorenulls=True)
+    back = Window.partitionBy("series_id").orderBy(F.desc("t"), "kind", F.desc("tie"))  # points at a probe's own time come before it
+    # forward: the last point at or before the probe. Backward: the first at or after it; of several at one time both stand for the first
     both = rows.unionByName(asks).withColumn("a", F.last("p", ignorenulls=True).over(forward.rowsBetween(Window.unboundedPreceding, 0)))
     both = both.withColumn("b", F.last("p", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("e", first.over(Window.partitionBy("series_id", "t").orderBy("kind", "tie").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    both = both.withColumn("e", F.when(F.col("b.t") == F.col("t"), F.col("b")))
     gap = F.col("b.t") - F.col("a.t")
     part = (F.col("t") - F.col("a.t")).cast("double") / gap
     out = [F.when(F.col("e").isNotNull(), F.col(f"e.{v}")).when((gap > 0) & (gap <= max_gap), F.col(f"a.{v}") + part * (F.col(f"b.{v}") - F.col(f"a.{v}"))).alias(v) for v in values]
@@ -107,7 +106,7 @@ def smooth(df: DataFrame, sigma: float, boundary: str, values: tuple[str, ...] =
     """Gaussian smoothing by position. ``boundary`` says what stands beyond the ends: ``reflect``, ``extrapolate`` (linear fits of the end rows) or ``clamp``.
 
     A series of one point is copied under ``reflect``. The rows beyond the ends (twice the radius for each series) join on their position, and the
-    kernel runs over a bounded frame; memory doesn't depend on the length of a series.
+    weighted sum is one of shifts in the series' order, all over one sort: no row holds its neighbours, and memory doesn't depend on the length of a series.
     """
     if sigma <= 0:
         return df
@@ -144,9 +143,12 @@ def smooth(df: DataFrame, sigma: float, boundary: str, values: tuple[str, ...] =
         added = beyond.withColumn("_s", source.cast("long")).join(rows.select(*key, F.col("_i").alias("_s"), *values), [*key, "_s"]).select(*key, F.col("_e").alias("_i"), *values)
     own = rows.select(*key, "_i", *values, F.struct(*[F.col(c) for c in df.columns]).alias("_row"))
     both = own.unionByName(added, allowMissingColumns=True)
-    frame = Window.partitionBy(*key).orderBy("_i").rowsBetween(-r, r)
-    k = F.array(*[F.lit(x) for x in weights])
-    dot = lambda v: F.aggregate(F.zip_with(F.collect_list(v).over(frame), k, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    shifted = Window.partitionBy(*key).orderBy("_i")
+
+    def total(parts: list[Column]) -> Column:
+        return parts[0] if len(parts) == 1 else total(parts[: len(parts) // 2]) + total(parts[len(parts) // 2 :])
+
+    dot = lambda v: total([F.lag(v, r - k).over(shifted) * weight for k, weight in enumerate(weights)])
     done = both.select("_row", *[dot(v).alias(f"_s_{v}") for v in values]).filter("_row IS NOT NULL")
     return done.select(*[F.col(f"_s_{c}").alias(c) if c in values else F.col(f"_row.{c}").alias(c) for c in df.columns])
 

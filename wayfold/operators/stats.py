@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 MAD = 1.4826
 
 
-def at_index(sorted_values: Column, index: Column) -> Column:
-    return F.element_at(sorted_values, index.cast("int") + 1)
+def _ranked(v: str, share: float) -> Column:
+    """The least value that ``share`` of all values don't exceed. Values are counted with partial aggregation, so a hot key spreads; a task holds a key's distinct values."""
+    return F.expr(f"percentile_disc({share!r}) WITHIN GROUP (ORDER BY {v})")
 
 
-def median_upper(v: Column) -> Column:
-    """The element at n // 2 of the sorted values."""
-    s = F.array_sort(F.collect_list(v))
-    return at_index(s, F.floor(F.size(s) / 2))
+#: Puts a share between two ranks: for groups of up to 10^9 values it is past the first and short of the second.
+PAST = 1e-11
+
+
+def median_upper(v: str) -> Column:
+    """The element at n // 2 of the sorted values of the SQL expression ``v``."""
+    return _ranked(v, 0.5 + PAST)
 
 
 def median_average(v: Column) -> Column:
@@ -23,16 +27,15 @@ def median_average(v: Column) -> Column:
     return F.percentile(v, F.lit(0.5))
 
 
-def percentile_index(v: Column, p: int) -> Column:
-    """The element at min(n - 1, n * p // 100) of the sorted values."""
-    s = F.array_sort(F.collect_list(v))
-    return at_index(s, F.least(F.size(s) - 1, F.floor(F.size(s) * p / 100)))
+def percentile_index(v: str, p: int) -> Column:
+    """The element at min(n - 1, n * p // 100) of the sorted values of the SQL expression ``v``."""
+    return _ranked(v, min(1.0, p / 100 + PAST))
 
 
 def percentile_span(v: Column, p: float) -> Column:
-    """The element at floor(p (n - 1)) of the sorted values."""
+    """The element at floor(p (n - 1)) of the sorted values, which takes the values of a key in one row: for keys of bounded size."""
     s = F.array_sort(F.collect_list(v))
-    return at_index(s, F.floor(p * (F.size(s) - 1)))
+    return F.element_at(s, F.floor(p * (F.size(s) - 1)).cast("int") + 1)
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -41,12 +44,8 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def exact_median_upper(df: DataFrame, key: str, value: str) -> DataFrame:
-    """``median_upper`` of each key without holding its values: ranks by a sort that spreads and spills. For groups that outgrow a row."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(key)
-    rows = df.filter(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    return rows.filter(F.col("_r") == F.floor(F.col("_n") / 2)).select(key, F.col(value).alias("median_upper"))
+    """(key, median_upper), nulls left out."""
+    return df.filter(F.col(value).isNotNull()).groupBy(key).agg(median_upper(value).alias("median_upper"))
 
 
 def line(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
@@ -65,7 +64,7 @@ def trimmed_origin_fit(df: DataFrame, keys: list[str], x: str = "x", y: str = "y
     """Slope through the origin, once more without residuals over knee x 1.4826 x their upper median; ``ok`` where ``least`` samples are left."""
     first = df.groupBy(*keys).agg((F.sum(F.col(x) * F.col(y)) / F.sum(F.col(x) * F.col(x))).alias("_k"))
     left = df.join(first, keys).withColumn("_r", F.abs(F.col(y) - F.col("_k") * F.col(x)))
-    cut = left.groupBy(*keys).agg((knee * MAD * median_upper(F.col("_r"))).alias("_c"))
+    cut = left.groupBy(*keys).agg((knee * MAD * median_upper("_r")).alias("_c"))
     kept = left.join(cut, keys).filter("_r <= _c")
     slope, r = through_origin(x, y)
     return kept.groupBy(*keys).agg(slope.alias("slope"), r.alias("r"), F.count("*").alias("n")).withColumn("ok", F.col("n") >= least)
@@ -93,15 +92,15 @@ def robust_plane(df: DataFrame, keys: list[str], x: str = "x", y: str = "y", d:
     """``plane`` fitted once more without residuals over knee x 1.4826 x their upper median; fewer than ``least`` points give no row."""
     fit = plane(df, keys, x, y, d).filter(F.col("n") >= least).select(*keys, F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("c").alias("_c"))
     left = df.join(fit, keys).withColumn("_r", F.abs(F.col(d) - (F.col("_a") + F.col("_b") * F.col(x) + F.col("_c") * F.col(y))))
-    cut = left.groupBy(*keys).agg((knee * MAD * median_upper(F.col("_r"))).alias("_t"))
+    cut = left.groupBy(*keys).agg((knee * MAD * median_upper("_r")).alias("_t"))
     return plane(left.join(cut, keys).filter("_r <= _t"), keys, x, y, d).filter(F.col("n") >= least)
 
 
 def residual_shake(motion: DataFrame) -> DataFrame:
     """frames, median and 90th percentile of translation, median rotation in degrees, of measured rows; one row for each series."""
     ok = motion.filter("ok")
-    size = F.hypot("dx", "dy")
-    return ok.groupBy("series_id").agg(F.count("*").alias("frames"), median_upper(size).alias("median_translation"), percentile_index(size, 90).alias("p90_translation"), F.degrees(median_upper(F.abs("rotation"))).alias("median_rotation_deg"))
+    size = "sqrt(dx * dx + dy * dy)"
+    return ok.groupBy("series_id").agg(F.count("*").alias("frames"), median_upper(size).alias("median_translation"), percentile_index(size, 90).alias("p90_translation"), F.degrees(median_upper("abs(rotation)")).alias("median_rotation_deg"))
 
 
 def correction_stats(corrections: DataFrame, boundary: int, scale: float = 1.0) -> DataFrame:

@@ -39,7 +39,7 @@ def corrections(path: DataFrame, sigma: float = 20.0, scale_weight: float = 0.0,
 
 
 def zoom(corr: DataFrame, width: int, height: int, scale_factor: float = 1.0) -> DataFrame:
-    """``required``: least zoom in [1, 3] at which the corrected frame covers the canvas, by 60 bisections in an expression."""
+    """``required``: least zoom in [1, 3] at which the corrected frame covers the canvas, in closed form (the largest of eight ratios)."""
     return corr.withColumn("required", maths.min_zoom(F.col("dx"), F.col("dy"), F.col("rotation"), F.col("scale"), width, height, scale_factor))
 
 
@@ -67,16 +67,41 @@ def _weakened(rows: DataFrame, width: int, height: int) -> DataFrame:
 
 
 def readout_fit(measured: DataFrame, predictor: DataFrame, least: int = 30) -> DataFrame:
-    """Rolling-shutter readout ratio: observations (shear, stretch) of one series against the motion of frames k-1 and k+1 of another (or the same), pooled over both axes.
+    """Rolling-shutter readout ratio of each series: what was observed (shear, stretch) at frame k against half the change of motion from frame k - 1 to k + 1 of ``predictor`` (another
+    series of the same frames, or the same). One ratio is fitted through the origin for both axes.
 
-    Neighbours are taken before rows that failed are left out.
+    Frames whose residual (both axes together) is over 3 x 1.4826 x the upper median are left out once, unless fewer than ``least`` would stay. With fewer than ``least`` frames to begin with
+    a series has no row. Neighbours are taken before rows that failed are left out, and the shorter of the two series bounds the frames. Columns: ratio, samples, ok, corr, and for each axis
+    ratio_h, corr_h, ratio_v, corr_v; median_accel is the upper median of what drove the fit.
     """
     w = Window.partitionBy("series_id").orderBy("frame")
-    good = lambda c: F.when(F.col("ok"), F.col(c))
-    around = predictor.select("series_id", "frame", ((F.lag(good("dx")).over(w) + F.lead(good("dx")).over(w)) / 2).alias("px"), ((F.lag(good("dy")).over(w) + F.lead(good("dy")).over(w)) / 2).alias("py"))
-    both = measured.filter("ok").join(around, ["series_id", "frame"]).filter("px IS NOT NULL AND py IS NOT NULL")
-    pairs = both.select("series_id", F.inline(F.array(F.struct(F.col("px").alias("x"), F.col("shear").alias("y")), F.struct(F.col("py").alias("x"), F.col("stretch").alias("y")))))
-    return stats.trimmed_origin_fit(pairs, ["series_id"], least=least)
+    good = lambda c: F.when(F.coalesce(F.col("ok"), F.lit(False)), F.col(c))
+    change = lambda c: (F.lead(good(c)).over(w) - F.lag(good(c)).over(w)) / 2
+    driven = predictor.select("series_id", "frame", change("dx").alias("px"), change("dy").alias("py"))
+    inner = measured.withColumn("_last", F.max("frame").over(Window.partitionBy("series_id"))).filter("ok AND frame < _last AND shear IS NOT NULL AND stretch IS NOT NULL")
+    both = inner.select("series_id", "frame", "shear", "stretch").join(driven, ["series_id", "frame"]).filter("px IS NOT NULL AND py IS NOT NULL")
+    ratio = lambda num, den: F.coalesce(F.sum(num) / F.nullif(F.sum(den), F.lit(0.0)), F.lit(0.0))
+    x, y, sh, st = F.col("px"), F.col("py"), F.col("shear"), F.col("stretch")
+    pooled = ratio(sh * x + st * y, x * x + y * y)
+    first = both.groupBy("series_id").agg(pooled.alias("_k"), F.count("*").alias("_n")).filter(F.col("_n") >= least)
+    left = both.join(first, "series_id").withColumn("_r", F.hypot(sh - F.col("_k") * x, st - F.col("_k") * y))
+    cut = left.groupBy("series_id").agg((stats.MAD * stats.median_upper("_r")).alias("_m"))
+    left = left.join(cut, "series_id").withColumn("_in", (F.col("_m") <= 0) | (F.col("_r") <= 3 * F.col("_m")))
+    enough = left.groupBy("series_id").agg((F.sum(F.col("_in").cast("int")) < least).alias("_all"))
+    kept = left.join(enough, "series_id").filter("_all OR _in")
+
+    def correlation(pairs: list[tuple[Column, Column]]) -> Column:
+        """Pearson's r of all pairs in one; 0 where either side doesn't vary."""
+        total = lambda f: sum((F.sum(f(p, o)) for p, o in pairs[1:]), F.sum(f(*pairs[0])))
+        n, sp, so = F.count("*") * len(pairs), total(lambda p, o: p), total(lambda p, o: o)
+        spp, soo, spo = total(lambda p, o: p * p), total(lambda p, o: o * o), total(lambda p, o: p * o)
+        den = F.sqrt(F.greatest((n * spp - sp * sp) * (n * soo - so * so), F.lit(0.0)))
+        return F.coalesce((n * spo - sp * so) / F.nullif(den, F.lit(0.0)), F.lit(0.0))
+
+    return kept.groupBy("series_id").agg(
+        pooled.alias("ratio"), F.count("*").alias("samples"), F.lit(True).alias("ok"), correlation([(x, sh), (y, st)]).alias("corr"), ratio(sh * x, x * x).alias("ratio_h"), correlation([(x, sh)]).alias("corr_h"),
+        ratio(st * y, y * y).alias("ratio_v"), correlation([(y, st)]).alias("corr_v"), stats.median_upper("sqrt(px * px + py * py)").alias("median_accel"),
+    )
 
 
 def debias(motion: DataFrame, rho: float, height: int) -> DataFrame:
@@ -88,11 +113,21 @@ def debias(motion: DataFrame, rho: float, height: int) -> DataFrame:
     return motion.withColumn("rotation", F.col("rotation") + F.coalesce(shear, zero) / (2 * height)).withColumn("scale", F.col("scale") - F.coalesce(stretch, zero) / (2 * height))
 
 
-def mesh_corrections(fields: DataFrame, sigma: float, gain: float = 1.0) -> DataFrame:
-    """Per-vertex paths (series_id, r, c, frame, vx, vy), denoised by a 3x3 spatial median, smoothed; the correction times ``gain``."""
+def mesh_corrections(fields: DataFrame, sigma: float, gain: float = 1.0, denoise: float = 0.0) -> DataFrame:
+    """What moves each vertex of each frame onto its smoothed path, times ``gain`` (0 or less: no rows).
+
+    fields: (series_id, frame, r, c, vx, vy), the motion from frame to frame + 1; a null one is none. ``denoise`` is the sigma of a smoothing in time of that motion before it is summed up.
+    Frame 0 is the origin, so there is a frame more than there are transitions.
+    """
+    if gain <= 0:
+        return fields.select("series_id", "frame", "r", "c", F.col("vx").alias("dx"), F.col("vy").alias("dy")).limit(0)
+    zero = F.lit(0.0)
+    rows = fields.select("series_id", "r", "c", "frame", F.col("frame").alias("t"), F.col("frame").alias("tie"), F.coalesce("vx", zero).alias("vx"), F.coalesce("vy", zero).alias("vy"))
+    steps = series.smooth(rows, denoise, "extrapolate", ("vx", "vy"), ("r", "c")).select("series_id", "r", "c", (F.col("frame") + 1).alias("frame"), "vx", "vy")
+    origin = fields.groupBy("series_id", "r", "c").agg(F.min("frame").alias("frame")).select("series_id", "r", "c", "frame", zero.alias("vx"), zero.alias("vy"))
     w = Window.partitionBy("series_id", "r", "c").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
-    soft = spatial_median(fields, ("vx", "vy")).withColumn("px", F.sum("vx").over(w)).withColumn("py", F.sum("vy").over(w))
-    rows = soft.select("series_id", "r", "c", "frame", F.col("frame").alias("t"), F.col("frame").alias("tie"), "px", "py", F.col("px").alias("sx"), F.col("py").alias("sy"))
+    path = origin.unionByName(steps).withColumn("px", F.sum("vx").over(w)).withColumn("py", F.sum("vy").over(w))
+    rows = path.select("series_id", "r", "c", "frame", F.col("frame").alias("t"), F.col("frame").alias("tie"), "px", "py", F.col("px").alias("sx"), F.col("py").alias("sy"))
     s = series.smooth(rows, sigma, "extrapolate", ("sx", "sy"), ("r", "c"))
     return s.select("series_id", "frame", "r", "c", ((F.col("sx") - F.col("px")) * gain).alias("dx"), ((F.col("sy") - F.col("py")) * gain).alias("dy"))
 
@@ -105,97 +140,182 @@ def spatial_median(fields: DataFrame, values: tuple[str, ...]) -> DataFrame:
     return out.filter("_own").drop("_own")
 
 
-def mesh_field(features: DataFrame, width: float, height: float, cols: int, rows: int, least: int = 1) -> DataFrame:
-    """The upper median motion of features within a cell diagonal of each vertex; features meet vertices through the grid cell they are in."""
+def residual_motion(features: DataFrame, fits: DataFrame) -> DataFrame:
+    """``features`` (series_id, frame, x, y, to_x, to_y) with mx, my: what a point moved beyond the frame's similarity (series_id, frame, dx, dy, rotation, scale)."""
+    a, b = F.col("scale") * F.cos("rotation"), F.col("scale") * F.sin("rotation")
+    x, y = F.col("x"), F.col("y")
+    both = features.join(fits.select("series_id", "frame", "dx", "dy", "rotation", "scale"), ["series_id", "frame"])
+    return both.select(*features.columns, (F.col("to_x") - (a * x - b * y + F.col("dx"))).alias("mx"), (F.col("to_y") - (b * x + a * y + F.col("dy"))).alias("my"))
+
+
+def mesh_field(features: DataFrame, width: float, height: float, cols: int, rows: int) -> DataFrame:
+    """(series_id, frame, r, c, vx, vy) of every vertex of a frame with features (x, y and their residual motion mx, my): the averaged median of those within a cell diagonal, 0 without any,
+    then the averaged median of the 3x3 neighbourhood. Features meet vertices through the grid cell they are in."""
     cw, ch = width / (cols - 1), height / (rows - 1)
     reach = float(np.hypot(cw, ch))
     span = lambda v, cell, n: F.sequence(F.greatest(F.lit(0), F.ceil((v - reach) / cell).cast("int")), F.least(F.lit(n - 1), F.floor((v + reach) / cell).cast("int")))
     f = features.withColumn("r", F.explode(span(F.col("y"), ch, rows))).withColumn("c", F.explode(span(F.col("x"), cw, cols)))
     near = f.filter(F.hypot(F.col("x") - F.col("c") * cw, F.col("y") - F.col("r") * ch) <= reach)
-    return near.groupBy("series_id", "frame", "r", "c").agg(stats.median_upper(F.col("mx")).alias("vx"), stats.median_upper(F.col("my")).alias("vy"), F.count("*").alias("n")).filter(F.col("n") >= least)
+    found = near.groupBy("series_id", "frame", "r", "c").agg(stats.median_average(F.col("mx")).alias("vx"), stats.median_average(F.col("my")).alias("vy"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    grid = features.select("series_id", "frame").distinct().withColumn("r", upto(rows)).withColumn("c", upto(cols))
+    first = grid.join(found, ["series_id", "frame", "r", "c"], "left").fillna(0.0, ["vx", "vy"])
+    return spatial_median(first, ("vx", "vy")).select("series_id", "frame", "r", "c", "vx", "vy")
+
+
+def _frames(frame: pd.DataFrame) -> pd.DataFrame:
+    return frame.sort_values("frame").reset_index(drop=True)
 
 
 def orientations(motion: DataFrame) -> DataFrame:
-    """Quaternions composed in frame order, from (series_id, frame, w, x, y, z); a null one is the identity. Order matters, so a series is folded in one task."""
+    """The orientation (series_id, frame, w, x, y, z) of every frame: the first is the identity, and each transition (frame k to k + 1) is composed onto the one before, new times old.
+
+    A transition that failed (``ok``, where there is that column) or has no quaternion turns nothing. Order matters, so a series is folded in one task; a series is one recording.
+    """
+    names = ["w", "x", "y", "z"]
+    rows = motion.select("series_id", "frame", *names, (F.coalesce(F.col("ok"), F.lit(False)) if "ok" in motion.columns else F.lit(True)).alias("ok"))
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("frame")
-        q, out = np.array([1.0, 0, 0, 0]), []
-        for row in frame[["w", "x", "y", "z"]].to_numpy():
-            if not np.isnan(row).any():
-                q = maths.q_mul(q, row)
+        frame = _frames(frame)
+        q = np.array([1.0, 0, 0, 0])
+        out = [q]
+        for row, ok in zip(frame[names].to_numpy(float), frame["ok"], strict=True):
+            if ok and not np.isnan(row).any() and np.linalg.norm(row) > 0:
+                q = maths.q_mul(row / np.linalg.norm(row), q)
                 q = q / np.linalg.norm(q)
             out.append(q)
-        return frame.assign(**dict(zip("wxyz", np.array(out).T, strict=True)))[["series_id", "frame", "w", "x", "y", "z"]]
+        at = np.append(frame["frame"].to_numpy(), frame["frame"].iloc[-1] + 1)
+        return pd.DataFrame({"series_id": frame["series_id"].iloc[0], "frame": at, **dict(zip(names, np.array(out).T, strict=True))})
+
+    return rows.groupBy("series_id").applyInPandas(fold, rows.select("series_id", "frame", *names).schema)
+
 
-    return motion.groupBy("series_id").applyInPandas(fold, motion.select("series_id", "frame", "w", "x", "y", "z").schema)
+def _mean_orientations(q: np.ndarray, k: np.ndarray, iterations: int, block: int = 4096) -> np.ndarray:
+    """For each row the weighted mean of its neighbours on the rotation group. Where the window hangs off an end, the neighbours' rotation vectors go on along the line fitted to those at that end."""
+    n, r = len(q), len(k) // 2
+    mean = q.copy()
+    inner = np.arange(r, n - r)
+    for a in range(0, len(inner), block):
+        rows = inner[a : a + block]
+        near = q[rows[:, None] + np.arange(-r, r + 1)]
+        m = q[rows]
+        for _ in range(iterations):
+            step = (maths.q_log(maths.q_mul(near, maths.q_conj(m)[:, None])) * k[None, :, None]).sum(1)
+            m = maths.q_mul(maths.q_exp(step), m)
+            m = m / np.linalg.norm(m, axis=1, keepdims=True)
+        mean[rows] = m
+    for i in [*range(min(r, n)), *range(max(r, n - r), n)]:
+        low, high = max(0, i - r), min(n - 1, i + r)
+        m = q[i]
+        for _ in range(iterations):
+            v = maths.extended(maths.q_log(maths.q_mul(q[low : high + 1], maths.q_conj(m)[None])), low - (i - r), i + r - high, r)
+            m = maths.q_mul(maths.q_exp((v * k[:, None]).sum(0)), m)
+            m = m / np.linalg.norm(m)
+        mean[i] = m
+    return mean
 
 
 def smooth_orientations(path: DataFrame, sigma: float, iterations: int = 2) -> DataFrame:
-    """Gaussian mean on the rotation group: at each frame the weighted mean of neighbours' rotation vectors in its tangent space, applied, twice over. Ends repeat."""
+    """Gaussian mean on the rotation group: at each frame the neighbours' rotation vectors relative to it are averaged and applied, twice over. Ends go on along a line (a steady turn)."""
     k = np.array(series.kernel(sigma))
-    r = len(k) // 2
 
     def smooth(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("frame")
-        q = frame[["w", "x", "y", "z"]].to_numpy()
-        at = np.clip(np.arange(len(q))[:, None] + np.arange(-r, r + 1), 0, len(q) - 1)
-        mean = q.copy()
-        for _ in range(iterations):
-            rel = maths.q_mul(maths.q_conj(mean)[:, None], q[at])
-            mean = maths.q_mul(mean, maths.q_exp((maths.q_log(rel) * k[None, :, None]).sum(1)))
-            mean = mean / np.linalg.norm(mean, axis=1, keepdims=True)
-        return frame.assign(**dict(zip("wxyz", mean.T, strict=True)))[["series_id", "frame", "w", "x", "y", "z"]]
+        frame = _frames(frame)
+        mean = _mean_orientations(frame[["w", "x", "y", "z"]].to_numpy(float), k, iterations)
+        return frame[["series_id", "frame"]].assign(**dict(zip("wxyz", mean.T, strict=True)))
 
     return path.groupBy("series_id").applyInPandas(smooth, path.select("series_id", "frame", "w", "x", "y", "z").schema)
 
 
-def perspective_paths(motion: DataFrame, sigma: float) -> DataFrame:
-    """Chains 3x3 matrices h (array of 9) in frame order, smooths their eight free channels, and gives the residual matrix of each frame."""
-    k = np.array(series.kernel(sigma))
+def perspective_paths(motion: DataFrame, sigma: float, strength: float = 1.0) -> DataFrame:
+    """The correction (series_id, frame, h) of every frame, from the residual 3x3 matrices h (array of 9, row by row) of the transitions.
+
+    Matrices are chained in frame order from the identity (a null one changes nothing), the eight free entries are smoothed as any channel (ends go on along a line), and what carries the
+    actual onto the smoothed one is blended with the identity: ``strength`` 1 is all of it, 0 or less gives no rows. A series is folded in one task; it is one recording.
+    """
+    if strength <= 0:
+        return motion.select("series_id", "frame", "h").limit(0)
+    k, part = np.array(series.kernel(sigma)), min(strength, 1.0)
     r = len(k) // 2
+    rows = motion.select("series_id", "frame", F.col("h").cast("array<double>").alias("h"))
+
+    def unit(m: np.ndarray) -> np.ndarray:
+        corner = m[..., 2:, 2:]
+        return np.where(corner == 0, m, m / np.where(corner == 0, 1, corner))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("frame")
-        m, out = np.eye(3), []
+        frame = _frames(frame)
+        m, out = np.eye(3), [np.eye(3)]
         for h in frame["h"]:
             if h is not None:
-                m = np.array(h, float).reshape(3, 3) @ m
-                m = m / m[2, 2]
+                m = unit(np.array(h, float).reshape(3, 3) @ m)
             out.append(m)
-        path = np.array(out).reshape(-1, 9)
-        at = np.clip(np.arange(len(path))[:, None] + np.arange(-r, r + 1), 0, len(path) - 1)
-        soft = (path[at] * k[None, :, None]).sum(1).reshape(-1, 3, 3)
-        res = soft @ np.linalg.inv(path.reshape(-1, 3, 3))
-        res = res / res[:, 2:, 2:]
-        return frame[["series_id", "frame"]].assign(h=[x.ravel().tolist() for x in res])
+        path = np.array(out)
+        wide = maths.extended(path.reshape(-1, 9), r, r, r)
+        soft = np.stack([np.convolve(wide[:, c], k[::-1], "valid") for c in range(9)], 1)
+        soft[:, 8] = 1.0
+        fix = unit(soft.reshape(-1, 3, 3) @ np.linalg.inv(path))
+        fix = unit(np.eye(3) + part * (fix - np.eye(3)))
+        at = np.append(frame["frame"].to_numpy(), frame["frame"].iloc[-1] + 1)
+        return pd.DataFrame({"series_id": frame["series_id"].iloc[0], "frame": at, "h": [x.ravel().tolist() for x in fix]})
 
-    return motion.groupBy("series_id").applyInPandas(run, motion.select("series_id", "frame", "h").schema)
+    return rows.groupBy("series_id").applyInPandas(run, rows.schema)
 
 
-def lens_sweep(pairs: DataFrame, focals: Iterator[float] | list[float], kinds: tuple[str, ...] = ("rectilinear", "equidistant", "equisolid", "stereographic"), width: int = 960, height: int = 540) -> DataFrame:
-    """For each candidate lens the median over pairs of the median angle left after the best rotation; the least wins, the first of equals.
+#: Focal lengths to try, as shares of the width, shortest first; the last stands for a flat lens.
+FOCAL_RATIOS = (0.20, 0.24, 0.28, 0.32, 0.36, 0.40, 0.44, 0.48, 0.52, 0.56, 0.62, 0.70, 0.80, 0.95, 1.15, 1.55, 2.10, 3.00)
 
-    pairs: (pair_id, fx, fy, tx, ty). A pair's points are fitted in one task; candidates are a fixed list.
+
+def lens_sweep(pairs: DataFrame, focals: list[float] | None = None, kinds: tuple[str, ...] = ("rectilinear", "equidistant", "equisolid", "stereographic"), width: int = 960, height: int = 540) -> DataFrame:
+    """(ord, kind, focal, flat, err) of each candidate lens: the upper median over pairs of the upper median distance, in pixels, between where the best rotation takes a point and where
+    it went. ``flat`` marks the longest focal length of a kind.
+
+    pairs: (pair_id, fx, fy, tx, ty). A pair's points are fitted in one task; candidates are a fixed list (``FOCAL_RATIOS`` of the width unless ``focals`` are given).
     """
-    candidates = [(i, k, float(f)) for i, (k, f) in enumerate((k, f) for k in kinds for f in focals)]
+    focals = focals or [ratio * width for ratio in FOCAL_RATIOS]
+    candidates = [(i, k, float(f), n == len(focals) - 1) for i, (k, n, f) in enumerate((k, n, f) for k in kinds for n, f in enumerate(focals))]
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for i, kind, focal in candidates:
-            a = maths.rays(frame["fx"].to_numpy(float) - width / 2, frame["fy"].to_numpy(float) - height / 2, kind, focal)
-            b = maths.rays(frame["tx"].to_numpy(float) - width / 2, frame["ty"].to_numpy(float) - height / 2, kind, focal)
-            rot = maths.fit_rotation(a, b)
-            left = np.sort(np.arccos(np.clip(((a @ rot.T) * b).sum(1), -1, 1)) * focal)
-            out.append((frame["pair_id"].iloc[0], i, kind, focal, float(left[len(left) // 2])))
-        return pd.DataFrame(out, columns=["pair_id", "ord", "kind", "focal", "err"])
-
-    each = pairs.groupBy("pair_id").applyInPandas(fit, f"pair_id {pairs.schema['pair_id'].dataType.simpleString()}, ord int, kind string, focal double, err double")
-    return each.groupBy("ord", "kind", "focal").agg(stats.median_upper(F.col("err")).alias("err"))
+        at = [frame[c].to_numpy(float) - (width if c[1] == "x" else height) / 2 for c in ("fx", "fy", "tx", "ty")]
+        for i, kind, focal, flat in candidates:
+            a, b = maths.rays(at[0], at[1], kind, focal), maths.rays(at[2], at[3], kind, focal)
+            x, y, ahead = maths.pixels(a @ maths.fit_rotation(a, b).T, kind, focal)
+            off = np.sort(np.hypot(x - at[2], y - at[3])[ahead])
+            if len(off):
+                out.append((frame["pair_id"].iloc[0], i, kind, focal, flat, float(off[len(off) // 2])))
+        return pd.DataFrame(out, columns=["pair_id", "ord", "kind", "focal", "flat", "err"])
+
+    each = pairs.groupBy("pair_id").applyInPandas(fit, f"pair_id {pairs.schema['pair_id'].dataType.simpleString()}, ord int, kind string, focal double, flat boolean, err double")
+    return each.groupBy("ord", "kind", "focal", "flat").agg(stats.median_upper("err").alias("err"))
+
+
+def similarity_errors(pairs: DataFrame) -> DataFrame:
+    """(pair_id, err): the upper median distance in pixels of a pair's points from their least-squares similarity, by sums alone."""
+    n, s = F.count("*"), lambda e: F.sum(e)
+    x, y, u, v = (F.col(c).cast("double") for c in ("fx", "fy", "tx", "ty"))
+    sums = pairs.groupBy("pair_id").agg(n.alias("n"), s(x).alias("x"), s(y).alias("y"), s(u).alias("u"), s(v).alias("v"), s(x * x + y * y).alias("q"), s(x * u + y * v).alias("c"), s(x * v - y * u).alias("d"))
+    g = lambda a: F.col(a)
+    den = g("q") - (g("x") * g("x") + g("y") * g("y")) / g("n")
+    a = (g("c") - (g("x") * g("u") + g("y") * g("v")) / g("n")) / F.nullif(den, F.lit(0.0))
+    b = (g("d") - (g("x") * g("v") - g("y") * g("u")) / g("n")) / F.nullif(den, F.lit(0.0))
+    fit = sums.select("pair_id", a.alias("_a"), b.alias("_b"), ((g("u") - a * g("x") + b * g("y")) / g("n")).alias("_tx"), ((g("v") - b * g("x") - a * g("y")) / g("n")).alias("_ty"))
+    off = pairs.join(fit, "pair_id").withColumn("_e", F.hypot(F.col("_a") * x - F.col("_b") * y + F.col("_tx") - u, F.col("_b") * x + F.col("_a") * y + F.col("_ty") - v))
+    return off.filter("_e IS NOT NULL").groupBy("pair_id").agg(stats.median_upper("_e").alias("err"))
 
 
 def best_lens(swept: DataFrame) -> DataFrame:
-    return swept.agg(F.min_by(F.struct("kind", "focal", "err"), F.struct("err", "ord")).alias("b")).select("b.*")
+    """kind, focal, err of the least error (the first of equals), and flat_err, that of the longest focal length of its kind."""
+    best = swept.agg(F.min_by(F.struct("kind", "focal", "err"), F.struct("err", "ord")).alias("b")).select("b.*")
+    flat = swept.filter("flat").select("kind", F.col("err").alias("flat_err"))
+    return best.join(F.broadcast(flat), "kind", "left")  # a row a kind
+
+
+def calibrated_lens(pairs: DataFrame, **sweep) -> DataFrame:
+    """One row: the best lens with its error, the flat one's, the similarity's (upper median over pairs) and the number of pairs."""
+    base = similarity_errors(pairs).agg(stats.median_upper("err").alias("similarity_err"))
+    count = pairs.agg(F.countDistinct("pair_id").alias("pairs"))
+    return best_lens(lens_sweep(pairs, **sweep)).crossJoin(F.broadcast(base)).crossJoin(F.broadcast(count))  # one row each
 
 
 def render_path(rotations: Column, perspective: Column, mesh: Column) -> Column:
@@ -203,17 +323,31 @@ def render_path(rotations: Column, perspective: Column, mesh: Column) -> Column:
     return F.when(rotations, "rotation").when(perspective, "homography").when(mesh, "mesh").otherwise("similarity")
 
 
-def rectifiers(motion: DataFrame, rho: float, height: int) -> DataFrame:
-    """kx, ky of each frame (one more than there are transitions): the mean motion of the transitions before and after it, or the one that was measured; null without either."""
-    moved = motion.select("series_id", "frame", F.when(F.col("ok"), F.col("dx")).alias("dx"), F.when(F.col("ok"), F.col("dy")).alias("dy"))
+def _between(motion: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """For each frame (one more than there are transitions) the mean of the values of the transitions before and after it, or the one that is there; null without either."""
+    moved = motion.select("series_id", "frame", *[v.cast("double").alias(n) for n, v in values.items()])
     ends = motion.groupBy("series_id").agg((F.max("frame") + 1).alias("frame"))
-    rows = moved.unionByName(ends.select("series_id", "frame", F.lit(None).cast("double").alias("dx"), F.lit(None).cast("double").alias("dy")))
+    rows = moved.unionByName(ends, allowMissingColumns=True)
     w = Window.partitionBy("series_id").orderBy("frame")
-    mean = lambda c: F.coalesce((F.lag(c).over(w) + F.col(c)) / 2, F.lag(c).over(w), F.col(c))
-    kx, ky = maths.rectifier(mean("dx"), mean("dy"), rho, height)
+    return rows.select("series_id", "frame", *[F.coalesce((F.lag(n).over(w) + F.col(n)) / 2, F.lag(n).over(w), F.col(n)).alias(n) for n in values])
+
+
+def rectifiers(motion: DataFrame, rho: float, height: int) -> DataFrame:
+    """kx, ky of each frame, from the mean motion of the transitions beside it; null without either."""
+    rows = _between(motion, {c: F.when(F.col("ok"), F.col(c)) for c in ("dx", "dy")})
+    kx, ky = maths.rectifier(F.col("dx"), F.col("dy"), rho, height)
     return rows.select("series_id", "frame", kx.alias("kx"), ky.alias("ky"))
 
 
+def rotation_rectifiers(motion: DataFrame, rho: float) -> DataFrame:
+    """rx, ry, rz of each frame: ``rho`` times the mean rotation vector of the transitions (series_id, frame, ok, w, x, y, z) beside it; 0 without either, no rows for a ratio of 0."""
+    log = maths.quaternion_log(F.struct("w", "x", "y", "z"))
+    usable = F.coalesce(F.col("ok"), F.lit(False)) & F.col("w").isNotNull()
+    rows = _between(motion, {n: F.when(usable, c) for n, c in zip(("rx", "ry", "rz"), (log["x"], log["y"], log["z"]), strict=True)})
+    out = rows.select("series_id", "frame", *[F.coalesce(F.col(n) * rho, F.lit(0.0)).alias(n) for n in ("rx", "ry", "rz")])
+    return out if rho else out.limit(0)
+
+
 def worst_margin(rects: DataFrame, width: int, height: int) -> DataFrame:
     return rects.groupBy("series_id").agg(F.coalesce(F.max(maths.rectifier_margin(F.col("kx"), F.col("ky"), width, height)), F.lit(0.0)).alias("margin"))
 
@@ -243,11 +377,13 @@ def implied_crop(stats_: DataFrame, width: int, height: int) -> DataFrame:
     return stats_.withColumn("crop", F.greatest(F.col("max_translation") / width, F.col("max_translation") / height))
 
 
-def rotation_corrections(path: DataFrame, sigma: float) -> DataFrame:
-    """What turns each orientation into the smoothed one, for sigma > 0: conj(orientation) times smoothed."""
+def rotation_corrections(path: DataFrame, sigma: float, reliable: bool = True) -> DataFrame:
+    """What turns each orientation into the smoothed one: smoothed times conj(orientation). Without smoothing (sigma 0 or less) or a reliable lens there is nothing to correct: no rows."""
+    if sigma <= 0 or not reliable:
+        return path.select("series_id", "frame", "w", "x", "y", "z").limit(0)
     soft = smooth_orientations(path, sigma).select("series_id", "frame", F.struct("w", "x", "y", "z").alias("s"))
     q = F.struct("w", (-F.col("x")).alias("x"), (-F.col("y")).alias("y"), (-F.col("z")).alias("z"))
-    return path.join(soft, ["series_id", "frame"]).select("series_id", "frame", maths.quaternion_product(q, F.col("s")).alias("q")).select("series_id", "frame", "q.*")
+    return path.join(soft, ["series_id", "frame"]).select("series_id", "frame", maths.quaternion_product(F.col("s"), q).alias("q")).select("series_id", "frame", "q.*")
 
 
 def rotation_zoom_plan(corr: DataFrame, kind: str, focal: float, width: int, height: int, sigma: float, cap: float = 0.0) -> DataFrame:

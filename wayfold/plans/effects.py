@@ -85,9 +85,9 @@ def slugs(effects: Iterable[Effect]) -> list[str]:
 
 
 def layout(mode: Column, portrait: Column, has_power: Column) -> Column:
-    """The layout of a display by what is asked for, orientation and whether there is power."""
+    """The layout of a display by what is asked for, orientation and whether there is power; ``auto``, and anything unknown, lets these two decide."""
     auto = F.when(portrait, "vertical").when(has_power, "default").otherwise("default-no-power")
-    return F.when(mode == "auto", auto).otherwise(mode)
+    return F.when(mode.isin("vertical", "default", "default-no-power", "time"), mode).otherwise(auto)
 
 
 def without(rows: Column, name: str) -> Column:

@@ -8,11 +8,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import maths, text
 from .operators import activity, alignment, batch, governance, series, stats, trajectory
+from .plans import effects
 from .sources import sinks
 from .streaming import sessions
 
@@ -63,10 +64,10 @@ def tag_scan(spark, d):
 
 
 @query("""
-SELECT l_shipdate AS frame_time, l_orderkey, l_linenumber, round(l_extendedprice / 1000, 3) AS x, l_returnflag = 'R' AS clamped FROM lineitem WHERE l_quantity > 49
+SELECT l_shipdate AS frame_time, l_orderkey, l_linenumber, round(l_extendedprice / 1000, 3) AS x, l_returnflag = 'R' AS clamped FROM lineitem
 """)
 def diagnostics_rows(spark, d):
-    return table(spark, d, "lineitem").filter("l_quantity > 49").select(F.col("l_shipdate").alias("frame_time"), "l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") / 1000, 3).alias("x"), (F.col("l_returnflag") == "R").alias("clamped"))
+    return table(spark, d, "lineitem").select(F.col("l_shipdate").alias("frame_time"), "l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") / 1000, 3).alias("x"), (F.col("l_returnflag") == "R").alias("clamped"))
 
 
 # --- series ---------------------------------------------------------------------
@@ -220,7 +221,7 @@ def heading_rates(spark, d):
 SELECT l_suppkey, list_sort(list(l_quantity))[(count(*) // 2) + 1] AS upper, median(l_quantity) AS average, list_sort(list(l_extendedprice))[least(count(*) - 1, count(*) * 90 // 100) + 1] AS p90 FROM lineitem GROUP BY 1
 """)
 def medians(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(stats.median_upper(F.col("l_quantity")).alias("upper"), stats.median_average(F.col("l_quantity")).alias("average"), stats.percentile_index(F.col("l_extendedprice"), 90).alias("p90"))
+    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(stats.median_upper("l_quantity").alias("upper"), stats.median_average(F.col("l_quantity")).alias("average"), stats.percentile_index("l_extendedprice", 90).alias("p90"))
 
 
 @query("SELECT l_returnflag, v AS median_upper FROM (SELECT l_returnflag, l_extendedprice AS v, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) - 1 AS r, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem) WHERE r = n // 2")
@@ -351,20 +352,101 @@ def spatial_median(spark, d):
     return trajectory.spatial_median(rows, ("vx",)).select("frame", "r", "c", "vx")
 
 
-@query("""
-WITH p AS (SELECT l_suppkey AS series_id, l_linenumber AS frame, (l_quantity * 19) % 960 AS x, (l_extendedprice) % 540 AS y, l_discount AS mx, l_tax AS my FROM lineitem), v AS (SELECT unnest(range(0, 4)) AS r), u AS (SELECT unnest(range(0, 5)) AS c)
-SELECT series_id, frame, r::INT AS r, c::INT AS c, list_sort(list(mx))[(count(*) // 2) + 1] AS vx, list_sort(list(my))[(count(*) // 2) + 1] AS vy, count(*) AS n FROM p, v, u WHERE sqrt((x - c * 240.0) * (x - c * 240.0) + (y - r * 180.0) * (y - r * 180.0)) <= 300 GROUP BY ALL
+def _observed(spark, d):
+    return _motion(spark, d).withColumn("shear", 0.4 * F.col("dy") + F.col("dx") / 7).withColumn("stretch", F.col("dx") / 5 - F.col("rotation") * 3)
+
+
+@query(f"""
+WITH {M}, o AS (SELECT *, 0.4 * dy + dx / 7 AS shear, dx / 5 - rotation * 3 AS stretch FROM m),
+p AS (SELECT series_id, frame, shear, stretch, ok, (lead(CASE WHEN ok THEN dx END) OVER w - lag(CASE WHEN ok THEN dx END) OVER w) / 2 AS px, (lead(CASE WHEN ok THEN dy END) OVER w - lag(CASE WHEN ok THEN dy END) OVER w) / 2 AS py
+      FROM o WINDOW w AS (PARTITION BY series_id ORDER BY frame)), b AS (SELECT * FROM p WHERE ok AND px IS NOT NULL AND py IS NOT NULL),
+k AS (SELECT series_id, sum(shear * px + stretch * py) / sum(px * px + py * py) AS k FROM b GROUP BY 1 HAVING count(*) >= 30),
+r AS (SELECT b.*, sqrt((shear - k * px) * (shear - k * px) + (stretch - k * py) * (stretch - k * py)) AS r FROM b JOIN k USING (series_id)),
+c AS (SELECT series_id, list_sort(list(r))[(count(*) // 2) + 1] * 1.4826 AS m FROM r GROUP BY 1), i AS (SELECT r.*, m <= 0 OR r <= 3 * m AS keep FROM r JOIN c USING (series_id)),
+f AS (SELECT series_id, count(*) FILTER (WHERE keep) < 30 AS all_ FROM i GROUP BY 1)
+SELECT series_id, round(sum(shear * px + stretch * py) / sum(px * px + py * py), 6) AS ratio, count(*) AS samples, round(sum(shear * px) / sum(px * px), 6) AS ratio_h, round(corr(shear, px), 6) AS corr_h,
+round(sum(stretch * py) / sum(py * py), 6) AS ratio_v, round(corr(stretch, py), 6) AS corr_v, round(list_sort(list(sqrt(px * px + py * py)))[(count(*) // 2) + 1], 6) AS median_accel FROM i JOIN f USING (series_id) WHERE keep OR all_ GROUP BY 1
+""")
+def readout_ratios(spark, d):
+    o = _observed(spark, d)
+    names = ("ratio", "ratio_h", "corr_h", "ratio_v", "corr_v", "median_accel")
+    return rounded(trajectory.readout_fit(o, o), *names).select("series_id", "samples", *names)
+
+
+_CELLS = """p AS (SELECT l_suppkey AS series_id, l_linenumber AS frame, (l_quantity * 19) % 960 AS x, (l_extendedprice) % 540 AS y, l_discount AS mx, l_tax AS my FROM lineitem), v AS (SELECT unnest(range(0, 4)) AS r), u AS (SELECT unnest(range(0, 5)) AS c),
+g AS (SELECT DISTINCT series_id, frame, r::INT AS r, c::INT AS c FROM p, v, u),
+n AS (SELECT series_id, frame, r::INT AS r, c::INT AS c, median(mx) AS vx, median(my) AS vy FROM p, v, u WHERE sqrt((x - c * 240.0) * (x - c * 240.0) + (y - r * 180.0) * (y - r * 180.0)) <= 300 GROUP BY ALL),
+f AS (SELECT g.*, coalesce(vx, 0) AS vx, coalesce(vy, 0) AS vy FROM g LEFT JOIN n USING (series_id, frame, r, c))"""
+
+
+@query(f"""
+WITH {_CELLS} SELECT a.series_id, a.frame, a.r, a.c, round(median(b.vx), 6) AS vx, round(median(b.vy), 6) AS vy FROM f a JOIN f b ON a.series_id = b.series_id AND a.frame = b.frame AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 GROUP BY ALL
 """)
 def mesh_field(spark, d):
     p = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("series_id"), F.col("l_linenumber").alias("frame"), ((F.col("l_quantity") * 19) % 960).alias("x"), (F.col("l_extendedprice") % 540).alias("y"), F.col("l_discount").alias("mx"), F.col("l_tax").alias("my"))
-    return trajectory.mesh_field(p, 960, 540, 5, 4)
+    return rounded(trajectory.mesh_field(p, 960, 540, 5, 4), "vx", "vy")
+
+
+def _turns(spark, d):
+    """Turns about two axes in turn, so that their order shows."""
+    even_, half = F.col("frame") % 2 == 0, F.col("rotation") * 2
+    return _motion(spark, d).select("series_id", "frame", "ok", F.cos(half).alias("w"), F.when(even_, F.sin(half)).otherwise(0.0).alias("x"), F.when(even_, 0.0).otherwise(F.sin(half)).alias("y"), F.lit(0.0).alias("z"))
+
+
+@query(f"""
+WITH RECURSIVE {M}, s AS (SELECT series_id, frame, ok, cos(rotation * 2) AS w, CASE WHEN frame % 2 = 0 THEN sin(rotation * 2) ELSE 0 END AS x, CASE WHEN frame % 2 = 0 THEN 0 ELSE sin(rotation * 2) END AS y FROM m),
+f AS (SELECT DISTINCT series_id, 0::BIGINT AS frame, 1::DOUBLE AS w, 0::DOUBLE AS x, 0::DOUBLE AS y, 0::DOUBLE AS z FROM s
+UNION ALL SELECT f.series_id, f.frame + 1, CASE WHEN ok THEN s.w * f.w - s.x * f.x - s.y * f.y ELSE f.w END, CASE WHEN ok THEN s.w * f.x + s.x * f.w + s.y * f.z ELSE f.x END,
+CASE WHEN ok THEN s.w * f.y - s.x * f.z + s.y * f.w ELSE f.y END, CASE WHEN ok THEN s.w * f.z + s.x * f.y - s.y * f.x ELSE f.z END FROM f JOIN s ON s.series_id = f.series_id AND s.frame = f.frame)
+SELECT series_id, frame, round(w, 6) + 0.0 AS w, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z FROM f
+""")
+def orientation_fold(spark, d):
+    return trajectory.orientations(_turns(spark, d)).select("series_id", "frame", *[(F.round(c, 6) + 0.0).alias(c) for c in "wxyz"])
 
 
 @query()
 def orientation_path(spark, d):
-    """Composed and smoothed quaternions; an ordered, non-commutative fold. Tests hold it against closed forms."""
-    q = _motion(spark, d).select("series_id", "frame", F.cos(F.col("rotation") / 2).alias("w"), F.lit(0.0).alias("x"), F.sin(F.col("rotation") / 2).alias("y"), F.lit(0.0).alias("z"))
-    return trajectory.smooth_orientations(trajectory.orientations(q), 4.0)
+    """What turns each orientation into the smoothed one; tests hold it against closed forms and a plain evaluation of the definition."""
+    return trajectory.rotation_corrections(trajectory.orientations(_turns(spark, d)), 4.0)
+
+
+@query()
+def perspective_corrections(spark, d):
+    """Corrections of chained matrices; tests hold them against a plain evaluation of the definition."""
+    small = lambda c: F.col(c) / 1000
+    h = maths.matrix([[1.0, 0.0, small("dx")], [0.0, 1.0, small("dy")], [small("rotation"), 0.0, 1.0]])
+    return trajectory.perspective_paths(_motion(spark, d).select("series_id", "frame", F.when(F.col("ok"), h).alias("h")), 4.0, 0.5)
+
+
+@query(f"""
+WITH {M}, e AS (SELECT series_id, frame, CASE WHEN ok THEN dx END AS dx, CASE WHEN ok THEN dy END AS dy FROM m UNION ALL SELECT series_id, max(frame) + 1, NULL, NULL FROM m GROUP BY 1),
+b AS (SELECT series_id, frame, coalesce((lag(dx) OVER w + dx) / 2, lag(dx) OVER w, dx) AS vx, coalesce((lag(dy) OVER w + dy) / 2, lag(dy) OVER w, dy) AS vy FROM e WINDOW w AS (PARTITION BY series_id ORDER BY frame))
+SELECT series_id, frame, round(0.3 * vx / 540, 9) AS kx, round(0.3 * vy / 540, 9) AS ky FROM b
+""")
+def row_rectifiers(spark, d):
+    return rounded(trajectory.rectifiers(_motion(spark, d), 0.3, 540), "kx", "ky", digits=9)
+
+
+@query(f"""
+WITH {M}, t AS (SELECT series_id, frame, ok, 4 * rotation AS a FROM m), e AS (SELECT series_id, frame, CASE WHEN ok AND frame % 2 = 0 THEN a WHEN ok THEN 0 END AS x, CASE WHEN ok AND frame % 2 = 1 THEN a WHEN ok THEN 0 END AS y FROM t UNION ALL SELECT series_id, max(frame) + 1, NULL, NULL FROM t GROUP BY 1)
+SELECT series_id, frame, round(coalesce(0.3 * coalesce((lag(x) OVER w + x) / 2, lag(x) OVER w, x), 0), 8) + 0.0 AS rx, round(coalesce(0.3 * coalesce((lag(y) OVER w + y) / 2, lag(y) OVER w, y), 0), 8) + 0.0 AS ry FROM e WINDOW w AS (PARTITION BY series_id ORDER BY frame)
+""")
+def rotation_rectifiers(spark, d):
+    out = trajectory.rotation_rectifiers(_turns(spark, d), 0.3)
+    return out.select("series_id", "frame", (F.round("rx", 8) + 0.0).alias("rx"), (F.round("ry", 8) + 0.0).alias("ry"))
+
+
+@query(f"""
+WITH {M} SELECT series_id, count(*) AS n, count(*) FILTER (WHERE NOT ok) AS failed, round(avg(frame % 50), 6) AS mean_tracked, round(avg(frame % 40), 6) AS mean_inliers, min(frame % 40) AS min_inliers, max(frame % 40) AS max_inliers FROM m GROUP BY 1
+""")
+def tracking_summary(spark, d):
+    rows = _motion(spark, d).withColumn("tracked", F.col("frame") % 50).withColumn("inliers", F.col("frame") % 40)
+    return rounded(trajectory.motion_summary(rows), "mean_tracked", "mean_inliers")
+
+
+@query(f"WITH {M} SELECT series_id, frame, dx FROM m WHERE frame % 7 = 0")
+def every_seventh(spark, d):
+    return trajectory.every_nth(_motion(spark, d), 7).select("series_id", "frame", "dx")
 
 
 # --- alignment ------------------------------------------------------------------------
@@ -398,9 +480,7 @@ def lag_peaks(spark, d):
 
 @query(f"WITH {_HOURLY}, {_PEAKS}, m AS (SELECT max(score) AS peak FROM p) SELECT round(avg((score >= peak)::INT), 6) AS null_share FROM s, m WHERE abs(tau) > 30")
 def lag_null_share(spark, d):
-    curve = _curve(spark, d)
-    peak = alignment.local_maxima(curve, 1.0).agg(F.max("score")).first()[0]
-    return rounded(alignment.null_share(curve, peak if peak is not None else float("inf")), "null_share")
+    return rounded(alignment.null_share(_curve(spark, d), 1.0), "null_share")
 
 
 @query()
@@ -495,10 +575,41 @@ def leak_check(spark, d):
     return governance.containing(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), table(spark, d, "benchmark").select(F.col("item_id").alias("needle_id"), F.col("text").alias("needle")))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+_FILES = """a AS (SELECT 'f' || c_nationkey AS file, c_custkey % 3 - 1 AS stream, CASE c_custkey % 5 WHEN 0 THEN 'creation_time' WHEN 1 THEN 'encoder' WHEN 2 THEN 'language' ELSE 'k' || c_custkey % 7 END AS key, CASE WHEN c_custkey % 11 = 0 THEN '' ELSE c_name END AS value FROM customer),
+b AS (SELECT 'f' || c_nationkey AS file, c_custkey % 2 - 1 AS stream, CASE c_custkey % 4 WHEN 0 THEN 'encoder' WHEN 1 THEN 'comment' ELSE 'x' || c_custkey % 3 END AS key, CASE WHEN c_custkey % 3 = 0 THEN 'at ' || c_name || '/' ELSE 'v' || c_custkey END AS value FROM customer),
+s AS (SELECT * FROM a WHERE value <> '' AND key <> 'language'), o AS (SELECT * FROM b WHERE NOT (key = 'encoder' AND stream < 0)),
+m AS (SELECT s.file, s.stream, s.key, o.value AS found FROM s JOIN o ON s.file = o.file AND contains(o.value, s.value))"""
+
+
+def _tagged(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Tags of sources and of outputs, a file for each nation."""
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    file = F.concat(F.lit("f"), F.col("c_nationkey").cast("string")).alias("file")
+    name = lambda stem, n: F.concat(F.lit(stem), (k % n).cast("string"))
+    source = c.select(file, (k % 3 - 1).alias("stream"), F.when(k % 5 == 0, "creation_time").when(k % 5 == 1, "encoder").when(k % 5 == 2, "language").otherwise(name("k", 7)).alias("key"), F.when(k % 11 == 0, "").otherwise(F.col("c_name")).alias("value"))
+    output = c.select(file, (k % 2 - 1).alias("stream"), F.when(k % 4 == 0, "encoder").when(k % 4 == 1, "comment").otherwise(name("x", 3)).alias("key"), F.when(k % 3 == 0, F.concat(F.lit("at "), "c_name", F.lit("/"))).otherwise(F.concat(F.lit("v"), k.cast("string"))).alias("value"))
+    return source, output
+
+
+@query(f"WITH {_FILES} SELECT DISTINCT file, stream, key FROM m")
+def survived_values(spark, d):
+    return governance.survived(*_tagged(spark, d))
+
+
+@query(f"WITH {_FILES} SELECT DISTINCT file, stream, key FROM o WHERE (file, value) NOT IN (SELECT file, found FROM m)")
 def unexpected_keys(spark, d):
-    keys = lambda name, key: table(spark, d, name).select(F.lit("out").alias("file"), F.lit(-1).alias("stream"), F.col(key).cast("string").alias("key"), F.lit("-").alias("value"))
-    return governance.unexpected(keys("customer", "c_custkey"), keys("orders", "o_custkey")).select(F.col("key").cast("long").alias("c_custkey"))
+    source, output = _tagged(spark, d)
+    return governance.unexpected(output, governance.matches(source, output).select("file", F.col("found").alias("value")).distinct())
+
+
+@query(f"WITH {_FILES} SELECT file, stream, key, value FROM s")
+def identifying_values(spark, d):
+    return governance.identifying(_tagged(spark, d)[0])
+
+
+@query(f"WITH {_FILES} SELECT file, count(*) AS n, string_agg(DISTINCT key, ', ' ORDER BY key) AS keys FROM s GROUP BY 1")
+def source_tags(spark, d):
+    return governance.summary(_tagged(spark, d)[0])
 
 
 def _jobs(spark, d) -> DataFrame:
@@ -515,11 +626,10 @@ def lpt_cost(spark, d):
     return j.select("l_orderkey", "l_linenumber", F.round(cost, 2).alias("cost"))
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders ORDER BY place LIMIT 100")
+@query("SELECT o_orderkey, o_totalprice FROM orders")
 def lpt_order(spark, d):
-    """The hundred costliest jobs in order: a top-k report."""
-    top = batch.longest_first(table(spark, d, "orders"), "o_totalprice", "o_orderkey").limit(100)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey")).cast("long")).select("o_orderkey", "place")
+    """All jobs, the costliest first; ``dispatch_order`` gives each its place."""
+    return batch.longest_first(table(spark, d, "orders"), "o_totalprice", "o_orderkey").select("o_orderkey", "o_totalprice")
 
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders")
@@ -537,11 +647,15 @@ def trim_windows(spark, d):
     return _jobs(spark, d).select("l_orderkey", "l_linenumber", w.alias("w")).select("l_orderkey", "l_linenumber", F.round("w.start", 6).alias("start"), F.round("w.end", 6).alias("end"), "w.status")
 
 
-@query("SELECT p_partkey, '/out/' || p_brand || ' - hud' || CASE WHEN k > 1 THEN ' - ' || (k - 1) ELSE '' END || '.mp4' AS path FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part) WHERE k <= 1001")
+_NAMED = "SELECT p_partkey, k, CASE WHEN k <= 1001 THEN '/out/' || p_brand || ' - hud' || CASE WHEN k > 1 THEN ' - ' || (k - 1) ELSE '' END || '.mp4' END AS path FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part)"
+
+
+@query(f"SELECT p_partkey, path, CASE WHEN path IS NULL THEN 'no free name' ELSE 'ok' END AS status FROM ({_NAMED})")
 def claimed_names(spark, d):
+    """A row for every job: the name it claims, or that none of a thousand was free."""
     jobs = table(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.lit("/out").alias("dir"), F.col("p_brand").alias("stem"), F.array(F.lit("hud")).alias("slugs"), F.lit(".mp4").alias("extension"))
     taken = spark.createDataFrame([("/out/none.mp4",)], "path string")
-    return batch.named(jobs, taken).filter("path IS NOT NULL").select(F.col("ord").alias("p_partkey"), "path")
+    return batch.named(jobs, taken).select(F.col("ord").alias("p_partkey"), "path", F.when(F.col("path").isNull(), "no free name").otherwise("ok").alias("status"))
 
 
 @query("SELECT p_partkey, CASE WHEN k <= 1001 THEN '/out/' || p_brand || ' - hud' || CASE WHEN k > 1 THEN ' - ' || (k - 1) ELSE '' END || '.mp4' END AS path FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part)")
@@ -621,5 +735,112 @@ def option_maps(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(maths.strength_to_sigma(F.col("l_discount") * 12 - 0.1), 6).alias("sigma"), r.alias("rotation"))
 
 
+@query("""
+WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 10 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT user_id, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM g) GROUP BY user_id, s
+""")
 def batch_sessions(spark: SparkSession, d: str) -> DataFrame:
-    return sessions.batch_sessions(table(spark, d, "events"), "user_id", "ts", "event_id", "value", 10 * HOUR)
+    return sessions.batch_sessions(table(spark, d, "events"), "user_id", "ts", "event_id", "value", 10 * HOUR).select(F.col("series_id").alias("user_id"), "n")
+
+
+# --- rules over literal cases: what is expected is written out by hand --------------------------------
+
+Cases = list[tuple[str, Callable[[], Column], str | None]]
+
+
+def _null(kind: str) -> Column:
+    return F.lit(None).cast(kind)
+
+
+def rules(cases: Callable[[], Cases]) -> None:
+    """Registers a query of (rule, result) over literal cases (rule, expression, expected); its SQL is the table of what is expected."""
+    value = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+    named = [(f"{i:02d} {rule}", make, expected) for i, (rule, make, expected) in enumerate(cases())]
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(rule).alias("rule"), make().cast("string").alias("result")) for rule, make, _ in named])
+        return spark.range(1).select(F.inline(each))
+
+    run.__name__ = cases.__name__
+    query("SELECT rule, result FROM (VALUES " + ", ".join(f"({value(rule)}, {value(expected)})" for rule, _, expected in named) + ") AS v(rule, result)")(run)
+
+
+L = F.lit
+IMPERIAL = text.Units.of("imperial")
+FLIGHT = text.Units.of("imperial", ["distance=nm", "speed=kn"])
+
+
+@rules
+def format_rules() -> Cases:
+    return [
+        ("fixed", lambda: text.fixed(L(2.675), 2), "2.67"), ("fixed", lambda: text.fixed(L(0.125), 2), "0.12"), ("fixed", lambda: text.fixed(L(2.5), 0), "2"), ("fixed", lambda: text.fixed(L(3.5), 0), "4"), ("fixed", lambda: text.fixed(L(-0.03), 0), "0"),
+        ("fixed", lambda: text.fixed(L(-1.005), 2), "-1.00"), ("fixed", lambda: text.fixed(L(1234567.891), 1), "1234567.9"), ("fixed", lambda: text.fixed(L(-0.06), 1), "-0.1"), ("fixed", lambda: text.fixed(_null("double"), 1), None),
+        ("axis", lambda: text.axis_label(L(900.0), L(900.0), 1), "900 m"), ("axis", lambda: text.axis_label(L(0.0), L(1000.0), 1), "0.0 km"), ("axis", lambda: text.axis_label(L(-30.0), L(2200.0), 1), "0.0 km"),
+        ("axis", lambda: text.axis_label(L(4828.032), L(4828.032), 1, IMPERIAL), "3.0 mi"), ("axis", lambda: text.axis_label(L(100.0), L(1600.0), 1, IMPERIAL), "328 ft"), ("axis", lambda: text.axis_label(L(18520.0), L(18520.0), 1, FLIGHT), "10.0 nm"),
+        ("readout", lambda: text.readout(L(12.4), L(100.0)), "12"), ("readout", lambda: text.readout(L(12400.0), L(42000.0)), "12.4"), ("readout", lambda: text.readout(L(1609.344), L(9000.0), IMPERIAL), "1.0"),
+        ("zero", lambda: text.reads_as_zero(L(200.0), L(41800.0), 0), "true"), ("zero", lambda: text.reads_as_zero(L(200.0), L(41800.0), 1), "false"),
+        ("elevation axis", lambda: F.array_join(text.elevation_axis_labels(L(0.0), L(42195.0)), " "), "0 km 42 km"), ("elevation axis", lambda: F.array_join(text.elevation_axis_labels(L(10200.0), L(12400.0)), " "), "10.2 km 12.4 km"),
+        ("elevation axis", lambda: F.array_join(text.elevation_axis_labels(L(200.0), L(42000.0)), " "), "0.2 km 42.0 km"), ("elevation axis", lambda: F.array_join(text.elevation_axis_labels(L(3.0), L(42003.0)), " "), "0 km 42 km"),
+        ("elevation", lambda: text.elevation_label(L(12.34), L(9.0)), "12.3 m"), ("elevation", lambda: text.elevation_label(L(12.34), L(30.0)), "12 m"), ("elevation", lambda: text.elevation_label(L(100.0), L(30.0), IMPERIAL), "328 ft"),
+        ("range", lambda: F.array_join(text.elevation_range_labels(L(10.0), L(10.5)), " "), "10.2 m"), ("range", lambda: F.array_join(text.elevation_range_labels(L(10.0), L(30.0)), " "), "30 m 10 m"),
+        ("heart rate", lambda: text.heart_rate(_null("int")), "-- bpm"), ("heart rate", lambda: text.heart_rate(L(142)), "142 bpm"), ("power", lambda: text.power(_null("double"), L(250.4)), "250 W"), ("power", lambda: text.power(L(260.0), L(250.0)), "260 W"), ("power", lambda: text.power(_null("double"), L(250.0), "developer"), "-- W"),
+        ("cadence", lambda: text.cadence(L(85), L("running")), "170 spm"), ("cadence", lambda: text.cadence(L(85), L("cycling")), "85 rpm"), ("cadence", lambda: text.cadence(_null("int"), L("walking")), "-- spm"),
+        ("speed", lambda: text.speed(L(2.5)), "9.0 km/h"), ("speed", lambda: text.speed(L(10.0)), "36 km/h"), ("speed", lambda: text.speed(_null("double"), "kn"), "-- kn"), ("pace", lambda: text.pace(L(1000 / 330)), "5:30/km"), ("pace", lambda: text.pace(L(0.0)), "--:--/km"),
+        ("incline", lambda: text.incline(L(0.0512)), "5.1%"), ("incline", lambda: text.incline(_null("double")), "--%"), ("gain and loss", lambda: F.array_join(text.gain_loss(L(123.4), L(50.6)), " "), "+123 m -51 m"),
+        ("gain and loss", lambda: F.array_join(text.gain_loss(L(100.0), L(0.0), IMPERIAL), " "), "+328 ft -0 ft"), ("rows", lambda: F.array_join(text.metric_rows(L("a"), L("b"), optional=(L(None).cast("string"), L("c"))), ","), "a,b,c"),
+        ("offset", lambda: text.signed_offset(L(3.5)), "+3.5s"), ("offset", lambda: text.signed_offset(L(-2.0)), "-2s"), ("offset", lambda: text.signed_offset(L(0.00025)), "+0.00025s"), ("offset", lambda: text.signed_offset(L(100.0)), "+100s"),
+        ("time", lambda: text.time_text(L(False), _null("double"), L(None).cast("timestamp")), "unset"), ("time", lambda: text.time_text(L(True), L(5025.0), L(None).cast("timestamp")), "5025s"), ("time", lambda: text.time_text(L(True), L(1.5), L(None).cast("timestamp")), "1.5s"),
+        ("path", lambda: text.swap_extension(L("/a/b.c.mov"), ".mp4"), "/a/b.c.mp4"), ("path", lambda: text.positional(L("-x.mp4")), "./-x.mp4"), ("path", lambda: text.positional(L("x.mp4")), "x.mp4"), ("path", lambda: text.escape_filter_path(L("a:b'c,d")), "a\\:b\\'c,d"),
+        ("log", lambda: text.quoted(L("a b")), '"a b"'), ("log", lambda: text.quoted(L("ab")), "ab"), ("log", lambda: text.quoted(L("")), '""'), ("name", lambda: text.output_name(L("clip"), F.array(L("x"), L("y")), L(".mp4"), L(2)), "clip - x - y - 2.mp4"),
+        ("offset literal", lambda: text.offset_seconds(L("+3.5")), "3.5"), ("offset literal", lambda: text.offset_seconds(L("auto")), None), ("zone", lambda: text.utc_offset(L("+05:30")), "19800"), ("zone", lambda: text.utc_offset(L("UTC-3")), "-10800"), ("zone", lambda: text.utc_offset(L("x")), None),
+        ("key", lambda: text.describe_key(L(-1), L("location")), "container tag location"), ("key", lambda: text.describe_key(L(2), L("title")), "stream 2 tag title"), ("percent", lambda: text.percent(L(1), L(3)), "33"), ("percent", lambda: text.percent(L(1), L(0)), "0"),
+        ("fps", lambda: text.frames_per_second(L(0.0)), "0"), ("fps", lambda: text.frames_per_second(L(9.94)), "9.9"), ("fps", lambda: text.frames_per_second(L(24.6)), "25"), ("rate", lambda: text.rational_rate(L("30000/0")), "0.0"), ("score", lambda: text.score_in(L("VMAF score: 97.5")), "97.5"), ("score", lambda: text.score_in(L("none")), None),
+    ]
+
+
+def _matrix_text(m: Column) -> Column:
+    return F.array_join(F.transform(m, lambda x: (F.round(x, 6) + 0.0).cast("string")), " ")
+
+
+@rules
+def number_rules() -> Cases:
+    near = lambda c: F.round(c, 6) + 0.0
+    shift = lambda x, y: maths.matrix([[1, 0, x], [0, 1, y], [0, 0, 1]])
+    third = lambda: maths.matrix([[2, 0, 0], [0, 4, 0], [0, 0, 1]])
+    turn = lambda: F.struct(L(0.8).alias("w"), L(0.0).alias("x"), L(0.6).alias("y"), L(0.0).alias("z"))
+    none = lambda: F.struct(_null("double").alias("w"), _null("double").alias("x"), _null("double").alias("y"), _null("double").alias("z"))
+    side = lambda p: F.concat_ws(",", p[0].cast("string"), p[1].cast("string"))
+    return [
+        ("frames", lambda: maths.presented_frames(L(100), L(3.0), L(30.0)), "90"), ("frames", lambda: maths.presented_frames(L(90), L(3.0), L(30.0)), "90"), ("frames", lambda: maths.presented_frames(L(None).cast("int"), L(3.0), L(30.0)), "0"),
+        ("display", lambda: side(maths.display_size(L(1920), L(1080), L(90))), "1080,1920"), ("display", lambda: side(maths.display_size(L(1920), L(1080), L(180))), "1920,1080"), ("rotation", lambda: maths.compose_rotation(L(90), L(180)), "270"),
+        ("strength", lambda: maths.strength_to_sigma(L(0.5)), "17.0"), ("strength", lambda: maths.strength_to_sigma(L(2.0)), "24.0"),
+        ("yaw", lambda: near(maths.yaw_rate(L(math.pi / 180), L(60.0), L(True))), "-60.0"), ("yaw", lambda: maths.yaw_rate(L(1.0), L(60.0), L(False)), "0.0"), ("yaw", lambda: near(maths.heading_rate(turn(), L(30.0), L(True))), str(round(-math.degrees(2 * math.atan2(0.6, 0.8)) * 30, 6))),
+        ("yaw", lambda: maths.heading_rate(none(), L(30.0), L(True)), "0.0"), ("zoom", lambda: near(maths.total_zoom(L(0.1), L(0.05), L(0.02))), "0.1781"), ("zoom", lambda: maths.total_zoom(L(0.0), L(0.0), L(0.0)), "0.0"),
+        ("focal", lambda: maths.scaled_focal(L(480.0), L(960.0), L(3840.0)), "1920.0"), ("distance", lambda: maths.current_distance(_null("double"), L(5.0), L(9.0)), "5.0"), ("distance", lambda: maths.current_distance(L(12.0), L(5.0), L(9.0)), "9.0"), ("distance", lambda: maths.current_distance(L(6.5), L(5.0), L(9.0)), "6.5"),
+        ("plot", lambda: maths.elevation_window(L(10.0), L(10.2))["base"], "9.6"), ("plot", lambda: maths.elevation_window(L(10.0), L(10.2))["range"], "1.0"), ("plot", lambda: maths.elevation_window(L(10.0), L(40.0))["base"], "10.0"), ("plot", lambda: maths.elevation_window(L(10.0), L(40.0))["range"], "30.0"),
+        ("axis", lambda: maths.axis_x(L(5.0), L(0.0), L(10.0), L(100.0), L(200.0)), "150.0"), ("matrix", lambda: _matrix_text(maths.matrix_product(shift(1, 2), shift(3, 4))), "1.0 0.0 4.0 0.0 1.0 6.0 0.0 0.0 1.0"),
+        ("matrix", lambda: _matrix_text(maths.matrix_inverse(third())), "0.5 0.0 0.0 0.0 0.25 0.0 0.0 0.0 1.0"), ("matrix", lambda: maths.matrix_inverse(maths.matrix([[1, 2, 3], [2, 4, 6], [0, 0, 1]])).isNull(), "true"),
+        ("matrix", lambda: _matrix_text(maths.matrix_unit(maths.matrix([[2, 0, 4], [0, 2, 6], [0, 0, 2]]))), "1.0 0.0 2.0 0.0 1.0 3.0 0.0 0.0 1.0"), ("matrix", lambda: _matrix_text(maths.matrix_rescaled(maths.matrix([[1, 0, 3], [0, 1, 5], [0.25, 0.5, 1]]), 4.0)), "1.0 0.0 12.0 0.0 1.0 20.0 0.0625 0.125 1.0"),
+        ("residual", lambda: _matrix_text(maths.perspective_residual(L(1.0), L(0.0), L(2.0), L(3.0), shift(2, 3))), "1.0 0.0 0.0 0.0 1.0 0.0 0.0 0.0 1.0"),
+        ("residual", lambda: _matrix_text(maths.perspective_residual(L(0.0), L(2.0), L(0.0), L(0.0), maths.matrix([[0, -2, 0], [2, 0, 0], [0.1, 0, 1]]))), "1.0 0.0 0.0 0.0 1.0 0.0 0.1 0.0 1.0"),
+        ("field of view", lambda: near(maths.field_of_view("rectilinear", 480.0, 960.0)), "90.0"), ("field of view", lambda: near(maths.field_of_view("equidistant", 480.0, 960.0)), str(round(math.degrees(2.0), 6))),
+        ("energy", lambda: near(alignment.energy(L(81.0), L(9.0))), str(round(81 / (4 * math.sqrt(math.pi)), 6))), ("energy", lambda: alignment.energy(L(0.0), L(9.0)), "0.0"), ("turn", lambda: alignment.turn_per_minute(L(90.0), L(12.0)), "450.0"), ("turn", lambda: alignment.turn_per_minute(L(90.0), L(0.0)), "0.0"),
+        ("edge", lambda: alignment.edge_warning(L(1.0), L(7.0), L(60.0)), "start"), ("edge", lambda: alignment.edge_warning(L(20.0), L(59.0), L(60.0)), "end"), ("edge", lambda: alignment.edge_warning(L(20.0), L(26.0), L(60.0)), ""), ("edge", lambda: alignment.edge_warning(L(0.0), L(0.0), L(60.0)), ""),
+    ]
+
+
+@rules
+def plan_rules() -> Cases:
+    spot = lambda anchor: F.concat_ws(",", *[effects.anchored(L(anchor), L(100), L(50), L(4))[c].cast("double").cast("string") for c in "xy"])
+    return [
+        ("layout", lambda: effects.layout(L("auto"), L(True), L(True)), "vertical"), ("layout", lambda: effects.layout(L("auto"), L(False), L(False)), "default-no-power"), ("layout", lambda: effects.layout(L("time"), L(True), L(True)), "time"), ("layout", lambda: effects.layout(L("surprise"), L(False), L(True)), "default"),
+        ("readout", lambda: effects.readout(L(0.5), L(0.3), L(True)), "0.5"), ("readout", lambda: effects.readout(L(7.0), L(0.3), L(True)), "0.3"), ("readout", lambda: effects.readout(_null("double"), L(0.3), L(False)), "0.0"),
+        ("anchor", lambda: spot("top-left"), "4.0,4.0"), ("anchor", lambda: spot("bottom-right"), "96.0,46.0"), ("anchor", lambda: spot("middle"), "50.0,25.0"),
+        ("subtitle", lambda: effects.embeds_subtitle(L(".mp4"), L(True)), "true"), ("subtitle", lambda: effects.embeds_subtitle(L(".mkv"), L(True)), "false"), ("trim", lambda: effects.trim_extension(L("a.MOV")), ".mov"), ("trim", lambda: effects.trim_extension(L("a.mkv")), ".mp4"),
+        ("start", lambda: effects.start_survives(L(0.0), L(False), L(".mkv")), "true"), ("start", lambda: effects.start_survives(L(2.0), L(False), L(".mkv")), "false"), ("start", lambda: effects.start_survives(L(2.0), L(True), L(".mkv")), "true"),
+        ("yaw", lambda: effects.yaw_check(L(-0.1), L(500.0), L(500.0)), "error"), ("yaw", lambda: effects.yaw_check(L(0.1), L(1200.0), L(500.0)), "warning"), ("yaw", lambda: effects.yaw_check(L(0.1), L(600.0), L(500.0)), "ok"),
+        ("fallback", lambda: effects.falls_back(L("auto"), L(False)), "true"), ("fallback", lambda: effects.falls_back(L("vertical"), L(False)), "false"), ("fallback", lambda: effects.falls_back(L("auto"), L(True)), "false"),
+        ("render", lambda: trajectory.render_path(L(True), L(True), L(False)), "rotation"), ("render", lambda: trajectory.render_path(L(False), L(False), L(True)), "mesh"), ("render", lambda: trajectory.render_path(L(False), L(False), L(False)), "similarity"),
+        ("instant", lambda: batch.instant_seconds(L(5_500_000), L(1_000_000), L(500_000)), "4.0"), ("bounds", lambda: batch.valid_bounds(L("relative"), L("absolute"), L(5.0), L(1.0)), "true"), ("bounds", lambda: batch.valid_bounds(L("relative"), L("relative"), L(5.0), L(1.0)), "false"),
+        ("calibration", lambda: batch.calibration_start(L(-1.0), L(10.0))["start"], "0.0"), ("calibration", lambda: batch.calibration_start(L(11.0), L(10.0))["status"], "outside"),
+    ]

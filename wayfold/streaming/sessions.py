@@ -139,7 +139,7 @@ def calibrated_whole_batch(rows: DataFrame, need: int = 200) -> DataFrame:
 
     usable = rows.filter("frame IS NOT NULL")
     n = usable.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy("frame")))
-    level = n.filter(F.col("_r") <= need).groupBy(F.col("key").alias("_key")).agg(median_upper(F.col("value")).alias("level"), (F.count("*") >= need).alias("reliable"))
+    level = n.filter(F.col("_r") <= need).groupBy(F.col("key").alias("_key")).agg(median_upper("value").alias("level"), (F.count("*") >= need).alias("reliable"))
     return usable.join(level, F.col("key").eqNullSafe(F.col("_key"))).drop("_key")
 
 
@@ -150,5 +150,5 @@ def calibrated_batch(rows: DataFrame, need: int = 200) -> DataFrame:
     from ..operators.stats import median_upper
 
     n = rows.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy("frame")))
-    level = n.filter(F.col("_r") <= need).groupBy("key").agg(median_upper(F.col("value")).alias("level"), F.count("*").alias("_n")).filter(F.col("_n") >= need).drop("_n")
+    level = n.filter(F.col("_r") <= need).groupBy("key").agg(median_upper("value").alias("level"), F.count("*").alias("_n")).filter(F.col("_n") >= need).drop("_n")
     return rows.join(level, "key")
