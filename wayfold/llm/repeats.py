@@ -5,16 +5,16 @@ Every byte covered by a ``LENGTH``-byte string that also starts elsewhere in the
 1. Each window of LENGTH bytes is dealt to the place of the least hash among its ``GRAM``-byte grams, which its content alone decides. The windows
    dealt to one place are consecutive: a *context* is the text they cover. Two equal windows have places with equal grams, so only contexts whose
    gram occurs twice matter; they are counted, with partial aggregation, by a hash of the gram.
-2. Different contexts, with the number of their occurrences, are brought together by gram in collections of bounded size. A context that occurs more than once stands in its collection
-   twice, so that the index itself finds what it repeats; more copies would find nothing more.
+2. Different contexts, each with the number of its occurrences, are brought together by gram in collections of bounded size. A collection holds a context once: its copies would add nothing
+   but equal suffixes, so a context that occurs several times is an entry with that multiplicity, and a suffix of it matches the whole rest of it.
 3. For each collection a Burrows-Wheeler transform is built (suffixes ranked by doubling) and held as runs, with the suffix-array samples at the run
    ends. Only there are matches with the neighbouring suffixes measured; matching statistics of all other places follow by
    streaming through the text, as within a run a match is one shorter than at the place before. A place with LENGTH or more starts a repeated window. Each window is
    whole in one place of a context only, so a match never is with itself.
 4. The marked windows go back to all occurrences of their contexts, are merged for each text, and cut.
 
-Hashes only bring together what may be equal (counts of grams, occurrences of contexts); which windows are repeated is what the index says, but for one case: a gram with more than ``CROWD``
-different contexts would outgrow a collection, and its windows are counted by a 128-bit hash instead, each window a row, which spreads over tasks and is as exact.
+Texts are told apart by hashes only where 128 bits (of gram and context) say that two contexts are one; which windows different contexts share is what the index says, but for one case: a gram
+with more than ``CROWD`` different contexts would outgrow a collection, and its windows are counted by a 128-bit hash instead, each window a row, which spreads over tasks and is as exact.
 
 Defined cases: null text is empty; texts under LENGTH bytes lose nothing; windows never cross texts; rows that share a doc_id are texts of
 their own (two rows with one long text are copies of each other); a null doc_id is kept; an empty table gives no rows; a text of any length is looked through whole, in stretches; other columns aren't read.
@@ -181,17 +181,17 @@ def matching_statistics(text: np.ndarray, most: int) -> np.ndarray:
 
 
 def repeated_starts(found: list[bytes], starts: list[int], twice: list[bool] | None = None, length: int = LENGTH) -> list[list[tuple[int, int]]]:
-    """For each context (its number of starts given) the runs (first, last) of starts whose window occurs in another context or start, or once more because the context does (``twice``)."""
+    """For each context (its number of starts given) the runs (first, last) of starts whose window occurs in another context or start, or again with its whole context (``twice``: multiplicity over one)."""
     if not found:
         return []
-    whole = found + [c for c, t in zip(found, twice or [], strict=bool(twice)) if t]
-    sizes = np.array([len(c) for c in whole])
-    text = np.frombuffer(bytes([END]).join(whole) + bytes([END]), np.uint8)
+    sizes = np.array([len(c) for c in found])
+    text = np.frombuffer(bytes([END]).join(found) + bytes([END]), np.uint8)
     begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     match = matching_statistics(text, int(sizes.max()))
     out = []
-    for b, size, n in zip(begin[: len(found)].tolist(), sizes[: len(found)].tolist(), starts, strict=True):
-        good = np.minimum(match[b : b + n], size - np.arange(n)) >= length
+    for b, size, n, several in zip(begin.tolist(), sizes.tolist(), starts, twice or [False] * len(found), strict=True):
+        rest = size - np.arange(n)
+        good = (rest if several else np.minimum(match[b : b + n], rest)) >= length
         edge = np.flatnonzero(np.diff(np.concatenate([[0], good.astype(np.int8), [0]])))
         out.append(list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True)))
     return out
@@ -282,17 +282,18 @@ def repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
         rows = rows.withColumn("ref", F.coalesce("doc_id", F.lit(-(1 << 63))))
     else:
         rows = common.stored(rows.withColumn("ref", F.monotonically_increasing_id()), "numbered-texts")
-    every = rows.filter(F.octet_length("text") >= LENGTH).select("ref", "text").mapInArrow(_find, "ref long, place long, gram long, ctx long")
+    every = common.stored(rows.filter(F.octet_length("text") >= LENGTH).select("ref", "text").mapInArrow(_find, "ref long, place long, gram long, ctx long"), "all-contexts")
     twice = common.stored(every.groupBy("gram").count().filter("count > 1").select("gram"), "repeated-grams")
     held = common.stored(every.join(twice, "gram").select("ref", "place", "gram", "ctx"), "contexts")
+    common.release(spark, begun, (rows, held))
     _freed(spark)
     # different contexts, how often each occurs, and how many there are of each gram
     distinct = common.stored(held.groupBy("gram", "ctx").agg(F.count("*").alias("m"), F.first("ref").alias("ref"), F.first("place").alias("place")), "different-contexts")
     crowded = common.stored(distinct.groupBy("gram").count().filter(F.col("count") > crowd).select("gram"), "crowded-grams")
     _freed(spark)
-    asked = distinct.select("ref", F.struct("place", "gram", "ctx", (F.col("m") > 1).alias("twice")).alias("w"), "gram", "m")
+    asked = distinct.select("ref", F.struct("place", "gram", "ctx", (F.col("m") > 1).alias("twice")).alias("w"), "gram")
     wanted = asked.join(crowded, "gram", "left_anti")
-    total = wanted.agg(F.sum((F.col("w.place").bitwiseAND(F.lit(255)) + LENGTH) * F.least("m", F.lit(2)))).first()[0] or 0
+    total = wanted.agg(F.sum(F.col("w.place").bitwiseAND(F.lit(255)) + LENGTH)).first()[0] or 0
 
     def texts_of(some: DataFrame) -> DataFrame:
         ask = some.groupBy("ref").agg(F.collect_list("w").alias("wanted"))
