@@ -100,6 +100,44 @@ def test_fingerprints_contract(spark, tmp_path, docs):
     assert got[11]["near_edited"] > 0.6 > got[11]["near_next"]
 
 
+def test_likeness_of_texts_without_blanks_of_runs_and_of_short_texts(spark, tmp_path, none):
+    r = random.Random(4)
+    wide = lambda n: "".join(chr(r.randint(0x4E00, 0x9000)) for _ in range(n))
+    rows = [(1, wide(401)), (2, wide(300)), (3, prose(80)), (4, ("die " * 300).strip()), (5, prose(90)), (6, "That it."), (6, "That it."), (7, "another one")]
+    df = spark.createDataFrame(rows, DOCS)
+    for c in ("row", "id", "n_chars", "fp_text"):
+        df = df.withColumn(c, pa_lit())
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = fingerprints.op2_multiset_fingerprints(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and not [(x["doc_id"], x["near_edited"]) for x in got if x["near_edited"] <= (0.4 if x["n_chars"] > 50 else 0.1)] and not [(x["doc_id"], x["near_next"]) for x in got if x["near_next"] >= 0.4 and x["doc_id"] < 6]
+    assert len({x["fingerprint"] for x in got if x["doc_id"] == 6}) == 1
+    none.write.parquet(str(tmp_path / "empty" / "documents.parquet"))
+    assert fingerprints.op2_multiset_fingerprints(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_fingerprints_match_a_plain_sum(spark):
+    """Lanes against their definition: uniform words of every paragraph's key, and a sign for each bit of every pair's hash."""
+    from pyspark.sql import functions as F
+
+    texts = ["", "one two\none two", prose(40) + "\n" + "x" * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    got = {x["k"]: x["f"] for x in fingerprints.fingerprints(df, ["text"], ["k"]).select("k", F.lower(F.hex("fp_text")).alias("f")).collect()}
+    for k, t in enumerate(texts):
+        equal, like = [0] * 16, [0] * 64
+        for p in t.split("\n"):
+            key = hashlib.sha256(p.encode()).hexdigest()
+            lanes = spark.range(1).select(*[F.xxhash64(F.lit(i), F.lit(key)) for i in range(16)]).first()
+            equal = [(a + ((b & (1 << 64) - 1) >> 32)) % 2**32 for a, b in zip(equal, lanes, strict=True)]
+            pieces = re.findall("[^ ]{1,%d}" % (1 if len(p) < 24 else 8), p)
+            ahead = [*pieces, None, None]
+            for i, a in enumerate(pieces):
+                place = i if a in ahead[i + 1 : i + 3] else None
+                h = spark.range(1).select(F.xxhash64(F.lit(a), F.lit(ahead[i + 1]).cast("string"), F.lit(place).cast("int"))).first()[0]
+                for j in range(64):
+                    like[j] += 1 if (h >> (j % 16 + 16 * (j // 16))) & 1 else -1
+        assert got[k] == "".join(f"{x:08x}" for x in equal) + "".join(f"{x % (1 << 20):05x}" for x in like)
+
+
 def test_fingerprints_take_paragraphs_in_and_out(spark):
     from pyspark.sql import functions as F
 

@@ -7,7 +7,8 @@ or taken out by adding or subtracting its vector (``insert``, ``delete``).
 The vector has two parts. ``EQUAL`` lanes modulo 2**32 are uniform words of a SHA-256-keyed hash of the whole paragraph: equal
 fingerprints mean equal multisets. ``LIKE`` lanes modulo 2**20 sum a sign for each piece of the paragraph together with the piece after it, so that the difference
 of two fingerprints estimates how many such pairs the texts don't share: the likeness is 1 - |a - b|^2 / (|a|^2 + |b|^2), within 0 and 1. Pieces are the words of a paragraph, those of
-more than ``PIECE`` code points cut; so a text without blanks has pieces as any other.
+more than ``PIECE`` code points cut, so that a text without blanks has pieces as any other; single letters in a paragraph of under ``SHORT`` code points. A piece that is said over and
+over is told by its place too: as one element many times over its square would outweigh the rest.
 
 Defined cases: null text counts as empty; a null doc_id comes first (as the least number); of rows that share a doc_id each gets its fingerprint, and the one
 with the least opening stands for "the next document" of the id before; repeated rows get equal fingerprints, each its own row; an empty table gives no rows, and a lone document is its own
@@ -28,7 +29,7 @@ SUMS = LIKE // 4
 #: Four 16-bit fields of a long; a chunk of elements is short enough not to carry from one to the next.
 FIELDS, CHUNK = 0x0001000100010001, 32768
 MAX_BUCKETS = 256
-PIECE = 8
+PIECE, SHORT = 8, 24
 #: Stands for a null doc_id where rows are joined.
 NO_ID = -(1 << 63)
 
@@ -85,9 +86,15 @@ def _equal_lanes(text: Column) -> Column:
 
 
 def _pairs(text: Column) -> Column:
-    """A hash for each piece of each paragraph with the piece after it (the last with none)."""
-    pieces = F.transform(F.split(text, "\n", -1), lambda p: F.regexp_extract_all(p, F.lit("[^ ]{1,%d}" % PIECE), F.lit(0)))
-    return F.flatten(F.transform(pieces, lambda q: F.zip_with(q, F.slice(q, F.lit(2), F.size(q)), lambda a, b: F.xxhash64(a, b))))
+    """A hash for each piece of each paragraph with the piece after it (the last with none), and with its place where it comes again at once or after one other."""
+    cut = lambda p, most: F.regexp_extract_all(p, F.lit("[^ ]{1,%d}" % most), F.lit(0))
+    pieces = F.transform(F.split(text, "\n", -1), lambda p: F.when(F.length(p) < SHORT, cut(p, 1)).otherwise(cut(p, PIECE)))
+
+    def pair(q: Column, a: Column, i: Column) -> Column:
+        after = F.get(q, i + 1)
+        return F.xxhash64(a, after, F.when((a == after) | (a == F.get(q, i + 2)), i))
+
+    return F.flatten(F.transform(pieces, lambda q: F.transform(q, lambda a, i: pair(q, a, i))))
 
 
 def _doubled(lanes: Column) -> list[Column]:
