@@ -316,6 +316,13 @@ def test_matching_statistics_are_exact():
 
 # --- 6 and 9 -----------------------------------------------------------------------------
 
+def ids_by_library(text):
+    """Ids by the untouched library, with the end id."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokens.default_path()).encode(text or "", add_special_tokens=False).ids + [0]
+
+
 def ids_of(text):
     from tokenizers import Tokenizer
 
@@ -336,6 +343,18 @@ def test_encoder_equals_the_library():
         assert flat[ends[i] : ends[i + 1]].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids + [0]
 
 
+def test_long_texts_are_encoded_in_stretches():
+    encoder = tokens.Encoder(tokens.default_path())
+    r = random.Random(3)
+    raw = [t.encode() for t in ("", prose(900, r), "x" * 700, prose(40, r) + "\n\n" + "日本" * 200 + prose(200, r), "", "ab  cd " * 90, "y" * 30 + " " + "z" * 900)]
+    at = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    d = np.frombuffer(b"".join(raw), np.uint8)
+    whole = encoder.encode(d, at, 0)
+    for stretch in (64, 200, 1000):
+        part = encoder.encode(d, at, 0, stretch)
+        assert (whole[0] == part[0]).all() and (whole[1] == part[1]).all()
+
+
 def test_special_tokens_are_those_of_the_untouched_library():
     from tokenizers import Tokenizer
 

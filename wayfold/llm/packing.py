@@ -3,7 +3,11 @@
 Documents become pieces of at most ``capacity`` ids; pieces are dealt over partitions of bounded size and packed best-fit
 decreasing. Dual feasible functions bound from below how many bins any packing of a partition's lengths needs. A partition whose
 bins meet its bound is certified. Bins with room from partitions that aren't, and the emptiest bin of every other, give their
-documents back; these are dealt anew over fewer partitions and packed again, until the corpus as a whole meets its bound or a round gains nothing.
+documents back; these are dealt anew over fewer partitions and packed again, until the corpus as a whole meets its bound, a round gains nothing (what was given back then stays as it was) or
+``ROUNDS`` exchanges are done.
+
+Defined cases: null text counts as empty, a piece of one end id; a null doc_id and rows that share a doc_id or are repeated are documents of their own; ties in length are broken by doc_id,
+piece and checksum; an empty table gives no rows; a text of any length is encoded whole, in stretches, and cut; columns besides doc_id and text aren't read.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import common, tokens
 
-CAPACITY = 2048
+CAPACITY, ROUNDS = 2048, 4
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", part long, bin long, offset long, fill long, certified boolean"
 
@@ -97,7 +101,7 @@ def _packed(frame: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return frame.assign(bin=b, offset=off, fill=fill[b], certified=len(fill) == lower_bound(np.bincount(n, minlength=capacity + 1), capacity))
 
 
-def pack(rows: DataFrame, capacity: int = CAPACITY, per_part: int = 65_536, rounds: int = 4) -> DataFrame:
+def pack(rows: DataFrame, capacity: int = CAPACITY, per_part: int = 65_536, rounds: int = ROUNDS) -> DataFrame:
     """``rows`` (see PIECES) with sequence_id and offset. ``per_part`` bounds what one task packs; ``rounds`` the exchanges."""
     spark = rows.sparkSession
     counts = np.zeros(capacity + 1, np.int64)
@@ -107,24 +111,29 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, per_part: int = 65_536, roun
     full = rows.filter(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     open_, done = rows.filter(F.col("length") < capacity), []
     n = int(counts[:capacity].sum())
+    given, given_bins = None, 0
     for k in range(rounds + 1):
         if not n:
             break
         parts = max(1, math.ceil(n / per_part))
         dealt = open_.withColumn("part", F.pmod(F.xxhash64(F.lit(k), "doc_id", "piece", "start", "ids_crc32"), F.lit(parts)))
-        packed = common.stored(dealt.groupBy("part").applyInPandas(lambda f: _packed(f, capacity), PACKED), f"packed-{k}")
+        packed = common.stored(dealt.groupBy("part").applyInPandas(lambda f: _packed(f, capacity), PACKED), f"packed-{k}").withColumn("round", F.lit(k))
         per = packed.select("part", "bin", "fill", "certified").distinct()
-        low = per.groupBy("part").agg(F.count("*").alias("bins"), F.min(F.when(F.col("fill") < capacity, F.col("fill"))).alias("low"))
-        total = low.agg(F.sum("bins")).first()[0] + best
-        if k == rounds or parts == 1 or total <= least:
-            done.append(packed.withColumn("round", F.lit(k)))
+        low = common.stored(per.groupBy("part").agg(F.count("*").alias("bins"), F.min(F.when(F.col("fill") < capacity, F.col("fill"))).alias("low")), "bins")
+        bins = low.agg(F.sum("bins")).first()[0]
+        if given is not None and bins >= given_bins:
+            done.append(given)
+            break
+        if k == rounds or parts == 1 or bins + best <= least:
+            done.append(packed)
             break
         # what has room in partitions without a certificate, and the emptiest bins of the others
-        back = (F.col("fill") < capacity) & (~F.col("certified") | (F.col("fill") <= F.col("low")))
-        marked = packed.join(F.broadcast(low.select("part", "low")), "part") if parts <= 10_000 else packed.join(low.select("part", "low"), "part")
-        done.append(marked.filter(~F.coalesce(back, F.lit(False))).drop("low").withColumn("round", F.lit(k)))
-        open_ = marked.filter(back).select("doc_id", "piece", "start", "length", "ids_crc32")
-        n = open_.count()
+        back = F.coalesce((F.col("fill") < capacity) & (~F.col("certified") | (F.col("fill") <= F.col("low"))), F.lit(False))
+        marked = common.joined(packed, low.select("part", "low"), "part")
+        done.append(marked.filter(~back).drop("low"))
+        given = marked.filter(back).drop("low")
+        open_ = given.select("doc_id", "piece", "start", "length", "ids_crc32")
+        n, given_bins = open_.count(), given.select("part", "bin").distinct().count()
         best += done[-1].select("part", "bin").distinct().count()
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     out = full.select(names)

@@ -9,6 +9,9 @@ Each shard holds a range of documents in ascending doc_id order and is four file
 
 The hash is a cascade of bit arrays: a key's bit at a level is set if no other remaining key falls there; the rest go on to the
 next level. The rank of its bit is the key's slot. A stored fingerprint tells a foreign key from a stored one.
+
+Defined cases: null text counts as empty (the end id alone); a null doc_id comes first; rows that share a doc_id follow each other by text, repeated rows each with ids of their own; an empty
+table writes nothing and reads nothing; a text of any length is encoded whole, in stretches; columns besides doc_id and text aren't read.
 """
 
 from __future__ import annotations
@@ -109,7 +112,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
     """
     path = tokenizer or tokens.default_path()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
-    rows = rows.repartitionByRange(partitions or common.partitions_for(rows, 64), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # a doc_id with very many rows is cut by the beginnings of its texts, which order them as the texts do
+    rows = rows.repartitionByRange(partitions or common.partitions_for(rows, 64), F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 32)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

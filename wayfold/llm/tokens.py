@@ -18,6 +18,8 @@ from . import common
 
 DEFAULT_FILE = "byte_bpe_50k.json"
 LONGEST = 128
+#: Bytes that are encoded at once.
+STRETCH = 8 << 20
 _BYTES = common.mix64(np.arange(1, 257)) | np.uint64(1)
 _PLACES = common.mix64(np.arange(1001, 1001 + LONGEST)) | np.uint64(1)
 _ALNUM = np.zeros(256, bool)
@@ -63,6 +65,32 @@ def cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+def stretches(data: np.ndarray, at: np.ndarray, stretch: int, back: int = 1 << 16) -> np.ndarray:
+    """``at`` without repeats, with a safe place added about every ``stretch`` bytes of a longer text: the last in the ``back`` bytes before it, or in more of them where there is none."""
+    more: list[int] = []
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        while b - a > stretch:
+            end, size = a + stretch, min(back, stretch)
+            while True:
+                low = max(a, end - size)
+                found = cuts(data[low:end], np.zeros(1, np.int64)) + low
+                found = found[(found > low + 8) & (found < end - 8)]  # at the ends of what is looked at more than it counts
+                if len(found) or low == a:
+                    break
+                size *= 4
+            if not len(found):
+                if end + stretch >= b:
+                    break
+                a_next = end  # no place in a whole stretch: look on from there, the piece grows
+                found = cuts(data[a_next : min(b, a_next + stretch)], np.zeros(1, np.int64)) + a_next
+                found = found[(found > a_next + 8) & (found < min(b, a_next + stretch) - 8)]
+                if not len(found):
+                    break
+            a = int(found[-1])
+            more.append(a)
+    return np.unique(np.concatenate([at, np.array(more, np.int64)])).astype(np.int64)
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One for all tasks of a Python worker: what it has met in one task it knows in the next."""
@@ -132,10 +160,33 @@ class Encoder:
                 at = np.searchsorted(self.known, h[up])
                 self.known, self.place = np.insert(self.known, at, h[up]), np.insert(self.place, at, place[up])
 
-    def encode(self, data: np.ndarray, at: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets): the ids of text i (bytes at[i] to at[i + 1] of ``data``), with ``end_id`` after each if given, are ids[offsets[i]:offsets[i + 1]]."""
+    def encode(self, data: np.ndarray, at: np.ndarray, end_id: int | None = None, stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets): the ids of text i (bytes at[i] to at[i + 1] of ``data``), with ``end_id`` after each if given, are ids[offsets[i]:offsets[i + 1]].
+
+        Bytes are worked through in stretches, which end between texts or at a place where a text may be cut: beside its ids a long text takes no more room than a stretch.
+        """
         data, at = data[at[0] : at[-1]], at - at[0]
-        texts, extra = len(at) - 1, int(end_id is not None)
+        texts = len(at) - 1
+        if not self.separator or len(data) <= stretch:
+            flat, counts = self._encode(data, at)
+        else:
+            fine = stretches(data, at, stretch)
+            parts, each, i = [], [], 0
+            while i < len(fine) - 1:
+                j = max(i + 1, int(np.searchsorted(fine, fine[i] + stretch, side="right")) - 1)
+                ids, n = self._encode(data[fine[i] : fine[j]], fine[i : j + 1] - fine[i])
+                parts.append(ids)
+                each.append(n)
+                i = j
+            flat = np.concatenate(parts)
+            counts = np.bincount(np.searchsorted(at, fine[:-1], side="right") - 1, weights=np.concatenate(each), minlength=texts).astype(np.int64)
+        if end_id is not None:
+            flat = np.insert(flat, np.cumsum(counts), np.array(end_id, self.dtype))
+        return flat, np.concatenate([[0], np.cumsum(counts + int(end_id is not None))])
+
+    def _encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each text)."""
+        texts = len(at) - 1
         if not self.separator:  # a vocabulary of another kind
             per = [self._plain(data[a:b].tobytes().decode()) for a, b in zip(at[:-1], at[1:], strict=True)]
             counts = np.array([len(x) for x in per], np.int64)
@@ -154,9 +205,7 @@ class Encoder:
             counts = np.bincount(np.searchsorted(at, starts, side="right") - 1, weights=n, minlength=texts).astype(np.int64)
         else:
             flat, counts = np.zeros(0, self.dtype), np.zeros(texts, np.int64)
-        if extra:
-            flat = np.insert(flat, np.cumsum(counts), np.array(end_id, self.dtype))
-        return flat, np.concatenate([[0], np.cumsum(counts + extra)])
+        return flat, counts
 
     def _entries(self, which: np.ndarray, first: np.ndarray, starts: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each distinct hash its number of ids and where they begin in the returned store."""
