@@ -36,7 +36,7 @@ from . import common
 
 LENGTH, GRAM = 200, 64
 WINDOW = LENGTH - GRAM + 1
-CROWD, COLLECTION = 3000, 1_000_000
+CROWD, MANY, COLLECTION = 3000, 200, 1_000_000
 STRETCH = 1 << 20
 END = 255  # in no UTF-8 text
 _INDEX_BITS = 21
@@ -218,13 +218,13 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at, data = common.utf8(batch.column(0))
         raw = data[at[0] : at[-1]].tobytes()
-        columns: list[list] = [[], [], [], [], []]
+        columns: list[list] = [[], [], [], [], [], []]
         for base, wanted in zip((at[:-1] - at[0]).tolist(), batch.column(1), strict=True):
             for w in wanted.as_py():
                 start, n = base + (w["place"] >> 8), w["place"] & 255
-                for c, v in zip(columns, (w["gram"], w["ctx"], n, w["twice"], raw[start : start + n + LENGTH - 1]), strict=True):
+                for c, v in zip(columns, (w["gram"], w["ctx"], n, w["twice"], w["own"], raw[start : start + n + LENGTH - 1]), strict=True):
                     c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], ["gram", "ctx", "n", "twice", "bytes"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()), strict=True)], ["gram", "ctx", "n", "twice", "own", "bytes"])
 
 
 def _index(table: pa.Table) -> pa.Table:
@@ -237,7 +237,7 @@ def _index(table: pa.Table) -> pa.Table:
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for gram, ctx, n, twice, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+        for gram, ctx, n, twice, raw in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5)), strict=True):
             digest = [xxhash.xxh3_128_digest(raw[i : i + LENGTH]) for i in range(n)]
             yield pa.RecordBatch.from_arrays([pa.array([gram] * n, pa.int64()), pa.array([ctx] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([1 + twice] * n, pa.int32()), pa.array(digest, pa.binary())], ["gram", "ctx", "start", "times", "window"])
 
@@ -289,23 +289,27 @@ def repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     _freed(spark)
     # different contexts, how often each occurs, and how many there are of each gram
     distinct = common.stored(held.groupBy("gram", "ctx").agg(F.count("*").alias("m"), F.first("ref").alias("ref"), F.first("place").alias("place")), "different-contexts")
-    crowded = common.stored(distinct.groupBy("gram").count().filter(F.col("count") > crowd).select("gram"), "crowded-grams")
+    many = common.stored(distinct.groupBy("gram").agg(F.count("*").alias("k")).filter(F.col("k") > min(crowd, MANY)), "frequent-grams")
+    crowded = many.filter(F.col("k") > crowd)
     _freed(spark)
     asked = distinct.select("ref", F.struct("place", "gram", "ctx", (F.col("m") > 1).alias("twice")).alias("w"), "gram")
-    wanted = asked.join(crowded, "gram", "left_anti")
+    asked = common.joined(asked, many, "gram", "left")
+    wanted = asked.filter(F.coalesce("k", F.lit(0)) <= crowd)
     total = wanted.agg(F.sum(F.col("w.place").bitwiseAND(F.lit(255)) + LENGTH)).first()[0] or 0
 
     def texts_of(some: DataFrame) -> DataFrame:
-        ask = some.groupBy("ref").agg(F.collect_list("w").alias("wanted"))
-        return rows.select("ref", "text").join(ask, "ref").select("text", "wanted").mapInArrow(_extract, "gram long, ctx long, n int, twice boolean, bytes binary")
+        ask = some.groupBy("ref").agg(F.collect_list(F.struct("w.*", F.col("k").isNotNull().alias("own"))).alias("wanted"))
+        return rows.select("ref", "text").join(ask, "ref").select("text", "wanted").mapInArrow(_extract, "gram long, ctx long, n int, twice boolean, own boolean, bytes binary")
 
     marks = spark.createDataFrame([], f"gram long, ctx long, runs {RUNS}")
     if total:
         collections = max(1, -(-total // COLLECTION))
-        dealt = texts_of(wanted).withColumn("collection", F.pmod(F.xxhash64("gram"), F.lit(collections)))
+        # a gram with many contexts is a collection by itself, so that none holds much more than COLLECTION
+        own = -1 - F.shiftrightunsigned(F.xxhash64("gram"), 1)
+        dealt = texts_of(wanted).withColumn("collection", F.when(F.col("own"), own).otherwise(F.pmod(F.xxhash64("gram"), F.lit(collections))))
         marks = dealt.groupBy("collection").applyInArrow(lambda t: _index(t), f"gram long, ctx long, runs {RUNS}")
     if not crowded.isEmpty():
-        windows = common.stored(texts_of(asked.join(crowded, "gram", "left_semi")).mapInArrow(_windows, "gram long, ctx long, start int, times int, window binary"), "crowded-windows")
+        windows = common.stored(texts_of(asked.filter(F.col("k") > crowd)).mapInArrow(_windows, "gram long, ctx long, start int, times int, window binary"), "crowded-windows")
         again = common.stored(windows.groupBy("window").agg(F.sum("times").alias("n")).filter("n > 1").select("window"), "crowded-repeats")
         one = F.struct(F.col("start").alias("a"), F.col("start").alias("b"))
         marks = marks.unionByName(windows.join(again, "window").groupBy("gram", "ctx").agg(F.collect_list(one).alias("runs")))
