@@ -654,3 +654,71 @@ def test_rectifiers_and_margins(spark):
     assert one(spark, F.array(*maths.vertex_counts(F.lit(16), F.lit(1920), F.lit(1080)))) == [17, 10]
     mesh = spark.createDataFrame([("a", 0, r, c, 3.0, 0.0) for r in range(3) for c in range(3)], "series_id string, frame int, r int, c int, dx double, dy double")
     assert abs(trajectory.mesh_border_margin(mesh, 3, 3, 960, 540).first()["margin"] - 2 * 2 * 3 / 960) < 1e-12
+
+
+# --- settings, own effects, reports ------------------------------------------------------------------------
+
+def test_settings_of_renders_and_estimates():
+    assert effects.render_options("homography", {"perspective": 0.0})["perspective"] == 1.0 and effects.render_options("homography", {"perspective": 0.4})["perspective"] == 0.4
+    assert effects.render_options("mesh", {"mesh": 3.0})["mesh_strength"] == 1.0 and effects.render_options("mesh", {})["mesh_strength"] == effects.MESH_STRENGTH
+    turned = effects.render_options("rotation", {"quality": 55}, True, 0.3, True)
+    assert (turned["rotation"], turned["readout_ratio"], turned["rectifiers"], turned["quality"]) == (True, 0.3, False, 55)
+    assert effects.render_options("rotation", {}, True, 0.3, False)["rectifiers"] is True
+    assert effects.lag_query(45.0, 12.0, 15.0)["centre"] == 12.0
+    for bad in ({"window": -1.0}, {"window": 45.0, "centre_width": 14.9}, {"window": float("nan")}):
+        with pytest.raises(ValueError):
+            effects.lag_query(**bad)
+
+
+def test_own_effects_are_registered_and_chain(spark):
+    from wayfold.plans import steps
+
+    assert {"stabilize", "offset", "strip-metadata", "rotate"} <= set(effects.names())
+    assert isinstance(effects.get("stabilize"), effects.Tunable) and isinstance(effects.get("strip-metadata"), effects.DropsTracks) and isinstance(effects.get("stabilize"), effects.Reencodes)
+    moved = spark.createDataFrame([("a", i, 1.0, 0.0, 0.0, 1.0, True) for i in range(30)], "series_id string, frame long, dx double, dy double, rotation double, scale double, ok boolean")
+    assert all(abs(r["dx"]) < 1e-9 for r in effects.chain(moved, [effects.get("stabilize").with_strength(1.0)]).collect())
+    assert [r["t"] for r in effects.chain(frame(spark, [("s", 5, 0, 1.0)]), [steps.Offset(1.5), steps.Offset(-0.5)]).collect()] == [1_000_005]
+    with pytest.raises(ValueError):
+        steps.Offset().apply(moved)
+    tags = spark.createDataFrame([("f", -1, "title", "x"), ("f", 0, "language", "und"), ("f", 0, "artist", "")], TAGS)
+    assert {r["key"] for r in steps.StripMetadata().apply(tags).collect()} == {"language", "artist"}
+    files = spark.createDataFrame([("clip", ".mp4")], "stem string, extension string")
+    assert steps.output_names(files, [effects.get("stabilize"), steps.Offset(3.5)]).first()["name"] == "clip - stabilized - offset +3.5s.mp4"
+
+
+def test_round_trips_and_reports(spark, tmp_path):
+    rows = [("ok", 4, 3, 4, 3, 100, 102, 100, True, True), ("bad", 4, 3, 4, 2, 100, 103, 99, True, False), ("unknown", 4, 3, 4, 3, 100, 0, None, False, False)]
+    df = spark.createDataFrame(rows, "file string, width int, height int, out_width int, out_height int, frames int, out_frames int, counted int, audio boolean, out_audio boolean")
+    assert {(r["file"], r["problem"]) for r in effects.round_trip_problems(df).collect()} == {("bad", p) for p in ("size", "frames", "count", "audio")}
+    found = spark.createDataFrame([("matched energy under its gate",)], "reason string")
+    ranked = spark.createDataFrame([(i, 1.5 - i, 0.9, 4.0, 90.0) for i in range(5)], "place int, tau double, score double, energy double, turn double")
+    lines = sinks.decline_report(found, ranked).first()["message"].split("\n")
+    assert len(lines) == 4 and lines[1] == "candidate 1: offset +1.50s score 0.900 energy 4.0 turn 90.0 degrees"
+    out = spark.createDataFrame([("x",)], "line string")
+    assert sinks.write_text(out, "line", str(tmp_path / "t")) is False
+    with pytest.warns(UserWarning):
+        assert sinks.write_text(out, "line", str(tmp_path / "t")) is True
+    rects = spark.createDataFrame([("a", i, i / 1000, 0.0) for i in range(100)], "series_id string, frame int, kx double, ky double")
+    got = trajectory.margin_percentiles(rects, 960, 540).first()
+    assert got["median"] < got["p90"] < got["p99"] <= got["worst"]
+
+
+def test_probes_in_gaps_snap_to_the_nearest(spark):
+    data = frame(spark, [("s", 0, 0, 1.0), ("s", 10 * S, 1, 2.0), ("s", 11 * S, 2, 4.0)])
+    probes = spark.createDataFrame([("s", t * S, t) for t in (-1, 0, 4, 5, 6, 10, 12)] + [("s", 10 * S + S // 2, 99)], "series_id string, t long, probe int")
+    got = {r["probe"]: (r["value"], r["found_t"]) for r in series.snapped(probes, data).collect()}
+    assert got == {-1: (None, None), 0: (1.0, 0), 4: (1.0, 0), 5: (1.0, 0), 6: (2.0, 10 * S), 10: (2.0, 10 * S), 12: (None, None), 99: (3.0, 10 * S + S // 2)}
+
+
+def test_nearest_pairs_match_all_pairs_in_any_chunks(spark):
+    r = random.Random(2)
+    a, b = ([(i % 2, i, r.getrandbits(63)) for i in range(n)] for n in (60, 80))
+    b += [(k, 1000 + i, d ^ 3) for i, (k, _, d) in enumerate(a[:20])]
+    want = set()
+    for k, i, d in a:
+        near = sorted((bin(d ^ e).count("1"), j) for q, j, e in b if q == k)
+        if near[0][0] <= 0.75 * near[1][0]:
+            want.add((k, i, near[0][1], near[0][0]))
+    schema = "block int, id long, d long"
+    for chunk in (7, 2048):
+        assert {tuple(x) for x in batch.nearest_pairs(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), 0.75, chunk).collect()} == want

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
 from . import series
 
 
@@ -35,6 +36,13 @@ def scoped(samples: DataFrame, clips: DataFrame, scope: str = "clip") -> DataFra
     return inside.withColumn("distance", F.col("distance") - F.first("distance", ignorenulls=True).over(w))
 
 
+def scope_summary(samples: DataFrame, clips: DataFrame) -> DataFrame:
+    """(series_id, clip_id, summary): samples and the stretch of the activity's own distance that a clip's window holds, as text."""
+    rows = scoped(samples, clips).groupBy("series_id", "clip_id").agg(F.count("*").alias("n"), F.min_by("distance", F.when(F.col("distance").isNotNull(), F.struct("t", "tie"))).alias("a"), F.max_by("distance", F.when(F.col("distance").isNotNull(), F.struct("t", "tie"))).alias("b"))
+    known = F.format_string("%d samples, %s-%s km", "n", text.fixed(F.col("a") / 1000, 2), text.fixed(F.col("b") / 1000, 2))
+    return rows.select("series_id", "clip_id", F.when(F.col("a").isNull(), F.format_string("%d samples, no distances", "n")).otherwise(known).alias("summary"))
+
+
 def _forward(samples: DataFrame, *needed: str) -> DataFrame:
     """Samples with all of ``needed``, without those whose distance is less than an earlier one's."""
     rows = samples.dropna(subset=["distance", *needed])

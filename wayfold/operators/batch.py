@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -127,13 +128,36 @@ def trailing_rate(reports: DataFrame, window: int = 10) -> DataFrame:
     return reports.withColumn("rate", rate).withColumn("eta", F.greatest(F.col("total") - F.col("done"), F.lit(0)) / F.when(F.col("rate") > 0, F.col("rate")))
 
 
-def nearest_pairs(a: DataFrame, b: DataFrame, ratio: float = 0.75) -> DataFrame:
-    """Descriptor matches (id, d BIGINT bits) with Hamming distance to the nearest no more than ``ratio`` of that to the second.
+#: Descriptors of either side that meet at once.
+CHUNK = 2048
 
-    A ratio test needs both exactly, so every descriptor of ``a`` meets all of ``b`` of its own ``block``; blocks keep that bounded.
+
+def nearest_pairs(a: DataFrame, b: DataFrame, ratio: float = 0.75, chunk: int = CHUNK) -> DataFrame:
+    """Descriptor matches (block, a, b, distance) with Hamming distance to the nearest (the least id of equals) no more than ``ratio`` of that to the second. Frames are (block, id, d BIGINT bits).
+
+    A ratio test needs both exactly, so every descriptor of ``a`` meets all of ``b`` of its own ``block``. A block's ``a`` is dealt to tasks by ``chunk``, and distances are counted there a
+    chunk against a chunk: no pair is a row, and what a task holds is a chunk of ``a`` and the block's ``b``, which is that of one picture.
     """
-    met = a.select("block", F.col("id").alias("a"), F.col("d").alias("_x")).join(b.select("block", F.col("id").alias("b"), F.col("d").alias("_y")), "block")
-    met = met.withColumn("distance", F.bit_count(F.col("_x").bitwiseXOR(F.col("_y"))))
-    w = Window.partitionBy("block", "a").orderBy("distance", "b")
-    rows = met.withColumn("_r", F.row_number().over(w)).withColumn("_second", F.lead("distance").over(w))
-    return rows.filter((F.col("_r") == 1) & (F.col("distance") <= ratio * F.col("_second"))).select("block", "a", "b", "distance")
+    parts = a.groupBy("block").agg(F.ceil(F.count("*") / chunk).cast("int").alias("_n"))
+    left = a.select("block", "id", "d").join(parts, "block").withColumn("_k", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int")).drop("_n")
+    right = b.select("block", "id", "d").join(parts, "block").withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+
+    def match(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        x, y = x.reset_index(drop=True), y.sort_values("id").reset_index(drop=True)
+        if len(x) == 0 or len(y) < 2:
+            return pd.DataFrame({"block": x["block"][:0], "a": x["id"][:0], "b": x["id"][:0], "distance": np.zeros(0, np.int32)})
+        own, other = x["d"].to_numpy(np.int64).view(np.uint64), y["d"].to_numpy(np.int64).view(np.uint64)
+        best = np.full((len(own), 2), 255, np.int64)
+        at = np.zeros(len(own), np.int64)
+        for k in range(0, len(other), chunk):
+            far = np.bitwise_count(own[:, None] ^ other[None, k : k + chunk]).astype(np.int64)
+            near = far.argmin(1)
+            low = far[np.arange(len(own)), near]
+            far[np.arange(len(own)), near] = 255
+            at = np.where(low < best[:, 0], near + k, at)
+            best = np.sort(np.concatenate([best, low[:, None], far.min(1)[:, None]], 1), 1)[:, :2]
+        good = best[:, 0] <= ratio * best[:, 1]
+        return pd.DataFrame({"block": x["block"][good], "a": x["id"][good], "b": y["id"].to_numpy()[at[good]], "distance": best[good, 0].astype(np.int32)})
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    return left.groupBy("block", "_k").cogroup(right.groupBy("block", "_k")).applyInPandas(match, f"block {kind(a, 'block')}, a {kind(a, 'id')}, b {kind(b, 'id')}, distance int")

@@ -65,6 +65,22 @@ def at(probes: DataFrame, data: DataFrame, max_gap: int = MAX_INTERPOLATION_GAP,
     return both.filter("kind = 1").select("series_id", "t", "probe", *out)
 
 
+def snapped(probes: DataFrame, data: DataFrame, max_gap: int = MAX_INTERPOLATION_GAP) -> DataFrame:
+    """As ``at``, but a probe in a gap over ``max_gap`` gets the nearest point (the earlier of two as near) with that point's own time: ``found_t``, which else is the probe's."""
+    own = data.select("series_id", "t", "tie", "value", F.col("t").alias("own"))
+    both = at(probes, own, max_gap, ("value",)).alias("v").select("series_id", "t", "probe", "value")
+    asks = both.filter("value IS NULL").select("series_id", "t", F.struct("probe").alias("probe"))
+    w = Window.partitionBy("series_id")
+    rows = own.select("series_id", "t", F.lit(0).alias("kind"), F.struct("own", "value").alias("p"), F.lit(None).cast(asks.schema["probe"].dataType).alias("probe"))
+    every = rows.unionByName(asks.select("series_id", "t", F.lit(1).alias("kind"), F.lit(None).cast(rows.schema["p"].dataType).alias("p"), "probe"))
+    every = every.withColumn("a", F.last("p", ignorenulls=True).over(w.orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)))
+    every = every.withColumn("b", F.last("p", ignorenulls=True).over(w.orderBy(F.desc("t"), "kind").rowsBetween(Window.unboundedPreceding, 0))).filter("kind = 1")
+    near = F.when(F.col("t") - F.col("a.own") <= F.col("b.own") - F.col("t"), F.col("a")).otherwise(F.col("b"))
+    inside = F.col("a").isNotNull() & F.col("b").isNotNull()
+    gaps = every.withColumn("n", F.when(inside, near)).select("series_id", "t", "probe.probe", F.col("n.value").alias("value"), F.col("n.own").alias("found_t"))
+    return both.filter("value IS NOT NULL").withColumn("found_t", F.col("t")).unionByName(gaps)
+
+
 def steps(data: DataFrame, step: int) -> DataFrame:
     """The grid of each series: first to last time by ``step``."""
     ends = data.groupBy("series_id").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))

@@ -352,6 +352,12 @@ def worst_margin(rects: DataFrame, width: int, height: int) -> DataFrame:
     return rects.groupBy("series_id").agg(F.coalesce(F.max(maths.rectifier_margin(F.col("kx"), F.col("ky"), width, height)), F.lit(0.0)).alias("margin"))
 
 
+def margin_percentiles(rects: DataFrame, width: int, height: int) -> DataFrame:
+    """What rectifying costs in crop: median, p90, p99 and worst margin over the frames of each series."""
+    rows = rects.select("series_id", F.coalesce(maths.rectifier_margin(F.col("kx"), F.col("ky"), width, height), F.lit(0.0)).alias("margin"))
+    return rows.groupBy("series_id").agg(stats.median_upper("margin").alias("median"), stats.percentile_index("margin", 90).alias("p90"), stats.percentile_index("margin", 99).alias("p99"), F.max("margin").alias("worst"))
+
+
 def mesh_border_margin(corr: DataFrame, cols: int, rows: int, width: int, height: int, scale_factor: float = 1.0, safety: float = 2.0) -> DataFrame:
     """Crop that hides what border vertices pull inward: twice the larger of the two directions, with a safety factor."""
     inward = lambda edge, v: F.coalesce(F.max(F.when(edge, F.greatest(v, F.lit(0.0)))), F.lit(0.0))

@@ -37,6 +37,13 @@ class Reencodes(Protocol):
     reencodes: bool
 
 
+@runtime_checkable
+class DropsTracks(Protocol):
+    """Of an effect whose output keeps picture and sound only."""
+
+    drops_tracks: bool
+
+
 _REGISTRY: dict[str, Callable[[], Effect]] = {}
 
 
@@ -129,3 +136,51 @@ def start_survives(start: Column, reencoded: Column, container: Column) -> Colum
 def yaw_check(slope: Column, implied: Column, calibrated: Column) -> Column:
     """error for a slope of the wrong sign, warning for a focal length out of half to twice, else ok."""
     return F.when(slope <= 0, "error").when(~(implied / calibrated).between(0.5, 2.0), "warning").otherwise("ok")
+
+
+#: What is taken where a setting isn't given.
+MESH_STRENGTH, PERSPECTIVE_MARGIN, MESH_MARGIN, LEAST_CENTRE = 0.5, 0.02, 0.02, 15.0
+
+
+def render_options(model: str, settings: dict, rectifiers: bool = False, ratio: float = 0.0, lens_reliable: bool = False) -> dict:
+    """What a render is told, from an effect's settings and the model its analysis was made with: similarity, homography, rotation or mesh.
+
+    A perspective strength of 0 or less is all of it; a negative mesh strength is the default, one over 1 is 1; rotations are used with a reliable lens only, and then take the readout ratio
+    itself in place of the rectifiers of rows.
+    """
+    out = {k: settings.get(k) for k in ("edge_mode", "fixed_zoom", "max_zoom", "quality", "zoom_transition")} | {"rectifiers": rectifiers}
+    if model == "homography":
+        strength = settings.get("perspective") or 0.0
+        out |= {"perspective": strength if strength > 0 else 1.0, "perspective_margin": PERSPECTIVE_MARGIN}
+    elif model == "rotation":
+        out["rotation"] = lens_reliable
+        if lens_reliable:
+            out |= {"readout_ratio": ratio, "rectifiers": False}
+    elif model == "mesh":
+        strength = settings.get("mesh", -1.0)
+        out |= {"mesh": True, "mesh_strength": min(1.0, strength if strength >= 0 else MESH_STRENGTH), "mesh_margin": MESH_MARGIN}
+    return out
+
+
+def lag_query(window: float, centre: float | None = None, centre_width: float = 20.0, interval: float = 10.0) -> dict:
+    """The checked settings of an estimate, in seconds: ``ValueError`` for a negative length, or a window about a centre of under ``LEAST_CENTRE`` seconds, too little of a turn to trust."""
+    for name, value in (("window", window), ("centre", centre or 0.0), ("interval", interval)):
+        if not value >= 0:
+            raise ValueError(f"{name} {value} isn't a length of time")
+    if not centre_width >= LEAST_CENTRE:
+        raise ValueError(f"a window of {centre_width:g} s about the centre is too narrow: {LEAST_CENTRE:g} s at least")
+    return {"window": window, "centre": centre, "centre_width": centre_width, "interval": interval}
+
+
+def round_trip_problems(files: DataFrame) -> DataFrame:
+    """(file, problem) of outputs that don't hold what was put in: rows (file, width, height, out_width, out_height, frames, out_frames, counted, audio, out_audio).
+
+    Sizes must be equal; a reported number of frames (0: unknown) may be two off, an exact count (null: not made) not at all; sound that was there must be there.
+    """
+    c = F.col
+    checks = {
+        "size": (c("width") != c("out_width")) | (c("height") != c("out_height")), "frames": (c("out_frames") > 0) & (F.abs(c("out_frames") - c("frames")) > 2),
+        "count": c("counted") != c("frames"), "audio": c("audio") & ~c("out_audio"),
+    }
+    found = F.filter(F.array(*[F.when(test, F.lit(name)) for name, test in checks.items()]), lambda x: x.isNotNull())
+    return files.select("file", F.explode(found).alias("problem"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,9 +67,15 @@ def first_cues(srt: Column, n: int) -> Column:
     return F.array_join(F.slice(F.split(srt, "\n\n"), 1, n), "\n\n")
 
 
-def write_text(df: DataFrame, column: str, path: str) -> None:
-    """One line (or document) a row; what was there is replaced."""
+def write_text(df: DataFrame, column: str, path: str) -> bool:
+    """One line (or document) a row. What was there is replaced, with a warning; whether there was anything is returned."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    if there:
+        warnings.warn(f"replacing an existing sidecar: {path.rstrip('/').rsplit('/', 1)[-1]}", stacklevel=2)
     df.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
+    return bool(there)
 
 
 def log_lines(events: DataFrame) -> DataFrame:
@@ -82,3 +90,11 @@ def candidate_report(candidates: DataFrame) -> DataFrame:
 
 def quality_report(points: DataFrame) -> DataFrame:
     return points.orderBy("quality").select("quality", F.format_string("%.2f", "score").alias("score"), F.format_string("%.1f", F.col("bytes") / 1e6).alias("mb"))
+
+
+def decline_report(found: DataFrame, candidates: DataFrame, n: int = 3) -> DataFrame:
+    """One row, ``message``: why an estimate was declined, and its first ``n`` candidates, a line each."""
+    line = F.format_string("candidate %d: offset %+.2fs score %.3f energy %.1f turn %.1f degrees", F.col("place") + 1, "tau", "score", "energy", "turn")
+    lines = candidates.filter(F.col("place") < n).agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("l"))
+    head = F.concat(F.lit("declined: "), F.col("reason"))
+    return found.crossJoin(F.broadcast(lines)).select(F.concat_ws("\n", head, F.transform("l", lambda x: x["line"])).alias("message"))  # one row each
