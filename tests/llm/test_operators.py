@@ -671,3 +671,93 @@ def test_stored_tables_are_cleaned_up(spark):
     common.clean_up(spark)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     assert not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+# --- the registered queries over a small folder ---------------------------------------------------------------
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """Nulls, empty and repeated rows, a long text, shared passages, and columns named as the operators name their own."""
+    top = str(tmp_path_factory.mktemp("queries"))
+    df = spark.createDataFrame(QUERY_ROWS, DOCS)
+    for c in ("key", "row", "root", "bucket", "node", "size", "start", "piece", "length", "ref", "gram", "ctx", "spans", "part", "fill", "hits", "pass", "bands", "digest", "n_tokens", "__key"):
+        df = df.withColumn(c, pa_lit())
+    df.write.parquet(f"{top}/documents.parquet")
+    spark.createDataFrame([(1, QUERY_ITEM), (2, QUERY_ITEM), (3, None)], "item_id long, text string").write.parquet(f"{top}/benchmark.parquet")
+    return top
+
+
+QUERY_ITEM = prose(25)
+QUERY_ROWS = [*ODD, *enumerate(copies(8, 21, 120), 100), (200, prose(10) + " " + QUERY_ITEM + " " + prose(400)), (201, prose(30) + " <|endoftext|> x"), (202, prose(300) * 2), (203, "é" * 500)]
+
+
+def texts_by_id():
+    out = defaultdict(list)
+    for i, t in QUERY_ROWS:
+        out[i].append(t or "")
+    return out
+
+
+def test_query_of_repeats(spark, folder):
+    got = repeats.op5_run_length_index(spark, folder).collect()
+    raw = [(t or "").encode() for _, t in QUERY_ROWS]
+    want = Counter()
+    for (i, _), b, m in zip(QUERY_ROWS, raw, covered(raw), strict=True):
+        kept = bytes(c for c, x in zip(b, m, strict=True) if not x)
+        want[i, len(b), sum(m), sum(x and (k == 0 or not m[k - 1]) for k, x in enumerate(m)), hashlib.sha256(kept).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
+
+
+def test_query_of_packing(spark, folder):
+    got = packing.op6_best_fit_packing(spark, folder).collect()
+    ids = [(i, ids_by_library(t)) for i, t in QUERY_ROWS]
+    want = Counter()
+    for i, x in ids:
+        at = [0, *range(len(x) % 2048 or 2048, len(x) + 1, 2048)]
+        for k, (a, b) in enumerate(zip(at, at[1:], strict=False)):
+            want[i, k, a, b - a, zlib.crc32(np.array(x[a:b], "<u4").tobytes())] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    bins = defaultdict(list)
+    for r in got:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for b in bins.values():
+        b.sort()
+        assert [o for o, _ in b] == list(np.cumsum([0] + [n for _, n in b[:-1]])) and sum(n for _, n in b) <= 2048
+    assert len(bins) == packing.lower_bound(np.bincount([r["length"] for r in got], minlength=2049))
+
+
+def test_query_of_leaks(spark, folder):
+    got = decontamination.op8_benchmark_leaks(spark, folder).collect()
+    assert [(r["doc_id"], r["item_ids"], r["n_hits"], r["least_edits"]) for r in got] == [(200, [1, 2], 2, 0)]
+
+
+def test_query_of_token_store(spark, folder):
+    got = sorted(map(tuple, token_store.op9_token_store(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32").collect()), key=lambda r: r[1])
+    rows = sorted(QUERY_ROWS, key=lambda x: (x[0] is not None, x[0] or 0, (x[1] or "").encode()))
+    start, want = 0, []
+    for i, t in rows:
+        ids = ids_by_library(t)
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert got == want
+
+
+def test_query_of_near_duplicates(spark, folder):
+    got = near_dup.op10_bagminhash(spark, folder).collect()
+    assert len(got) == len(QUERY_ROWS)
+    rows = list(enumerate(QUERY_ROWS))
+    classes = brute_classes([(k, t) for k, (_, t) in rows])
+    want = Counter()
+    for c in classes:
+        ids = [QUERY_ROWS[k][0] for k in c]
+        low = min((i for i in ids if i is not None), default=None)
+        want.update((i, low) for i in ids)
+    assert Counter((r["doc_id"], r["class_id"]) for r in got) == want
+
+
+def test_one_doc_id_may_hold_most_rows(spark):
+    """A doc_id with most of the rows is dealt over shards by its texts, in order."""
+    rows = [(1, prose(5)) for _ in range(200)] + [(2, prose(5))]
+    got = sorted(map(tuple, token_store.token_store(spark, spark.createDataFrame(rows, DOCS)).collect()), key=lambda r: r[1])
+    want = [len(ids_by_library(t)) for _, t in sorted(rows, key=lambda x: (x[0], x[1].encode()))]
+    assert [r[2] for r in got] == want and [r[1] for r in got] == list(np.cumsum([0, *want[:-1]]))
