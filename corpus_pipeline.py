@@ -1,7 +1,7 @@
 """A corpus made ready for training: five stages, each reading what the one before it kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a frame that is written as Parquet and read again as the next stage's ``docs``. All but the last return
-the columns of ``docs``. ``run`` deletes a stage's working tables once its output is written.
+the columns of ``docs``. ``run`` deletes a stage's input and working tables once its output is written.
 
 Defined cases: a null text is empty in every stage; rows that share a doc_id are documents of their own; of rows alike in doc_id and text one stays (they are near duplicates); a null
 doc_id is kept as any other; without documents there are no rows; ties are broken by doc_id, then a hash of the text; columns of any name are carried through to the last stage.
@@ -54,8 +54,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    begun = common.mark(spark)
     for name, stage in STAGES[:-1]:
-        begun = common.mark(spark)
         out = common.stored(stage(spark, docs, sf_dir), f"stage-{name}")
         common.release(spark, begun, (out,))
         docs = out
