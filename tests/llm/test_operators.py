@@ -76,6 +76,8 @@ def test_chat_blocks_do_not_matter(spark):
     assert len(small) == 2
     text = next(r["text"] for r in small if r["conv_id"] == 3)
     assert text == "".join(f"{chat.OPEN}user\nt{i}{chat.CLOSE}\n" for i in range(701))
+    parts = sorted((r["piece"], r["text"]) for r in chat.chat_format(df, 64, whole=False).filter("conv_id = 3").collect())
+    assert [p for p, _ in parts] == list(range(11)) and "".join(t for _, t in parts) == text
     sparse = spark.createDataFrame([(1, 1000 * i, "user", f"t{i}") for i in range(300)], df.schema)
     assert [(r["n_turns"], r["text"].count(chat.OPEN)) for r in chat.chat_format(sparse).collect()] == [(300, 300)]
     assert chat.chat_format(df.limit(0)).count() == 0

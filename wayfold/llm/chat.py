@@ -8,7 +8,8 @@ Turns are held in blocks of ``BLOCK`` turn numbers, so that one conversation wit
 only its blocks, not its turns, meet in one window. Blocks change no result: the blocks of a conversation that is kept are joined to one text.
 
 Defined cases: null role or text counts as empty; turns are ordered by turn (nulls first), role, text; repeated rows count once; a null
-conv_id is one conversation; every kept conversation is one row, whatever its number of turns and the gaps in their numbers (``piece`` is 0); an empty table gives no rows;
+conv_id is one conversation; every kept conversation is one row, whatever its number of turns and the gaps in their numbers (``piece`` is 0), unless ``chat_format(whole=False)`` asks for a row a
+block, for conversations too long for a row; an empty table gives no rows;
 columns besides conv_id, turn, role and text are left out.
 """
 
@@ -59,24 +60,27 @@ def maximal(hashes: DataFrame) -> DataFrame:
     return last.join(inner, ["p", "a", "b"], "left_anti").select("conv_id", F.col("p").alias("n_turns"), "n_copies")
 
 
-def render(held: DataFrame, kept: DataFrame) -> DataFrame:
-    """Each kept conversation in chat markup, its blocks joined in order; a marker within a text is broken up by a space."""
+def render(held: DataFrame, kept: DataFrame, whole: bool = True) -> DataFrame:
+    """Each kept conversation in chat markup, its blocks joined in order (or, if not ``whole``, a row each, in the order of ``piece``); a marker within a text is broken up by a space."""
     safe = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))
     text = F.array_join(F.transform("turns", lambda t: F.concat(F.lit(OPEN), safe(t["role"]), F.lit("\n"), safe(t["text"]), F.lit(CLOSE + "\n"))), "")
     rows = held.join(kept.withColumnRenamed("conv_id", "kept_id"), F.col("conv_id").eqNullSafe(F.col("kept_id"))).select("conv_id", "n_turns", "n_copies", "blk", text.alias("text"))
+    if not whole:
+        piece = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("blk").asc_nulls_first())) - 1
+        return rows.select("conv_id", piece.cast("long").alias("piece"), "n_turns", "n_copies", "text")
     first = F.coalesce(F.max(F.when(F.col("blk").isNull(), F.col("text"))), F.lit(""))
     rest = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("blk").isNotNull(), F.struct("blk", "text")))), lambda b: b["text"]), "")
     return rows.groupBy("conv_id", "n_turns", "n_copies").agg(F.concat(first, rest).alias("text")).select("conv_id", F.lit(0).cast("long").alias("piece"), "n_turns", "n_copies", "text")
 
 
-def chat_format(turns: DataFrame, block: int = BLOCK) -> DataFrame:
+def chat_format(turns: DataFrame, block: int = BLOCK, whole: bool = True) -> DataFrame:
     """conv_id, piece, n_turns, n_copies, text of every maximal conversation."""
     spark = turns.sparkSession
     begun = common.mark(spark)
     held = common.stored(blocks(turns.select("conv_id", "turn", "role", "text"), block), "turn-blocks")
     kept = common.stored(maximal(common.stored(prefix_hashes(held), "prefix-hashes")), "maximal-conversations")
     common.release(spark, begun, (held, kept))
-    return render(held, kept)
+    return render(held, kept, whole)
 
 
 def op1_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,8 +64,8 @@ def _keeper(span: int):
 def dedup(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """``row`` (all columns of ``docs``) and ``kept`` (text, n_lines, n_removed): the text without lines that later occurrences cover."""
     hits = later(docs, span).select(F.col("doc_id").alias("hit_id"), F.col("key").alias("hit_key"), "hits")
-    left = docs.select(common.packed(docs), F.col("doc_id").alias("id"), common.row_key().alias("key"), F.col("text").alias("own"))
-    both = left.join(hits, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key")), "left")
+    left = docs.select(common.packed(docs), F.col("doc_id").alias("id"), common.row_key().alias("key"))
+    both = left.join(hits, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key")), "left").withColumn("own", F.col("row").getField("text"))  # the text is exchanged once, in the row
     cut = _keeper(span)(F.when(F.col("hits").isNotNull(), F.col("own")), F.col("hits"))
     whole = F.struct(F.col("own").alias("text"), F.size(F.split(common.text_or_empty("own"), "\n", -1)).alias("n_lines"), F.lit(0).alias("n_removed"))
     return both.withColumn("cut", cut).select("row", F.when(F.col("hits").isNull(), whole).otherwise(F.col("cut")).alias("kept"))
