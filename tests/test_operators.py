@@ -415,6 +415,16 @@ def test_grade_and_gain(spark):
     assert abs(activity.at_distance(model, probes).first()["gain"] - 20.0) < 1e-9
 
 
+def test_tuned_sigmas_come_nearest_their_targets(spark):
+    rows = [(k, i * S, i, 10.0 * i, 5.0 * (i % 2) * (1 + k)) for k in range(2) for i in range(60)]
+    samples = spark.createDataFrame(rows, "series_id int, t long, tie int, distance double, elevation double")
+    gain = {s: {r["series_id"]: r["g"] for r in activity.elevation_model(samples, s).groupBy("series_id").agg(F.max("gain").alias("g")).collect()} for s in (0.0, 1.0, 4.0)}
+    targets = spark.createDataFrame([(0, gain[1.0][0] + 0.01), (1, gain[0.0][1])], "series_id int, gain double")
+    assert {r["series_id"]: r["sigma"] for r in activity.tuned_sigmas(samples, targets, (0.0, 1.0, 4.0)).collect()} == {0: 1.0, 1: 0.0}
+    assert activity.tuned_sigma(samples, (gain[4.0][0] + gain[4.0][1]) / 2, (0.0, 1.0, 4.0)) == 4.0
+    assert activity.scope_summary(samples, spark.createDataFrame([(0, 1, 10 * S, 20 * S)], "series_id int, clip_id int, start long, end long")).first()["summary"] == "11 samples, 0.10-0.20 km"
+
+
 def test_thinned_routes(spark):
     assert activity.thinned(points(spark, range(40)), 50).count() == 40
     got = [r["tie"] for r in activity.thinned(points(spark, range(1000)), 50).orderBy("tie").collect()]

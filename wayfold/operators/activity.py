@@ -6,6 +6,8 @@ reaches a boundary; backwards distance is skipped; grade is rise over run betwee
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,13 +89,19 @@ def elevation_model(samples: DataFrame, sigma: float = 4.0) -> DataFrame:
     return soft.withColumn("gain", F.sum("_u").over(up)).withColumn("loss", F.sum("_d").over(up)).drop("_u", "_d")
 
 
-def tuned_sigma(samples: DataFrame, gain: float, sigmas: tuple[float, ...] = (0.0, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0)) -> float:
-    """Of a fixed list the sigma whose total gain is nearest the target, the least of equals."""
-    def error(s: float) -> float:
-        got = elevation_model(samples, s).groupBy("series_id").agg(F.max("gain").alias("g")).agg(F.avg(F.abs(F.col("g") - gain))).first()[0]
-        return abs(got) if got is not None else float("inf")
+def tuned_sigmas(samples: DataFrame, targets: DataFrame, sigmas: tuple[float, ...] = (0.0, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0)) -> DataFrame:
+    """(series_id, sigma): of a fixed list the sigma whose total gain is nearest the series' target (series_id, gain), the least of equals. One plan for all candidates."""
+    gains = [elevation_model(samples, s).groupBy("series_id").agg(F.max("gain").alias("g")).withColumn("sigma", F.lit(s)) for s in sigmas]
+    every = reduce(DataFrame.unionByName, gains).join(targets.select("series_id", F.col("gain").alias("_target")), "series_id")
+    return every.groupBy("series_id").agg(F.min_by("sigma", F.struct(F.abs(F.col("g") - F.col("_target")), "sigma")).alias("sigma"))
 
-    return min(sigmas, key=lambda s: (error(s), s))
+
+def tuned_sigma(samples: DataFrame, gain: float, sigmas: tuple[float, ...] = (0.0, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0)) -> float:
+    """``tuned_sigmas`` for all series together: the sigma at which their gains are nearest one target on the mean, the least of equals. One job."""
+    gains = [elevation_model(samples, s).groupBy("series_id").agg(F.max("gain").alias("g")).withColumn("sigma", F.lit(s)) for s in sigmas]
+    errors = reduce(DataFrame.unionByName, gains).groupBy("sigma").agg(F.avg(F.abs(F.col("g") - gain)).alias("e"))
+    best = errors.agg(F.min_by("sigma", F.struct("e", "sigma")).alias("s")).first()["s"]
+    return best if best is not None else min(sigmas)
 
 
 def at_distance(model: DataFrame, probes: DataFrame) -> DataFrame:
