@@ -75,14 +75,18 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((both == 0) | (a == b), 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 - apart / F.greatest(both, F.lit(1.0))))
 
 
-def _equal_lanes(text: Column) -> Column:
-    """Sums of the uniform lanes, in the row: a text has few paragraphs."""
-    keys = F.transform(F.split(text, "\n", -1), lambda p: F.sha2(p, 256))
+def _keys(text: Column) -> Column:
+    """The key of each paragraph: a SHA-256."""
+    return F.transform(F.split(text, "\n", -1), lambda p: F.sha2(p, 256))
+
+
+def _equal_lanes(keys: Column) -> list[Column]:
+    """Sums of the uniform lanes over a row's paragraphs, two 32-bit lanes to a long. ``keys`` is a column that stands already: every lane reads it."""
 
     def lane(i: int) -> Column:
         return F.aggregate(keys, F.lit(0).cast("bigint"), lambda s, k: (s + F.shiftrightunsigned(F.xxhash64(F.lit(i), k), 32)).bitwiseAND(F.lit(WORD - 1)))
 
-    return F.array(*[lane(i) for i in range(EQUAL)])
+    return [F.shiftleft(lane(2 * i), 32).bitwiseOR(lane(2 * i + 1)) for i in range(EQUAL // 2)]
 
 
 def _pairs(text: Column) -> Column:
@@ -97,11 +101,6 @@ def _pairs(text: Column) -> Column:
     return F.flatten(F.transform(pieces, lambda q: F.transform(q, lambda a, i: pair(q, a, i))))
 
 
-def _doubled(lanes: Column) -> list[Column]:
-    """Lanes of 32 bits, two to a long."""
-    return [F.shiftleft(F.element_at(lanes, 2 * i + 1), 32).bitwiseOR(F.element_at(lanes, 2 * i + 2)) for i in range(EQUAL // 2)]
-
-
 def _halves(name: str) -> Column:
     return F.flatten(F.array(*[F.array(F.shiftrightunsigned(f"{name}{i}", 32), F.col(f"{name}{i}").bitwiseAND(F.lit(WORD - 1))) for i in range(EQUAL // 2)]))
 
@@ -115,11 +114,13 @@ def fingerprints(docs: DataFrame, texts: list[str], keep: list[str]) -> DataFram
     """
     row, *more = keep
     own = [*more, *[f"eq_{t}_{i}" for t in texts for i in range(EQUAL // 2)], *[f"n_{t}" for t in texts]]
-    rows = docs.select(*keep, *[_equal_lanes(F.col(t)).alias(f"eq_{t}") for t in texts], *[_pairs(F.col(t)).alias(f"p_{t}") for t in texts])
+    rows = docs.select(*keep, *[_keys(F.col(t)).alias(f"k_{t}") for t in texts], *[_pairs(F.col(t)).alias(f"p_{t}") for t in texts])
+    # what belongs to the text is worked out before its elements are rows: beside a generator it would be once for each of them, with the arrays copied along
     rows = rows.select(
-        *keep, *[c.alias(f"eq_{t}_{i}") for t in texts for i, c in enumerate(_doubled(F.col(f"eq_{t}")))], *[F.size(f"p_{t}").cast("bigint").alias(f"n_{t}") for t in texts],
-        F.posexplode_outer(F.arrays_zip(*[F.col(f"p_{t}") for t in texts])).alias("pos", "e"),
+        *keep, *[c.alias(f"eq_{t}_{i}") for t in texts for i, c in enumerate(_equal_lanes(F.col(f"k_{t}")))], *[F.size(f"p_{t}").cast("bigint").alias(f"n_{t}") for t in texts],
+        F.arrays_zip(*[F.col(f"p_{t}") for t in texts]).alias("elements"),
     )
+    rows = rows.select(row, *own, F.posexplode_outer("elements").alias("pos", "e"))
     begins = F.coalesce(F.col("pos"), F.lit(0)) == 0
     rows = rows.select(
         row, F.coalesce(F.floor(F.col("pos") / CHUNK), F.lit(0)).cast("int").alias("chunk"), *[F.when(begins, F.col(c)).alias(c) for c in own], *[F.coalesce(F.col(f"e.p_{t}"), F.lit(0)).alias(f"h_{t}") for t in texts]
