@@ -641,6 +641,20 @@ def test_blocks_by_bytes_and_outsiders_of_a_hot_bucket(spark, monkeypatch):
         assert all(any(w <= g for g in joined) for w in want) and len(joined) <= len(want)
 
 
+def test_roots_are_the_least_nodes_of_components(spark):
+    from wayfold.llm import components
+
+    r = random.Random(6)
+    edges = [(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(40)] + [(200 + r.randrange(30), 200 + r.randrange(30)) for _ in range(25)]
+    up = {x: x for e in edges for x in e}
+    for _ in up:
+        for a, b in edges:
+            up[a] = up[b] = min(up[a], up[b])
+    got = {(x["u"], x["v"]) for x in components.roots(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {(x, m) for x, m in up.items() if x != m}
+    assert components.roots(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_words_of_stretches_are_those_of_whole_texts():
     raw = [t.encode() for t in ("", "ab é, cd.", "x" * 50, " ", "日本 語", "a b c d e f g h")]
     at = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
