@@ -105,14 +105,14 @@ def _halves(name: str) -> Column:
     return F.flatten(F.array(*[F.array(F.shiftrightunsigned(f"{name}{i}", 32), F.col(f"{name}{i}").bitwiseAND(F.lit(WORD - 1))) for i in range(EQUAL // 2)]))
 
 
-def fingerprints(docs: DataFrame, texts: list[str], keep: list[str]) -> DataFrame:
-    """``keep`` columns (longs; the first tells rows apart) and for each of ``texts`` its fingerprint, named ``fp_<text>`` (binary).
+def fingerprints(docs: DataFrame, texts: list[str], keep: list[str], keys: int = 1) -> DataFrame:
+    """``keep`` columns (longs; the first ``keys`` tell rows apart) and for each of ``texts`` its fingerprint, named ``fp_<text>`` (binary).
 
     The signs of an element are the bits of its hash. They are summed four to a long, over chunks of elements that can't overflow a field,
-    by a plain sum with partial aggregation, keyed by the row alone; what else belongs to the row comes with its first element. After it a text is one row, and nothing of its length is
-    shuffled. Only texts of several chunks are summed again.
+    by a plain sum with partial aggregation, keyed by the row alone; what else belongs to the row comes with its first element. Where ``docs`` is partitioned by one of the keys already, nothing is exchanged:
+    a row's elements are in its own task. The chunks of a text are summed again, in one plan for all texts.
     """
-    row, *more = keep
+    row, more = keep[:keys], keep[keys:]
     own = [*more, *[f"eq_{t}_{i}" for t in texts for i in range(EQUAL // 2)], *[f"n_{t}" for t in texts]]
     rows = docs.select(*keep, *[_keys(F.col(t)).alias(f"k_{t}") for t in texts], *[_pairs(F.col(t)).alias(f"p_{t}") for t in texts])
     # what belongs to the text is worked out before its elements are rows: beside a generator it would be once for each of them, with the arrays copied along
@@ -120,22 +120,19 @@ def fingerprints(docs: DataFrame, texts: list[str], keep: list[str]) -> DataFram
         *keep, *[c.alias(f"eq_{t}_{i}") for t in texts for i, c in enumerate(_equal_lanes(F.col(f"k_{t}")))], *[F.size(f"p_{t}").cast("bigint").alias(f"n_{t}") for t in texts],
         F.arrays_zip(*[F.col(f"p_{t}") for t in texts]).alias("elements"),
     )
-    rows = rows.select(row, *own, F.posexplode_outer("elements").alias("pos", "e"))
+    rows = rows.select(*row, *own, F.posexplode_outer("elements").alias("pos", "e"))
     begins = F.coalesce(F.col("pos"), F.lit(0)) == 0
     rows = rows.select(
-        row, F.coalesce(F.floor(F.col("pos") / CHUNK), F.lit(0)).cast("int").alias("chunk"), *[F.when(begins, F.col(c)).alias(c) for c in own], *[F.coalesce(F.col(f"e.p_{t}"), F.lit(0)).alias(f"h_{t}") for t in texts]
+        *row, F.coalesce(F.floor(F.col("pos") / CHUNK), F.lit(0)).cast("int").alias("chunk"), *[F.when(begins, F.col(c)).alias(c) for c in own], *[F.coalesce(F.col(f"e.p_{t}"), F.lit(0)).alias(f"h_{t}") for t in texts]
     )
     sums = [F.sum(F.shiftrightunsigned(f"h_{t}", k).bitwiseAND(F.lit(FIELDS))).alias(f"s_{t}_{k}") for t in texts for k in range(SUMS)]
-    packed = rows.groupBy(row, "chunk").agg(*[F.max(c).alias(c) for c in own], *sums)
+    packed = rows.groupBy(*row, "chunk").agg(*[F.max(c).alias(c) for c in own], *sums)
     field = lambda t, j: F.shiftrightunsigned(f"s_{t}_{j % SUMS}", 16 * (j // SUMS)).bitwiseAND(F.lit(0xFFFF))
-    # a text of one chunk is done; of several, those after the first know no size
-    n = F.greatest(F.lit(0), *[F.coalesce(F.col(f"n_{t}"), F.lit(CHUNK + 1)) for t in texts])
-    one = packed.filter(n <= CHUNK).select(row, *own, *[F.array(*[field(t, j) for j in range(LIKE)]).alias(f"o_{t}") for t in texts])
-    several = packed.filter(n > CHUNK).groupBy(row).agg(*[F.max(c).alias(c) for c in own], *[F.sum(field(t, j)).alias(f"o_{t}_{j}") for t in texts for j in range(LIKE)])
-    several = several.select(row, *own, *[F.array(*[F.col(f"o_{t}_{j}") for j in range(LIKE)]).alias(f"o_{t}") for t in texts])
+    whole = packed.groupBy(*row).agg(*[F.max(c).alias(c) for c in own], *[F.sum(field(t, j)).alias(f"o_{t}_{j}") for t in texts for j in range(LIKE)])
+    whole = whole.select(*row, *own, *[F.array(*[F.col(f"o_{t}_{j}") for j in range(LIKE)]).alias(f"o_{t}") for t in texts])
     signs = lambda t: F.transform(f"o_{t}", lambda x: F.pmod(2 * x - F.col(f"n_{t}"), F.lit(SIGN)))
     lanes = lambda t: F.concat(_hex(_halves(f"eq_{t}_"), WORD_DIGITS), _hex(signs(t), SIGN_DIGITS))
-    return one.unionByName(several).select(*keep, *[F.unhex(lanes(t)).alias(f"fp_{t}") for t in texts])
+    return whole.select(*keep, *[F.unhex(lanes(t)).alias(f"fp_{t}") for t in texts])
 
 
 def successors(keys: DataFrame) -> DataFrame:
@@ -175,8 +172,8 @@ def op2_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     sha = F.sha2("edited", 256)
     quarter = lambda k: F.shiftleft(F.conv(F.substring(F.col("sha"), 16 * k + 1, 8), 16, 10).cast("long"), 32).bitwiseOR(F.conv(F.substring(F.col("sha"), 16 * k + 9, 8), 16, 10).cast("long"))
     rows = rows.select(F.monotonically_increasing_id().alias("row"), "id", "next_id", F.length("text").cast("long").alias("n_chars"), sha.alias("sha"), "text", "edited")
-    rows = rows.select("row", "id", "next_id", "n_chars", *[quarter(k).alias(f"sha{k}") for k in range(4)], "text", "edited")
-    done = common.stored(fingerprints(rows, ["text", "edited"], ["row", "id", "next_id", "n_chars", *[f"sha{k}" for k in range(4)]]), "fingerprints")
+    rows = rows.select("id", "row", "next_id", "n_chars", *[quarter(k).alias(f"sha{k}") for k in range(4)], "text", "edited")
+    done = common.stored(fingerprints(rows, ["text", "edited"], ["id", "row", "next_id", "n_chars", *[f"sha{k}" for k in range(4)]], keys=2), "fingerprints")
     after = done.groupBy(F.col("id").alias("after_id")).agg(F.min("fp_text").alias("fp_next"))
     both = done.join(after, F.col("next_id") == F.col("after_id"))
     own, edited, next_ = (F.lower(F.hex(f"fp_{x}")) for x in ("text", "edited", "next"))
