@@ -109,7 +109,7 @@ def fingerprints(docs: DataFrame, texts: list[str], keep: list[str], keys: int =
     """``keep`` columns (longs; the first ``keys`` tell rows apart) and for each of ``texts`` its fingerprint, named ``fp_<text>`` (binary).
 
     The signs of an element are the bits of its hash. They are summed four to a long, over chunks of elements that can't overflow a field,
-    by a plain sum with partial aggregation, keyed by the row alone; what else belongs to the row comes with its first element. Where ``docs`` is partitioned by one of the keys already, nothing is exchanged:
+    by a plain sum with partial aggregation, keyed by the row and what belongs to it, as one struct. Where ``docs`` is partitioned by one of the keys already, nothing is exchanged:
     a row's elements are in its own task. The chunks of a text are summed again, in one plan for all texts.
     """
     row, more = keep[:keys], keep[keys:]
@@ -120,16 +120,15 @@ def fingerprints(docs: DataFrame, texts: list[str], keep: list[str], keys: int =
         *keep, *[c.alias(f"eq_{t}_{i}") for t in texts for i, c in enumerate(_equal_lanes(F.col(f"k_{t}")))], *[F.size(f"p_{t}").cast("bigint").alias(f"n_{t}") for t in texts],
         F.arrays_zip(*[F.col(f"p_{t}") for t in texts]).alias("elements"),
     )
-    rows = rows.select(*row, *own, F.posexplode_outer("elements").alias("pos", "e"))
-    begins = F.coalesce(F.col("pos"), F.lit(0)) == 0
+    rows = rows.select(*row, F.struct(*own).alias("own"), "elements").select(*row, "own", F.posexplode_outer("elements").alias("pos", "e"))
     rows = rows.select(
-        *row, F.coalesce(F.floor(F.col("pos") / CHUNK), F.lit(0)).cast("int").alias("chunk"), *[F.when(begins, F.col(c)).alias(c) for c in own], *[F.coalesce(F.col(f"e.p_{t}"), F.lit(0)).alias(f"h_{t}") for t in texts]
+        *row, F.coalesce(F.floor(F.col("pos") / CHUNK), F.lit(0)).cast("int").alias("chunk"), "own", *[F.coalesce(F.col(f"e.p_{t}"), F.lit(0)).alias(f"h_{t}") for t in texts]
     )
     sums = [F.sum(F.shiftrightunsigned(f"h_{t}", k).bitwiseAND(F.lit(FIELDS))).alias(f"s_{t}_{k}") for t in texts for k in range(SUMS)]
-    packed = rows.groupBy(*row, "chunk").agg(*[F.max(c).alias(c) for c in own], *sums)
+    packed = rows.groupBy(*row, "own", "chunk").agg(*sums)
     field = lambda t, j: F.shiftrightunsigned(f"s_{t}_{j % SUMS}", 16 * (j // SUMS)).bitwiseAND(F.lit(0xFFFF))
-    whole = packed.groupBy(*row).agg(*[F.max(c).alias(c) for c in own], *[F.sum(field(t, j)).alias(f"o_{t}_{j}") for t in texts for j in range(LIKE)])
-    whole = whole.select(*row, *own, *[F.array(*[F.col(f"o_{t}_{j}") for j in range(LIKE)]).alias(f"o_{t}") for t in texts])
+    whole = packed.groupBy(*row, "own").agg(*[F.sum(field(t, j)).alias(f"o_{t}_{j}") for t in texts for j in range(LIKE)])
+    whole = whole.select(*row, "own.*", *[F.array(*[F.col(f"o_{t}_{j}") for j in range(LIKE)]).alias(f"o_{t}") for t in texts])
     signs = lambda t: F.transform(f"o_{t}", lambda x: F.pmod(2 * x - F.col(f"n_{t}"), F.lit(SIGN)))
     lanes = lambda t: F.concat(_hex(_halves(f"eq_{t}_"), WORD_DIGITS), _hex(signs(t), SIGN_DIGITS))
     return whole.select(*keep, *[F.unhex(lanes(t)).alias(f"fp_{t}") for t in texts])
