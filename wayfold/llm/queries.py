@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, fingerprints, lines, near_dup, packing, quality, repeats, token_store, toxicity
+from . import chat, decontamination, divergence, fingerprints, lines, near_dup, packing, quality, repeats, sharding, token_store, toxicity, whitening
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_benchmark_leaks": decontamination.op8_benchmark_leaks,
         "op9_token_store": token_store.op9_token_store,
         "op10_bagminhash": near_dup.op10_bagminhash,
+        "op11_embedding_whitening": whitening.op11_embedding_whitening,
+        "op12_source_divergence": divergence.op12_source_divergence,
+        "op13_hilbert_shards": sharding.op13_hilbert_shards,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_snapshots": chat.OP1_SQL, "op7_line_dedup": lines.OP7_SQL}
+    return {"op1_chat_snapshots": chat.OP1_SQL, "op7_line_dedup": lines.OP7_SQL, "op12_source_divergence": divergence.OP12_SQL}
