@@ -89,11 +89,12 @@ def matrix_product(m: Column, n: Column) -> Column:
 
 
 def matrix_inverse(m: Column) -> Column:
-    """By cofactors; null where the determinant is 0."""
+    """By cofactors; the identity where the determinant is 0."""
     a = _entries(m)
     minor = lambda r, c: a[(r + 1) % 3][(c + 1) % 3] * a[(r + 2) % 3][(c + 2) % 3] - a[(r + 1) % 3][(c + 2) % 3] * a[(r + 2) % 3][(c + 1) % 3]
     det = sum((a[0][c] * minor(0, c) for c in range(1, 3)), a[0][0] * minor(0, 0))
-    return F.when(det != 0, matrix([[minor(c, r) / F.when(det != 0, det) for c in range(3)] for r in range(3)]))
+    inverse = matrix([[minor(c, r) / F.when(det != 0, det) for c in range(3)] for r in range(3)])
+    return F.when(det != 0, inverse).when(det == 0, matrix([[1, 0, 0], [0, 1, 0], [0, 0, 1]]))
 
 
 def matrix_unit(m: Column) -> Column:
@@ -309,6 +310,13 @@ def extended(values: np.ndarray, before: int, after: int, window: int) -> np.nda
     return np.concatenate([line(values[:w], np.arange(-before, 0)), values, line(values[-w:], w + np.arange(after))])
 
 
+def inverse3(m: np.ndarray) -> np.ndarray:
+    """Inverses of 3x3 matrices (n x 3 x 3) by cofactors; the identity where a determinant is 0."""
+    minors = np.stack([np.cross(m[:, 1], m[:, 2]), np.cross(m[:, 2], m[:, 0]), np.cross(m[:, 0], m[:, 1])], 2)
+    det = (m[:, 0] * minors[:, :, 0]).sum(1)[:, None, None]
+    return np.where(det == 0, np.eye(3), minors / np.where(det == 0, 1.0, det))
+
+
 def q_mul(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     aw, ax, ay, az = np.moveaxis(np.asarray(a, float), -1, 0)
     bw, bx, by, bz = np.moveaxis(np.asarray(b, float), -1, 0)

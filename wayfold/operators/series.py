@@ -1,16 +1,20 @@
 """Irregular time series: ordering, gaps, as-of interpolation, grids, smoothing and calculus.
 
 A series frame has ``series_id``, ``t`` (BIGINT microseconds since the epoch), ``tie`` (unique within a series, orders equal times) and ``value``.
-Every window is partitioned by series, so series spread over tasks; nothing collects a series.
+Every window is partitioned by series, so series spread over tasks; nothing collects a series. Where one series is too long for a task, a ``width`` (microseconds of its axis, see
+``chunks.width_for``) cuts it into cells: sums, carried values and positions then go over two levels, and smoothing always goes by chunks of positions.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from . import chunks
+
 SECOND = 1_000_000
 #: Fixed values of the domain.
 MAX_INTERPOLATION_GAP, MAX_GRID_GAP, GRID_STEP = 3 * SECOND, 2 * SECOND, SECOND
@@ -31,21 +35,17 @@ def is_finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
 
 
-def runs(df: DataFrame, gap: int) -> DataFrame:
+def runs(df: DataFrame, gap: int, width: int | None = None) -> DataFrame:
     """``run_id`` counts up where a point comes more than ``gap`` microseconds after the one before."""
-    w = ordered()
-    new = F.when(F.col("t") - F.lag("t").over(w) > gap, 1).otherwise(0)
-    return df.withColumn("_new", new).withColumn("run_id", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    return chunks.running(df, {"run_id": lambda before, own: F.when(own("t") - before("t") > gap, 1).otherwise(0)}, ("t",), width=width)
 
 
-def grid_runs(df: DataFrame, step: int = GRID_STEP) -> DataFrame:
+def grid_runs(df: DataFrame, step: int = GRID_STEP, width: int | None = None) -> DataFrame:
     """``run_id`` counts up where the step isn't exactly ``step``."""
-    w = ordered()
-    new = F.when(F.col("t") - F.lag("t").over(w) != step, 1).otherwise(0)
-    return df.withColumn("_new", new).withColumn("run_id", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    return chunks.running(df, {"run_id": lambda before, own: F.when(own("t") - before("t") != step, 1).otherwise(0)}, ("t",), width=width)
 
 
-def at(probes: DataFrame, data: DataFrame, max_gap: int = MAX_INTERPOLATION_GAP, values: tuple[str, ...] = ("value",)) -> DataFrame:
+def at(probes: DataFrame, data: DataFrame, max_gap: int = MAX_INTERPOLATION_GAP, values: tuple[str, ...] = ("value",), width: int | None = None) -> DataFrame:
     """``probes`` (series_id, t, probe) with the data's values at t: an exact hit wins, else linear between neighbours no more than ``max_gap`` apart, else null.
 
     One union, sorted forward and backward; no range join. Never extrapolates.
@@ -53,16 +53,14 @@ def at(probes: DataFrame, data: DataFrame, max_gap: int = MAX_INTERPOLATION_GAP,
     point = F.struct("t", *[F.col(v) for v in values])
     rows = data.select("series_id", "t", F.lit(0).alias("kind"), F.col("tie").cast("string").alias("tie"), point.alias("p"), F.lit(None).cast(probes.schema["probe"].dataType).alias("probe"))
     asks = probes.select("series_id", "t", F.lit(1).alias("kind"), F.lit("").alias("tie"), F.lit(None).cast(rows.schema["p"].dataType).alias("p"), "probe")
-    forward = Window.partitionBy("series_id").orderBy("t", "kind", "tie")
-    back = Window.partitionBy("series_id").orderBy(F.desc("t"), "kind", F.desc("tie"))  # points at a probe's own time come before it
-    # forward: the last point at or before the probe. Backward: the first at or after it; of several at one time both stand for the first
-    both = rows.unionByName(asks).withColumn("a", F.last("p", ignorenulls=True).over(forward.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("b", F.last("p", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("e", F.when(F.col("b.t") == F.col("t"), F.col("b")))
-    gap = F.col("b.t") - F.col("a.t")
-    part = (F.col("t") - F.col("a.t")).cast("double") / gap
-    out = [F.when(F.col("e").isNotNull(), F.col(f"e.{v}")).when((gap > 0) & (gap <= max_gap), F.col(f"a.{v}") + part * (F.col(f"b.{v}") - F.col(f"a.{v}"))).alias(v) for v in values]
-    return both.filter("kind = 1").select("series_id", "t", "probe", *out)
+    # forward: the last point at or before the probe. Backward: the first at or after it, as points at a probe's own time come before it; of several at one time both stand for the first
+    forward, back = [F.col("t"), F.col("kind"), F.col("tie")], [F.desc("t"), F.col("kind"), F.desc("tie")]
+    both = chunks.around(rows.unionByName(asks), "p", forward, back, width=width).filter("kind = 1")
+    both = both.withColumn("e", F.when(F.col("_b.t") == F.col("t"), F.col("_b")))
+    gap = F.col("_b.t") - F.col("_a.t")
+    part = (F.col("t") - F.col("_a.t")).cast("double") / gap
+    out = [F.when(F.col("e").isNotNull(), F.col(f"e.{v}")).when((gap > 0) & (gap <= max_gap), F.col(f"_a.{v}") + part * (F.col(f"_b.{v}") - F.col(f"_a.{v}"))).alias(v) for v in values]
+    return both.select("series_id", "t", "probe", *out)
 
 
 def snapped(probes: DataFrame, data: DataFrame, max_gap: int = MAX_INTERPOLATION_GAP) -> DataFrame:
@@ -87,17 +85,17 @@ def steps(data: DataFrame, step: int) -> DataFrame:
     return ends.select("series_id", F.explode(F.sequence("lo", "hi", F.lit(step).cast("long"))).alias("t")).withColumn("probe", F.col("t"))
 
 
-def resample(data: DataFrame, step: int = GRID_STEP, max_gap: int = MAX_GRID_GAP, values: tuple[str, ...] = ("value",)) -> DataFrame:
+def resample(data: DataFrame, step: int = GRID_STEP, max_gap: int = MAX_GRID_GAP, values: tuple[str, ...] = ("value",), width: int | None = None) -> DataFrame:
     """Values on the grid; grid points in gaps over ``max_gap`` are left out."""
-    return at(steps(data, step), data, max_gap, values).filter(F.col(values[0]).isNotNull()).select("series_id", "t", F.col("t").alias("tie"), *values)
+    return at(steps(data, step), data, max_gap, values, width).filter(F.col(values[0]).isNotNull()).select("series_id", "t", F.col("t").alias("tie"), *values)
 
 
-def covered_index(probes: DataFrame, data: DataFrame) -> DataFrame:
+def covered_index(probes: DataFrame, data: DataFrame, width: int | None = None) -> DataFrame:
     """Index of the last point at or before each probe, -1 if none."""
     rows = data.select("series_id", "t", F.lit(0).alias("kind"), F.lit(None).cast(probes.schema["probe"].dataType).alias("probe"))
     both = rows.unionByName(probes.select("series_id", "t", F.lit(1).alias("kind"), "probe"))
-    w = Window.partitionBy("series_id").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("idx", F.sum(1 - F.col("kind")).over(w) - 1).filter("kind = 1").select("series_id", "t", "probe", "idx")
+    counted = chunks.running(both, {"idx": lambda before, own: 1 - own("kind")}, order=("t", "kind"), width=width)
+    return counted.filter("kind = 1").select("series_id", "t", "probe", (F.col("idx") - 1).alias("idx"))
 
 
 def project(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -118,97 +116,70 @@ def kernel(sigma: float, multiple: float = 3.0) -> list[float]:
     return [x / sum(w) for x in w]
 
 
-def smooth(df: DataFrame, sigma: float, boundary: str, values: tuple[str, ...] = ("value",), keys: tuple[str, ...] = (), multiple: float = 3.0) -> DataFrame:
+def smooth(df: DataFrame, sigma: float, boundary: str, values: tuple[str, ...] = ("value",), keys: tuple[str, ...] = (), multiple: float = 3.0, width: int | None = None) -> DataFrame:
     """Gaussian smoothing by position. ``boundary`` says what stands beyond the ends: ``reflect``, ``extrapolate`` (linear fits of the end rows) or ``clamp``.
 
-    A series of one point is copied under ``reflect``. The rows beyond the ends (twice the radius for each series) join on their position, and the
-    weighted sum is one of shifts in the series' order, all over one sort: no row holds its neighbours, and memory doesn't depend on the length of a series.
+    A series of one point is copied under ``reflect``. Chunks of positions borrow the kernel's radius from their neighbours and are convolved by themselves, so a task holds a chunk, whatever the
+    length of a series; all ``values`` go at once. A null in reach makes a null.
     """
+    if boundary not in ("reflect", "extrapolate", "clamp"):
+        raise ValueError(f"unknown boundary {boundary!r}")
     if sigma <= 0:
         return df
-    weights = kernel(sigma, multiple)
-    r = len(weights) // 2
-    key = ["series_id", *keys]
-    w = Window.partitionBy(*key).orderBy("t", "tie")
-    rows = df.withColumn("_i", (F.row_number().over(w) - 1).cast("long")).withColumn("_n", F.count("*").over(Window.partitionBy(*key)))
-    sides = rows.filter("_i = 0").select(*key, "_n")
-    beyond = sides.select(*key, "_n", F.explode(F.concat(F.sequence(F.lit(-r).cast("long"), F.lit(-1).cast("long")), F.sequence(F.col("_n"), F.col("_n") + r - 1))).alias("_e"))
-    if boundary == "extrapolate":
-        width = F.least(F.lit(r), F.col("_n"))
-        left, right = F.col("_i") < width, F.col("_i") >= F.col("_n") - width
-        base = F.col("_i") - (F.col("_n") - width)
-
-        def line(v: str, mask: Column, x: Column) -> Column:
-            y, x = F.when(mask, F.col(v)), F.when(mask, x.cast("double"))
-            n, sx, sy, sxx, sxy = F.count(y), F.sum(x), F.sum(y), F.sum(x * x), F.sum(x * y)
-            det = n * sxx - sx * sx
-            slope = F.when(det == 0, 0.0).otherwise((n * sxy - sx * sy) / F.when(det == 0, 1.0).otherwise(det))
-            return F.struct(((sy - slope * sx) / n).alias("a"), slope.alias("b"))
-
-        fits = rows.groupBy(*key).agg(F.max("_n").alias("_m"), *[line(v, left, F.col("_i")).alias(f"_l_{v}") for v in values], *[line(v, right, base).alias(f"_r_{v}") for v in values])
-        at_ = beyond.join(fits, key)
-        x = F.col("_e") - (F.col("_m") - F.least(F.lit(r), F.col("_m")))
-        added = at_.select(*key, F.col("_e").alias("_i"), *[F.when(F.col("_e") < 0, F.col(f"_l_{v}.a") + F.col(f"_l_{v}.b") * F.col("_e")).otherwise(F.col(f"_r_{v}.a") + F.col(f"_r_{v}.b") * x).alias(v) for v in values])
-    else:
-        period = F.greatest(2 * (F.col("_n") - 1), F.lit(1))
-        folded = F.pmod(F.col("_e"), period)
-        source = F.least(folded, period - folded) if boundary == "reflect" else F.greatest(F.lit(0), F.least(F.col("_n") - 1, F.col("_e")))
-        if boundary not in ("reflect", "clamp"):
-            raise ValueError(f"unknown boundary {boundary!r}")
-        source = F.when(F.col("_n") == 1, F.lit(0)).otherwise(source)
-        added = beyond.withColumn("_s", source.cast("long")).join(rows.select(*key, F.col("_i").alias("_s"), *values), [*key, "_s"]).select(*key, F.col("_e").alias("_i"), *values)
-    own = rows.select(*key, "_i", *values, F.struct(*[F.col(c) for c in df.columns]).alias("_row"))
-    both = own.unionByName(added, allowMissingColumns=True)
-    shifted = Window.partitionBy(*key).orderBy("_i")
-
-    def total(parts: list[Column]) -> Column:
-        return parts[0] if len(parts) == 1 else total(parts[: len(parts) // 2]) + total(parts[len(parts) // 2 :])
-
-    dot = lambda v: total([F.lag(v, r - k).over(shifted) * weight for k, weight in enumerate(weights)])
-    done = both.select("_row", *[dot(v).alias(f"_s_{v}") for v in values]).filter("_row IS NOT NULL")
-    return done.select(*[F.col(f"_s_{c}").alias(c) if c in values else F.col(f"_row.{c}").alias(c) for c in df.columns])
-
-
-def integrate(df: DataFrame, delta: Column, name: str = "total") -> DataFrame:
+    weights = np.array(kernel(sigma, multiple))
+    return chunks.windowed(df, len(weights) // 2, values, chunks.weighted(weights, boundary), ("series_id", *keys), width=width)
+
+
+def integrate(df: DataFrame, delta: Column, name: str = "total", width: int | None = None) -> DataFrame:
     """Running sum of ``delta``; a null delta counts as 0 and keeps its row."""
-    return df.withColumn(name, F.sum(F.coalesce(delta, F.lit(0.0))).over(ordered().rowsBetween(Window.unboundedPreceding, 0)))
+    rows = chunks.running(df.withColumn("_delta", delta.cast("double")), {name: lambda before, own: F.coalesce(own("_delta"), F.lit(0.0))}, width=width)
+    return rows.drop("_delta")
 
 
-def running_max(df: DataFrame, radius: int, value: str = "value", name: str = "high") -> DataFrame:
-    return df.withColumn(name, F.max(value).over(ordered().rowsBetween(-radius, radius)))
+def running_max(df: DataFrame, radius: int, value: str = "value", name: str = "high", width: int | None = None) -> DataFrame:
+    """``name``, the largest ``value`` within ``radius`` rows, by block maxima: constant work a row. NaN and null are passed over."""
+    return chunks.windowed(df.withColumn(name, F.col(value).cast("double")), radius, (name,), chunks.highest(radius), width=width)
 
 
-def upper_envelope(df: DataFrame, sigma: float, value: str = "value", name: str = "envelope") -> DataFrame:
-    """Dilated by a running maximum, smoothed, and never below the value itself."""
-    r = len(kernel(sigma)) // 2
-    high = running_max(df, r, value, name)
-    return smooth(high, sigma, "extrapolate", (name,)).withColumn(name, F.greatest(name, value))
+def upper_envelope(df: DataFrame, sigma: float, value: str = "value", name: str = "envelope", width: int | None = None) -> DataFrame:
+    """Dilated by a running maximum, smoothed, and never below the value itself. Both in one pass over chunks that borrow twice the kernel's radius."""
+    weights = np.array(kernel(sigma))
+    r = len(weights) // 2
+    top, soft = chunks.highest(r), chunks.weighted(weights, "extrapolate")
+    both = lambda v, i, n, starts: soft(top(v, i, n, starts), i, n, starts)
+    return chunks.windowed(df.withColumn(name, F.col(value).cast("double")), 2 * r, (name,), both, width=width).withColumn(name, F.greatest(name, value))
 
 
-def trapezoid(df: DataFrame, value: str = "value", name: str = "area") -> DataFrame:
+def trapezoid(df: DataFrame, value: str = "value", name: str = "area", width: int | None = None) -> DataFrame:
     """Cumulative trapezoid in value-seconds."""
-    w = ordered()
-    part = 0.5 * (F.col(value) + F.lag(value).over(w)) * ((F.col("t") - F.lag("t").over(w)) / SECOND)
-    return df.withColumn("_p", F.coalesce(part, F.lit(0.0))).withColumn(name, F.sum("_p").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_p")
+    part = lambda before, own: 0.5 * (own(value) + before(value)) * ((own("t") - before("t")) / SECOND)
+    return chunks.running(df, {name: lambda before, own: F.coalesce(part(before, own), F.lit(0.0))}, ("t", value), width=width)
+
 
+def best_window(df: DataFrame, span: int, value: str = "value", width: int | None = None) -> DataFrame:
+    """Largest absolute net area within ``span`` (end exclusive) of any point; the first of equals. One row a series: net, from_t, to_t.
 
-def best_window(df: DataFrame, width: int, value: str = "value") -> DataFrame:
-    """Largest absolute net area within ``width`` (end exclusive) of any point; the first of equals. One row a series: net, from_t, to_t."""
-    area = trapezoid(df, value)
-    ahead = Window.partitionBy("series_id").orderBy("t").rangeBetween(0, width - 1)
-    last = F.last(F.struct("t", "area")).over(ahead)
-    rows = area.withColumn("_l", last).withColumn("net", F.abs(F.col("_l.area") - F.col("area")))
+    Each point asks for the last one before its window's end, by its place in one sort of points and ends together: the work doesn't depend on how many points a window holds.
+    """
+    area = trapezoid(df, value, width=width)
+    points = area.select("series_id", "t", F.lit(0).alias("kind"), "tie", F.struct("t", "area").alias("p"))
+    ends = area.select("series_id", (F.col("t") + span - 1).alias("t"), F.lit(1).alias("kind"), "tie", F.lit(None).cast(points.schema["p"].dataType).alias("p"), F.struct("t", "area").alias("own"))
+    both = points.withColumn("own", F.lit(None).cast(points.schema["p"].dataType)).unionByName(ends)
+    order = [F.col("t"), F.col("kind"), F.col("tie")]
+    rows = chunks.around(both, "p", order, [F.desc("t"), F.desc("kind"), F.desc("tie")], width=width).filter("kind = 1").withColumn("net", F.abs(F.col("_a.area") - F.col("own.area")))
     # the largest net, then the earliest start
-    best = rows.groupBy("series_id").agg(F.max(F.struct("net", (-F.col("t")).alias("m"), F.col("_l.t").alias("to_t"))).alias("x"))
+    best = rows.groupBy("series_id").agg(F.max(F.struct("net", (-F.col("own.t")).alias("m"), F.col("_a.t").alias("to_t"))).alias("x"))
     return best.select("series_id", F.col("x.net").alias("net"), (-F.col("x.m")).alias("from_t"), F.col("x.to_t").alias("to_t")).filter("net > 0")
 
 
-def unwrap(df: DataFrame, angle: str = "value", name: str = "unwrapped") -> DataFrame:
+def unwrap(df: DataFrame, angle: str = "value", name: str = "unwrapped", width: int | None = None) -> DataFrame:
     """Shortest-arc phase unwrap: the corrections of raw steps, summed. A step of exactly pi is left alone."""
-    w = ordered()
-    step = F.col(angle) - F.lag(angle).over(w)
-    turns = F.when(step > math.pi, -F.ceil((step - math.pi) / (2 * math.pi))).when(step < -math.pi, F.ceil((-step - math.pi) / (2 * math.pi))).otherwise(0)
-    return df.withColumn("_k", F.coalesce(turns, F.lit(0))).withColumn(name, F.col(angle) + 2 * math.pi * F.sum("_k").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_k")
+
+    def turns(before, own) -> Column:
+        step = own(angle) - before(angle)
+        return F.when(step > math.pi, -F.ceil((step - math.pi) / (2 * math.pi))).when(step < -math.pi, F.ceil((-step - math.pi) / (2 * math.pi))).otherwise(0)
+
+    return chunks.running(df, {"_k": turns}, (angle,), width=width).withColumn(name, F.col(angle) + 2 * math.pi * F.col("_k")).drop("_k")
 
 
 def rates(df: DataFrame, value: str, scale: float = 1.0, limit: float | None = None) -> DataFrame:

@@ -1,10 +1,19 @@
-"""Robust statistics and small fits as aggregates. Two medians and two percentile rules differ on purpose: see each."""
+"""Robust statistics and small fits. Two medians and two percentile rules differ on purpose: see each.
+
+Exact ranks of groups of any size go by ``order_statistics``: a quantile sketch of fixed size brackets each rank, and only what lies in the bracket is counted by value, with partial aggregation; what is
+below is one count. So no task holds a group's values, and a group that is a third of all rows spreads as any other. The functions of columns (``median_upper`` and others) are for groups whose
+distinct values fit a task.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import chunks
+
 MAD = 1.4826
 
 
@@ -38,6 +47,72 @@ def percentile_span(v: Column, p: float) -> Column:
     return F.element_at(s, F.floor(p * (F.size(s) - 1)).cast("int") + 1)
 
 
+#: Rows of a group up to which it is counted whole, and the sketch's accuracy beyond: ranks within one in so many.
+ACCURACY = 10_000
+
+
+def upper() -> tuple[float, Callable[[Column], Column]]:
+    """The rank n // 2."""
+    return 0.5, lambda n: F.floor(n / 2)
+
+
+def lower() -> tuple[float, Callable[[Column], Column]]:
+    """The rank (n - 1) // 2: with ``upper`` the middle two."""
+    return 0.5, lambda n: F.floor((n - 1) / 2)
+
+
+def index(p: int) -> tuple[float, Callable[[Column], Column]]:
+    """The rank min(n - 1, n * p // 100)."""
+    return p / 100, lambda n: F.least(n - 1, F.floor(n * p / 100))
+
+
+def span(p: float) -> tuple[float, Callable[[Column], Column]]:
+    """The rank floor(p (n - 1))."""
+    return p, lambda n: F.floor((n - 1) * p)
+
+
+def order_statistics(df: DataFrame, keys: list[str], picks: dict[str, tuple[Column | str, tuple[float, Callable[[Column], Column]]]], accuracy: int = ACCURACY) -> DataFrame:
+    """A row for each of ``keys`` with, for each of ``picks`` (name: (value, rank)), the exact value at that rank of the values that aren't null, and ``n_<name>``, how many there are.
+
+    Values are doubles, NaN counts as infinity. Two passes over ``df``, whatever the number of picks: sketches, then counts. A group without values has no row.
+    """
+    names = list(picks)
+    values = list({str(v): v for v, _ in picks.values()}.values())
+    of = {str(v): i for i, v in enumerate(values)}
+    column = lambda v: (v if isinstance(v, Column) else F.expr(v)).cast("double")
+    array = F.array(*[F.when(F.isnan(column(v)), float("inf")).otherwise(column(v)) for v in values])
+    rows = df.select(*keys, F.posexplode(array).alias("_v", "_x")).filter("_x IS NOT NULL")
+    by = [*keys, "_v"]
+    reach = 4 / accuracy
+    cuts = sorted({min(1.0, max(0.0, share + d)) for _, (share, _) in picks.values() for d in (-reach, reach)})
+    sketch = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.percentile_approx("_x", cuts, accuracy).alias("_q"))
+    whole = F.col("_n") <= accuracy
+
+    def bracket(k: int, share: float, rank: Callable[[Column], Column], value: int) -> Column:
+        low, high = (F.col("_q")[cuts.index(min(1.0, max(0.0, share + d)))] for d in (-reach, reach))
+        made = F.struct(F.lit(k).alias("k"), rank(F.col("_n")).cast("long").alias("r"), F.when(whole, F.col("_lo")).otherwise(low).alias("low"), F.when(whole, F.col("_hi")).otherwise(high).alias("high"))
+        return F.when(F.col("_v") == value, made)
+
+    asked = F.array_compact(F.array(*[bracket(k, share, rank, of[str(v)]) for k, (v, (share, rank)) in enumerate(picks.values())]))
+    met = chunks.joined(rows, sketch.select(*by, "_n", asked.alias("_asked")), by)
+    inside = F.exists("_asked", lambda b: F.col("_x").between(b["low"], b["high"]))
+    # values within a bracket one by one, all others by what they are below
+    met = met.select(*by, "_n", "_asked", F.transform("_asked", lambda b: F.col("_x") < b["low"]).alias("_below"), F.when(inside, F.col("_x")).alias("_x"))
+    counts = met.groupBy(*by, "_x", "_below").agg(F.count("*").alias("_c"), F.first("_n").alias("_n"), F.first("_asked").alias("_asked"))
+    each = counts.select(*by, "_n", "_x", "_c", F.explode(F.arrays_zip(F.col("_asked").alias("a"), F.col("_below").alias("b"))).alias("_e"))
+    each = each.filter(F.col("_e.b") | F.col("_x").between(F.col("_e.a.low"), F.col("_e.a.high"))).withColumn("_x", F.when(~F.col("_e.b"), F.col("_x")))
+    each = each.select(*by, "_n", "_c", "_x", F.col("_e.a.k").alias("_k"), F.col("_e.a.r").alias("_r"))
+    upto = F.sum("_c").over(Window.partitionBy(*by, "_k").orderBy("_x").rangeBetween(Window.unboundedPreceding, 0))
+    found = each.withColumn("_upto", upto).filter(F.col("_x").isNotNull() & (F.col("_upto") > F.col("_r")))
+    chosen = lambda k, x: F.when(F.col("_k") == k, x)
+    return found.groupBy(*keys).agg(*[F.min(chosen(k, F.col("_x"))).alias(n) for k, n in enumerate(names)], *[F.max(chosen(k, F.col("_n"))).alias(f"n_{n}") for k, n in enumerate(names)])
+
+
+def with_statistics(df: DataFrame, keys: list[str], **picks) -> DataFrame:
+    """``df`` with the ``order_statistics`` of each row's group."""
+    return chunks.joined(df, order_statistics(df, keys, picks).select(*keys, *picks), keys)
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b with 0/0 = 1 and x/0 = infinity."""
     return F.when(b != 0, a / F.when(b != 0, b)).when(a == 0, 1.0).otherwise(float("inf"))
@@ -45,7 +120,7 @@ def ratio(a: Column, b: Column) -> Column:
 
 def exact_median_upper(df: DataFrame, key: str, value: str) -> DataFrame:
     """(key, median_upper), nulls left out."""
-    return df.filter(F.col(value).isNotNull()).groupBy(key).agg(median_upper(value).alias("median_upper"))
+    return order_statistics(df, [key], {"median_upper": (value, upper())}).select(key, "median_upper")
 
 
 def line(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
@@ -64,8 +139,7 @@ def trimmed_origin_fit(df: DataFrame, keys: list[str], x: str = "x", y: str = "y
     """Slope through the origin, once more without residuals over knee x 1.4826 x their upper median; ``ok`` where ``least`` samples are left."""
     first = df.groupBy(*keys).agg((F.sum(F.col(x) * F.col(y)) / F.sum(F.col(x) * F.col(x))).alias("_k"))
     left = df.join(first, keys).withColumn("_r", F.abs(F.col(y) - F.col("_k") * F.col(x)))
-    cut = left.groupBy(*keys).agg((knee * MAD * median_upper("_r")).alias("_c"))
-    kept = left.join(cut, keys).filter("_r <= _c")
+    kept = with_statistics(left, keys, _m=("_r", upper())).filter(F.col("_r") <= knee * MAD * F.col("_m"))
     slope, r = through_origin(x, y)
     return kept.groupBy(*keys).agg(slope.alias("slope"), r.alias("r"), F.count("*").alias("n")).withColumn("ok", F.col("n") >= least)
 
@@ -92,21 +166,18 @@ def robust_plane(df: DataFrame, keys: list[str], x: str = "x", y: str = "y", d:
     """``plane`` fitted once more without residuals over knee x 1.4826 x their upper median; fewer than ``least`` points give no row."""
     fit = plane(df, keys, x, y, d).filter(F.col("n") >= least).select(*keys, F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("c").alias("_c"))
     left = df.join(fit, keys).withColumn("_r", F.abs(F.col(d) - (F.col("_a") + F.col("_b") * F.col(x) + F.col("_c") * F.col(y))))
-    cut = left.groupBy(*keys).agg((knee * MAD * median_upper("_r")).alias("_t"))
-    return plane(left.join(cut, keys).filter("_r <= _t"), keys, x, y, d).filter(F.col("n") >= least)
+    return plane(with_statistics(left, keys, _m=("_r", upper())).filter(F.col("_r") <= knee * MAD * F.col("_m")), keys, x, y, d).filter(F.col("n") >= least)
 
 
 def residual_shake(motion: DataFrame) -> DataFrame:
-    """frames, median and 90th percentile of translation, median rotation in degrees, of measured rows; one row for each series."""
-    ok = motion.filter("ok")
+    """frames, median and 90th percentile of translation, median rotation in degrees, of measured rows (those with a dx and dy); one row for each series."""
     size = "sqrt(dx * dx + dy * dy)"
-    return ok.groupBy("series_id").agg(F.count("*").alias("frames"), median_upper(size).alias("median_translation"), percentile_index(size, 90).alias("p90_translation"), F.degrees(median_upper("abs(rotation)")).alias("median_rotation_deg"))
+    found = order_statistics(motion.filter("ok"), ["series_id"], {"median_translation": (size, upper()), "p90_translation": (size, index(90)), "turn": ("abs(rotation)", upper())})
+    return found.select("series_id", F.col("n_median_translation").alias("frames"), "median_translation", "p90_translation", F.degrees("turn").alias("median_rotation_deg"))
 
 
 def correction_stats(corrections: DataFrame, boundary: int, scale: float = 1.0) -> DataFrame:
     """Means, maxima, clamped share and boundary against interior maximum; frame counts from 0 in each series."""
-    from pyspark.sql import Window
-
     n = F.count("*").over(Window.partitionBy("series_id"))
     rows = corrections.withColumn("_m", F.hypot("dx", "dy") * scale).withColumn("_edge", (F.col("frame") < boundary) | (F.col("frame") >= n - boundary))
     out = rows.groupBy("series_id").agg(

@@ -10,25 +10,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import maths
-from . import series, stats
+from . import chunks, series, stats
 
 #: Fixed values of the domain.
 MAX_ZOOM_SEARCH, FIT_EPS = 3.0, 1e-6
 
 
-def trajectory(motion: DataFrame) -> DataFrame:
-    """Prefix sums of dx, dy, rotation and log scale over (series_id, frame); a failed row moves nothing, a scale <= 0 scales nothing. Frame 0 is the origin."""
-    w = Window.partitionBy("series_id").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
-    good = lambda c: F.when(F.coalesce(F.col("ok"), F.lit(False)), F.coalesce(c, F.lit(0.0))).otherwise(0.0)
-    log_scale = F.when(F.col("scale") > 0, F.log("scale")).otherwise(0.0)
-    return motion.select("*", F.sum(good(F.col("dx"))).over(w).alias("x"), F.sum(good(F.col("dy"))).over(w).alias("y"), F.sum(good(F.col("rotation"))).over(w).alias("angle"), F.sum(good(log_scale)).over(w).alias("log_scale"))
+def trajectory(motion: DataFrame, width: int | None = None) -> DataFrame:
+    """Prefix sums of dx, dy, rotation and log scale over (series_id, frame); a failed row moves nothing, a scale <= 0 scales nothing. Frame 0 is the origin. ``width`` frames are a cell (see ``chunks``)."""
 
+    def good(c: str):
+        return lambda before, own: F.when(F.coalesce(own("ok"), F.lit(False)), F.coalesce(own(c), F.lit(0.0))).otherwise(0.0)
 
-def corrections(path: DataFrame, sigma: float = 20.0, scale_weight: float = 0.0, max_translation: float = 0.0, max_rotation: float = 0.0) -> DataFrame:
-    """Smoothed path minus path: dx, dy, rotation, scale, clamped. A limit of 0 is none; translation shrinks in proportion, rotation keeps its sign."""
+    rows = motion.withColumn("_log", F.when(F.col("scale") > 0, F.log("scale")).otherwise(0.0))
+    steps = {"x": good("dx"), "y": good("dy"), "angle": good("rotation"), "log_scale": good("_log")}
+    return chunks.running(rows, steps, order=("frame",), at="frame", width=width).drop("_log")
+
+
+def corrections(path: DataFrame, sigma: float = 20.0, scale_weight: float = 0.0, max_translation: float = 0.0, max_rotation: float = 0.0, channels: tuple[str, ...] = ("x", "y", "angle", "log_scale")) -> DataFrame:
+    """Smoothed path minus path: dx, dy, rotation, scale, clamped. A limit of 0 is none; translation shrinks in proportion, rotation keeps its sign. Of ``channels`` left out nothing is corrected."""
     names = ("x", "y", "angle", "log_scale")
     raw = path.select("series_id", "frame", F.col("frame").alias("t"), F.col("frame").alias("tie"), *names, *[F.col(c).alias(f"s_{c}") for c in names])
-    s = series.smooth(raw, sigma, "extrapolate", tuple(f"s_{c}" for c in names))
+    s = series.smooth(raw, sigma, "extrapolate", tuple(f"s_{c}" for c in names if c in channels))
     d = {c: F.col(f"s_{c}") - F.col(c) for c in names}
     size = F.hypot(d["x"], d["y"])
     far = (size > max_translation) if max_translation > 0 else F.lit(False)
@@ -85,8 +88,7 @@ def readout_fit(measured: DataFrame, predictor: DataFrame, least: int = 30) -> D
     pooled = ratio(sh * x + st * y, x * x + y * y)
     first = both.groupBy("series_id").agg(pooled.alias("_k"), F.count("*").alias("_n")).filter(F.col("_n") >= least)
     left = both.join(first, "series_id").withColumn("_r", F.hypot(sh - F.col("_k") * x, st - F.col("_k") * y))
-    cut = left.groupBy("series_id").agg((stats.MAD * stats.median_upper("_r")).alias("_m"))
-    left = left.join(cut, "series_id").withColumn("_in", (F.col("_m") <= 0) | (F.col("_r") <= 3 * F.col("_m")))
+    left = stats.with_statistics(left, ["series_id"], _m=("_r", stats.upper())).withColumn("_m", stats.MAD * F.col("_m")).withColumn("_in", (F.col("_m") <= 0) | (F.col("_r") <= 3 * F.col("_m")))
     enough = left.groupBy("series_id").agg((F.sum(F.col("_in").cast("int")) < least).alias("_all"))
     kept = left.join(enough, "series_id").filter("_all OR _in")
 
@@ -98,10 +100,12 @@ def readout_fit(measured: DataFrame, predictor: DataFrame, least: int = 30) -> D
         den = F.sqrt(F.greatest((n * spp - sp * sp) * (n * soo - so * so), F.lit(0.0)))
         return F.coalesce((n * spo - sp * so) / F.nullif(den, F.lit(0.0)), F.lit(0.0))
 
-    return kept.groupBy("series_id").agg(
+    drive = stats.order_statistics(kept, ["series_id"], {"median_accel": ("sqrt(px * px + py * py)", stats.upper())}).select("series_id", "median_accel")
+    fitted = kept.groupBy("series_id").agg(
         pooled.alias("ratio"), F.count("*").alias("samples"), F.lit(True).alias("ok"), correlation([(x, sh), (y, st)]).alias("corr"), ratio(sh * x, x * x).alias("ratio_h"), correlation([(x, sh)]).alias("corr_h"),
-        ratio(st * y, y * y).alias("ratio_v"), correlation([(y, st)]).alias("corr_v"), stats.median_upper("sqrt(px * px + py * py)").alias("median_accel"),
+        ratio(st * y, y * y).alias("ratio_v"), correlation([(y, st)]).alias("corr_v"),
     )
+    return fitted.join(drive, "series_id")
 
 
 def debias(motion: DataFrame, rho: float, height: int) -> DataFrame:
@@ -163,38 +167,29 @@ def mesh_field(features: DataFrame, width: float, height: float, cols: int, rows
     return spatial_median(first, ("vx", "vy")).select("series_id", "frame", "r", "c", "vx", "vy")
 
 
-def _frames(frame: pd.DataFrame) -> pd.DataFrame:
-    return frame.sort_values("frame").reset_index(drop=True)
+def _turned(new: np.ndarray, old: np.ndarray) -> np.ndarray:
+    q = maths.q_mul(new, old)
+    return q / np.linalg.norm(q, axis=-1, keepdims=True)
 
 
-def orientations(motion: DataFrame) -> DataFrame:
+def orientations(motion: DataFrame, width: int = chunks.FRAMES) -> DataFrame:
     """The orientation (series_id, frame, w, x, y, z) of every frame: the first is the identity, and each transition (frame k to k + 1) is composed onto the one before, new times old.
 
-    A transition that failed (``ok``, where there is that column) or has no quaternion turns nothing. Order matters, so a series is folded in one task; a series is one recording.
+    A transition that failed (``ok``, where there is that column) or has no quaternion turns nothing. Order matters: transitions are multiplied out by cells of ``width`` frames, then over cells.
     """
     names = ["w", "x", "y", "z"]
-    rows = motion.select("series_id", "frame", *names, (F.coalesce(F.col("ok"), F.lit(False)) if "ok" in motion.columns else F.lit(True)).alias("ok"))
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = _frames(frame)
-        q = np.array([1.0, 0, 0, 0])
-        out = [q]
-        for row, ok in zip(frame[names].to_numpy(float), frame["ok"], strict=True):
-            if ok and not np.isnan(row).any() and np.linalg.norm(row) > 0:
-                q = maths.q_mul(row / np.linalg.norm(row), q)
-                q = q / np.linalg.norm(q)
-            out.append(q)
-        at = np.append(frame["frame"].to_numpy(), frame["frame"].iloc[-1] + 1)
-        return pd.DataFrame({"series_id": frame["series_id"].iloc[0], "frame": at, **dict(zip(names, np.array(out).T, strict=True))})
-
-    return rows.groupBy("series_id").applyInPandas(fold, rows.select("series_id", "frame", *names).schema)
-
-
-def _mean_orientations(q: np.ndarray, k: np.ndarray, iterations: int, block: int = 4096) -> np.ndarray:
-    """For each row the weighted mean of its neighbours on the rotation group. Where the window hangs off an end, the neighbours' rotation vectors go on along the line fitted to those at that end."""
-    n, r = len(q), len(k) // 2
-    mean = q.copy()
-    inner = np.arange(r, n - r)
+    norm = F.sqrt(sum((F.col(c) * F.col(c) for c in "xyz"), F.col("w") * F.col("w")))
+    ok = F.coalesce(F.col("ok"), F.lit(False)) if "ok" in motion.columns else F.lit(True)
+    rows = motion.withColumn("v", F.when(ok & (norm > 0) & ~F.isnan(norm), F.array(*[F.col(c).cast("double") / norm for c in names])))
+    out = chunks.folded(rows, _turned, np.array([1.0, 0, 0, 0]), width)
+    return out.select("series_id", "frame", *[F.col("v")[k].alias(c) for k, c in enumerate(names)])
+
+
+def _mean_orientations(q: np.ndarray, i: np.ndarray, n: int, own: np.ndarray, k: np.ndarray, iterations: int, block: int = 4096) -> np.ndarray:
+    """For each ``own`` row of a chunk (positions ``i`` of ``n``) the weighted mean of its neighbours on the rotation group. Where the window hangs off an end of the series, the neighbours' rotation
+    vectors go on along the line fitted to those at that end."""
+    r, mean = len(k) // 2, q.copy()
+    inner = np.flatnonzero(own & (i >= r) & (i < n - r))
     for a in range(0, len(inner), block):
         rows = inner[a : a + block]
         near = q[rows[:, None] + np.arange(-r, r + 1)]
@@ -204,62 +199,64 @@ def _mean_orientations(q: np.ndarray, k: np.ndarray, iterations: int, block: int
             m = maths.q_mul(maths.q_exp(step), m)
             m = m / np.linalg.norm(m, axis=1, keepdims=True)
         mean[rows] = m
-    for i in [*range(min(r, n)), *range(max(r, n - r), n)]:
-        low, high = max(0, i - r), min(n - 1, i + r)
-        m = q[i]
+    for row in np.flatnonzero(own & ((i < r) | (i >= n - r))):
+        at = int(i[row])
+        low, high = max(0, at - r), min(n - 1, at + r)
+        near, m = q[row - (at - low) : row + (high - at) + 1], q[row]
         for _ in range(iterations):
-            v = maths.extended(maths.q_log(maths.q_mul(q[low : high + 1], maths.q_conj(m)[None])), low - (i - r), i + r - high, r)
+            v = maths.extended(maths.q_log(maths.q_mul(near, maths.q_conj(m)[None])), low - (at - r), at + r - high, r)
             m = maths.q_mul(maths.q_exp((v * k[:, None]).sum(0)), m)
             m = m / np.linalg.norm(m)
-        mean[i] = m
+        mean[row] = m
     return mean
 
 
-def smooth_orientations(path: DataFrame, sigma: float, iterations: int = 2) -> DataFrame:
-    """Gaussian mean on the rotation group: at each frame the neighbours' rotation vectors relative to it are averaged and applied, twice over. Ends go on along a line (a steady turn)."""
+def smooth_orientations(path: DataFrame, sigma: float, iterations: int = 2, size: int = chunks.CHUNK, width: int | None = None) -> DataFrame:
+    """Gaussian mean on the rotation group: at each frame the neighbours' rotation vectors relative to it are averaged and applied, twice over. Ends go on along a line (a steady turn).
+
+    Chunks of ``size`` frames borrow the kernel's radius from their neighbours, so a series spreads over tasks."""
     k = np.array(series.kernel(sigma))
+    names = ["w", "x", "y", "z"]
+    rows = chunks.dealt(chunks.positions(path.select("series_id", "frame", *names), order=("frame",), at="frame", width=width), len(k) // 2, size)
 
     def smooth(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = _frames(frame)
-        mean = _mean_orientations(frame[["w", "x", "y", "z"]].to_numpy(float), k, iterations)
-        return frame[["series_id", "frame"]].assign(**dict(zip("wxyz", mean.T, strict=True)))
+        frame = frame.sort_values("_i")
+        mean = _mean_orientations(frame[names].to_numpy(float), frame["_i"].to_numpy(), int(frame["_n"].iloc[0]), frame["_own"].to_numpy(bool), k, iterations)
+        return frame[["series_id", "frame"]].assign(**dict(zip(names, mean.T, strict=True)))[frame["_own"].to_numpy(bool)]
 
-    return path.groupBy("series_id").applyInPandas(smooth, path.select("series_id", "frame", "w", "x", "y", "z").schema)
+    return rows.groupBy("series_id", "_c").applyInPandas(smooth, path.select("series_id", "frame", *names).schema)
 
 
-def perspective_paths(motion: DataFrame, sigma: float, strength: float = 1.0) -> DataFrame:
+def _chained(new: np.ndarray, old: np.ndarray) -> np.ndarray:
+    m = new @ old
+    corner = m[..., 2:, 2:]
+    return np.where(corner == 0, m, m / np.where(corner == 0, 1, corner))
+
+
+def perspective_paths(motion: DataFrame, sigma: float, strength: float = 1.0, width: int = chunks.FRAMES) -> DataFrame:
     """The correction (series_id, frame, h) of every frame, from the residual 3x3 matrices h (array of 9, row by row) of the transitions.
 
     Matrices are chained in frame order from the identity (a null one changes nothing), the eight free entries are smoothed as any channel (ends go on along a line), and what carries the
-    actual onto the smoothed one is blended with the identity: ``strength`` 1 is all of it, 0 or less gives no rows. A series is folded in one task; it is one recording.
+    actual onto the smoothed one (a singular one's inverse is the identity) is blended with the identity: ``strength`` 1 is all of it, 0 or less gives no rows. Chains are multiplied out by cells
+    of ``width`` frames, then over cells.
     """
     if strength <= 0:
         return motion.select("series_id", "frame", "h").limit(0)
-    k, part = np.array(series.kernel(sigma)), min(strength, 1.0)
-    r = len(k) // 2
-    rows = motion.select("series_id", "frame", F.col("h").cast("array<double>").alias("h"))
-
-    def unit(m: np.ndarray) -> np.ndarray:
-        corner = m[..., 2:, 2:]
-        return np.where(corner == 0, m, m / np.where(corner == 0, 1, corner))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = _frames(frame)
-        m, out = np.eye(3), [np.eye(3)]
-        for h in frame["h"]:
-            if h is not None:
-                m = unit(np.array(h, float).reshape(3, 3) @ m)
-            out.append(m)
-        path = np.array(out)
-        wide = maths.extended(path.reshape(-1, 9), r, r, r)
-        soft = np.stack([np.convolve(wide[:, c], k[::-1], "valid") for c in range(9)], 1)
-        soft[:, 8] = 1.0
-        fix = unit(soft.reshape(-1, 3, 3) @ np.linalg.inv(path))
-        fix = unit(np.eye(3) + part * (fix - np.eye(3)))
-        at = np.append(frame["frame"].to_numpy(), frame["frame"].iloc[-1] + 1)
-        return pd.DataFrame({"series_id": frame["series_id"].iloc[0], "frame": at, "h": [x.ravel().tolist() for x in fix]})
-
-    return rows.groupBy("series_id").applyInPandas(run, rows.schema)
+    part = min(strength, 1.0)
+    path = chunks.folded(motion.select("series_id", "frame", F.col("h").cast("array<double>").alias("v")), _chained, np.eye(3), width)
+    free = [f"s{k}" for k in range(8)]
+    rows = path.select("series_id", "frame", F.col("frame").alias("t"), F.col("frame").alias("tie"), "v", *[F.col("v")[k].alias(c) for k, c in enumerate(free)])
+    soft = series.smooth(rows, sigma, "extrapolate", tuple(free))
+    keys = ", ".join(f"`{n}` {t}" for n, t in soft.select("series_id", "frame").dtypes)
+
+    def fixed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            wanted = np.concatenate([f[free].to_numpy(float), np.ones((len(f), 1))], 1).reshape(-1, 3, 3)
+            fix = _chained(wanted, maths.inverse3(np.array(f["v"].tolist(), float).reshape(-1, 3, 3)))
+            fix = np.eye(3) + part * (fix - np.eye(3))
+            yield f[["series_id", "frame"]].assign(h=list(_chained(fix, np.eye(3)).reshape(-1, 9)))
+
+    return soft.select("series_id", "frame", "v", *free).mapInPandas(fixed, f"{keys}, h array<double>")
 
 
 #: Focal lengths to try, as shares of the width, shortest first; the last stands for a flat lens.
@@ -287,7 +284,7 @@ def lens_sweep(pairs: DataFrame, focals: list[float] | None = None, kinds: tuple
         return pd.DataFrame(out, columns=["pair_id", "ord", "kind", "focal", "flat", "err"])
 
     each = pairs.groupBy("pair_id").applyInPandas(fit, f"pair_id {pairs.schema['pair_id'].dataType.simpleString()}, ord int, kind string, focal double, flat boolean, err double")
-    return each.groupBy("ord", "kind", "focal", "flat").agg(stats.median_upper("err").alias("err"))
+    return stats.order_statistics(each, ["ord", "kind", "focal", "flat"], {"err": ("err", stats.upper())}).drop("n_err")
 
 
 def similarity_errors(pairs: DataFrame) -> DataFrame:
@@ -313,7 +310,7 @@ def best_lens(swept: DataFrame) -> DataFrame:
 
 def calibrated_lens(pairs: DataFrame, **sweep) -> DataFrame:
     """One row: the best lens with its error, the flat one's, the similarity's (upper median over pairs) and the number of pairs."""
-    base = similarity_errors(pairs).agg(stats.median_upper("err").alias("similarity_err"))
+    base = stats.order_statistics(similarity_errors(pairs).withColumn("_all", F.lit(0)), ["_all"], {"similarity_err": ("err", stats.upper())}).select("similarity_err")
     count = pairs.agg(F.countDistinct("pair_id").alias("pairs"))
     return best_lens(lens_sweep(pairs, **sweep)).crossJoin(F.broadcast(base)).crossJoin(F.broadcast(count))  # one row each
 
@@ -355,7 +352,8 @@ def worst_margin(rects: DataFrame, width: int, height: int) -> DataFrame:
 def margin_percentiles(rects: DataFrame, width: int, height: int) -> DataFrame:
     """What rectifying costs in crop: median, p90, p99 and worst margin over the frames of each series."""
     rows = rects.select("series_id", F.coalesce(maths.rectifier_margin(F.col("kx"), F.col("ky"), width, height), F.lit(0.0)).alias("margin"))
-    return rows.groupBy("series_id").agg(stats.median_upper("margin").alias("median"), stats.percentile_index("margin", 90).alias("p90"), stats.percentile_index("margin", 99).alias("p99"), F.max("margin").alias("worst"))
+    picks = {"median": ("margin", stats.upper()), "p90": ("margin", stats.index(90)), "p99": ("margin", stats.index(99))}
+    return stats.order_statistics(rows, ["series_id"], picks).select("series_id", *picks).join(rows.groupBy("series_id").agg(F.max("margin").alias("worst")), "series_id")
 
 
 def mesh_border_margin(corr: DataFrame, cols: int, rows: int, width: int, height: int, scale_factor: float = 1.0, safety: float = 2.0) -> DataFrame:

@@ -221,7 +221,9 @@ def heading_rates(spark, d):
 SELECT l_suppkey, list_sort(list(l_quantity))[(count(*) // 2) + 1] AS upper, median(l_quantity) AS average, list_sort(list(l_extendedprice))[least(count(*) - 1, count(*) * 90 // 100) + 1] AS p90 FROM lineitem GROUP BY 1
 """)
 def medians(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(stats.median_upper("l_quantity").alias("upper"), stats.median_average(F.col("l_quantity")).alias("average"), stats.percentile_index("l_extendedprice", 90).alias("p90"))
+    picks = {"upper": ("l_quantity", stats.upper()), "lower": ("l_quantity", stats.lower()), "p90": ("l_extendedprice", stats.index(90))}
+    out = stats.order_statistics(table(spark, d, "lineitem"), ["l_suppkey"], picks)
+    return out.select("l_suppkey", "upper", ((F.col("lower") + F.col("upper")) / 2).alias("average"), "p90")
 
 
 @query("SELECT l_returnflag, v AS median_upper FROM (SELECT l_returnflag, l_extendedprice AS v, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) - 1 AS r, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem) WHERE r = n // 2")
@@ -451,42 +453,81 @@ def every_seventh(spark, d):
 
 # --- alignment ------------------------------------------------------------------------
 
+#: Users are dealt over so many clips.
+CLIPS = 4
+
+
 def _hourly(spark, d, kind: str) -> DataFrame:
     e = table(spark, d, "events").filter(F.col("event_type") == kind)
-    return e.groupBy(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / HOUR).alias("g")).agg(F.sum("value").alias("value"))
+    return e.groupBy((F.col("user_id") % CLIPS).alias("clip"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / HOUR).alias("g")).agg(F.sum("value").alias("value"))
 
 
-_HOURLY = """a AS (SELECT epoch_us(ts) // 3600000000 AS g, sum(value) AS v FROM events WHERE event_type = 'click' GROUP BY 1), b AS (SELECT epoch_us(ts) // 3600000000 AS h, sum(value) AS f FROM events WHERE event_type = 'purchase' GROUP BY 1),
-t AS (SELECT unnest(range(-48, 49)) AS tau), j AS (SELECT tau, covar_pop(v, f) AS cov, var_pop(v) AS vv, var_pop(f) AS vf, count(*) AS n FROM a, t, b WHERE h = g + tau GROUP BY 1),
-s AS (SELECT tau, cov / (0.5 * (vv + vf) + 9.0) AS score, n FROM j WHERE n >= 0.5 * (SELECT count(*) FROM a))"""
+_HOURLY = f"""a AS (SELECT user_id % {CLIPS} AS clip, epoch_us(ts) // 3600000000 AS g, sum(value) AS v FROM events WHERE event_type = 'click' GROUP BY 1, 2), b AS (SELECT user_id % {CLIPS} AS clip, epoch_us(ts) // 3600000000 AS h, sum(value) AS f FROM events WHERE event_type = 'purchase' GROUP BY 1, 2),
+t AS (SELECT unnest(range(-48, 49)) AS tau), j AS (SELECT a.clip, tau, covar_pop(v, f) AS cov, var_pop(v) AS vv, var_pop(f) AS vf, count(*) AS n FROM a, t, b WHERE a.clip = b.clip AND h = g + tau GROUP BY 1, 2),
+s AS (SELECT j.clip, tau, cov / (0.5 * (vv + vf) + 9.0) AS score, n FROM j JOIN (SELECT clip, count(*) AS total FROM a GROUP BY 1) c ON c.clip = j.clip WHERE n >= 0.1 * total)"""
 
 
 def _curve(spark, d) -> DataFrame:
-    return alignment.score_grid(_hourly(spark, d, "click"), _hourly(spark, d, "purchase"), -48, 48, coverage=0.5)
+    return alignment.score_grid(_hourly(spark, d, "click"), _hourly(spark, d, "purchase"), -48, 48, coverage=0.1, keys=("clip",))
 
 
-@query(f"WITH {_HOURLY} SELECT tau::INT AS tau, round(score, 6) AS score, n FROM s")
+@query(f"WITH {_HOURLY} SELECT clip, tau::INT AS tau, round(score, 6) AS score, n FROM s")
 def lag_scores(spark, d):
-    return rounded(_curve(spark, d), "score").select("tau", "score", "n")
+    return rounded(_curve(spark, d), "score").select("clip", "tau", "score", "n")
 
 
-_PEAKS = "p AS (SELECT tau, score FROM (SELECT *, lag(score) OVER w AS l, lead(score) OVER w AS r, lag(tau) OVER w AS lt, lead(tau) OVER w AS rt FROM s WINDOW w AS (ORDER BY tau)) WHERE score > 0 AND tau - lt = 1 AND rt - tau = 1 AND score >= l AND score >= r)"
+_PEAKS = "p AS (SELECT clip, tau, score FROM (SELECT *, lag(score) OVER w AS l, lead(score) OVER w AS r, lag(tau) OVER w AS lt, lead(tau) OVER w AS rt FROM s WINDOW w AS (PARTITION BY clip ORDER BY tau)) WHERE score > 0 AND tau - lt = 1 AND rt - tau = 1 AND score >= l AND score >= r)"
 
 
-@query(f"WITH {_HOURLY}, {_PEAKS} SELECT tau::INT AS tau, round(score, 6) AS score FROM p")
+@query(f"WITH {_HOURLY}, {_PEAKS} SELECT clip, tau::INT AS tau, round(score, 6) AS score FROM p")
 def lag_peaks(spark, d):
-    return rounded(alignment.local_maxima(_curve(spark, d), 1.0), "score").select("tau", "score")
+    return rounded(alignment.local_maxima(_curve(spark, d), 1.0, ("clip",)), "score").select("clip", "tau", "score")
 
 
-@query(f"WITH {_HOURLY}, {_PEAKS}, m AS (SELECT max(score) AS peak FROM p) SELECT round(avg((score >= peak)::INT), 6) AS null_share FROM s, m WHERE abs(tau) > 30")
+@query(f"WITH {_HOURLY}, {_PEAKS}, m AS (SELECT clip, max(score) AS peak FROM p GROUP BY 1) SELECT s.clip, round(avg((score >= peak)::INT), 6) AS null_share FROM s JOIN m USING (clip) WHERE abs(tau) > 30 GROUP BY 1")
 def lag_null_share(spark, d):
-    return rounded(alignment.null_share(_curve(spark, d), 1.0), "null_share")
+    return rounded(alignment.null_share(_curve(spark, d), 1.0, ("clip",)), "null_share")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_HOURLY}, {_PEAKS}, o AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY score DESC, tau) AS k FROM p),
+x AS (SELECT DISTINCT clip, 0::BIGINT AS k, []::BIGINT[] AS kept FROM o UNION ALL SELECT x.clip, x.k + 1, CASE WHEN len(list_filter(x.kept, lambda y: abs(y - o.tau) < 6)) > 0 THEN x.kept ELSE list_append(x.kept, o.tau) END FROM x JOIN o ON o.clip = x.clip AND o.k = x.k + 1)
+SELECT clip, (place - 1)::INT AS place, tau::INT AS tau, round(score, 6) AS score FROM (SELECT clip, unnest(kept) AS tau, generate_subscripts(kept, 1) AS place FROM (SELECT clip, arg_max(kept, k) AS kept FROM x GROUP BY 1)) JOIN p USING (clip, tau)
+""")
 def lag_candidates(spark, d):
-    """Peaks kept a radius apart, greedily by score."""
-    return rounded(alignment.spaced(alignment.local_maxima(_curve(spark, d), 1.0), 6.0), "score").select("place", "tau", "score")
+    """Peaks kept a radius apart, greedily by score, of each clip."""
+    peaks = alignment.local_maxima(_curve(spark, d), 1.0, ("clip",))
+    return rounded(alignment.spaced(peaks, 6.0, ("clip",)), "score").select("clip", "place", "tau", "score")
+
+
+@query(f"""
+WITH {_HOURLY}, {_PEAKS}, h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY score DESC, tau) AS k FROM p) WHERE k = 1),
+g AS (SELECT clip, tau, score, sum(CASE WHEN d >= 1.5 THEN 1 ELSE 0 END) OVER (PARTITION BY clip ORDER BY tau) AS run FROM (SELECT *, tau - lag(tau) OVER (PARTITION BY clip ORDER BY tau) AS d FROM s)),
+m AS (SELECT h.clip, h.tau, h.score, g.tau AS t, g.score AS v FROM h JOIN g own ON own.clip = h.clip AND own.tau = h.tau JOIN g ON g.clip = h.clip AND g.run = own.run)
+SELECT clip, tau::INT AS tau, (coalesce(min(t) FILTER (WHERE t > tau AND v < score / 2), max(t)) - coalesce(max(t) FILTER (WHERE t < tau AND v < score / 2), min(t)))::INT AS fwhm FROM m GROUP BY 1, 2
+""")
+def lag_widths(spark, d):
+    """Width at half its height of each clip's highest peak."""
+    curve = _curve(spark, d)
+    top = alignment.highest(alignment.local_maxima(curve, 1.0, ("clip",)), ("clip",))
+    return alignment.half_width(curve, top, 1.0, keys=("clip",)).select("clip", "tau", F.col("fwhm").cast("int").alias("fwhm"))
+
+
+_REACH = 36
+_VERDICTS = f"""c AS (SELECT user_id AS s, epoch_us(ts) AS t, value AS v, event_id AS tie FROM events WHERE event_type = 'click'), f AS (SELECT user_id AS s, epoch_us(ts) AS t, value AS v, event_id AS tie FROM events WHERE event_type <> 'click'),
+l AS (SELECT unnest(range(-{_REACH}, {_REACH + 1})) AS tau), q AS (SELECT c.s, c.tie, c.v, tau, c.t + tau * 3600000000 AS t FROM c, l),
+a AS (SELECT q.*, x.t AS t0, x.v AS v0 FROM q ASOF LEFT JOIN f x ON x.s = q.s AND q.t >= x.t), b AS (SELECT a.*, y.t AS t1, y.v AS v1 FROM a ASOF LEFT JOIN f y ON y.s = a.s AND a.t <= y.t),
+w AS (SELECT s, tau, v, CASE WHEN t1 = t THEN v1 WHEN t1 - t0 <= 172800000000 AND t1 > t0 THEN v0 + (t - t0)::DOUBLE / (t1 - t0) * (v1 - v0) END AS f FROM b)"""
+
+
+@query(f"""
+WITH {_VERDICTS} SELECT s AS series_id, tau::DOUBLE * 3600 AS tau, round(covar_pop(v, f) / (0.5 * (var_pop(v) FILTER (WHERE f IS NOT NULL) + var_pop(f)) + 9), 6) AS score FROM w GROUP BY s, tau HAVING count(f) >= 0.9 * count(*)
+""")
+def lag_curves(spark, d):
+    """Scores of lags off the grid, of every user's clicks against the rest."""
+    clicks, rest = of_type(spark, d, "click"), series.typed(table(spark, d, "events").filter("event_type <> 'click'"), "user_id", "ts", "event_id", "value")
+    spans = alignment.lag_spans(clicks, -_REACH * 3600.0, _REACH * 3600.0, 3600.0)
+    return rounded(alignment.score_curve(clicks, rest, spans, 48 * HOUR), "score").select("series_id", "tau", "score")
 
 
 # --- activities -------------------------------------------------------------------------
