@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from . import common, words
 
 LEAST, TOP, UNIT = 3, 200, 1_000_000_000
+#: Parts that a source's candidates are dealt over before its tops are taken.
+SPREAD = 16
 #: Words of a stretch, at most, and entries of the dense vectors (sources x words) worked on at once.
 STRETCH, DENSE = 4096, 1 << 22
 #: Bytes of text that a task splits into words at once.
@@ -226,8 +228,11 @@ def divergence(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame
     found = compared(encoded, totals, top)
     wordless = totals.filter("v = 0").select("lang", F.explode("names").alias("source"), "names").select("lang", "source", F.lit("pair").alias("part"), F.explode("names").alias("item"), F.lit(0).cast("long").alias("value"))
     pairs = found.filter("part = 'pair'").unionByName(wordless.filter("source != item")).groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
-    w = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
-    ranked = pairs.unionByName(found.filter("part = 'term'")).withColumn("rank", F.row_number().over(w))
+    # every task has tops of its own: they are cut down in ``SPREAD`` parts of a source before it meets in one
+    order = [F.desc("value"), F.col("item")]
+    dealt = found.filter("part = 'term'").withColumn("deal", F.pmod(F.xxhash64("item"), F.lit(SPREAD)))
+    terms = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source", "part", "deal").orderBy(*order))).filter(F.col("rank") <= top).drop("rank", "deal")
+    ranked = pairs.unionByName(terms).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(*order)))
     return ranked.filter((F.col("part") == "pair") | (F.col("rank") <= top)).select("lang", "source", "part", "item", "value", "rank")
 
 
