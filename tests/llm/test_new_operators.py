@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wayfold.llm import divergence, sharding, whitening
+from wayfold.llm import divergence, packing, sharding, whitening
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, curve string, word string, row string"
 CLASH = ("c", "c", "c", "c")
@@ -176,3 +176,41 @@ def test_files_are_pruned_in_every_dimension(spark, tmp_path):
     for ask, where in (({"source": ("src3", "src3")}, "source = 'src3'"), ({"doc_id": (100, 200)}, "doc_id BETWEEN 100 AND 200"), ({"size": (None, 20)}, "coalesce(octet_length(text), 0) + 1 <= 20"), ({"lang": ("fr", None), "doc_id": (3000, None)}, "lang >= 'fr' AND doc_id >= 3000")):
         hit = {r["shard"] for r in sharding.touched(manifest, **ask).select("shard").collect()}
         assert set(of(where)) <= hit and len(hit) < 48, (ask, len(hit))
+
+
+# --- 6: repacking within a partition ------------------------------------------------
+
+def split_bins(seed, bins, capacity):
+    """Lengths that fill ``bins`` bins without a gap."""
+    r, out = random.Random(seed), []
+    for _ in range(bins):
+        a = sorted(r.sample(range(1, capacity), 3))
+        out += [a[0], a[1] - a[0], a[2] - a[1], capacity - a[2]]
+    r.shuffle(out)
+    return out
+
+
+def test_one_partition_is_repacked_to_its_bound(spark):
+    missed = 0
+    for seed in range(12):
+        n = np.array(split_bins(seed, 14, 100))
+        where, _ = packing.best_fit_decreasing(n, 100)
+        if where.max() + 1 > 14:
+            missed += 1
+            better = packing.repaired(n, where, 14, 100)
+            assert better.max() + 1 == 14 and np.bincount(better, weights=n).max() <= 100
+    assert missed > 3
+    n = next(x for x in (split_bins(s, 14, 100) for s in range(12)) if packing.best_fit_decreasing(np.array(x), 100)[0].max() + 1 > 14)
+    rows = spark.createDataFrame([(i, 0, 0, x, i) for i, x in enumerate(n)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    out = packing.pack(rows, 100).toPandas()
+    assert out["sequence_id"].nunique() == 14 and len(out) == len(n)
+    for _, g in out.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert g["offset"].tolist() == [0, *g["length"].cumsum().tolist()[:-1]] and g["length"].sum() <= 100
+
+
+def test_repacking_leaves_what_is_best_alone():
+    n = np.array([60, 60, 60])
+    where, _ = packing.best_fit_decreasing(n, 100)
+    assert packing.repaired(n, where, 2, 100).max() + 1 == 3
+    assert packing.repaired(np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 100).tolist() == []

@@ -2,7 +2,8 @@
 
 Documents become pieces of at most ``capacity`` ids; pieces are dealt over partitions of bounded size and packed best-fit
 decreasing. Dual feasible functions bound from below how many bins any packing of a partition's lengths needs. A partition whose
-bins meet its bound is certified. Bins with room from partitions that aren't, and the emptiest bin of every other, give their
+bins meet its bound is certified; one that isn't first repacks a few of its own bins at a time, its emptiest among them, filling each bin by subset sums (``repaired``), so that a corpus of one
+partition, or the last one of an exchange, is repacked too. Bins with room from partitions that aren't, and the emptiest bin of every other, give their
 documents back; these are dealt anew over fewer partitions and packed again, until the corpus as a whole meets its bound, a round gains nothing (what was given back then stays as it was) or
 ``ROUNDS`` exchanges are done.
 
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from . import common, tokens
 
 CAPACITY, ROUNDS = 2048, 4
+#: Repackings within a partition (fewer where it has many bins), and bins and pieces that one takes.
+TRIES, BINS, POOL = 2000, 9, 256
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", part long, bin long, offset long, fill long, certified boolean"
 
@@ -93,12 +96,84 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
     return where, offset
 
 
+def _filled(pool: list[int], lengths: np.ndarray, capacity: int, draw: np.random.Generator) -> list[list[int]]:
+    """Bins of the pieces ``pool`` (longest first): each takes the longest left and those that fill the rest of it best, by subset sums kept as bits; which of equals, ``draw`` says."""
+    bins, rest, whole = [], pool, (1 << (capacity + 1)) - 1
+    while rest:
+        first, rest = rest[0], [rest[k] for k in draw.permutation(len(rest) - 1) + 1]
+        room = capacity - int(lengths[first])
+        bits, seen = 1, []
+        for i in rest:
+            seen.append(bits)
+            bits |= (bits << int(lengths[i])) & whole
+        left = (bits & ((1 << (room + 1)) - 1)).bit_length() - 1
+        taken = set()
+        for k in range(len(rest) - 1, -1, -1):
+            if left and not (seen[k] >> left) & 1:
+                taken.add(k)
+                left -= int(lengths[rest[k]])
+        bins.append([first, *[rest[k] for k in sorted(taken)]])
+        rest = sorted((i for k, i in enumerate(rest) if k not in taken), key=lambda i: (-int(lengths[i]), i))
+    return bins
+
+
+def repaired(lengths: np.ndarray, where: np.ndarray, least: int, capacity: int = CAPACITY, tries: int = TRIES) -> np.ndarray:
+    """``where`` with as many bins or fewer, down to ``least``: the emptiest bin and a few others, drawn by a fixed seed, are packed anew, and stay so if that takes a bin less, or
+    leaves as much of the room in one."""
+    bins: list[list[int]] = [[] for _ in range(int(where.max()) + 1 if len(where) else 0)]
+    for i, b in enumerate(where.tolist()):
+        bins[b].append(i)
+    fill = [int(lengths[b].sum()) for b in bins]
+    draw = np.random.default_rng(len(lengths))
+    for _ in range(min(tries, max(200, 1_000_000 // max(1, len(bins))))):
+        if len(bins) <= least:
+            break
+        room = [b for b in range(len(bins)) if fill[b] < capacity]
+        low = min(room, key=lambda b: (fill[b], b), default=None)
+        # bins with room first; full ones too, as what fills them may fit better elsewhere
+        others = [b for b in (room if draw.random() < 0.5 and len(room) > 2 else range(len(bins))) if b != low]
+        if low is None or not others:
+            break
+        few = [low, *(others[k] for k in draw.permutation(len(others))[: int(draw.integers(1, BINS))])]
+        pool = sorted((i for b in few for i in bins[b]), key=lambda i: (-int(lengths[i]), i))
+        if len(pool) > POOL:
+            few = few[:2]
+            pool = sorted((i for b in few for i in bins[b]), key=lambda i: (-int(lengths[i]), i))
+            if len(pool) > 8 * POOL:
+                continue
+        made = _filled(pool, lengths, capacity, draw)
+        sums = [int(lengths[b].sum()) for b in made]
+        before = sum(fill[b] ** 2 for b in few)
+        if len(made) < len(few) or len(made) == len(few) and sum(x * x for x in sums) >= before:
+            keep = set(few)
+            bins = [b for k, b in enumerate(bins) if k not in keep] + made
+            fill = [f for k, f in enumerate(fill) if k not in keep] + sums
+    out = np.zeros(len(lengths), np.int64)
+    for b, members in enumerate(bins):
+        out[members] = b
+    return out
+
+
+def _offsets(lengths: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """Places in their bins, gapless, in the order of the pieces."""
+    order = np.argsort(where, kind="stable")
+    upto = np.cumsum(lengths[order]) - lengths[order]
+    begins = np.flatnonzero(np.diff(where[order], prepend=-1))
+    out = np.zeros(len(lengths), np.int64)
+    out[order] = upto - np.repeat(upto[begins], np.diff(np.append(begins, len(order))))
+    return out
+
+
 def _packed(frame: pd.DataFrame, capacity: int) -> pd.DataFrame:
     frame = frame.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
     n = frame["length"].to_numpy()
     b, off = best_fit_decreasing(n, capacity)
+    least = lower_bound(np.bincount(n, minlength=capacity + 1), capacity)
+    if int(b.max()) + 1 > least:
+        b = repaired(n, b, least, capacity)
+        off = _offsets(n, b)
     fill = np.bincount(b, weights=n).astype(np.int64)
-    return frame.assign(bin=b, offset=off, fill=fill[b], certified=len(fill) == lower_bound(np.bincount(n, minlength=capacity + 1), capacity))
+    return frame.assign(bin=b, offset=off, fill=fill[b], certified=len(fill) == least)
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY, per_part: int = 65_536, rounds: int = ROUNDS) -> DataFrame:
