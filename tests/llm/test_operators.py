@@ -156,7 +156,8 @@ def test_fingerprints_take_paragraphs_in_and_out(spark):
 def test_fingerprints_of_long_texts_use_several_chunks(spark, monkeypatch):
     df = spark.createDataFrame([(0, prose(900)), (1, "a")], "k int, text string")
     whole = sorted(map(tuple, fingerprints.fingerprints(df, ["text"], ["k"]).collect()))
-    monkeypatch.setattr(fingerprints, "CHUNK", 100)
+    monkeypatch.setattr(fingerprints, "CHUNK", 640)
+    monkeypatch.setattr(fingerprints, "PARAGRAPHS", 2)
     assert sorted(map(tuple, fingerprints.fingerprints(df, ["text"], ["k"]).collect())) == whole
 
 

@@ -28,6 +28,8 @@ WORD, WORD_DIGITS, SIGN, SIGN_DIGITS = 1 << 32, 8, 1 << 20, 5
 SUMS = LIKE // 4
 #: Four 16-bit fields of a long; a chunk of elements is short enough not to carry from one to the next.
 FIELDS, CHUNK = 0x0001000100010001, 32768
+#: Paragraphs of a text that a chunk covers, with so many pieces of each that all are CHUNK at most.
+PARAGRAPHS = 64
 MAX_BUCKETS = 256
 PIECE, SHORT = 8, 24
 #: Stands for a null doc_id where rows are joined.
@@ -75,63 +77,45 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((both == 0) | (a == b), 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 - apart / F.greatest(both, F.lit(1.0))))
 
 
-def _keys(text: Column) -> Column:
-    """The key of each paragraph: a SHA-256."""
-    return F.transform(F.split(text, "\n", -1), lambda p: F.sha2(p, 256))
-
-
-def _equal_lanes(keys: Column) -> list[Column]:
-    """Sums of the uniform lanes over a row's paragraphs, two 32-bit lanes to a long. ``keys`` is a column that stands already: every lane reads it."""
-
-    def lane(i: int) -> Column:
-        return F.aggregate(keys, F.lit(0).cast("bigint"), lambda s, k: (s + F.shiftrightunsigned(F.xxhash64(F.lit(i), k), 32)).bitwiseAND(F.lit(WORD - 1)))
-
-    return [F.shiftleft(lane(2 * i), 32).bitwiseOR(lane(2 * i + 1)) for i in range(EQUAL // 2)]
-
-
-def _pairs(text: Column) -> Column:
-    """A hash for each piece of each paragraph with the piece after it (the last with none), and with its place where it comes again at once or after one other."""
-    cut = lambda p, most: F.regexp_extract_all(p, F.lit("[^ ]{1,%d}" % most), F.lit(0))
-    pieces = F.transform(F.split(text, "\n", -1), lambda p: F.when(F.length(p) < SHORT, cut(p, 1)).otherwise(cut(p, PIECE)))
-
-    def pair(q: Column, a: Column, i: Column) -> Column:
-        after = F.get(q, i + 1)
-        return F.xxhash64(a, after, F.when((a == after) | (a == F.get(q, i + 2)), i))
-
-    return F.flatten(F.transform(pieces, lambda q: F.transform(q, lambda a, i: pair(q, a, i))))
-
-
-def _halves(name: str) -> Column:
-    return F.flatten(F.array(*[F.array(F.shiftrightunsigned(f"{name}{i}", 32), F.col(f"{name}{i}").bitwiseAND(F.lit(WORD - 1))) for i in range(EQUAL // 2)]))
-
-
 def fingerprints(docs: DataFrame, texts: list[str], keep: list[str], keys: int = 1) -> DataFrame:
     """``keep`` columns (longs; the first ``keys`` tell rows apart) and for each of ``texts`` its fingerprint, named ``fp_<text>`` (binary).
 
-    The signs of an element are the bits of its hash. They are summed four to a long, over chunks of elements that can't overflow a field,
-    by a plain sum with partial aggregation, keyed by the row and what belongs to it, as one struct. Where ``docs`` is partitioned by one of the keys already, nothing is exchanged:
-    a row's elements are in its own task. The chunks of a text are summed again, in one plan for all texts.
+    Texts become paragraphs, a row each, and paragraphs elements, a row each, by generators that share one stage; whatever is hashed is hashed once it is a row, in generated code. The signs of an
+    element are the bits of its hash, four to a long; a paragraph's first row brings its equal lanes instead, and a row of its own what else belongs to the document. All of them are ``SUMS`` longs,
+    summed by one plain aggregate with no more in its key than the document, the text and a number for the chunk; chunks are short enough not to overflow a field. Where ``docs`` is partitioned by
+    one of the keys already, nothing is exchanged: a row's elements are in its own task.
     """
     row, more = keep[:keys], keep[keys:]
-    own = [*more, *[f"eq_{t}_{i}" for t in texts for i in range(EQUAL // 2)], *[f"n_{t}" for t in texts]]
-    rows = docs.select(*keep, *[_keys(F.col(t)).alias(f"k_{t}") for t in texts], *[_pairs(F.col(t)).alias(f"p_{t}") for t in texts])
-    # what belongs to the text is worked out before its elements are rows: beside a generator it would be once for each of them, with the arrays copied along
-    rows = rows.select(
-        *keep, *[c.alias(f"eq_{t}_{i}") for t in texts for i, c in enumerate(_equal_lanes(F.col(f"k_{t}")))], *[F.size(f"p_{t}").cast("bigint").alias(f"n_{t}") for t in texts],
-        F.arrays_zip(*[F.col(f"p_{t}") for t in texts]).alias("elements"),
-    )
-    rows = rows.select(*row, F.struct(*own).alias("own"), "elements").select(*row, "own", F.posexplode_outer("elements").alias("pos", "e"))
-    rows = rows.select(
-        *row, F.coalesce(F.floor(F.col("pos") / CHUNK), F.lit(0)).cast("int").alias("chunk"), "own", *[F.coalesce(F.col(f"e.p_{t}"), F.lit(0)).alias(f"h_{t}") for t in texts]
+    if len(more) > EQUAL:
+        raise ValueError(f"no more than {EQUAL} columns go along")
+    last = len(texts)
+    every = [x for i, t in enumerate(texts) for x in (F.lit(i), F.col(t))] + [F.lit(last), F.lit("")]
+    rows = docs.select(*keep, F.stack(F.lit(last + 1), *every).alias("w", "text"))
+    rows = rows.select(*keep, "w", F.posexplode(F.split("text", "\n", -1)).alias("p", "para"))
+    cut = F.when(F.length("para") < SHORT, F.regexp_extract_all("para", F.lit("[^ ]{1,1}"), F.lit(0))).otherwise(F.regexp_extract_all("para", F.lit("[^ ]{1,%d}" % PIECE), F.lit(0)))
+    rows = rows.select(*keep, "w", "p", F.sha2("para", 256).alias("key"), cut.alias("q"))
+    n = F.size("q")
+    # the first row of a paragraph is no element; a piece has the next two beside it
+    near = F.arrays_zip(F.concat(F.array(F.lit(None).cast("string")), F.col("q")), F.concat(F.array(F.lit(None).cast("string")), F.slice("q", F.lit(2), n)), F.concat(F.array(F.lit(None).cast("string")), F.slice("q", F.lit(3), n)))
+    rows = rows.select(*keep, "w", "p", "key", F.posexplode(near).alias("i", "e"))
+    rows = rows.select(*keep, "w", "p", "key", F.col("i") - 1, *[F.col("e")[str(k)].alias(c) for k, c in enumerate("abc")]).toDF(*keep, "w", "p", "key", "i", "a", "b", "c")
+    element = F.col("i") >= 0
+    h = F.when(element, F.xxhash64("a", "b", F.when((F.col("a") == F.col("b")) | (F.col("a") == F.col("c")), F.col("i"))))
+    part = F.when(element, F.floor(F.col("p") / PARAGRAPHS) * (1 << 23) + F.floor(F.col("i") / (CHUNK / PARAGRAPHS))).otherwise(-1).cast("long")
+    rows = rows.select(*keep, "w", "key", "i", part.alias("chunk"), h.alias("h"))
+    belongs = lambda k: F.when(F.col("w") == last, F.col(more[k]) if k < len(more) else F.lit(0).cast("long")).otherwise(F.shiftrightunsigned(F.xxhash64(F.lit(k), "key"), 32))
+    value = lambda k: F.when(F.col("i") >= 0, F.shiftrightunsigned("h", k).bitwiseAND(F.lit(FIELDS))).otherwise(belongs(k))
+    packed = rows.groupBy(*row, "w", "chunk").agg(*[F.sum(value(k)).alias(f"s{k}") for k in range(SUMS)], F.count("*").alias("n"))
+    like, field = F.col("chunk") >= 0, lambda j: F.shiftrightunsigned(f"s{j % SUMS}", 16 * (j // SUMS)).bitwiseAND(F.lit(0xFFFF))
+    whole = packed.groupBy(*row, "w").agg(
+        *[F.sum(F.when(like, field(j)).otherwise(0)).alias(f"o{j}") for j in range(LIKE)], *[F.sum(F.when(~like, F.col(f"s{k}")).otherwise(0)).alias(f"e{k}") for k in range(EQUAL)], F.sum(F.when(like, F.col("n")).otherwise(0)).alias("n")
     )
-    sums = [F.sum(F.shiftrightunsigned(f"h_{t}", k).bitwiseAND(F.lit(FIELDS))).alias(f"s_{t}_{k}") for t in texts for k in range(SUMS)]
-    packed = rows.groupBy(*row, "own", "chunk").agg(*sums)
-    field = lambda t, j: F.shiftrightunsigned(f"s_{t}_{j % SUMS}", 16 * (j // SUMS)).bitwiseAND(F.lit(0xFFFF))
-    whole = packed.groupBy(*row, "own").agg(*[F.sum(field(t, j)).alias(f"o_{t}_{j}") for t in texts for j in range(LIKE)])
-    whole = whole.select(*row, "own.*", *[F.array(*[F.col(f"o_{t}_{j}") for j in range(LIKE)]).alias(f"o_{t}") for t in texts])
-    signs = lambda t: F.transform(f"o_{t}", lambda x: F.pmod(2 * x - F.col(f"n_{t}"), F.lit(SIGN)))
-    lanes = lambda t: F.concat(_hex(_halves(f"eq_{t}_"), WORD_DIGITS), _hex(signs(t), SIGN_DIGITS))
-    return whole.select(*keep, *[F.unhex(lanes(t)).alias(f"fp_{t}") for t in texts])
+    whole = whole.select(*row, "w", "n", F.array(*[F.col(f"o{j}") for j in range(LIKE)]).alias("o"), F.array(*[F.col(f"e{k}") for k in range(EQUAL)]).alias("e"))
+    signs = F.transform("o", lambda x: F.pmod(2 * x - F.col("n"), F.lit(SIGN)))
+    lanes = F.concat(_hex(F.transform("e", lambda x: F.pmod(x, F.lit(WORD))), WORD_DIGITS), _hex(signs, SIGN_DIGITS))
+    each = whole.select(*row, "w", "e", F.when(F.col("w") < last, F.unhex(lanes)).alias("fp"))
+    got = each.groupBy(*row).agg(*[F.max(F.when(F.col("w") == i, F.col("fp"))).alias(f"fp_{t}") for i, t in enumerate(texts)], F.max(F.when(F.col("w") == last, F.col("e"))).alias("own"))
+    return got.select(*row, *[F.col("own")[k].alias(c) for k, c in enumerate(more)], *[f"fp_{t}" for t in texts])
 
 
 def successors(keys: DataFrame) -> DataFrame:
