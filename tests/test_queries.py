@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from wayfold import queries
+from wayfold import column_queries, queries, registry  # noqa: F401  both register their queries
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
@@ -33,11 +33,11 @@ def same(spark, duck, name, found, sql):
     assert got == sorted(tuple(map(plain, r)) for r in duck.sql(f"SELECT {quoted} FROM ({sql})").fetchall()), name
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, duck, name):
-    found = queries.QUERIES[name](spark, SF)
-    if name in queries.SQL:
-        same(spark, duck, name, found, queries.SQL[name])
+    found = registry.QUERIES[name](spark, SF)
+    if name in registry.SQL:
+        same(spark, duck, name, found, registry.SQL[name])
     else:
         assert found.count() >= 0
 
@@ -55,5 +55,5 @@ def test_queries_call_the_operators_they_are_listed_for(spark, monkeypatch, name
     owner = getattr(queries, module)
     whole = getattr(owner, operator)
     monkeypatch.setattr(owner, operator, lambda *a, **b: called.append(operator) or whole(*a, **b))
-    queries.QUERIES[name](spark, SF)
+    registry.QUERIES[name](spark, SF)
     assert called == [operator]

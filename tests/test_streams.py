@@ -1,5 +1,7 @@
 """Stateful streams against their batch counterparts."""
 
+from datetime import datetime, timedelta, timezone
+
 import pytest
 
 from wayfold.streaming import sessions
@@ -48,3 +50,36 @@ def test_throttle_lets_few_through(rocks, tmp_path):
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     got = drained(rocks, sessions.throttled(rocks.readStream.schema(df.schema).parquet(str(tmp_path / "in")), 1_000_000), "throttled_test", tmp_path)
     assert [(r["t"], round(r["rate"], 6)) for r in sorted(got, key=lambda r: r["t"])] == [(1_000_000, 10.0), (2_000_000, 10.0), (3_000_000, 10.0), (4_000_000, 10.0)]
+
+
+def in_files(spark, tmp_path, parts, schema):
+    (tmp_path / "in").mkdir()
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"p={i}"))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+
+
+def test_a_report_that_waits_goes_out_when_it_is_due(rocks, tmp_path):
+    at = lambda s: datetime(2024, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=s)
+    # a's second report is too early, and nothing of a follows; b moves event time on; later a goes on from what went out at its turn
+    parts = [[("a", at(0), 0), ("a", at(0.4), 4)], [("b", at(5), 1)], [("a", at(5.5), 55)], [("b", at(20), 2)]]
+    source = in_files(rocks, tmp_path, parts, "key string, ts timestamp, done long")
+    got = drained(rocks, sessions.throttled_due(source, 1_000_000), "due_test", tmp_path)
+    base = int(at(0).timestamp() * 1e6)
+    rows = sorted((r["key"], r["t"] - base, r["done"], round(r["rate"], 6)) for r in got)
+    assert rows == [("a", 1_000_000, 4, 4.0), ("a", 5_500_000, 55, round(51 / 4.5, 6)), ("b", 20_000_000, 2, round(1 / 15, 6))]
+
+
+def test_silent_keys_are_calibrated_by_a_timer(rocks, tmp_path):
+    at = lambda s: datetime(2024, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=s)
+    rows = lambda k, n, start: [(k, at(start + i), i, float((i * 7) % 11)) for i in range(n)]
+    parts = [rows("a", 10, 0) + rows("b", 3, 0), [("a", at(11), 10, 5.0)], [("z", at(100), 0, 1.0)], [("z", at(101), 1, 2.0), ("b", at(101), 0, 9.0)], [("y", at(300), 0, 3.0)]]
+    source = in_files(rocks, tmp_path, parts, "key string, ts timestamp, frame long, value double")
+    got = drained(rocks, sessions.calibrated_idle(source, 8, "30 seconds"), "idle_test", tmp_path)
+    by = {}
+    for r in got:
+        by.setdefault(r["key"], []).append((r["frame"], r["value"], r["level"], r["reliable"]))
+    # a has enough rows; b is flushed after 30 s of silence and begins anew; y is still held
+    assert [x[0] for x in sorted(by["a"])] == list(range(11)) and {x[2:] for x in by["a"]} == {(6.0, True)}
+    assert sorted(by["b"]) == [(0, 0.0, 3.0, False), (0, 9.0, 9.0, False), (1, 7.0, 3.0, False), (2, 3.0, 3.0, False)]
+    assert sorted(by["z"]) == [(0, 1.0, 2.0, False), (1, 2.0, 2.0, False)] and "y" not in by

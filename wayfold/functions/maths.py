@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -83,24 +84,35 @@ def _entries(m: Column) -> list[list[Column]]:
     return [[F.element_at(m, 3 * r + c + 1) for c in range(3)] for r in range(3)]
 
 
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often ``then`` reads it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def matrix_product(m: Column, n: Column) -> Column:
-    a, b = _entries(m), _entries(n)
-    return matrix([[sum((a[r][k] * b[k][c] for k in range(1, 3)), a[r][0] * b[0][c]) for c in range(3)] for r in range(3)])
+    def entries(both: Column) -> Column:
+        a, b = _entries(both["m"]), _entries(both["n"])
+        return matrix([[sum((a[r][k] * b[k][c] for k in range(1, 3)), a[r][0] * b[0][c]) for c in range(3)] for r in range(3)])
+
+    return _bound(F.struct(m.alias("m"), n.alias("n")), entries)
 
 
 def matrix_inverse(m: Column) -> Column:
     """By cofactors; the identity where the determinant is 0."""
-    a = _entries(m)
-    minor = lambda r, c: a[(r + 1) % 3][(c + 1) % 3] * a[(r + 2) % 3][(c + 2) % 3] - a[(r + 1) % 3][(c + 2) % 3] * a[(r + 2) % 3][(c + 1) % 3]
-    det = sum((a[0][c] * minor(0, c) for c in range(1, 3)), a[0][0] * minor(0, 0))
-    inverse = matrix([[minor(c, r) / F.when(det != 0, det) for c in range(3)] for r in range(3)])
-    return F.when(det != 0, inverse).when(det == 0, matrix([[1, 0, 0], [0, 1, 0], [0, 0, 1]]))
+
+    def adjugate(m: Column) -> Column:
+        a = _entries(m)
+        minor = lambda r, c: a[(r + 1) % 3][(c + 1) % 3] * a[(r + 2) % 3][(c + 2) % 3] - a[(r + 1) % 3][(c + 2) % 3] * a[(r + 2) % 3][(c + 1) % 3]
+        det = sum((a[0][c] * minor(0, c) for c in range(1, 3)), a[0][0] * minor(0, 0))
+        return F.struct(matrix([[minor(c, r) for c in range(3)] for r in range(3)]).alias("m"), det.alias("det"))
+
+    divided = lambda s: F.when(s["det"] != 0, F.transform(s["m"], lambda x: x / F.when(s["det"] != 0, s["det"]))).when(s["det"] == 0, matrix([[1, 0, 0], [0, 1, 0], [0, 0, 1]]))
+    return _bound(_bound(m, adjugate), divided)
 
 
 def matrix_unit(m: Column) -> Column:
     """Scaled so that the last entry is 1; as it is where that is 0."""
-    last = F.element_at(m, 9)
-    return F.transform(m, lambda x: F.when(last != 0, x / F.when(last != 0, last)).otherwise(x))
+    return _bound(m, lambda m: F.transform(m, lambda x: F.when(F.element_at(m, 9) != 0, x / F.when(F.element_at(m, 9) != 0, F.element_at(m, 9))).otherwise(x)))
 
 
 def matrix_rescaled(m: Column, s: Column | float) -> Column:

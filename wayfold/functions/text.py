@@ -284,13 +284,14 @@ def quoted(value: Column) -> Column:
 
 
 def eta(seconds: Column) -> Column:
+    """Whole seconds as 1h02m03s, 2m03s or 3s; null where they aren't known."""
     s = F.greatest(F.floor(seconds + 0.5), F.lit(0)).cast("long")
     h, m, r = F.floor(s / 3600), F.floor(F.pmod(s, F.lit(3600)) / 60), F.pmod(s, F.lit(60))
-    return F.when(h > 0, F.format_string("%dh%02dm%02ds", h, m, r)).when(m > 0, F.format_string("%dm%02ds", m, r)).otherwise(F.format_string("%ds", r))
+    return F.when(seconds.isNull(), None).when(h > 0, F.format_string("%dh%02dm%02ds", h, m, r)).when(m > 0, F.format_string("%dm%02ds", m, r)).otherwise(F.format_string("%ds", r))
 
 
 def frames_per_second(rate: Column) -> Column:
-    return F.when(rate <= 0, "0").when(rate < 10, F.format_string("%.1f", rate)).otherwise(F.floor(rate + 0.5).cast("string"))
+    return F.when(rate <= 0, "0").when(rate < 10, fixed(rate, 1)).otherwise(F.floor(rate + 0.5).cast("string"))
 
 
 def percent(done: Column, total: Column) -> Column:

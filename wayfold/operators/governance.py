@@ -17,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 # Keys that describe a container, not a person or place; names and codecs that a muxer gives by itself.
 TECHNICAL_KEYS = ("major_brand", "minor_version", "compatible_brands", "vendor_id", "handler_name", "language", "DURATION")
 HANDLERS = ("VideoHandler", "SoundHandler", "SubtitleHandler", "TimeCodeHandler", "DataHandler")
+HANDLER_OF = {"video": "VideoHandler", "audio": "SoundHandler", "subtitle": "SubtitleHandler", "timecode": "TimeCodeHandler", "data": "DataHandler"}
 STILL_CODECS = ("mjpeg", "png", "bmp", "gif", "tiff", "webp", "targa")
 ENCODER = "Lavf"
 QUICKTIME_LOCATION = "com.apple.quicktime.location.ISO6709"

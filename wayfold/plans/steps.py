@@ -54,7 +54,8 @@ class Offset:
 
 @dataclass(frozen=True)
 class StripMetadata:
-    """Takes what identifies out of tags (file, stream, key, value)."""
+    """Takes what identifies out of tags (file, stream, key, value): tags that tell something go, a language becomes undetermined, and a handler's name the one that a muxer gives to its kind of
+    stream (``kind``: video, audio, subtitle, timecode or data, where there is that column; without it a name that no muxer gives goes). What else describes the container stays as it is."""
 
     name: str = "strip-metadata"
     slug: str = "stripped"
@@ -64,13 +65,21 @@ class StripMetadata:
         return None
 
     def apply(self, df: DataFrame) -> DataFrame:
-        telling = (F.col("value") != "") & ~F.col("key").isin(*governance.TECHNICAL_KEYS)
-        return df.filter(~telling)
+        kept = df.filter((F.col("value") == "") | F.col("key").isin(*governance.TECHNICAL_KEYS))
+        handler, own = F.col("key") == "handler_name", F.col("value").isin(*governance.HANDLERS)
+        given = F.lit(None).cast("string")
+        if "kind" in df.columns:
+            for kind, value in governance.HANDLER_OF.items():
+                given = F.when(F.col("kind") == kind, value).otherwise(given)
+        else:
+            given = F.when(own, F.col("value"))
+        kept = kept.withColumn("value", F.when(F.col("key") == "language", "und").when(handler, given).otherwise(F.col("value")))
+        return kept.filter("value IS NOT NULL")
 
 
 @dataclass(frozen=True)
 class Rotate:
-    """Adds quarter turns to ``rotation`` (degrees) of files."""
+    """Turns files by quarter turns clockwise: ``rotation`` (degrees, counted the other way round) gets less by as much."""
 
     degrees: int = 90
     name: str = "rotate"

@@ -55,6 +55,68 @@ def throttled(reports: DataFrame, every: int) -> DataFrame:
     return reports.groupBy("key").transformWithStateInPandas(Throttle(every), "key string, t long, done long, rate double", "Append", "None")
 
 
+class ThrottleDue(StatefulProcessor):
+    """As Throttle, and a report that came too early goes out when its turn comes, whether or not another follows: an event-time timer holds its place. State: what went out last, what waits."""
+
+    def __init__(self, every: int):
+        self.every = every
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "t long, done long")
+        self.waits = handle.getValueState("waits", "t long, done long")
+
+    def _due(self, last: tuple) -> int:
+        return (last[0] + self.every) // 1000
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last = self.last.get() if self.last.exists() else None
+        waits = self.waits.get() if self.waits.exists() else None
+        out = []
+        if waits is not None:
+            self.handle.deleteTimer(self._due(last))
+            if self._due(last) <= timerValues.getCurrentWatermarkInMs():  # rows of a batch come before its timers
+                out, last, waits = self._turn(key, last, waits)
+        for t, done in pd.concat([f for f in rows]).sort_values(["t", "done"])[["t", "done"]].itertuples(index=False):
+            if last is None:
+                last = (int(t), int(done))
+            elif t - last[0] >= self.every:
+                out.append((key[0], int(t), int(done), (done - last[1]) / ((t - last[0]) / 1e6)))
+                last, waits = (int(t), int(done)), None
+            elif t >= last[0]:
+                waits = (int(t), int(done))
+        self.last.update(last)
+        if waits is None:
+            self.waits.clear()
+        else:
+            self.waits.update(waits)
+            self.handle.registerTimer(self._due(last))
+        yield pd.DataFrame(out, columns=["key", "t", "done", "rate"])
+
+    def _turn(self, key, last: tuple, waits: tuple) -> tuple:
+        """What waits goes out at its turn: rows, and the state after it."""
+        t, done = last[0] + self.every, waits[1]
+        return [(key[0], t, done, (done - last[1]) / (self.every / 1e6))], (t, done), None
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = []
+        if self.waits.exists():
+            out, last, _ = self._turn(key, self.last.get(), self.waits.get())
+            self.last.update(last)
+            self.waits.clear()
+        yield pd.DataFrame(out, columns=["key", "t", "done", "rate"])
+
+    def close(self) -> None:
+        pass
+
+
+def throttled_due(reports: DataFrame, every: int, late: str = "0 seconds") -> DataFrame:
+    """Stream of reports (key, ts, done) to one each ``every`` microseconds of a key: the first that comes after so long, or the latest that waits once event time (``late`` behind the newest report of
+    any key) has passed its turn."""
+    rows = reports.withWatermark("ts", late).withColumn("t", F.unix_micros("ts"))
+    return rows.groupBy("key").transformWithStateInPandas(ThrottleDue(every), "key string, t long, done long, rate double", "Append", "EventTime")
+
+
 class Calibrate(StatefulProcessor):
     """Holds the first ``need`` usable rows (key, frame, value) of a key, then sends them all with their upper median, and all later rows with it."""
 
@@ -131,6 +193,62 @@ def calibrated_whole(rows: DataFrame, need: int = 200) -> DataFrame:
     return rows.groupBy("key").transformWithStateInPandas(CalibrateWhole(need), "key string, frame long, value double, level double, reliable boolean", "Append", "None")
 
 
+class CalibrateIdle(Calibrate):
+    """As Calibrate, until a key has been silent for ``idle`` milliseconds of event time: a timer, put off by each of its rows, then sends what is held with the level it gives, not reliable, and the
+    key's state goes. A key that comes back begins anew."""
+
+    def __init__(self, need: int, idle: int):
+        super().__init__(need)
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+        self.until = handle.getValueState("until", "at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        newest = 0
+        if self.until.exists() and self.until.get()[0] <= timerValues.getCurrentWatermarkInMs():  # rows of a batch come before its timers
+            self.handle.deleteTimer(self.until.get()[0])
+            yield self._flushed(key)
+
+        def seen() -> Iterator[pd.DataFrame]:
+            nonlocal newest
+            for frame in rows:
+                newest = max(newest, int(frame["at"].max()))
+                yield frame
+
+        for out in super().handleInputRows(key, seen(), timerValues):
+            yield out.assign(reliable=True)
+        at = newest + self.idle
+        if self.until.exists():
+            old = self.until.get()[0]
+            at = max(at, old)
+            if at != old:
+                self.handle.deleteTimer(old)
+        self.until.update((at,))
+        self.handle.registerTimer(at)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._flushed(key)
+
+    def _flushed(self, key) -> pd.DataFrame:
+        held = sorted(tuple(r) for r in self.held.get())
+        s = sorted(v for _, v in held)
+        out = [(key[0], f, v, s[len(s) // 2], False) for f, v in held]
+        self.held.clear()
+        self.level.clear()
+        self.until.clear()
+        return pd.DataFrame(out, columns=["key", "frame", "value", "level", "reliable"])
+
+
+def calibrated_idle(rows: DataFrame, need: int = 200, idle: str = "30 seconds", late: str = "0 seconds") -> DataFrame:
+    """Stream of rows (key, ts, frame, value) as ``calibrated_whole``, with no marker for a key's end: it has ended when no row of it came for ``idle`` of event time."""
+    ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    usable = rows.withWatermark("ts", late).withColumn("at", F.unix_millis("ts"))
+    return usable.groupBy("key").transformWithStateInPandas(CalibrateIdle(need, ms), "key string, frame long, value double, level double, reliable boolean", "Append", "EventTime")
+
+
 def calibrated_whole_batch(rows: DataFrame, need: int = 200) -> DataFrame:
     """The same in two passes; the end of the input is that of every key."""
     from pyspark.sql import Window
