@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from . import matrices
 from .functions import maths, text
 from .operators import alignment, batch, trajectory
 from .plans import effects, steps
@@ -180,20 +181,7 @@ def number_maps(spark, d):
     return rounded(out, "margins", "focal", "scale", "x", "yaw", "pulled")
 
 
-Entries = list[list[str]]
-
-
-def _product_sql(a: Entries, b: Entries) -> Entries:
-    return [["(" + " + ".join(f"({a[r][k]}) * ({b[k][c]})" for k in range(3)) + ")" for c in range(3)] for r in range(3)]
-
-
-def _inverse_sql(a: Entries) -> Entries:
-    minor = lambda r, c: f"(({a[(r + 1) % 3][(c + 1) % 3]}) * ({a[(r + 2) % 3][(c + 2) % 3]}) - ({a[(r + 1) % 3][(c + 2) % 3]}) * ({a[(r + 2) % 3][(c + 1) % 3]}))"
-    det = " + ".join(f"({a[0][c]}) * {minor(0, c)}" for c in range(3))
-    return [[f"CASE WHEN ({det}) = 0 THEN {float(r == c)} ELSE {minor(c, r)} / nullif({det}, 0) END" for c in range(3)] for r in range(3)]
-
-
-def _nine(m: Entries, name: str) -> str:
+def _nine(m: matrices.Entries, name: str) -> str:
     return ", ".join(f"round({m[r][c]}, 6) + 0.0 AS {name}{3 * r + c}" for r in range(3) for c in range(3))
 
 
@@ -205,8 +193,8 @@ _RESIDUAL = [[f"s{3 * r + c}" for c in range(3)] for r in range(3)]
 
 
 @query(f"""
-WITH {_PART}, r AS (SELECT *, {_nine(_product_sql(_inverse_sql(_SIM), _U), "s").replace("round(", "(").replace(", 6) + 0.0 AS", ") AS")} FROM m)
-SELECT p_partkey, {_nine(_product_sql(_U, _V), "p")}, {_nine(_inverse_sql(_V), "i")}, {_nine([[f"({e}) / (1.0 + 0 * x)" for e in row] for row in _U], "u")}, {_nine([["1.0::DOUBLE", "x", "y * 4"], ["-x", "1.0::DOUBLE", "z * 4"], ["x / 400", "y / 400", "1.0::DOUBLE"]], "k")},
+WITH {_PART}, r AS (SELECT *, {_nine(matrices.product_sql(matrices.inverse_sql(_SIM), _U), "s").replace("round(", "(").replace(", 6) + 0.0 AS", ") AS")} FROM m)
+SELECT p_partkey, {_nine(matrices.product_sql(_U, _V), "p")}, {_nine(matrices.inverse_sql(_V), "i")}, {_nine([[f"({e}) / (1.0 + 0 * x)" for e in row] for row in _U], "u")}, {_nine([["1.0::DOUBLE", "x", "y * 4"], ["-x", "1.0::DOUBLE", "z * 4"], ["x / 400", "y / 400", "1.0::DOUBLE"]], "k")},
 {_nine([[f"s{3 * r + c} / s8" for c in range(3)] for r in range(3)], "r")} FROM r
 """)
 def matrix_rules(spark, d):

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from . import series
+from . import intervals, series
 
 
 def coverage(clip_start: Column, clip_end: Column, first: Column, last: Column) -> Column:
@@ -28,10 +28,9 @@ def clip_windows(clips: DataFrame, samples: DataFrame) -> DataFrame:
 
 def scoped(samples: DataFrame, clips: DataFrame, scope: str = "clip") -> DataFrame:
     """Samples of each clip, by scope: ``activity`` (all), ``clip`` (the closed window), ``rebased`` (the window, distance from its first known one)."""
-    both = samples.join(clips, "series_id")
     if scope == "activity":
-        return both
-    inside = both.filter(F.col("t").between(F.col("start"), F.col("end")))
+        return samples.join(clips, "series_id")
+    inside = intervals.within(samples, clips)
     if scope == "clip":
         return inside
     w = Window.partitionBy("series_id", "clip_id").orderBy("t", "tie").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -127,11 +126,11 @@ def grade(model: DataFrame, probes: DataFrame, reach: float = 30.0) -> DataFrame
 
 def timers(probes: DataFrame, starts: DataFrame, pauses: DataFrame) -> DataFrame:
     """Elapsed and active seconds at probes (series_id, t): since ``starts`` (series_id, start, end), clamped to both ends; active leaves out ``pauses`` (series_id, a, b)."""
-    rows = probes.join(starts, "series_id").withColumn("_t", F.greatest("start", F.least("end", F.col("t"))))
-    out = F.greatest(F.lit(0), F.least("b", "_t") - F.greatest("a", "start"))
-    gone = rows.join(pauses, "series_id").groupBy("series_id", "t").agg(F.sum(out).alias("_g"))
-    rows = rows.join(gone, ["series_id", "t"], "left").withColumn("elapsed", (F.col("_t") - F.col("start")) / series.SECOND)
-    return rows.select("series_id", "t", "elapsed", (F.col("elapsed") - F.coalesce("_g", F.lit(0)) / series.SECOND).alias("active"))
+    rows = probes.select("series_id", "t").join(starts.select("series_id", "start", "end"), "series_id").withColumn("_t", F.greatest("start", F.least("end", F.col("t"))))
+    rows = intervals.covered(rows, pauses, t="_t", name="_upto")
+    rows = intervals.covered(rows, pauses, t="start", name="_before")
+    elapsed = (F.col("_t") - F.col("start")) / series.SECOND
+    return rows.select("series_id", "t", elapsed.alias("elapsed"), (elapsed - (F.col("_upto") - F.col("_before")) / series.SECOND).alias("active"))
 
 
 def clip_points(samples: DataFrame, clips: DataFrame, cadence: int = series.SECOND, max_gap: int = series.MAX_INTERPOLATION_GAP, values: tuple[str, ...] = ("value",)) -> DataFrame:
@@ -141,6 +140,19 @@ def clip_points(samples: DataFrame, clips: DataFrame, cadence: int = series.SECO
     return series.at(asks, samples, max_gap, values).filter(F.col(values[0]).isNotNull()).select("series_id", "probe.clip_id", "probe.pts", "probe.stamp", *values)
 
 
+def dry_run(clips: DataFrame, samples: DataFrame, max_gap: int = series.MAX_INTERPOLATION_GAP, values: tuple[str, ...] = ("value",)) -> DataFrame:
+    """What a render of each clip (series_id, clip_id, creation, offset, duration in microseconds) would show: its window, its coverage, and the values at the window's start, interpolated, with ``note``:
+    ``no data`` without overlap, else ``gap`` where nothing resolves there, ``partial`` or empty."""
+    spans = clips.withColumn("start", F.col("creation") + F.col("offset")).withColumn("end", F.col("start") + F.col("duration"))
+    windows = clip_windows(spans, samples)
+    asks = spans.select("series_id", F.col("start").alias("t"), F.col("clip_id").alias("probe"))
+    found = series.at(asks, samples, max_gap, values).select("series_id", F.col("probe").alias("clip_id"), *values)
+    both = windows.join(found, ["series_id", "clip_id"], "left")
+    note = F.when(F.col("coverage") == "none", "no data").when(F.col(values[0]).isNull(), "gap").when(F.col("coverage") == "partial", "partial").otherwise("")
+    shown = [F.when(F.col("coverage") != "none", F.col(v)).alias(v) for v in values]
+    return both.select("series_id", "clip_id", "start", "end", "first", "last", "coverage", *shown, note.alias("note"))
+
+
 def track_segments(points: DataFrame, cadence: int = series.SECOND) -> DataFrame:
     """Points and segments of each clip: a new segment where the step is over the cadence."""
     w = Window.partitionBy("series_id", "clip_id").orderBy("pts")

@@ -10,6 +10,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import matrices
 from .functions import maths, text
 from .operators import activity, alignment, batch, governance, series, stats, trajectory
 from .registry import query, rounded, table
@@ -384,12 +385,34 @@ def orientation_path(spark, d):
     return trajectory.rotation_corrections(trajectory.orientations(_turns(spark, d)), 4.0)
 
 
-@query()
+def _perspective_sql(sigma: float, part: float) -> str:
+    """Chained matrices by recursion, their eight free entries smoothed as series of their own, and what carries the one onto the other, blended with the identity."""
+    old, new = [[f"f.v{3 * r + c}" for c in range(3)] for r in range(3)], [["1.0", "0.0", "a"], ["0.0", "1.0", "b"], ["g", "0.0", "1.0"]]
+    product = matrices.product_sql(new, old)
+    step = ", ".join(f"CASE WHEN ok THEN {product[k // 3][k % 3]} / {product[2][2]} ELSE f.v{k} END" for k in range(9))
+    start = ", ".join(f"{float(k % 4 == 0)}::DOUBLE AS v{k}" for k in range(9))
+    value = "CASE c " + " ".join(f"WHEN {k} THEN v{k}" for k in range(8)) + " END"
+    pick = ", ".join(f"max(v) FILTER (WHERE i.series_id % 8 = {k}) AS s{k}, max(i.value) FILTER (WHERE i.series_id % 8 = {k}) AS p{k}" for k in range(8))
+    path, soft = [[f"p{3 * r + c}" if r + c < 4 else "1.0" for c in range(3)] for r in range(3)], [[f"s{3 * r + c}" if r + c < 4 else "1.0" for c in range(3)] for r in range(3)]
+    inverse = [[f"i{3 * r + c}" for c in range(3)] for r in range(3)]
+    inverted, fix = matrices.inverse_sql(path), matrices.product_sql(soft, inverse)
+    nine = lambda m, name: ", ".join(f"{m[k // 3][k % 3]} AS {name}{k}" for k in range(9))
+    unit = [[f"x{3 * r + c} / x8" for c in range(3)] for r in range(3)]
+    blend = [[f"({float(r == c)} + {part} * (u{3 * r + c} - {float(r == c)}))" for c in range(3)] for r in range(3)]
+    return f"""WITH RECURSIVE {M}, t AS (SELECT series_id, frame, ok, dx / 1000 AS a, dy / 1000 AS b, rotation / 1000 AS g FROM m),
+f AS (SELECT DISTINCT series_id, 0::BIGINT AS frame, {start} FROM t UNION ALL SELECT f.series_id, f.frame + 1, {step} FROM f JOIN t ON t.series_id = f.series_id AND t.frame = f.frame), c AS (SELECT unnest(range(0, 8)) AS c),
+e AS (SELECT series_id * 8 + c AS series_id, frame AS t, (series_id * 8 + c) * 1000000 + frame AS tie, {value} AS value FROM f, c), {I}, {_kernel_sql(sigma)}, {_extrapolated(sigma)},
+r AS (SELECT i.series_id // 8 AS series_id, i.t AS frame, {pick} FROM s JOIN i ON i.tie = s.tie GROUP BY 1, 2), inverted AS (SELECT *, {nine(inverted, "i")} FROM r), fixes AS (SELECT series_id, frame, {nine(fix, "x")} FROM inverted), units AS (SELECT series_id, frame, {nine(unit, "u")} FROM fixes)
+SELECT series_id, frame, {", ".join(f"round({blend[k // 3][k % 3]} / {blend[2][2]}, 6) + 0.0 AS h{k}" for k in range(9))} FROM units"""
+
+
+@query(_perspective_sql(4.0, 0.5))
 def perspective_corrections(spark, d):
-    """Corrections of chained matrices; tests hold them against a plain evaluation of the definition."""
+    """Corrections of chained matrices."""
     small = lambda c: F.col(c) / 1000
     h = maths.matrix([[1.0, 0.0, small("dx")], [0.0, 1.0, small("dy")], [small("rotation"), 0.0, 1.0]])
-    return trajectory.perspective_paths(_motion(spark, d).select("series_id", "frame", F.when(F.col("ok"), h).alias("h")), 4.0, 0.5)
+    out = trajectory.perspective_paths(_motion(spark, d).select("series_id", "frame", F.when(F.col("ok"), h).alias("h")), 4.0, 0.5)
+    return rounded(out.select("series_id", "frame", *[F.col("h")[k].alias(f"h{k}") for k in range(9)]), *[f"h{k}" for k in range(9)])
 
 
 @query(f"""
@@ -456,7 +479,7 @@ def lag_peaks(spark, d):
     return rounded(alignment.local_maxima(_curve(spark, d), 1.0, ("clip",)), "score").select("clip", "tau", "score")
 
 
-@query(f"WITH {_HOURLY}, {_PEAKS}, m AS (SELECT clip, max(score) AS peak FROM p GROUP BY 1) SELECT s.clip, round(avg((score >= peak)::INT), 6) AS null_share FROM s JOIN m USING (clip) WHERE abs(tau) > 30 GROUP BY 1")
+@query(f"WITH {_HOURLY}, {_PEAKS}, m AS (SELECT clip, max(score) AS peak FROM p GROUP BY 1) SELECT s.clip, round(avg((score >= coalesce(peak, 'inf'::DOUBLE))::INT), 6) AS null_share FROM s LEFT JOIN m USING (clip) WHERE abs(tau) > 30 GROUP BY 1")
 def lag_null_share(spark, d):
     return rounded(alignment.null_share(_curve(spark, d), 1.0, ("clip",)), "null_share")
 
@@ -549,6 +572,78 @@ def clip_scope(spark, d):
     return rounded(activity.scoped(k, clips, "rebased"), "distance", digits=5).select(F.col("tie").alias("event_id"), "distance")
 
 
+@query("""
+SELECT c.event_id AS clip_id, count(*) AS n, round(sum(e.value), 5) AS total FROM events c JOIN events e ON e.user_id = c.user_id AND epoch_us(e.ts) BETWEEN epoch_us(c.ts) AND epoch_us(c.ts) + (1 + c.event_id % 40) * 3600000000 GROUP BY 1
+""")
+def clips_per_series(spark, d):
+    """A clip for every event, of one to forty hours: what each holds of its user's events."""
+    e = events(spark, d)
+    clips = e.select("series_id", F.col("tie").alias("clip_id"), F.col("t").alias("start"), (F.col("t") + (1 + F.col("tie") % 40) * HOUR).alias("end"))
+    return rounded(activity.scoped(e, clips, "clip").groupBy("clip_id").agg(F.count("*").alias("n"), F.sum("value").alias("total")), "total", digits=5)
+
+
+@query("""
+WITH p AS (SELECT event_id, user_id AS u, epoch_us(ts) AS t FROM events WHERE event_type = 'purchase'), s AS (SELECT user_id AS u, min(epoch_us(ts)) + 36000000000 AS a, max(epoch_us(ts)) - 36000000000 AS b FROM events GROUP BY 1),
+z AS (SELECT user_id AS u, epoch_us(ts) AS a, epoch_us(ts) + (event_id % 9) * 3600000000 AS b FROM events WHERE event_type = 'click'), q AS (SELECT DISTINCT p.u, p.t, greatest(s.a, least(s.b, p.t)) AS x, s.a AS a FROM p JOIN s USING (u))
+SELECT q.u AS series_id, q.t, round((x - q.a) / 1000000.0, 6) AS elapsed, round((x - q.a) / 1000000.0 - coalesce(sum(greatest(0, least(z.b, x) - greatest(z.a, q.a))), 0) / 1000000.0, 6) AS active FROM q LEFT JOIN z ON z.u = q.u GROUP BY q.u, q.t, x, q.a
+""")
+def active_times(spark, d):
+    """Elapsed time at each purchase, with and without the pauses that clicks begin."""
+    e = events(spark, d)
+    starts = e.groupBy("series_id").agg((F.min("t") + 10 * HOUR).alias("start"), (F.max("t") - 10 * HOUR).alias("end"))
+    pauses = of_type(spark, d, "click").select("series_id", F.col("t").alias("a"), (F.col("t") + F.col("tie") % 9 * HOUR).alias("b"))
+    return rounded(activity.timers(of_type(spark, d, "purchase").select("series_id", "t").distinct(), starts, pauses), "elapsed", "active")
+
+
+@query("""
+WITH s AS (SELECT user_id AS u, min(epoch_us(ts)) AS f, max(epoch_us(ts)) AS l FROM events GROUP BY 1), e AS (SELECT user_id AS u, epoch_us(ts) AS t, value AS v, event_id FROM events),
+c AS (SELECT o_orderkey, o_custkey AS u, epoch_us(o_orderdate) + (o_orderkey % 7 - 3) * 3600000000 AS a, epoch_us(o_orderdate) + (o_orderkey % 7 - 3) * 3600000000 + 864000000000 AS b FROM orders),
+j AS (SELECT c.*, x.t AS t0, x.v AS v0, y.t AS t1, y.v AS v1 FROM c ASOF LEFT JOIN e x ON x.u = c.u AND c.a >= x.t ASOF LEFT JOIN e y ON y.u = c.u AND c.a <= y.t),
+k AS (SELECT j.*, f, l, CASE WHEN f IS NULL OR b < f OR a > l THEN 'none' WHEN a >= f AND b <= l THEN 'full' ELSE 'partial' END AS coverage, CASE WHEN t1 = a THEN v1 WHEN t1 - t0 <= 172800000000 THEN v0 + (a - t0)::DOUBLE / (t1 - t0) * (v1 - v0) END AS v FROM j LEFT JOIN s ON s.u = j.u)
+SELECT o_orderkey, coverage, CASE WHEN coverage <> 'none' THEN round(v, 6) END AS value, CASE WHEN coverage = 'none' THEN 'no data' WHEN v IS NULL THEN 'gap' WHEN coverage = 'partial' THEN 'partial' ELSE '' END AS note FROM k
+""")
+def dry_runs(spark, d):
+    """What a clip of ten days after each order would show of its customer's events."""
+    when = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
+    clips = table(spark, d, "orders").select(F.col("o_custkey").alias("series_id"), F.col("o_orderkey").alias("clip_id"), when.alias("creation"), ((F.col("o_orderkey") % 7 - 3) * HOUR).alias("offset"), F.lit(240 * HOUR).alias("duration"))
+    return rounded(activity.dry_run(clips, events(spark, d), 48 * HOUR).select(F.col("clip_id").alias("o_orderkey"), "coverage", "value", "note"), "value")
+
+
+_CUES = """p AS (SELECT user_id, event_type, event_id, epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id) AS pts, ts, -33 + value / 1000 AS lat, 151 + (event_id % 997) / 1000 AS lon, (event_id % 97) / 7 AS elevation, value FROM events),
+n AS (SELECT *, row_number() OVER w AS no, coalesce(lead(pts) OVER w, pts + 1000000) AS until FROM p WINDOW w AS (PARTITION BY user_id, event_type ORDER BY pts))"""
+_AT = "printf('%02d:%02d:%02d,%03d', {0} // 3600000000, {0} // 60000000 % 60, {0} // 1000000 % 60, {0} // 1000 % 1000)"
+_SPAN = _AT.format("pts") + " || ' --> ' || " + _AT.format("until")
+
+
+def _points(spark, d) -> DataFrame:
+    e = events(spark, d)
+    rows = table(spark, d, "events").select(F.col("user_id").alias("series_id"), F.col("event_type").alias("clip_id"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("stamp"), (-33 + F.col("value") / 1000).alias("lat"), (151 + F.col("event_id") % 997 / 1000).alias("lon"), (F.col("event_id") % 97 / 7).alias("elevation"), "value")
+    return rows.join(e.groupBy("series_id").agg(F.min("t").alias("t0")), "series_id").withColumn("pts", F.col("stamp") - F.col("t0"))
+
+
+@query(f"""
+WITH {_CUES} SELECT user_id AS series_id, event_type AS clip_id, no, no || chr(10) || {_SPAN} || chr(10) || '<font size="28">FrameCnt: ' || no || ', DiffTime: 1000ms ' || strftime(ts, '%Y-%m-%d %H:%M:%S.%g') || ' [latitude: ' || printf('%.6f', lat) || '] [longitude: ' || printf('%.6f', lon) || '] [rel_alt: 0.000 abs_alt: ' || printf('%.3f', elevation) || '] </font>' || chr(10) AS cue FROM n
+""")
+def bracketed_cues(spark, d):
+    return sinks.dji_cues(_points(spark, d), 1_000_000)
+
+
+@query(f"""
+WITH {_CUES} SELECT user_id AS series_id, event_type AS clip_id, no, no || chr(10) || {_SPAN} || chr(10) || printf('%.2f', value * 100 / 1000) || ' km | ' || event_type || chr(10) AS cue FROM n
+""")
+def readable_cues(spark, d):
+    points = _points(spark, d)
+    return sinks.srt_cues(points, sinks.readable_body(F.col("value") * 100, F.col("clip_id")), 1_000_000)
+
+
+@query("""
+SELECT strftime(ts, '%H:%M:%S.%g') || ' ' || rpad(upper(event_type), 5, ' ') || ' seen kind="' || event_type || ' x" user=' || user_id AS value FROM events
+""")
+def log_texts(spark, d):
+    rows = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("level"), F.lit("seen").alias("message"), F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("kind"), F.concat("event_type", F.lit(" x"))).alias("fields"))
+    return sinks.log_lines(rows)
+
+
 @query("""
 WITH s AS (SELECT user_id, min(ts) AS a, max(ts) AS b FROM events GROUP BY 1)
 SELECT o_orderkey, CASE WHEN a IS NULL OR o_orderdate + INTERVAL 10 DAY < a OR o_orderdate > b THEN 'none' WHEN o_orderdate >= a AND o_orderdate + INTERVAL 10 DAY <= b THEN 'full' ELSE 'partial' END AS coverage FROM orders LEFT JOIN s ON o_custkey = user_id

@@ -57,6 +57,21 @@ def srt_cues(points: DataFrame, body: Column, cadence: int) -> DataFrame:
     return points.withColumn("no", F.row_number().over(w)).withColumn("_e", end).select("series_id", "clip_id", "no", F.concat_ws("\n", F.col("no").cast("string"), F.concat(_stamp(F.col("pts")), F.lit(" --> "), _stamp(F.col("_e"))), body, F.lit("")).alias("cue"))
 
 
+def dji_cues(points: DataFrame, cadence: int) -> DataFrame:
+    """(series_id, clip_id, no, cue): cues of points (pts, stamp, lat, lon, elevation) with time and position in brackets, as cameras of drones write them. A point without a position has no cue;
+    height above the start isn't known, and reads 0."""
+    fix = points.filter("lat IS NOT NULL AND lon IS NOT NULL")
+    w = Window.partitionBy("series_id", "clip_id").orderBy("pts")
+    number = lambda c, d: text.fixed(F.col(c), d)
+    when = F.date_format(F.timestamp_micros("stamp"), "yyyy-MM-dd HH:mm:ss.SSS")
+    rows = fix.withColumn("no", F.row_number().over(w)).withColumn("_e", F.coalesce(F.lead("pts").over(w), F.col("pts") + cadence))
+    body = F.concat(
+        F.lit('<font size="28">FrameCnt: '), F.col("no").cast("string"), F.lit(f", DiffTime: {cadence // 1000}ms "), when, F.lit(" [latitude: "), number("lat", 6), F.lit("] [longitude: "), number("lon", 6),
+        F.lit("] [rel_alt: 0.000 abs_alt: "), F.coalesce(number("elevation", 3), F.lit("0.000")), F.lit("] </font>"),
+    )
+    return rows.select("series_id", "clip_id", "no", F.concat_ws("\n", F.col("no").cast("string"), F.concat(_stamp(F.col("pts")), F.lit(" --> "), _stamp(F.col("_e"))), body, F.lit("")).alias("cue"))
+
+
 def readable_body(distance: Column, rest: Column) -> Column:
     """Distance first, then the other fields, parted by bars."""
     return F.concat_ws(" | ", F.concat(text.fixed(distance / 1000, 2), F.lit(" km")), rest)
