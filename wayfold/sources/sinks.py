@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import documents
 
 DIAGNOSTICS = ("frame", "raw_x", "raw_y", "raw_rotation", "raw_scale", "smoothed_x", "smoothed_y", "smoothed_rotation", "smoothed_scale", "correction_dx", "correction_dy", "correction_rotation", "correction_scale", "clamped")
 
@@ -35,14 +36,32 @@ def gpx_points(points: DataFrame, cadence: int) -> DataFrame:
     return rows.select("series_id", "clip_id", "seg", F.col("pts").alias("ord"), F.format_string('<trkpt lat="%.7f" lon="%.7f"><time>%s</time></trkpt>', "lat", "lon", when).alias("line"))
 
 
+#: What stands around the points of a GPX document, fixed by the format.
+GPX_HEAD, GPX_TAIL = '<?xml version="1.0" encoding="UTF-8"?>\n<gpx version="1.1" xmlns="http://www.topografix.com/GPX/1/1"><trk>\n', "\n</trk></gpx>\n"
+
+
+def gpx_pieces(points: DataFrame, cadence: int, document: Column) -> DataFrame:
+    """Pieces (document, ord, text) for ``documents.write``: a point a piece, with what opens and closes its segment and its document. ``document`` names the file of a clip."""
+    lines = gpx_points(points, cadence).withColumn("_d", document)
+    w = Window.partitionBy("series_id", "clip_id", "seg").orderBy("ord")
+    opened = F.when(F.lag("ord").over(w).isNull(), "<trkseg>\n").otherwise("")
+    closed = F.when(F.lead("ord").over(w).isNull(), "\n</trkseg>").otherwise("")
+    lines = lines.withColumn("line", F.concat(opened, F.col("line"), closed))
+    return documents.joined_pieces(lines, F.col("_d"), [F.col("seg"), F.col("ord")], F.col("line"), GPX_HEAD, GPX_TAIL)
+
+
+def cue_pieces(cues: DataFrame, document: Column) -> DataFrame:
+    """Pieces (document, ord, text) of numbered cues (no, cue), which end with their own blank line."""
+    return documents.joined_pieces(cues, document, [F.col("no")], F.col("cue"))
+
+
 def gpx_documents(points: DataFrame, cadence: int) -> DataFrame:
-    """(series_id, clip_id, text): one document a clip; a clip is a bounded recording."""
+    """(series_id, clip_id, text): one document a clip, as a row, for clips of bounded length; ``gpx_pieces`` has those of any length."""
     lines = gpx_points(points, cadence)
     segs = lines.groupBy("series_id", "clip_id", "seg").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n").alias("body"))
     segs = segs.select("series_id", "clip_id", "seg", F.concat(F.lit("<trkseg>\n"), F.col("body"), F.lit("\n</trkseg>")).alias("part"))
-    head, tail = '<?xml version="1.0" encoding="UTF-8"?>\n<gpx version="1.1" xmlns="http://www.topografix.com/GPX/1/1"><trk>\n', "\n</trk></gpx>\n"
     parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg", "part"))), lambda x: x["part"]), "\n")
-    return segs.groupBy("series_id", "clip_id").agg(F.concat(F.lit(head), parts, F.lit(tail)).alias("text"))
+    return segs.groupBy("series_id", "clip_id").agg(F.concat(F.lit(GPX_HEAD), parts, F.lit(GPX_TAIL)).alias("text"))
 
 
 def _stamp(us: Column) -> Column:
