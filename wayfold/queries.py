@@ -348,6 +348,73 @@ def readout_ratios(spark, d):
     return rounded(trajectory.readout_fit(o, o), *names).select("series_id", "samples", *names)
 
 
+_OTHER = """WITH {m}, o AS (SELECT *, 0.4 * dy + dx / 7 AS shear, dx / 5 - rotation * 3 AS stretch FROM m), g AS (SELECT (series_id * 7) % {n} AS series_id, frame, ok, dy * 3 AS dx, dx - dy AS dy FROM m WHERE series_id < {n}),
+d AS (SELECT series_id, frame, (lead(CASE WHEN ok THEN dx END) OVER w - lag(CASE WHEN ok THEN dx END) OVER w) / 2 AS px, (lead(CASE WHEN ok THEN dy END) OVER w - lag(CASE WHEN ok THEN dy END) OVER w) / 2 AS py FROM g WINDOW w AS (PARTITION BY series_id ORDER BY frame)),
+l AS (SELECT series_id, max(frame) AS last FROM o GROUP BY 1), b AS (SELECT o.series_id, o.frame, shear, stretch, px, py FROM o JOIN l USING (series_id) JOIN d ON d.series_id = o.series_id AND d.frame = o.frame WHERE ok AND o.frame < last AND px IS NOT NULL AND py IS NOT NULL),"""
+_OTHER_SERIES = 97
+
+
+@query(_OTHER.format(m=M, n=_OTHER_SERIES) + """
+k AS (SELECT series_id, sum(shear * px + stretch * py) / sum(px * px + py * py) AS k FROM b GROUP BY 1 HAVING count(*) >= 30), r AS (SELECT b.*, sqrt((shear - k * px) * (shear - k * px) + (stretch - k * py) * (stretch - k * py)) AS r FROM b JOIN k USING (series_id)),
+c AS (SELECT series_id, list_sort(list(r))[(count(*) // 2) + 1] * 1.4826 AS m FROM r GROUP BY 1), i AS (SELECT r.*, m <= 0 OR r <= 3 * m AS keep FROM r JOIN c USING (series_id)), f AS (SELECT series_id, count(*) FILTER (WHERE keep) < 30 AS all_ FROM i GROUP BY 1)
+SELECT series_id, round(sum(shear * px + stretch * py) / sum(px * px + py * py), 6) AS ratio, count(*) AS samples FROM i JOIN f USING (series_id) WHERE keep OR all_ GROUP BY 1
+""")
+def readout_of_other_clips(spark, d):
+    """Readout ratios of what one clip shows against the motion of another."""
+    m = _motion(spark, d).filter(F.col("series_id") < _OTHER_SERIES)
+    other = m.select(((F.col("series_id") * 7) % _OTHER_SERIES).alias("series_id"), "frame", "ok", (F.col("dy") * 3).alias("dx"), (F.col("dx") - F.col("dy")).alias("dy"))
+    return rounded(trajectory.readout_fit(_observed(spark, d), other), "ratio").select("series_id", "ratio", "samples")
+
+
+@query("""
+WITH f AS (SELECT l_suppkey AS series_id, l_linenumber AS frame, l_orderkey, (l_quantity * 19) % 960 AS x, l_extendedprice % 540 AS y, (l_quantity * 19) % 960 + l_discount * 30 AS tx, l_extendedprice % 540 - l_tax * 40 AS ty FROM lineitem),
+s AS (SELECT s_suppkey AS series_id, k AS frame, (s_suppkey % 11 - 5)::DOUBLE AS dx, k / 2.0 AS dy, (s_suppkey % 7 - 3) / 100.0 AS rot, 1 + k / 100.0 AS sc FROM supplier, (SELECT unnest(range(1, 8)) AS k))
+SELECT series_id, frame, l_orderkey, round(tx - (sc * cos(rot) * x - sc * sin(rot) * y + dx), 6) + 0.0 AS mx, round(ty - (sc * sin(rot) * x + sc * cos(rot) * y + dy), 6) + 0.0 AS my FROM f JOIN s USING (series_id, frame)
+""")
+def residual_motions(spark, d):
+    """What features moved beyond their frame's similarity."""
+    x, y = (F.col("l_quantity") * 19) % 960, F.col("l_extendedprice") % 540
+    features = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("series_id"), F.col("l_linenumber").alias("frame"), "l_orderkey", x.alias("x"), y.alias("y"), (x + F.col("l_discount") * 30).alias("to_x"), (y - F.col("l_tax") * 40).alias("to_y"))
+    k = F.col("frame")
+    fits = table(spark, d, "supplier").select(F.col("s_suppkey").alias("series_id"), F.explode(F.sequence(F.lit(1), F.lit(7))).alias("frame"))
+    fits = fits.select("series_id", "frame", (F.col("series_id") % 11 - 5).cast("double").alias("dx"), (k / 2.0).alias("dy"), ((F.col("series_id") % 7 - 3) / 100.0).alias("rotation"), (1 + k / 100.0).alias("scale"))
+    return rounded(trajectory.residual_motion(features, fits), "mx", "my").select("series_id", "frame", "l_orderkey", "mx", "my")
+
+
+@query(f"""
+WITH {M}, z AS (SELECT *, greatest(1, least(3, greatest({{corners}}) / scale)) AS required FROM m), e AS (SELECT series_id, frame AS t, series_id * 1000000 + frame AS tie, required AS value, max(required) OVER (PARTITION BY series_id ORDER BY frame ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING) AS high FROM z),
+{I}, {_kernel_sql(5.0)}, {_extrapolated(5.0, "high")} SELECT i.series_id, i.t AS frame, round(least(1.05, greatest(v, i.value)), 6) AS zoom, round(max(i.value) OVER (PARTITION BY i.series_id), 6) AS whole, round(least(1.2, max(i.value) OVER (PARTITION BY i.series_id)), 6) AS held FROM s JOIN i ON i.tie = s.tie
+""".replace("{corners}", ", ".join(f"abs(cos(rotation) * ({x} - dx) + sin(rotation) * ({y} - dy)) / 480.000001, abs(cos(rotation) * ({y} - dy) - sin(rotation) * ({x} - dx)) / 270.000001" for x in (-480, 480) for y in (-270, 270))))
+def zoom_envelopes(spark, d):
+    """The zoom of every frame under a cap, and one zoom for the whole series."""
+    corr = _motion(spark, d).withColumn("clamped", F.lit(False))
+    moving = trajectory.zoom_envelope(corr, 960, 540, 5.0, 1.05).select("series_id", "frame", "zoom")
+    fixed = trajectory.global_zoom(corr, 960, 540, 1.2).select("series_id", "frame", F.col("required_zoom").alias("whole"), F.col("zoom").alias("held"))
+    return rounded(moving.join(fixed, ["series_id", "frame"]), "zoom", "whole", "held")
+
+
+@query(f"""
+WITH {M}, e AS (SELECT series_id, frame, CASE WHEN ok THEN dx END AS dx, CASE WHEN ok THEN dy END AS dy FROM m UNION ALL SELECT series_id, max(frame) + 1, NULL, NULL FROM m GROUP BY 1),
+b AS (SELECT series_id, frame, coalesce((lag(dx) OVER w + dx) / 2, lag(dx) OVER w, dx) AS vx, coalesce((lag(dy) OVER w + dy) / 2, lag(dy) OVER w, dy) AS vy FROM e WINDOW w AS (PARTITION BY series_id ORDER BY frame)),
+g AS (SELECT series_id, coalesce(greatest(abs(0.3 * vx / 540) * 540 / 960, abs(0.3 * vy / 540)), 0) AS margin FROM b), s AS (SELECT series_id, list_sort(list(margin)) AS v, count(*) AS n FROM g GROUP BY 1)
+SELECT series_id, round(v[n // 2 + 1], 8) AS median, round(v[least(n - 1, n * 90 // 100) + 1], 8) AS p90, round(v[least(n - 1, n * 99 // 100) + 1], 8) AS p99, round(v[n], 8) AS worst, round(v[n], 8) AS margin FROM s
+""")
+def crop_margins(spark, d):
+    """What rectifying costs in crop: percentiles over frames, and the worst."""
+    rects = trajectory.rectifiers(_motion(spark, d), 0.3, 540)
+    both = trajectory.margin_percentiles(rects, 960, 540).join(trajectory.worst_margin(rects, 960, 540), "series_id")
+    return rounded(both, "median", "p90", "p99", "worst", "margin", digits=8)
+
+
+@query("""
+WITH g AS (SELECT l_suppkey AS series_id, l_orderkey % 4 AS r, l_linenumber % 5 AS c, l_quantity - 25 AS dx, l_discount * 100 - 5 AS dy FROM lineitem)
+SELECT series_id, round(2 * greatest(2 * greatest(coalesce(max(greatest(dx, 0)) FILTER (WHERE c = 0), 0), coalesce(max(greatest(-dx, 0)) FILTER (WHERE c = 4), 0)) / 960, 2 * greatest(coalesce(max(greatest(dy, 0)) FILTER (WHERE r = 0), 0), coalesce(max(greatest(-dy, 0)) FILTER (WHERE r = 3), 0)) / 540), 8) AS margin FROM g GROUP BY 1
+""")
+def mesh_margins(spark, d):
+    grid = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("series_id"), (F.col("l_orderkey") % 4).alias("r"), (F.col("l_linenumber") % 5).alias("c"), (F.col("l_quantity") - 25).alias("dx"), (F.col("l_discount") * 100 - 5).alias("dy"))
+    return rounded(trajectory.mesh_border_margin(grid, 5, 4, 960, 540), "margin", digits=8)
+
+
 _CELLS = """p AS (SELECT l_suppkey AS series_id, l_linenumber AS frame, (l_quantity * 19) % 960 AS x, (l_extendedprice) % 540 AS y, l_discount AS mx, l_tax AS my FROM lineitem), v AS (SELECT unnest(range(0, 4)) AS r), u AS (SELECT unnest(range(0, 5)) AS c),
 g AS (SELECT DISTINCT series_id, frame, r::INT AS r, c::INT AS c FROM p, v, u),
 n AS (SELECT series_id, frame, r::INT AS r, c::INT AS c, median(mx) AS vx, median(my) AS vy FROM p, v, u WHERE sqrt((x - c * 240.0) * (x - c * 240.0) + (y - r * 180.0) * (y - r * 180.0)) <= 300 GROUP BY ALL),
@@ -525,6 +592,37 @@ def lag_curves(spark, d):
     return rounded(alignment.score_curve(clicks, rest, spans, 48 * HOUR), "score").select("series_id", "tau", "score")
 
 
+@query("""
+WITH p AS (SELECT user_id AS s, event_id, epoch_us(ts) AS c FROM events WHERE event_type = 'purchase'), d AS (SELECT user_id AS s, epoch_us(ts) AS t, value AS v FROM events WHERE event_type = 'click'),
+m AS (SELECT p.s, event_id, c, t, 0.5 * (v + lag(v) OVER w) * (t - lag(t) OVER w) / 1000000.0 AS part FROM p JOIN d ON d.s = p.s AND t BETWEEN c - 180000000000 AND c + 180000000000 WINDOW w AS (PARTITION BY p.s, event_id ORDER BY t)),
+g AS (SELECT s, event_id, abs(sum(part)) AS turn, (max(t) - min(t)) / 1000000.0 AS span FROM m GROUP BY 1, 2 HAVING count(*) >= 2) SELECT p.s AS series_id, p.event_id, round(coalesce(turn, 0), 3) AS turn, round(coalesce(span, 0), 6) AS "window" FROM p LEFT JOIN g USING (s, event_id)
+""")
+def matched_turns(spark, d):
+    """What clicks add up to within fifty hours of each purchase."""
+    centres = of_type(spark, d, "purchase").select("series_id", F.col("tie").alias("event_id"), F.col("t").alias("centre"))
+    out = alignment.matched_turn(of_type(spark, d, "click"), centres, 50 * 3600.0, ("series_id",))
+    return rounded(rounded(out, "turn", digits=3), "window").select("series_id", "event_id", "turn", "window")
+
+
+_WIDE = """c AS (SELECT user_id AS s, epoch_us(ts) AS t, value AS v FROM events WHERE event_type = 'click'), f AS (SELECT user_id AS s, epoch_us(ts) AS t, value AS v FROM events WHERE event_type <> 'click'),
+r AS (SELECT c.s, greatest((f0 - c1) / 1000000.0, -864000) AS low, least((f1 - c0) / 1000000.0, 864000) AS high FROM (SELECT s, min(t) AS c0, max(t) AS c1 FROM c GROUP BY 1) c JOIN (SELECT s, min(t) AS f0, max(t) AS f1 FROM f GROUP BY 1) f ON f.s = c.s),
+l AS (SELECT s, unnest(range(0, floor((high - low) / 43200 + 1e-9)::BIGINT + 1)) AS k, low FROM r WHERE low < high), q AS (SELECT c.s, c.v, l.low + k * 43200 AS tau, c.t + round_even((l.low + k * 43200) * 1000000, 0)::BIGINT AS t FROM c JOIN l ON l.s = c.s),
+a AS (SELECT q.*, x.t AS t0, x.v AS v0 FROM q ASOF LEFT JOIN f x ON x.s = q.s AND q.t >= x.t), b AS (SELECT a.*, y.t AS t1, y.v AS v1 FROM a ASOF LEFT JOIN f y ON y.s = a.s AND a.t <= y.t),
+w AS (SELECT s, tau, v, CASE WHEN t1 = t THEN v1 WHEN t1 - t0 <= 172800000000 AND t1 > t0 THEN v0 + (t - t0)::DOUBLE / (t1 - t0) * (v1 - v0) END AS f FROM b),
+g AS (SELECT s, tau, covar_pop(v, f) / (0.5 * (var_pop(v) FILTER (WHERE f IS NOT NULL) + var_pop(f)) + 9) AS score FROM w GROUP BY s, tau HAVING count(f) >= 0.5 * count(*))"""
+
+
+@query(f"""
+WITH {_WIDE}, n AS (SELECT *, lag(score) OVER w AS ls, lead(score) OVER w AS rs, tau - lag(tau) OVER w AS lt, lead(tau) OVER w - tau AS rt FROM g WINDOW w AS (PARTITION BY s ORDER BY tau)), p AS (SELECT s, max(score) AS peak FROM n WHERE score > 0 AND lt < 64800 AND rt < 64800 AND score >= ls AND score >= rs GROUP BY 1)
+SELECT g.s AS series_id, round(avg((score >= coalesce(peak, 'inf'::DOUBLE))::INT), 6) AS null_share FROM g LEFT JOIN p ON p.s = g.s WHERE abs(tau) > 30 GROUP BY 1
+""")
+def null_scans(spark, d):
+    """How often lags of a wide scan score as high as the highest peak, of every user's clicks against the rest."""
+    clicks, rest = of_type(spark, d, "click"), series.typed(table(spark, d, "events").filter("event_type <> 'click'"), "user_id", "ts", "event_id", "value")
+    spans = alignment.null_spans(clicks, rest, 43_200.0, 864_000.0)
+    return rounded(alignment.null_share(alignment.score_curve(clicks, rest, spans, 48 * HOUR, 0.5), 43_200.0, ("series_id",)), "null_share")
+
+
 # --- activities -------------------------------------------------------------------------
 
 def _track(spark, d) -> DataFrame:
@@ -561,6 +659,38 @@ def gain_loss(spark, d):
     return rounded(activity.elevation_model(_track(spark, d), 0.0).groupBy("series_id").agg(F.max("gain").alias("gain"), F.max("loss").alias("loss")), "gain", "loss", digits=4)
 
 
+@query(f"""
+WITH e0 AS (SELECT user_id AS series_id, epoch_us(ts) AS t, event_id AS tie, (event_id % 97)::DOUBLE AS value FROM events), e AS (SELECT * FROM e0), {I}, {_kernel_sql(2.0)}, x AS (SELECT i.series_id, i.tie, i.i, sum(w * j.value) AS elevation FROM i, k, i j WHERE j.series_id = i.series_id AND j.i = greatest(0, least(i.n - 1, i.i + o)) GROUP BY 1, 2, 3),
+s AS (SELECT *, elevation - lag(elevation) OVER (PARTITION BY series_id ORDER BY i) AS step FROM x)
+SELECT series_id, round(coalesce(sum(greatest(step, 0)), 0), 4) AS gain, round(coalesce(sum(greatest(-step, 0)), 0), 4) AS loss FROM s GROUP BY 1
+""")
+def smoothed_gain(spark, d):
+    """Gain and loss of smoothed elevations."""
+    return rounded(activity.elevation_model(_track(spark, d), 2.0).groupBy("series_id").agg(F.max("gain").alias("gain"), F.max("loss").alias("loss")), "gain", "loss", digits=4)
+
+
+_MODEL = "a AS (SELECT series_id, round(distance * 1000)::BIGINT AS t, tie, elevation FROM k), b AS (SELECT series_id, min(t) AS lo, max(t) AS hi FROM a GROUP BY 1)"
+
+
+def _at_sql(name: str, place: str, keys: str) -> str:
+    return f"""{name}0 AS (SELECT p.*, greatest(lo, least(hi, round(({place}) * 1000)::BIGINT)) AS t FROM p JOIN b USING (series_id)), {name}1 AS (SELECT q.*, x.t AS t0, x.elevation AS v0 FROM {name}0 q ASOF JOIN a x ON x.series_id = q.series_id AND q.t >= x.t),
+{name} AS (SELECT q.series_id, {keys}, CASE WHEN y.t = q.t THEN y.elevation ELSE v0 + (q.t - t0)::DOUBLE / (y.t - t0) * (y.elevation - v0) END AS elevation FROM {name}1 q ASOF JOIN a y ON y.series_id = q.series_id AND q.t <= y.t)"""
+
+
+@query(f"""
+WITH {E}, {_TRACK}, {_MODEL}, p AS (SELECT series_id, unnest(range(0, 12)) * 700.0 + 13 AS probe FROM b), {_at_sql("v", "probe", "probe")}, d AS (SELECT series_id, min(distance) AS lo, max(distance) AS hi FROM k GROUP BY 1),
+s AS (SELECT p.series_id, probe, greatest(d.lo, least(d.hi, probe - 30)) AS d0, greatest(d.lo, least(d.hi, probe + 30)) AS d1 FROM p JOIN d USING (series_id)), u AS (SELECT series_id, d0 AS probe FROM s UNION SELECT series_id, d1 FROM s),
+{_at_sql("w", "probe", "probe").replace("FROM p JOIN", "FROM u p JOIN")}
+SELECT v.series_id, v.probe, round(v.elevation, 4) AS elevation, CASE WHEN d1 > d0 THEN round((y.elevation - x.elevation) / (d1 - d0), 5) + 0.0 END AS grade FROM v JOIN s ON s.series_id = v.series_id AND s.probe = v.probe JOIN w x ON x.series_id = s.series_id AND x.probe = d0 JOIN w y ON y.series_id = s.series_id AND y.probe = d1
+""")
+def grades(spark, d):
+    """Elevation and grade every 700 metres of each track."""
+    model = activity.elevation_model(_track(spark, d), 0.0)
+    probes = model.select("series_id").distinct().select("series_id", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k")).select("series_id", (F.col("k") * 700.0 + 13).alias("probe"))
+    both = activity.at_distance(model, probes).select("series_id", "probe", "elevation").join(activity.grade(model, probes), ["series_id", "probe"])
+    return rounded(rounded(both, "elevation", digits=4), "grade", digits=5)
+
+
 @query(f"""
 WITH {E}, {_TRACK}, c AS (SELECT user_id AS series_id, min(epoch_us(ts)) + 86400000000 AS a, min(epoch_us(ts)) + 864000000000 AS b FROM events GROUP BY 1),
 i AS (SELECT k.*, row_number() OVER (PARTITION BY k.series_id ORDER BY t, tie) AS n FROM k JOIN c ON k.series_id = c.series_id AND t BETWEEN a AND b)
