@@ -1,11 +1,14 @@
 """Token-id shards with a minimal perfect hash index (operator 9).
 
-Each shard holds a range of documents in ascending doc_id order and is four files in a shared folder:
+Each shard holds a range of documents in ascending doc_id order and is four files in a shared folder, named by the attempt that wrote them (``NAME`` is the shard's number and a random part):
 
-* ``ids-NNNNN.bin``   raw little-endian ids (uint16 where the vocabulary fits, else uint32), every document followed by the end id
-* ``keys-NNNNN.bin``  int64 triples (doc_id, 1 if doc_id is null, ordinal among rows of one doc_id), in payload order
-* ``mph-NNNNN.bin``   the minimal perfect hash: for each level a bit array and its ranks
-* ``slot-NNNNN.bin``  per slot of the hash: offset (uint64, in ids), length (uint64), fingerprint (uint64)
+* ``ids-NAME.bin``   raw little-endian ids (uint16 where the vocabulary fits, else uint32), every document followed by the end id
+* ``keys-NAME.bin``  int64 triples (doc_id, 1 if doc_id is null, ordinal among rows of one doc_id), in payload order
+* ``mph-NAME.bin``   the minimal perfect hash: for each level a bit array and its ranks
+* ``slot-NAME.bin``  per slot of the hash: offset (uint64, in ids), length (uint64), fingerprint (uint64)
+
+``manifest.json``, written once by the driver when all tasks are done, names the shards that count, in order, with their sizes and the type of the ids; files of attempts that failed are deleted then. No file
+is moved onto another, so the store needs nothing of a file system but whole new files.
 
 The hash is a cascade of bit arrays: a key's bit at a level is set if no other remaining key falls there; the rest go on to the
 next level. The rank of its bit is the key's slot. A stored fingerprint tells a foreign key from a stored one.
@@ -16,6 +19,7 @@ table writes nothing and reads nothing; a text of any length is encoded whole, i
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, tokens
@@ -31,7 +35,7 @@ from . import common, tokens
 GAMMA = 2.0
 KEY = np.dtype([("doc_id", "<i8"), ("is_null", "<i8"), ("ordinal", "<i8")])
 SLOT = np.dtype([("offset", "<u8"), ("length", "<u8"), ("fingerprint", "<u8")])
-MANIFEST = "shard int, n_docs long, n_ids long"
+MANIFEST = "shard int, name string, dtype string, n_docs long, n_ids long"
 
 
 def key_hash(keys: np.ndarray) -> np.ndarray:
@@ -96,16 +100,13 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def _put(files: fs.FileSystem, path: str, chunks: Iterator[bytes]) -> None:
-    """Written under a name of its own, then moved: a task that is run twice leaves one whole file."""
-    part = f"{path}.{uuid.uuid4().hex}"
-    with files.open_output_stream(part, buffer_size=1 << 20) as out:
+    with files.open_output_stream(path, buffer_size=1 << 20) as out:
         for x in chunks:
             out.write(x)
-    files.move(part, path)
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 0, partitions: int | None = None) -> list:
-    """Encode every text and write the shards; returns their manifest rows (shard, n_docs, n_ids), one per non-empty shard.
+    """Encode every text and write the shards; returns their manifest rows (shard, name, dtype, n_docs, n_ids), one per non-empty shard.
 
     Null text: empty. Null doc_id: comes first. Rows that share a doc_id follow each other by text. The manifest has a row per
     shard, so what the driver gets is bounded by the number of partitions.
@@ -121,6 +122,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
         shard, encoder = TaskContext.get().partitionId(), tokens.encoder(path)
         files, top = _open(folder)
         files.create_dir(top, recursive=True)
+        own = f"{shard:05d}-{uuid.uuid4().hex[:12]}"
         keys: list[np.ndarray] = []
         lengths: list[int] = []
 
@@ -135,9 +137,9 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
                     lengths.extend(np.diff(ends).tolist())
                     yield flat.tobytes()
 
-        _put(files, f"{top}/ids-{shard:05d}.bin", payload())
+        _put(files, f"{top}/ids-{own}.bin", payload())
         if not lengths:
-            files.delete_file(f"{top}/ids-{shard:05d}.bin")
+            files.delete_file(f"{top}/ids-{own}.bin")
             return
         k, n = np.concatenate(keys), np.array(lengths, np.uint64)
         new = np.ones(len(k), bool)
@@ -150,30 +152,43 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
         s = index.slots(h)
         slot["offset"][s], slot["length"][s], slot["fingerprint"][s] = np.cumsum(n) - n, n, common.mix64(~h)
         for name, raw in (("keys", k.tobytes()), ("mph", index.to_bytes()), ("slot", slot.tobytes())):
-            _put(files, f"{top}/{name}-{shard:05d}.bin", iter([raw]))
-        _put(files, f"{top}/dtype", iter([encoder.dtype.str.encode()]))
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_docs": pa.array([len(k)], pa.int64()), "n_ids": pa.array([int(n.sum())], pa.int64())})
+            _put(files, f"{top}/{name}-{own}.bin", iter([raw]))
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "name": [own], "dtype": [encoder.dtype.str], "n_docs": pa.array([len(k)], pa.int64()), "n_ids": pa.array([int(n.sum())], pa.int64())})
+
+    manifest = sorted(rows.mapInArrow(write, MANIFEST).collect(), key=lambda r: r.shard)
+    if manifest:
+        files, top = _open(folder)
+        _put(files, f"{top}/manifest.json", iter([json.dumps([r.asDict() for r in manifest]).encode()]))
+        kept = {f"{kind}-{r.name}.bin" for r in manifest for kind in ("ids", "keys", "mph", "slot")}
+        for info in files.get_file_info(fs.FileSelector(top)):
+            if info.base_name.endswith(".bin") and info.base_name not in kept:
+                files.delete_file(info.path)
+    return manifest
+
 
-    return sorted(rows.mapInArrow(write, MANIFEST).collect(), key=lambda r: r.shard)
+def manifest_of(folder: str) -> list:
+    """The manifest rows of a store that was written before."""
+    files, top = _open(folder)
+    with files.open_input_stream(f"{top}/manifest.json") as f:
+        return [Row(**r) for r in json.loads(f.read())]
 
 
 class Shard:
     """Keyed access to one shard: ``find(keys)`` gives (found, offset, length); ``ids(offset, length)`` reads that document alone."""
 
-    def __init__(self, folder: str, shard: int):
+    def __init__(self, folder: str, name: str, dtype: str):
         self.files, self.top = _open(folder)
-        self.shard = shard
-        self.dtype = np.dtype(self._raw("dtype").decode())
-        self.index = PerfectHash.from_bytes(self._raw(f"mph-{shard:05d}.bin"))
-        self.slot = np.frombuffer(self._raw(f"slot-{shard:05d}.bin"), SLOT)
-        self.payload = self.files.open_input_file(f"{self.top}/ids-{shard:05d}.bin")
+        self.name, self.dtype = name, np.dtype(dtype)
+        self.index = PerfectHash.from_bytes(self._raw(f"mph-{name}.bin"))
+        self.slot = np.frombuffer(self._raw(f"slot-{name}.bin"), SLOT)
+        self.payload = self.files.open_input_file(f"{self.top}/ids-{name}.bin")
 
     def _raw(self, name: str) -> bytes:
         with self.files.open_input_stream(f"{self.top}/{name}") as f:
             return f.read()
 
     def keys(self) -> np.ndarray:
-        return np.frombuffer(self._raw(f"keys-{self.shard:05d}.bin"), KEY)
+        return np.frombuffer(self._raw(f"keys-{self.name}.bin"), KEY)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h = key_hash(keys)
@@ -191,26 +206,26 @@ def read_back(spark: SparkSession, folder: str, manifest: list) -> DataFrame:
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     before, rows = 0, []
     for r in manifest:
-        rows.append((r.shard, before))
+        rows.append((r.name, r.dtype, before))
         before += r.n_ids
     if not rows:
         return spark.createDataFrame([], schema)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                store = Shard(folder, shard)
+            for name, dtype, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                store = Shard(folder, name, dtype)
                 every = store.keys()
                 for i in range(0, len(every), 4096):
                     keys = every[i : i + 4096]
                     found, offset, length = store.find(keys)
                     if not found.all():
-                        raise ValueError(f"shard {shard}: a key of the shard isn't in its index")
+                        raise ValueError(f"shard {name}: a key of the shard isn't in its index")
                     crc = [zlib.crc32(store.ids(o, n).astype("<u4").tobytes()) for o, n in zip(offset.tolist(), length.tolist(), strict=True)]
                     ids = pa.array(keys["doc_id"], pa.int64(), mask=keys["is_null"] != 0)
                     yield pa.RecordBatch.from_arrays([ids, pa.array(start + offset), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return spark.createDataFrame(rows, "shard int, start long").repartition(len(rows)).mapInArrow(read, schema)
+    return spark.createDataFrame(rows, "name string, dtype string, start long").repartition(len(rows)).mapInArrow(read, schema)
 
 
 def token_store(spark: SparkSession, docs: DataFrame, folder: str | None = None, tokenizer: str | None = None) -> DataFrame:
