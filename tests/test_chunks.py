@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.test_operators import S, bump, frame
 from wayfold.functions import maths
-from wayfold.operators import alignment, chunks, series, stats, trajectory
+from wayfold.operators import alignment, batch, chunks, series, stats, trajectory
 
 
 def long_series(spark, n=5000, others=40):
@@ -146,3 +146,25 @@ def test_estimates_of_many_clips_in_one_plan(spark):
     assert got["away"]["reason"] == got["bare"]["reason"] == "the track doesn't reach the clip" and got["thin"]["reason"] == "the track covers too little of the clip"
     with pytest.raises(ValueError):
         alignment.estimate(frame(spark, [("lone", 0, 0, 1.0)]), track)
+
+
+def test_near_descriptors_are_found_by_substrings(spark):
+    r = random.Random(8)
+    base = [r.getrandbits(64) for _ in range(60)]
+    flip = lambda d, n: d ^ sum(1 << k for k in r.sample(range(64), n))
+    signed = lambda d: d - (1 << 64) if d >> 63 else d
+    a = [(blk, i, signed(d)) for blk in (0, 1) for i, d in enumerate(base[:40])] + [(2, 900, 5), (0, 901, signed(base[0]))]
+    b = [(blk, 100 + i, signed(flip(d, i % 9))) for blk in (0, 1) for i, d in enumerate(base)] + [(0, 300, signed(base[3])), (0, 301, signed(base[3])), (0, 302, signed(flip(base[5], 2))), (2, 400, 4)]
+    make = lambda rows: spark.createDataFrame(rows, "block int, id int, d long")
+    bits = lambda x, y: bin((x ^ y) & (1 << 64) - 1).count("1")
+    want = set()
+    for blk, i, d in a:
+        near = sorted((bits(d, e), j) for blk2, j, e in b if blk2 == blk)
+        if len(near) > 1 and near[0][0] <= 0.75 * near[1][0]:
+            want.add((blk, i, near[0][1], near[0][0]))
+    got = batch.nearest_pairs(make(a), make(b))
+    assert {tuple(x) for x in got.collect()} == want and len(want) > 60
+    met = batch.near_candidates(make(a), make(b))
+    assert met.count() < 0.1 * sum(1 for x in a for y in b if x[0] == y[0])
+    close = {(blk, d, e) for blk, _, d in a for blk2, _, e in b if blk == blk2 and bits(d, e) <= batch.RADIUS}
+    assert close <= {(x["block"], x["d"], x["other"]) for x in met.collect()}

@@ -130,12 +130,44 @@ def trailing_rate(reports: DataFrame, window: int = 10) -> DataFrame:
 
 #: Descriptors of either side that meet at once.
 CHUNK = 2048
+#: Substrings of a descriptor that are looked up, and bits of one that may differ there: every neighbour up to ``RADIUS`` shares a substring within that.
+PARTS, FLIPS = 4, 1
+RADIUS = PARTS * (FLIPS + 1) - 1
+
+
+def near_candidates(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(block, d, other, n, id, distance): for each different descriptor of ``a`` those of ``b`` in its block that share a 16-bit substring with it, one bit aside, once each; ``n`` rows of ``b`` have it, ``id`` is the
+    least of them. By the pigeonhole principle all within ``RADIUS`` bits are among them."""
+    sub = lambda k: F.shiftrightunsigned("d", 16 * k).bitwiseAND(F.lit(0xFFFF)).cast("int")
+    parts = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), sub(k).alias("s")) for k in range(PARTS)]))
+    own = a.select("block", "d").distinct().select("block", "d", parts.alias("p"))
+    flips = F.explode(F.array(F.lit(0), *[F.lit(1 << i) for i in range(16)]))
+    asks = own.select("block", "d", "p.k", F.col("p.s").alias("s"), flips.alias("f")).select("block", "d", "k", F.col("s").bitwiseXOR(F.col("f")).alias("s"))
+    index = b.groupBy("block", "d").agg(F.count("*").alias("n"), F.min("id").alias("id")).select("block", F.col("d").alias("other"), "n", "id", "d").select("block", "other", "n", "id", parts.alias("p"))
+    met = asks.join(index.select("block", "other", "n", "id", "p.k", "p.s"), ["block", "k", "s"])
+    return met.select("block", "d", "other", "n", "id").distinct().withColumn("distance", F.bit_count(F.col("d").bitwiseXOR(F.col("other"))))
 
 
 def nearest_pairs(a: DataFrame, b: DataFrame, ratio: float = 0.75, chunk: int = CHUNK) -> DataFrame:
     """Descriptor matches (block, a, b, distance) with Hamming distance to the nearest (the least id of equals) no more than ``ratio`` of that to the second. Frames are (block, id, d BIGINT bits).
 
-    A ratio test needs both exactly, so every descriptor of ``a`` meets all of ``b`` of its own ``block``. A block's ``a`` is dealt to tasks by ``chunk``, and distances are counted there a
+    A ratio test needs both distances exactly. Descriptors are looked up by substrings first: whoever has two neighbours within ``RADIUS`` bits has them exactly, and one whose single neighbour there is close
+    enough for any second passes as well. Only the rest meets all of ``b`` of its block.
+    """
+    found = near_candidates(a, b).filter(F.col("distance") <= RADIUS)
+    w = Window.partitionBy("block", "d").orderBy("distance", "id")
+    two = found.withColumn("_k", F.row_number().over(w)).withColumn("_next", F.when(F.col("n") > 1, F.col("distance")).otherwise(F.lead("distance").over(w))).filter("_k = 1")
+    several = b.groupBy("block").agg((F.count("*") > 1).alias("_several"))
+    sure = F.col("_next").isNotNull() | (F.col("_several") & (F.col("distance") <= ratio * (RADIUS + 1)))
+    settled = two.join(several, "block").filter(sure)
+    passed = settled.filter(F.col("_next").isNull() | (F.col("distance") <= ratio * F.col("_next")))
+    quick = a.select("block", F.col("id").alias("a"), "d").join(passed.select("block", "d", F.col("id").alias("b"), F.col("distance").cast("int").alias("distance")), ["block", "d"]).select("block", "a", "b", "distance")
+    rest = a.select("block", "id", "d").join(settled.select("block", "d"), ["block", "d"], "left_anti").select("block", "id", "d")
+    return quick.unionByName(_exhaustive_pairs(rest, b, ratio, chunk))
+
+
+def _exhaustive_pairs(a: DataFrame, b: DataFrame, ratio: float, chunk: int) -> DataFrame:
+    """``nearest_pairs`` by all pairs of a block. A block's ``a`` is dealt to tasks by ``chunk``, and distances are counted there a
     chunk against a chunk: no pair is a row, and what a task holds is a chunk of ``a`` and the block's ``b``, which is that of one picture.
     """
     parts = a.groupBy("block").agg(F.ceil(F.count("*") / chunk).cast("int").alias("_n"))
