@@ -47,8 +47,10 @@ def percentile_span(v: Column, p: float) -> Column:
     return F.element_at(s, F.floor(p * (F.size(s) - 1)).cast("int") + 1)
 
 
-#: Rows of a group up to which it is counted whole, and the sketch's accuracy beyond: ranks within one in so many.
+#: The sketch's accuracy: ranks within one in so many of a group's rows.
 ACCURACY = 10_000
+#: Rows of a group up to which it is counted whole, and the share of the ranks on either side that is counted up to ACCURACY rows, where the sketch is exact.
+FEW, NEAR = 200, 0.02
 
 
 def upper() -> tuple[float, Callable[[Column], Column]]:
@@ -83,14 +85,17 @@ def order_statistics(df: DataFrame, keys: list[str], picks: dict[str, tuple[Colu
     array = F.array(*[F.when(F.isnan(column(v)), float("inf")).otherwise(column(v)) for v in values])
     rows = df.select(*keys, F.posexplode(array).alias("_v", "_x")).filter("_x IS NOT NULL")
     by = [*keys, "_v"]
-    reach = 4 / accuracy
-    cuts = sorted({min(1.0, max(0.0, share + d)) for _, (share, _) in picks.values() for d in (-reach, reach)})
+    # a bracket is wider than the sketch may err by three ranks at least, as a rank and its share differ by two at most
+    wide, narrow = NEAR, 4 / accuracy
+    cut = lambda x: min(1.0, max(0.0, x))
+    cuts = sorted({cut(share + d) for _, (share, _) in picks.values() for d in (-wide, -narrow, narrow, wide)})
     sketch = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.percentile_approx("_x", cuts, accuracy).alias("_q"))
-    whole = F.col("_n") <= accuracy
+    n = F.col("_n")
 
     def bracket(k: int, share: float, rank: Callable[[Column], Column], value: int) -> Column:
-        low, high = (F.col("_q")[cuts.index(min(1.0, max(0.0, share + d)))] for d in (-reach, reach))
-        made = F.struct(F.lit(k).alias("k"), rank(F.col("_n")).cast("long").alias("r"), F.when(whole, F.col("_lo")).otherwise(low).alias("low"), F.when(whole, F.col("_hi")).otherwise(high).alias("high"))
+        at = lambda d: F.col("_q")[cuts.index(cut(share + d))]
+        end = lambda whole, sign: F.when(n <= FEW, F.col(whole)).when(n <= accuracy, at(sign * wide)).otherwise(at(sign * narrow))
+        made = F.struct(F.lit(k).alias("k"), rank(n).cast("long").alias("r"), end("_lo", -1).alias("low"), end("_hi", 1).alias("high"))
         return F.when(F.col("_v") == value, made)
 
     asked = F.array_compact(F.array(*[bracket(k, share, rank, of[str(v)]) for k, (v, (share, rank)) in enumerate(picks.values())]))
