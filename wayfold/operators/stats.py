@@ -92,21 +92,24 @@ def order_statistics(df: DataFrame, keys: list[str], picks: dict[str, tuple[Colu
     sketch = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.percentile_approx("_x", cuts, accuracy).alias("_q"))
     n = F.col("_n")
 
-    def bracket(k: int, share: float, rank: Callable[[Column], Column], value: int) -> Column:
+    def bracket(k: int, share: float, rank: Callable[[Column], Column], value: int) -> list[Column]:
         at = lambda d: F.col("_q")[cuts.index(cut(share + d))]
         end = lambda whole, sign: F.when(n <= FEW, F.col(whole)).when(n <= accuracy, at(sign * wide)).otherwise(at(sign * narrow))
-        made = F.struct(F.lit(k).alias("k"), rank(n).cast("long").alias("r"), end("_lo", -1).alias("low"), end("_hi", 1).alias("high"))
-        return F.when(F.col("_v") == value, made)
-
-    asked = F.array_compact(F.array(*[bracket(k, share, rank, of[str(v)]) for k, (v, (share, rank)) in enumerate(picks.values())]))
-    met = chunks.joined(rows, sketch.select(*by, "_n", asked.alias("_asked")), by)
-    inside = F.exists("_asked", lambda b: F.col("_x").between(b["low"], b["high"]))
+        own = lambda c: F.when(F.col("_v") == value, c)
+        return [own(rank(n).cast("long")).alias(f"_r{k}"), own(end("_lo", -1)).alias(f"_low{k}"), own(end("_hi", 1)).alias(f"_high{k}")]
+
+    brackets = [c for k, (v, (share, rank)) in enumerate(picks.values()) for c in bracket(k, share, rank, of[str(v)])]
+    met = chunks.joined(rows, sketch.select(*by, "_n", *brackets), by)
+    x, ks = F.col("_x"), range(len(picks))
+    bits = lambda test: sum((F.when(test(k), 1 << k).otherwise(0) for k in ks), F.lit(0))
+    below, inside = bits(lambda k: x < F.col(f"_low{k}")), bits(lambda k: x.between(F.col(f"_low{k}"), F.col(f"_high{k}")))
+    met = met.select(*by, "_n", *[f"_r{k}" for k in ks], below.alias("_below"), inside.alias("_inside"), "_x")
     # values within a bracket one by one, all others by what they are below
-    met = met.select(*by, "_n", "_asked", F.transform("_asked", lambda b: F.col("_x") < b["low"]).alias("_below"), F.when(inside, F.col("_x")).alias("_x"))
-    counts = met.groupBy(*by, "_x", "_below").agg(F.count("*").alias("_c"), F.first("_n").alias("_n"), F.first("_asked").alias("_asked"))
-    each = counts.select(*by, "_n", "_x", "_c", F.explode(F.arrays_zip(F.col("_asked").alias("a"), F.col("_below").alias("b"))).alias("_e"))
-    each = each.filter(F.col("_e.b") | F.col("_x").between(F.col("_e.a.low"), F.col("_e.a.high"))).withColumn("_x", F.when(~F.col("_e.b"), F.col("_x")))
-    each = each.select(*by, "_n", "_c", "_x", F.col("_e.a.k").alias("_k"), F.col("_e.a.r").alias("_r"))
+    met = met.withColumn("_x", F.when(F.col("_inside") != 0, F.col("_x")))
+    counts = met.groupBy(*by, "_x", "_below", "_inside").agg(F.count("*").alias("_c"), F.max("_n").alias("_n"), *[F.max(f"_r{k}").alias(f"_r{k}") for k in ks])
+    bit = lambda c, k: F.col(c).bitwiseAND(F.lit(1 << k)) != 0
+    each = F.array(*[F.struct(F.lit(k).alias("_k"), F.col(f"_r{k}").alias("_r"), bit("_below", k).alias("_b"), bit("_inside", k).alias("_i")) for k in ks])
+    each = counts.select(*by, "_n", "_c", "_x", F.inline(each)).filter("_b OR _i").withColumn("_x", F.when(F.col("_i"), F.col("_x")))
     upto = F.sum("_c").over(Window.partitionBy(*by, "_k").orderBy("_x").rangeBetween(Window.unboundedPreceding, 0))
     found = each.withColumn("_upto", upto).filter(F.col("_x").isNotNull() & (F.col("_upto") > F.col("_r")))
     chosen = lambda k, x: F.when(F.col("_k") == k, x)
