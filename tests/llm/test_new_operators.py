@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wayfold.llm import divergence, packing, sharding, whitening
+from wayfold.llm import divergence, packing, sharding, toxicity, whitening
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, curve string, word string, row string"
 CLASH = ("c", "c", "c", "c")
@@ -214,3 +214,39 @@ def test_repacking_leaves_what_is_best_alone():
     where, _ = packing.best_fit_decreasing(n, 100)
     assert packing.repaired(n, where, 2, 100).max() + 1 == 3
     assert packing.repaired(np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 100).tolist() == []
+
+
+# --- 4: scores by their definition --------------------------------------------------
+
+def test_scores_are_sums_over_all_pairs_of_terms():
+    """The log-odds of a text: bias, the weights of its known terms, and the product of the factors of every two of them."""
+    r = np.random.default_rng(4)
+    terms = np.sort(r.integers(0, 1 << 62, 40).astype(np.uint64))
+    m = toxicity.Machine(terms, 5)
+    m.bias, m.weight, m.factor = 0.3, r.normal(size=40), r.normal(size=(40, 5))
+    texts = [np.sort(np.concatenate([r.choice(terms, n, replace=False), r.integers(0, 1 << 62, 3).astype(np.uint64)])) for n in (0, 1, 2, 9, 30)] + [np.zeros(0, np.uint64)]
+    got = m.score(np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    for t, score in zip(texts, got, strict=True):
+        k = [i for i, term in enumerate(terms) if term in set(t.tolist())]
+        odds = m.bias + sum(m.weight[i] for i in k) + sum(float(m.factor[i] @ m.factor[j]) for a, i in enumerate(k) for j in k[a + 1 :])
+        assert score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, odds)))), abs=1e-12)
+
+
+def test_toxicity_of_no_rows_long_texts_and_ties(spark, tmp_path):
+    r = random.Random(6)
+    prose = lambda n: " ".join(r.choice(["alpha", "beta", "gamma", "delta", "omega", "sigma"]) + str(r.randint(0, 9)) for _ in range(n))
+    rows = [(i, prose(30) + (" vile" if i % 4 == 0 else ""), "en", "s", 0, *CLASH) for i in range(400)]
+    rows += [(500, prose(40_000) + " vile", "en", "s", 0, *CLASH), (501, prose(40_000), "en", "s", 0, *CLASH), (502, rows[0][1], "en", "s", 0, *CLASH), (502, rows[0][1], "en", "s", 0, *CLASH), (None, None, None, None, None, *CLASH)]
+    df = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, 0, int(i % 4 == 0)) for i in range(400)] + [(0, 0, 1), (None, 1, 1), (900, None, None)], "doc_id long, quality int, toxic int")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    got = toxicity.op4_toxicity_fm(spark, str(tmp_path)).collect()
+    by = {x["doc_id"]: x for x in got}
+    assert len(got) == len(rows) and all(0 <= x["score"] <= 1 and x["predicted"] == int(x["score"] >= 0.3) for x in got)
+    assert by[500]["predicted"] == 1 and by[501]["predicted"] == 0 and by[502]["score"] == pytest.approx(by[0]["score"], abs=1e-9) and by[None]["predicted"] == 0
+    assert all(x["held_out"] == (zlib.crc32(str(x["doc_id"]).encode()) % 4 == 2) for x in got if x["doc_id"] is not None)
+    assert sum(by[i]["predicted"] == int(i % 4 == 0) for i in range(400)) >= 396
+    df.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "none" / "labels.parquet"))
+    assert toxicity.op4_toxicity_fm(spark, str(tmp_path / "none")).count() == 0
