@@ -11,6 +11,7 @@ from .functions import maths, text
 from .operators import alignment, batch, trajectory
 from .plans import effects, steps
 from .registry import query, rounded, table
+from .sources import probe
 
 IMPERIAL, FLIGHT = text.Units.of("imperial"), text.Units.of("imperial", ["distance=nm", "speed=kn"])
 L = F.lit
@@ -104,7 +105,7 @@ def reading_labels(spark, d):
 WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate, (o_orderkey % 5000) * 0.5 AS s, (o_orderkey % 400 - 200) * 0.25 AS off, o_custkey % 12 AS h FROM orders), t AS (SELECT *, abs(off)::DECIMAL(18, 2)::VARCHAR AS digits FROM o)
 SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN 'unset' WHEN o_orderkey % 4 = 0 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') WHEN s = floor(s) THEN s::BIGINT || 's' ELSE s::DECIMAL(18, 1) || 's' END AS shown,
 CASE WHEN off >= 0 THEN '+' ELSE '-' END || CASE WHEN off = round(off) THEN abs(off)::BIGINT::VARCHAR ELSE rtrim(digits, '0') END || 's' AS signed_,
-CASE o_orderkey % 4 WHEN 0 THEN h + 0.5 WHEN 1 THEN -h::DOUBLE ELSE NULL END AS literal, CASE o_orderkey % 3 WHEN 0 THEN h * 3600 + 1800 WHEN 1 THEN -h * 3600 ELSE NULL END::INT AS zone,
+CASE o_orderkey % 4 WHEN 0 THEN h + 0.5 WHEN 1 THEN -h::DOUBLE ELSE NULL END AS literal, CASE o_orderkey % 3 WHEN 0 THEN h * 3600 + 1800 WHEN 1 THEN -h * 3600 ELSE -1 END::INT AS zone,
 CASE o_orderkey % 3 WHEN 0 THEN h * 60 + 30 WHEN 1 THEN h * 3600 + 90.5 ELSE NULL END::DOUBLE AS length, CASE o_orderkey % 4 WHEN 0 THEN 'relative' WHEN 1 THEN 'absolute' WHEN 2 THEN 'unset' ELSE 'invalid' END AS kind FROM t
 """)
 def time_texts(spark, d):
@@ -117,7 +118,7 @@ def time_texts(spark, d):
     kind = F.when(k % 4 == 0, F.concat(n, L("s"))).when(k % 4 == 1, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k % 4 == 2, " ").otherwise("0x1F")
     return table(spark, d, "orders").select(
         "o_orderkey", text.time_text(F.col("o_custkey") % 3 != 0, s, F.when(k % 4 == 0, F.col("o_orderdate").cast("timestamp"))).alias("shown"), text.signed_offset(off).alias("signed_"), text.offset_seconds(literal).alias("literal"),
-        text.utc_offset(zone).alias("zone"), text.segment_seconds(length).alias("length"), text.time_kind(kind).alias("kind"),
+        F.coalesce(text.utc_offset(zone), L(-1)).alias("zone"), text.segment_seconds(length).alias("length"), text.time_kind(kind).alias("kind"),
     )
 
 
@@ -318,3 +319,46 @@ def stripped_tags(spark, d):
         F.concat(L("f"), F.col("c_nationkey").cast("string")).alias("file"), (k % 3 - 1).alias("stream"), key.alias("key"), F.when(k % 11 == 0, "").otherwise(F.col("c_name")).alias("value"), F.when(k % 3 == 1, "video").when(k % 3 == 2, "audio").alias("kind")
     )
     return steps.StripMetadata().apply(tags).groupBy("file", "stream", "key", "value").agg(F.count("*").alias("n"))
+
+
+# --- facts of files -----------------------------------------------------------------------------
+
+@query("""
+WITH o AS (SELECT *, o_orderkey % 11 <> 0 AS video FROM orders)
+SELECT o_orderkey, CASE WHEN video THEN 640 * (1 + o_custkey % 4) ELSE -1 END::INT AS width, CASE WHEN video THEN round(CASE o_orderkey % 3 WHEN 0 THEN 30000 / 1001.0 WHEN 1 THEN 25 ELSE 60 END, 6) END AS fps, CASE WHEN video THEN CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE o_orderkey % 1000 END ELSE -1 END AS frames,
+CASE WHEN video THEN CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE (o_orderkey % 300) * 0.5 END END::DOUBLE AS duration, CASE WHEN video THEN (360 - 90 * (o_custkey % 4)) % 360 ELSE -1 END::INT AS rotation, video AND o_orderkey % 2 = 0 AS has_audio,
+CASE WHEN video THEN epoch_us(date_trunc('second', o_orderdate)) ELSE -1 END AS created, video AND o_custkey % 2 = 0 AS naive FROM o
+""")
+def probe_facts(spark, d):
+    """What probe JSON says of a clip for every order; every eleventh has no video."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    n = lambda x: x.cast("string")
+    rate = F.when(k % 3 == 0, "30000/1001").when(k % 3 == 1, "0/0").otherwise("60/1")
+    made = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.when(c % 2 == 0, "").otherwise("Z"))
+    video = F.concat(
+        L('{"codec_type":"video","width":'), n(640 * (1 + c % 4)), L(',"height":1080,"nb_frames":"'), F.when(k % 5 == 0, "N/A").otherwise(n(k % 1000)), L('","avg_frame_rate":"'), rate, L('","r_frame_rate":"25/1","side_data_list":[{"rotation":'), n(c % 4 * -90), L("}]}"),
+    )
+    streams = F.concat_ws(",", F.when(k % 2 == 0, '{"codec_type":"audio"}'), F.when(k % 11 != 0, video))
+    js = F.concat(L('{"streams":['), streams, L('],"format":{"format_name":"mov,mp4","duration":"'), F.when(k % 7 == 0, "N/A").otherwise(n((k % 300) * 0.5)), L('","tags":{"creation_time":"'), made, L('"}}}'))
+    got = probe.parse(table(spark, d, "orders").select("o_orderkey", js.alias("json")))
+    known = lambda c, none: F.coalesce(c, L(none))
+    numbers = [known(F.col(f"info.{x}"), -1).alias(x) for x in ("width", "frames", "rotation")] + [known(F.unix_micros("info.created"), -1).alias("created")]
+    return rounded(got.select("o_orderkey", *numbers, "info.fps", "info.duration", *[known(F.col(f"info.{x}"), False).alias(x) for x in ("has_audio", "naive")]), "fps")
+
+
+@query("""
+WITH p AS (SELECT '/in/' || p_partkey || CASE p_size % 4 WHEN 0 THEN '.MP4' WHEN 1 THEN '.txt' WHEN 2 THEN '.mov' ELSE '' END AS path, p_size % 3 = 0 AS dir, p_size % 5 = 0 AS empty_, p_size % 4 IN (1, 3) AS odd FROM part)
+SELECT path, concat_ws('; ', CASE WHEN dir THEN 'is a directory' END, CASE WHEN empty_ THEN 'is empty' END, CASE WHEN odd THEN 'has an unknown extension' END) AS problems FROM p WHERE dir OR empty_ OR odd
+""")
+def listing_problems(spark, d):
+    size = F.col("p_size")
+    path = F.concat(L("/in/"), F.col("p_partkey").cast("string"), F.when(size % 4 == 0, ".MP4").when(size % 4 == 1, ".txt").when(size % 4 == 2, ".mov").otherwise(""))
+    listing = table(spark, d, "part").select(path.alias("path"), F.when(size % 5 == 0, 0).otherwise(size).alias("length"), (size % 3 == 0).alias("is_dir"))
+    return probe.problems(listing).select("path", F.array_join("problems", "; ").alias("problems"))
+
+
+@query("SELECT o_orderkey AS frame FROM orders WHERE o_custkey % 3 <> 0")
+def progress_frames(spark, d):
+    """Frame numbers in a tool's progress output, which has other lines too."""
+    lines = table(spark, d, "orders").select(F.concat(F.when(F.col("o_custkey") % 3 == 0, "fps=").otherwise("frame= "), F.col("o_orderkey").cast("string")).alias("value"))
+    return probe.progress(lines)

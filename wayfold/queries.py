@@ -462,10 +462,36 @@ def orientation_fold(spark, d):
     return trajectory.orientations(_turns(spark, d)).select("series_id", "frame", *[(F.round(c, 6) + 0.0).alias(c) for c in "wxyz"])
 
 
-@query()
+def _mean_sql(name: str, source: str, r: int) -> str:
+    """One step of the mean on the rotation group: ``source`` (series_id, i, n, mw..mz) moved towards its neighbours' mean. Neighbours are q (series_id, i, w, x, y, z), weights k (o, w)."""
+    turn = "q.w * mw + q.x * mx + q.y * my + q.z * mz AS tw, -q.w * mx + q.x * mw - q.y * mz + q.z * my AS tx, -q.w * my + q.x * mz + q.y * mw - q.z * mx AS ty, -q.w * mz - q.x * my + q.y * mx + q.z * mw AS tz"
+    length = "sqrt(tx * tx + ty * ty + tz * tz)"
+    factor = f"CASE WHEN {length} < 1e-12 THEN 0 ELSE 2 * atan2({length}, abs(tw)) / {length} * CASE WHEN tw < 0 THEN -1 ELSE 1 END END"
+    fit = lambda c, mask, at: f"sum(v{c}) FILTER (WHERE {mask}) / any_value(wide) AS {{0}}m{c}, sum(v{c} * ({at} - (wide - 1) / 2.0)) FILTER (WHERE {mask}) / greatest(any_value(wide) * (any_value(wide) * any_value(wide) - 1) / 12.0, 1e-300) AS {{0}}s{c}"
+    sums = ", ".join([f"sum(wt * v{c}) AS v{c}" for c in "xyz"] + [fit(c, "j < wide", "j").format("l") for c in "xyz"] + [fit(c, "j >= span - wide", "(j - span + wide)").format("r") for c in "xyz"])
+    ends = "coalesce(sum(w) FILTER (WHERE i + o < 0), 0) AS l0, coalesce(sum(w * (i + o - (wide - 1) / 2.0)) FILTER (WHERE i + o < 0), 0) AS l1, coalesce(sum(w) FILTER (WHERE i + o >= n), 0) AS r0, coalesce(sum(w * (wide + i + o - n - (wide - 1) / 2.0)) FILTER (WHERE i + o >= n), 0) AS r1"
+    moved = ", ".join(f"v{c} + lm{c} * l0 + ls{c} * l1 + rm{c} * r0 + rs{c} * r1 AS v{c}" for c in "xyz")
+    product = ["ew * mw - ex * mx - ey * my - ez * mz", "ew * mx + ex * mw + ey * mz - ez * my", "ew * my - ex * mz + ey * mw + ez * mx", "ew * mz + ex * my - ey * mx + ez * mw"]
+    return f"""{name}_p AS (SELECT m.*, k.w AS wt, q.i - greatest(m.i - {r}, 0) AS j, least(m.n - 1, m.i + {r}) - greatest(m.i - {r}, 0) + 1 AS span, least({r}, least(m.n - 1, m.i + {r}) - greatest(m.i - {r}, 0) + 1) AS wide, {turn} FROM {source} m JOIN k ON true JOIN q ON q.series_id = m.series_id AND q.i = m.i + k.o),
+{name}_v AS (SELECT series_id, i, n, j, span, wide, wt, tx * f AS vx, ty * f AS vy, tz * f AS vz FROM (SELECT *, {factor} AS f FROM {name}_p)), {name}_a AS (SELECT series_id, i, n, any_value(wide) AS wide, {sums} FROM {name}_v GROUP BY 1, 2, 3),
+{name}_e AS (SELECT a.*, e.* EXCLUDE (series_id, i) FROM {name}_a a JOIN (SELECT series_id, i, {ends} FROM {name}_a JOIN k ON true GROUP BY 1, 2) e ON e.series_id = a.series_id AND e.i = a.i), {name}_s AS (SELECT series_id, i, n, {moved} FROM {name}_e),
+{name}_x AS (SELECT s.series_id, s.i, s.n, mw, mx, my, mz, cos(g / 2) AS ew, vx * h AS ex, vy * h AS ey, vz * h AS ez FROM (SELECT *, CASE WHEN g < 1e-12 THEN 0.5 ELSE sin(g / 2) / g END AS h FROM (SELECT *, sqrt(vx * vx + vy * vy + vz * vz) AS g FROM {name}_s)) s JOIN {source} m ON m.series_id = s.series_id AND m.i = s.i),
+{name} AS (SELECT series_id, i, n, {", ".join(f"({e}) / l AS m{c}" for e, c in zip(product, "wxyz", strict=True))} FROM (SELECT *, sqrt(({product[0]}) ** 2 + ({product[1]}) ** 2 + ({product[2]}) ** 2 + ({product[3]}) ** 2) AS l FROM {name}_x))"""
+
+
+_FOLD = f"""{M}, s AS (SELECT series_id, frame, ok, cos(rotation * 2) AS w, CASE WHEN frame % 2 = 0 THEN sin(rotation * 2) ELSE 0 END AS x, CASE WHEN frame % 2 = 0 THEN 0 ELSE sin(rotation * 2) END AS y FROM m),
+f AS (SELECT DISTINCT series_id, 0::BIGINT AS frame, 1::DOUBLE AS w, 0::DOUBLE AS x, 0::DOUBLE AS y, 0::DOUBLE AS z FROM s
+UNION ALL SELECT f.series_id, f.frame + 1, CASE WHEN ok THEN s.w * f.w - s.x * f.x - s.y * f.y ELSE f.w END, CASE WHEN ok THEN s.w * f.x + s.x * f.w + s.y * f.z ELSE f.x END,
+CASE WHEN ok THEN s.w * f.y - s.x * f.z + s.y * f.w ELSE f.y END, CASE WHEN ok THEN s.w * f.z + s.x * f.y - s.y * f.x ELSE f.z END FROM f JOIN s ON s.series_id = f.series_id AND s.frame = f.frame)"""
+
+
+@query(f"""
+WITH RECURSIVE {_FOLD}, q AS (SELECT series_id, frame AS i, w, x, y, z FROM f), {_kernel_sql(4.0)}, m0 AS (SELECT series_id, i, count(*) OVER (PARTITION BY series_id) AS n, w AS mw, x AS mx, y AS my, z AS mz FROM q), {_mean_sql("m1", "m0", len(series.kernel(4.0)) // 2)}, {_mean_sql("m2", "m1", len(series.kernel(4.0)) // 2)}
+SELECT q.series_id, q.i AS frame, round(mw * w + mx * x + my * y + mz * z, 6) + 0.0 AS w, round(-mw * x + mx * w - my * z + mz * y, 6) + 0.0 AS x, round(-mw * y + mx * z + my * w - mz * x, 6) + 0.0 AS y, round(-mw * z - mx * y + my * x + mz * w, 6) + 0.0 AS z FROM q JOIN m2 ON m2.series_id = q.series_id AND m2.i = q.i
+""")
 def orientation_path(spark, d):
-    """What turns each orientation into the smoothed one; tests hold it against closed forms and a plain evaluation of the definition."""
-    return trajectory.rotation_corrections(trajectory.orientations(_turns(spark, d)), 4.0)
+    """What turns each orientation into the smoothed one; tests hold it against closed forms as well."""
+    return rounded(trajectory.rotation_corrections(trajectory.orientations(_turns(spark, d)), 4.0), *"wxyz")
 
 
 def _perspective_sql(sigma: float, part: float) -> str:
