@@ -289,7 +289,7 @@ WITH {M}, e AS (SELECT series_id, frame AS t, frame AS tie0, sum(CASE WHEN ok TH
 {I}, {_kernel_sql(5.0)}, {_extrapolated(5.0)} SELECT i.series_id, i.tie0 AS frame, round(v - i.value, 5) AS dx FROM s JOIN i ON i.tie = s.tie
 """)
 def correction_path(spark, d):
-    return rounded(trajectory.corrections(trajectory.trajectory(_motion(spark, d)), 5.0), "dx", digits=5).select("series_id", "frame", "dx")
+    return rounded(trajectory.corrections(trajectory.trajectory(_motion(spark, d)), 5.0, channels=("x",)), "dx", digits=5).select("series_id", "frame", "dx")
 
 
 _REPORTED = ", ".join(f"max(i.value) FILTER (WHERE i.series_id % 4 = {c}) AS p{c}, max(v) FILTER (WHERE i.series_id % 4 = {c}) AS s{c}" for c in range(4))
