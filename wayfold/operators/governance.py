@@ -50,16 +50,38 @@ def values(output: DataFrame) -> DataFrame:
     return telling(output).filter(~own_key(F.col("key"), F.col("stream"))).select("file", "value").distinct()
 
 
+#: Characters of an identifying value that are looked up. A longer one is looked up by its first ones, and then compared.
+ANCHOR = 64
+
+
+def contained(source: DataFrame, output: DataFrame) -> DataFrame:
+    """(file, value, found): each different identifying source value with each different output value of its file that contains it.
+
+    The output's values are cut into their substrings of the lengths that the file's source values have, ``ANCHOR`` characters at most, and these are an equi-join key with the file: the work grows
+    with the characters of the output, not with pairs of values. Texts go by their SHA-256 until they are compared.
+    """
+    needles = telling(source).select("file", "value").distinct().withColumn("_k", F.substring("value", 1, ANCHOR))
+    lengths = needles.groupBy("file").agg(F.collect_set(F.char_length("_k")).alias("_l"))
+    texts = values(output).select("file", F.col("value").alias("found"), F.unhex(F.sha2("value", 256)).alias("_t"))
+    # pieces of two anchors' length, one anchor apart: a substring belongs to the piece in whose first half it begins
+    at = F.explode(F.sequence(F.lit(0), F.floor((F.char_length("found") - 1) / ANCHOR).cast("int")))
+    pieces = texts.join(lengths, "file").select("file", "_t", "_l", "found", at.alias("_i")).select("file", "_t", "_l", F.col("found").substr(F.col("_i") * ANCHOR + 1, F.lit(2 * ANCHOR)).alias("_p"))
+    size = F.char_length("_p")
+    of_length = lambda n: F.transform(F.sequence(F.lit(1), F.least(F.lit(ANCHOR), size - n + 1)), lambda i: F.col("_p").substr(i, n))
+    spread = pieces.select("file", "_t", F.explode(F.flatten(F.transform(F.filter("_l", lambda n: n <= size), of_length))).alias("_k"))
+    hits = spread.join(needles.select("file", "_k"), ["file", "_k"], "left_semi").distinct()
+    both = hits.join(needles, ["file", "_k"]).join(texts, ["file", "_t"])
+    return both.filter(F.col("found").contains(F.col("value"))).select("file", "value", "found")
+
+
 def matches(source: DataFrame, output: DataFrame) -> DataFrame:
-    """(file, stream, key, found): each identifying source value with every output value of its file that contains it. File is an equi-join key, so containment is tested within files."""
-    kept = values(output).select(F.col("file").alias("_f"), F.col("value").alias("found"))
-    both = telling(source).join(kept, (F.col("file") == F.col("_f")) & F.col("found").contains(F.col("value")))
-    return both.select("file", "stream", "key", "found")
+    """(file, stream, key, found): each identifying source value with every output value of its file that contains it."""
+    return telling(source).join(contained(source, output), ["file", "value"]).select("file", "stream", "key", "found")
 
 
 def survived(source: DataFrame, output: DataFrame) -> DataFrame:
     """One row for each identifying source value that some output value of the same file contains."""
-    return matches(source, output).select("file", "stream", "key").distinct()
+    return telling(source).join(contained(source, output).select("file", "value"), ["file", "value"], "left_semi").select("file", "stream", "key").distinct()
 
 
 def unexpected(output: DataFrame, named: DataFrame) -> DataFrame:
@@ -72,8 +94,7 @@ def report(source: DataFrame, output: DataFrame) -> DataFrame:
     """(file, problem, where): an error for each survived value and for each unexpected key. Says which key, not what it held."""
     from ..functions import text
 
-    met = matches(source, output)
-    kept, more = met.select("file", "stream", "key").distinct(), unexpected(output, met.select("file", F.col("found").alias("value")).distinct())
+    kept, more = survived(source, output), unexpected(output, contained(source, output).select("file", F.col("found").alias("value")).distinct())
     where = text.describe_key(F.col("stream"), F.col("key"))
     return kept.select("file", F.lit("survived").alias("problem"), where.alias("where")).unionByName(more.select("file", F.lit("unexpected").alias("problem"), where.alias("where")))
 
