@@ -168,3 +168,21 @@ def test_near_descriptors_are_found_by_substrings(spark):
     assert met.count() < 0.1 * sum(1 for x in a for y in b if x[0] == y[0])
     close = {(blk, d, e) for blk, _, d in a for blk2, _, e in b if blk == blk2 and bits(d, e) <= batch.RADIUS}
     assert close <= {(x["block"], x["d"], x["other"]) for x in met.collect()}
+
+
+def test_nearest_pairs_of_short_descriptors_are_looked_up(spark, monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    own, other = r.integers(0, 1 << 32, 300).astype(np.uint64), r.integers(0, 1 << 32, 40_000).astype(np.uint64)
+    other[:50] = own[:50] ^ np.uint64(5)
+    other[20_000:20_010] = own[:10] ^ np.uint64(9)
+    own[299] = own[0]
+    best, good, rest = batch._looked_up(own, other, 0.75)
+    want = batch._all_pairs(own, other, 777)
+    sure = np.setdiff1d(np.arange(len(own)), rest)
+    passed = want[:, 0] // batch.PLACES <= 0.75 * (want[:, 1] // batch.PLACES)
+    assert (good[sure] == passed[sure]).all() and (best[good, 0] == want[good, 0]).all() and good.sum() > 30
+    assert len(rest) < 0.05 * len(own)  # 32 of the 64 bits vary: substrings of the others would be the same for all
+    d = np.bitwise_count(own[:, None] ^ other[None]).astype(np.int64) * batch.PLACES + np.arange(len(other))
+    assert (np.sort(d, 1)[:, :2] == want).all()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -151,26 +153,12 @@ def near_candidates(a: DataFrame, b: DataFrame) -> DataFrame:
 def nearest_pairs(a: DataFrame, b: DataFrame, ratio: float = 0.75, chunk: int = CHUNK) -> DataFrame:
     """Descriptor matches (block, a, b, distance) with Hamming distance to the nearest (the least id of equals) no more than ``ratio`` of that to the second. Frames are (block, id, d BIGINT bits).
 
-    A ratio test needs both distances exactly. Descriptors are looked up by substrings first: whoever has two neighbours within ``RADIUS`` bits has them exactly, and one whose single neighbour there is close
-    enough for any second passes as well. Only the rest meets all of ``b`` of its block.
-    """
-    found = near_candidates(a, b).filter(F.col("distance") <= RADIUS)
-    w = Window.partitionBy("block", "d").orderBy("distance", "id")
-    two = found.withColumn("_k", F.row_number().over(w)).withColumn("_next", F.when(F.col("n") > 1, F.col("distance")).otherwise(F.lead("distance").over(w))).filter("_k = 1")
-    several = b.groupBy("block").agg((F.count("*") > 1).alias("_several"))
-    sure = F.col("_next").isNotNull() | (F.col("_several") & (F.col("distance") <= ratio * (RADIUS + 1)))
-    settled = two.join(several, "block").filter(sure)
-    passed = settled.filter(F.col("_next").isNull() | (F.col("distance") <= ratio * F.col("_next")))
-    quick = a.select("block", F.col("id").alias("a"), "d").join(passed.select("block", "d", F.col("id").alias("b"), F.col("distance").cast("int").alias("distance")), ["block", "d"]).select("block", "a", "b", "distance")
-    rest = a.select("block", "id", "d").join(settled.select("block", "d"), ["block", "d"], "left_anti").select("block", "id", "d")
-    return quick.unionByName(_exhaustive_pairs(rest, b, ratio, chunk))
-
-
-def _exhaustive_pairs(a: DataFrame, b: DataFrame, ratio: float, chunk: int) -> DataFrame:
-    """``nearest_pairs`` by all pairs of a block. A block's ``a`` is dealt to tasks by ``chunk``, and distances are counted there a
-    chunk against a chunk: no pair is a row, and what a task holds is a chunk of ``a`` and the block's ``b``, which is that of one picture.
+    A ratio test needs both distances exactly, or bounds that decide it. A block's ``a`` is dealt to tasks, ``SPREAD`` chunks to each; a task looks its descriptors up by substrings of the bits that vary,
+    within more and more bits (``_looked_up``), and only those that this doesn't decide meet all of the block's ``b``, a chunk against a chunk. No pair is a row, and what a task holds is its part of ``a``
+    and the block's ``b``, which is that of one picture.
     """
-    parts = a.groupBy("block").agg(F.ceil(F.count("*") / chunk).cast("int").alias("_n"))
+    a, b = (x.filter("d IS NOT NULL") for x in (a, b))
+    parts = a.groupBy("block").agg(F.ceil(F.count("*") / (SPREAD * chunk)).cast("int").alias("_n"))
     left = a.select("block", "id", "d").join(parts, "block").withColumn("_k", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int")).drop("_n")
     right = b.select("block", "id", "d").join(parts, "block").withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
 
@@ -179,17 +167,94 @@ def _exhaustive_pairs(a: DataFrame, b: DataFrame, ratio: float, chunk: int) -> D
         if len(x) == 0 or len(y) < 2:
             return pd.DataFrame({"block": x["block"][:0], "a": x["id"][:0], "b": x["id"][:0], "distance": np.zeros(0, np.int32)})
         own, other = x["d"].to_numpy(np.int64).view(np.uint64), y["d"].to_numpy(np.int64).view(np.uint64)
-        best = np.full((len(own), 2), 255, np.int64)
-        at = np.zeros(len(own), np.int64)
-        for k in range(0, len(other), chunk):
-            far = np.bitwise_count(own[:, None] ^ other[None, k : k + chunk]).astype(np.int64)
-            near = far.argmin(1)
-            low = far[np.arange(len(own)), near]
-            far[np.arange(len(own)), near] = 255
-            at = np.where(low < best[:, 0], near + k, at)
-            best = np.sort(np.concatenate([best, low[:, None], far.min(1)[:, None]], 1), 1)[:, :2]
-        good = best[:, 0] <= ratio * best[:, 1]
-        return pd.DataFrame({"block": x["block"][good], "a": x["id"][good], "b": y["id"].to_numpy()[at[good]], "distance": best[good, 0].astype(np.int32)})
+        best, good, rest = _looked_up(own, other, ratio)
+        for k in range(0, len(rest), chunk):
+            rows = rest[k : k + chunk]
+            best[rows] = _all_pairs(own[rows], other, chunk)
+        distance, at = best // PLACES, best % PLACES
+        good[rest] = distance[rest, 0] <= ratio * distance[rest, 1]
+        return pd.DataFrame({"block": x["block"][good], "a": x["id"][good], "b": y["id"].to_numpy()[at[good, 0]], "distance": distance[good, 0].astype(np.int32)})
 
     kind = lambda df, c: df.schema[c].dataType.simpleString()
     return left.groupBy("block", "_k").cogroup(right.groupBy("block", "_k")).applyInPandas(match, f"block {kind(a, 'block')}, a {kind(a, 'id')}, b {kind(b, 'id')}, distance int")
+
+
+#: Chunks of ``a`` in a task. A neighbour is a number: its distance times PLACES, plus its place in order of ids.
+SPREAD, PLACES = 8, 1 << 40
+#: Bits of a substring, bits of one that may differ, and neighbours that are looked at at once.
+SUBSTRING, MOST_FLIPS, AT_ONCE = 16, 3, 1 << 20
+
+
+def _nearer(best: np.ndarray, more: np.ndarray) -> np.ndarray:
+    return np.sort(np.concatenate([best, more], 1), 1)[:, :2]
+
+
+def _all_pairs(own: np.ndarray, other: np.ndarray, chunk: int) -> np.ndarray:
+    """The two nearest of ``other`` for each of ``own``."""
+    best = np.full((len(own), 2), 255 * PLACES, np.int64)
+    rows = np.arange(len(own))
+    for k in range(0, len(other), chunk):
+        far = np.bitwise_count(own[:, None] ^ other[None, k : k + chunk])
+        two = []
+        for _ in range(2):
+            near = far.argmin(1)
+            two.append(far[rows, near].astype(np.int64) * PLACES + near + k)
+            far[rows, near] = 255
+        best = _nearer(best, np.stack(two, 1))
+    return best
+
+
+def _looked_up(own: np.ndarray, other: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The two nearest found for each of ``own``, which of them pass the ratio test, and the places of those that are undecided.
+
+    The bits that vary are cut into substrings, and a neighbour is met where one of them differs in no more than f bits: with n substrings that finds all within n (f + 1) - 1. What is found bounds the
+    second distance from above and that radius bounds it from below, so most are decided before both neighbours are within it. f grows while that costs less than all pairs.
+    """
+    low = other[0]
+    varying = np.bitwise_or.reduce(other ^ low) | np.bitwise_or.reduce(own ^ low)
+    bits = [k for k in range(64) if int(varying) >> k & 1]
+    best, good, open_ = np.full((len(own), 2), 255 * PLACES, np.int64), np.zeros(len(own), bool), np.arange(len(own))
+    if not bits:
+        return best, good, open_
+    count = -(-len(bits) // SUBSTRING)
+    groups = [bits[k::count] for k in range(count)]
+    cut = lambda d, g: sum((d >> np.uint64(k) & np.uint64(1)) << np.uint64(j) for j, k in enumerate(g)).astype(np.int64)
+    index = []
+    for g in groups:
+        sub = cut(other, g)
+        index.append((sub, np.argsort(sub, kind="stable"), np.append(0, np.cumsum(np.bincount(sub, minlength=1 << len(g))))))
+    mine = [cut(own, g) for g in groups]
+    for f in range(MOST_FLIPS + 1):
+        masks = [np.array([sum(1 << k for k in c) for c in combinations(range(len(g)), f)], np.int64) for g in groups]
+        expected = sum(len(m) * (1 + len(other) / (1 << len(g))) for m, g in zip(masks, groups, strict=True))
+        if 8 * expected > len(other) or not len(open_):
+            break
+        size = max(1, int(AT_ONCE / expected))
+        for k in range(0, len(open_), size):
+            rows = open_[k : k + size]
+            for p, (_, order, starts) in enumerate(index):
+                keys = (mine[p][rows][:, None] ^ masks[p][None, :]).ravel()
+                sizes = starts[keys + 1] - starts[keys]
+                row = np.repeat(np.repeat(np.arange(len(rows)), len(masks[p])), sizes)
+                if not len(row):
+                    continue
+                met = order[np.repeat(starts[keys] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(row))]
+                # a neighbour counts once: at the first of its substrings that differ least
+                apart = [np.bitwise_count(mine[q][rows][row] ^ index[q][0][met]) for q in range(count)]
+                once = np.logical_and.reduce([apart[q] > f if q < p else apart[q] >= f for q in range(count)])
+                row, met = row[once], met[once]
+                if not len(row):
+                    continue
+                code = np.bitwise_count(own[rows][row] ^ other[met]).astype(np.int64) * PLACES + met
+                begin = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+                first = np.minimum.reduceat(code, begin)
+                code = np.where(code == np.repeat(first, np.diff(np.append(begin, len(row)))), 255 * PLACES, code)
+                at = rows[row[begin]]
+                best[at] = _nearer(best[at], np.stack([first, np.minimum.reduceat(code, begin)], 1))
+        radius = count * (f + 1) - 1
+        one, two = best[open_, 0] // PLACES, best[open_, 1] // PLACES
+        passes = (one <= radius) & (one <= ratio * np.minimum(two, radius + 1))
+        fails = (np.minimum(one, radius + 1) > ratio * two) & (two < 255)
+        good[open_[passes]] = True
+        open_ = open_[~passes & ~fails]
+    return best, good, open_
