@@ -95,3 +95,8 @@ def test_null_scans_of_lags_with_equal_scores(spark, tmp_path):
         rows += [(user, start + k * 50 * 3600 * 0.9, "view", round(rng.expovariate(1 / 50), 2)) for k in range(14)]
         rows += [(user, start + 7 * 45 * 3600 * 0.98 + k * 3600 * rng.uniform(1, 2), "click", round(rng.expovariate(1 / 50), 2)) for k in (0, 1)]
     on(recorded([(u, int(t), e, v) for u, t, e, v in rows]), tmp_path, "null_scans", spark)
+
+
+def test_unexpected_keys_test_no_pair_of_values_by_their_file_alone(spark):
+    plan = registry.QUERIES["unexpected_keys"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert all("," in n.split("[")[1].split("]")[0] for n in plan.splitlines() if "Contains(" in n and "Join" in n)
