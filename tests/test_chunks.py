@@ -186,3 +186,21 @@ def test_nearest_pairs_of_short_descriptors_are_looked_up(spark, monkeypatch):
     assert len(rest) < 0.05 * len(own)  # 32 of the 64 bits vary: substrings of the others would be the same for all
     d = np.bitwise_count(own[:, None] ^ other[None]).astype(np.int64) * batch.PLACES + np.arange(len(other))
     assert (np.sort(d, 1)[:, :2] == want).all()
+
+
+def test_many_short_series_are_multiplied_and_averaged_at_once(spark):
+    import numpy as np
+
+    m = np.random.default_rng(1).normal(size=(9, 2, 2))
+    starts = np.array([0, 1, 4])
+    got = chunks.prefix_products(m, lambda new, old: new @ old, starts)
+    for a, z in ((0, 1), (1, 4), (4, 9)):
+        upto = np.eye(2)
+        for k in range(a, z):
+            upto = m[k] @ upto
+            assert np.allclose(got[k], upto)
+    rows = [(s, f, 1.0, 0.1 * f, 0.02 * s, 0.0) for s in range(5) for f in range(s + 1)]
+    path = trajectory.orientations(spark.createDataFrame(rows, "series_id int, frame long, w double, x double, y double, z double"))
+    out = trajectory.rotation_corrections(path, 2.0)
+    assert {(r["series_id"], r["frame"]) for r in out.collect()} == {(s, f) for s in range(5) for f in range(s + 2)}
+    assert "FlatMap" not in out._jdf.queryExecution().executedPlan().toString()  # no call of Python for each series

@@ -12,11 +12,11 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of a chunk of positions, and rows from which a series is worth cutting.
 CHUNK = 65_536
@@ -115,6 +115,27 @@ def dealt(rows: DataFrame, radius: int, size: int = CHUNK) -> DataFrame:
     return spread.withColumn("_own", F.col("_c") == of(i))
 
 
+def by_groups(done: Callable[[pa.Table, np.ndarray], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For ``mapInArrow`` over rows sorted by group, whose first column is the group's number: ``done(table, starts)`` gets many whole groups at once, and where each begins."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+            g = held.column(0).to_numpy()
+            starts = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+            if last := int(starts[-1]):  # the last group may go on in the next batch
+                yield done(held.slice(0, last), starts[:-1])
+                held = held.slice(last)
+        if held is not None:
+            yield done(held, np.zeros(1, np.int64))
+
+    return work
+
+
 def windowed(df: DataFrame, radius: int, values: tuple[str, ...], run: Callable[..., np.ndarray], keys: tuple[str, ...] = ("series_id",), order: tuple[str, ...] = ("t", "tie"), at: str = "t", width: int | None = None, size: int = CHUNK) -> DataFrame:
     """``df`` with ``values`` replaced by ``run(values, i, n, starts)``: arrays of (rows x values), positions, lengths of series, and where groups begin. A group is a chunk of one series with
     ``radius`` rows about it, in order; what is returned for borrowed rows isn't used. A row's other columns pass by as they are."""
@@ -136,23 +157,8 @@ def windowed(df: DataFrame, radius: int, values: tuple[str, ...], run: Callable[
             out = out.chunk(0) if out.num_chunks else pa.array([], out.type)
         return pa.RecordBatch.from_arrays([out, *[pa.array(got[keep, k], from_pandas=table.column(first + k).null_count > 0) for k in range(len(values))]], ["_row", *[f"_v_{v}" for v in values]])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
-            g = held.column(0).to_numpy()
-            starts = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-            if last := int(starts[-1]):  # the last group may go on in the next batch
-                yield done(held.slice(0, last), starts[:-1])
-                held = held.slice(last)
-        if held is not None:
-            yield done(held, np.zeros(1, np.int64))
-
     schema = rows.select("_row", *[f"_v_{v}" for v in values]).schema
-    out = rows.mapInArrow(work, schema)
+    out = rows.mapInArrow(by_groups(done), schema)
     return out.select(*[F.col(f"_v_{c}").alias(c) if c in values else F.col(f"_row.`{c}`").alias(c) for c in names])
 
 
@@ -215,11 +221,15 @@ def highest(radius: int) -> Callable[..., np.ndarray]:
     return run
 
 
-def prefix_products(m: np.ndarray, product: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-    """m[k] after ... after m[0] for every k, by doubling: as many products of whole arrays as the length has binary digits."""
-    out, d = m, 1
-    while d < len(out):
-        out = np.concatenate([out[:d], product(out[d:], out[:-d])])
+def prefix_products(m: np.ndarray, product: Callable[[np.ndarray, np.ndarray], np.ndarray], starts: np.ndarray | None = None) -> np.ndarray:
+    """m[k] after ... after the first of its group, for every k, by doubling: as many products of whole arrays as the longest group's length has binary digits. Groups begin at ``starts`` (one, at 0)."""
+    starts = np.zeros(1, np.int64) if starts is None else starts
+    sizes = np.diff(np.append(starts, len(m)))
+    place = np.arange(len(m)) - np.repeat(starts, sizes)
+    out, d = m.copy(), 1
+    while d < sizes.max(initial=0):
+        later = np.flatnonzero(place >= d)
+        out[later] = product(out[later], out[later - d])
         d *= 2
     return out
 
@@ -228,38 +238,59 @@ def folded(rows: DataFrame, product: Callable[[np.ndarray, np.ndarray], np.ndarr
     """(series_id, frame, v) of every state: the identity at a series' first frame, and after each transition (series_id, frame, v array<double>; null turns nothing) what ``product(new, old)`` makes
     of it, at the frame of the next transition; the last state is at the last frame + 1.
 
-    The product needn't commute. Cells of ``width`` frames are multiplied out apart, their products are put in order (a row a cell), and each cell's states begin from what came before it.
+    The product needn't commute. Cells of ``width`` frames are multiplied out apart, their products are put in order (a row a cell), and each cell's states begin from what came before it. A task
+    multiplies many cells out at once.
     """
     spec = rows.select("series_id", "frame", "v").schema
     cells = rows.select("series_id", "frame", "v", F.floor(F.col("frame") / width).cast("long").alias("_cell"))
     size = identity.size
 
-    def values(frame: pd.DataFrame) -> np.ndarray:
-        return np.array([identity.ravel() if x is None else x for x in frame["v"]], float).reshape(len(frame), *identity.shape)
-
-    def whole(frame: pd.DataFrame) -> pd.DataFrame:
-        last = prefix_products(values(frame.sort_values("frame")), product)[-1]
-        return frame.iloc[:1][["series_id", "_cell"]].assign(v=[last.reshape(size).tolist()], last=frame["frame"].max())
-
-    def begun(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("_cell")
-        upto = prefix_products(values(frame), product)
-        before = np.concatenate([identity[None], upto[:-1]])
-        end = np.where(np.arange(len(frame)) == len(frame) - 1, frame["last"], -1)
-        return frame[["series_id", "_cell"]].assign(v=[x.reshape(size).tolist() for x in before], last=end)
-
-    def states(frame: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("frame")
-        before = np.array(carry["v"].iloc[0], float).reshape(identity.shape)
-        upto = prefix_products(np.concatenate([before[None], values(frame)]), product)
-        at, end = frame["frame"].to_numpy(), int(carry["last"].iloc[0])
-        if end >= 0:
-            at = np.append(at, end + 1)
-        else:
-            upto = upto[:-1]
-        return pd.DataFrame({"series_id": frame["series_id"].iloc[0], "frame": at, "v": [x.reshape(size).tolist() for x in upto]})
+    def values(column: pa.ChunkedArray) -> np.ndarray:
+        out = np.tile(identity.ravel().astype(float), (len(column), 1))
+        out[pc.is_valid(column).to_numpy()] = pc.list_flatten(column).to_numpy().reshape(-1, size)
+        return out.reshape(-1, *identity.shape)
+
+    def lists(m: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(np.arange(0, m.size + 1, size, dtype=np.int32), m.ravel())
+
+    def flat(column: pa.ChunkedArray) -> pa.Array:
+        return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+
+    def whole(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        ends = np.append(starts[1:], table.num_rows) - 1
+        last = prefix_products(values(table["v"]), product, starts)[ends]
+        return pa.RecordBatch.from_arrays([flat(table[c].take(ends)) for c in ("series_id", "_cell")] + [lists(last), flat(table["frame"].take(ends))], ["series_id", "_cell", "v", "last"])
+
+    def begun(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        upto = prefix_products(values(table["v"]), product, starts)
+        before, end = np.empty_like(upto), np.full(len(upto), -1)
+        before[1:] = upto[:-1]
+        before[starts] = identity
+        at = np.append(starts[1:], table.num_rows) - 1
+        end[at] = table["last"].to_numpy()[at]
+        return pa.RecordBatch.from_arrays([flat(table["series_id"]), flat(table["_cell"]), lists(before), pa.array(end)], ["series_id", "_cell", "_before", "_end"])
+
+    def states(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        sizes = np.diff(np.append(starts, table.num_rows))
+        first = starts + np.arange(len(starts))  # each cell's row of what came before it
+        own = np.ones(table.num_rows + len(starts), bool)
+        own[first] = False
+        m = np.empty((len(own), *identity.shape))
+        m[own], m[first] = values(table["v"]), values(table["_before"].take(starts))
+        upto = prefix_products(m, product, first)
+        row = np.repeat(starts, sizes + 1) + np.minimum(np.arange(len(own)) - np.repeat(first, sizes + 1), np.repeat(sizes, sizes + 1) - 1)
+        frame, final = table["frame"].to_numpy()[row], first + sizes
+        end = table["_end"].to_numpy()[starts]
+        frame[final] = end + 1
+        keep = np.ones(len(own), bool)
+        keep[final] = end >= 0
+        return pa.RecordBatch.from_arrays([flat(table["series_id"].take(row[keep])), pa.array(frame[keep], table["frame"].type), lists(upto[keep])], ["series_id", "frame", "v"])
+
+    def run(df: DataFrame, by: list[str], order: str, done: Callable, schema: str | T.StructType) -> DataFrame:
+        return df.repartition(*by).sortWithinPartitions(*by, order).select(F.xxhash64(*by).alias("_g"), *df.columns).mapInArrow(by_groups(done), schema)
 
     kind = spec["series_id"].dataType.simpleString()
-    totals = cells.groupBy("series_id", "_cell").applyInPandas(whole, f"series_id {kind}, _cell long, v array<double>, last long")
-    carry = totals.groupBy("series_id").applyInPandas(begun, f"series_id {kind}, _cell long, v array<double>, last long")
-    return cells.groupBy("series_id", "_cell").cogroup(carry.groupBy("series_id", "_cell")).applyInPandas(states, spec)
+    by, at = ["series_id", "_cell"], spec["frame"].dataType.simpleString()
+    totals = run(cells, by, "frame", whole, f"series_id {kind}, _cell long, v array<double>, last {at}")
+    carry = run(totals, ["series_id"], "_cell", begun, f"series_id {kind}, _cell long, _before array<double>, _end long")
+    return run(joined(cells, carry, by), by, "frame", states, spec)

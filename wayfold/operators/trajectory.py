@@ -185,46 +185,36 @@ def orientations(motion: DataFrame, width: int = chunks.FRAMES) -> DataFrame:
     return out.select("series_id", "frame", *[F.col("v")[k].alias(c) for k, c in enumerate(names)])
 
 
-def _mean_orientations(q: np.ndarray, i: np.ndarray, n: int, own: np.ndarray, k: np.ndarray, iterations: int, block: int = 4096) -> np.ndarray:
-    """For each ``own`` row of a chunk (positions ``i`` of ``n``) the weighted mean of its neighbours on the rotation group. Where the window hangs off an end of the series, the neighbours' rotation
-    vectors go on along the line fitted to those at that end."""
+def _mean_orientations(q: np.ndarray, i: np.ndarray, n: np.ndarray, k: np.ndarray, iterations: int, block: int = 4096) -> np.ndarray:
+    """For each row of chunks (positions ``i`` of ``n``) the weighted mean of its neighbours on the rotation group. Where the window hangs off an end of the series, the neighbours' rotation
+    vectors go on along the line fitted to those at that end: a line is linear in them, so it is other weights, the same for all rows that hang off by as much."""
     r, mean = len(k) // 2, q.copy()
-    inner = np.flatnonzero(own & (i >= r) & (i < n - r))
-    for a in range(0, len(inner), block):
-        rows = inner[a : a + block]
-        near = q[rows[:, None] + np.arange(-r, r + 1)]
-        m = q[rows]
-        for _ in range(iterations):
-            step = (maths.q_log(maths.q_mul(near, maths.q_conj(m)[:, None])) * k[None, :, None]).sum(1)
-            m = maths.q_mul(maths.q_exp(step), m)
-            m = m / np.linalg.norm(m, axis=1, keepdims=True)
-        mean[rows] = m
-    for row in np.flatnonzero(own & ((i < r) | (i >= n - r))):
-        at = int(i[row])
-        low, high = max(0, at - r), min(n - 1, at + r)
-        near, m = q[row - (at - low) : row + (high - at) + 1], q[row]
-        for _ in range(iterations):
-            v = maths.extended(maths.q_log(maths.q_mul(near, maths.q_conj(m)[None])), low - (at - r), at + r - high, r)
-            m = maths.q_mul(maths.q_exp((v * k[:, None]).sum(0)), m)
-            m = m / np.linalg.norm(m)
-        mean[row] = m
+    before, after = np.maximum(0, r - i), np.maximum(0, i + r - n + 1)
+    code = before * (r + 1) + after
+    for c in np.unique(code):
+        b, a = divmod(int(c), r + 1)
+        at = np.arange(b - r, r - a + 1)
+        weights = k @ maths.extended(np.eye(len(at)), b, a, r) if b or a else k
+        same = np.flatnonzero(code == c)
+        for start in range(0, len(same), block):
+            rows = same[start : start + block]
+            near = q[np.clip(rows[:, None] + at, 0, len(q) - 1)]  # only borrowed rows reach beyond their chunk
+            m = q[rows]
+            for _ in range(iterations):
+                step = (maths.q_log(maths.q_mul(near, maths.q_conj(m)[:, None])) * weights[None, :, None]).sum(1)
+                m = maths.q_mul(maths.q_exp(step), m)
+                m = m / np.linalg.norm(m, axis=1, keepdims=True)
+            mean[rows] = m
     return mean
 
 
 def smooth_orientations(path: DataFrame, sigma: float, iterations: int = 2, size: int = chunks.CHUNK, width: int | None = None) -> DataFrame:
     """Gaussian mean on the rotation group: at each frame the neighbours' rotation vectors relative to it are averaged and applied, twice over. Ends go on along a line (a steady turn).
 
-    Chunks of ``size`` frames borrow the kernel's radius from their neighbours, so a series spreads over tasks."""
+    Chunks of ``size`` frames borrow the kernel's radius from their neighbours, so a series spreads over tasks, and a task averages many chunks at once."""
     k = np.array(series.kernel(sigma))
-    names = ["w", "x", "y", "z"]
-    rows = chunks.dealt(chunks.positions(path.select("series_id", "frame", *names), order=("frame",), at="frame", width=width), len(k) // 2, size)
-
-    def smooth(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("_i")
-        mean = _mean_orientations(frame[names].to_numpy(float), frame["_i"].to_numpy(), int(frame["_n"].iloc[0]), frame["_own"].to_numpy(bool), k, iterations)
-        return frame[["series_id", "frame"]].assign(**dict(zip(names, mean.T, strict=True)))[frame["_own"].to_numpy(bool)]
-
-    return rows.groupBy("series_id", "_c").applyInPandas(smooth, path.select("series_id", "frame", *names).schema)
+    run = lambda v, i, n, starts: _mean_orientations(v, i, n, k, iterations)
+    return chunks.windowed(path.select("series_id", "frame", "w", "x", "y", "z"), len(k) // 2, ("w", "x", "y", "z"), run, order=("frame",), at="frame", width=width, size=size)
 
 
 def _chained(new: np.ndarray, old: np.ndarray) -> np.ndarray:
