@@ -100,3 +100,17 @@ def test_null_scans_of_lags_with_equal_scores(spark, tmp_path):
 def test_unexpected_keys_test_no_pair_of_values_by_their_file_alone(spark):
     plan = registry.QUERIES["unexpected_keys"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert all("," in n.split("[")[1].split("]")[0] for n in plan.splitlines() if "Contains(" in n and "Join" in n)
+
+
+def test_interp_grid_sorts_and_shuffles_its_data_only(spark):
+    plan = registry.QUERIES["interp_grid"](spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
+    made = next(i for i, n in enumerate(plan) if "Generate explode" in n)
+    assert not any("Exchange" in n or "Sort [" in n for n in plan[:made])
+
+
+def test_interp_grid_of_ties_gaps_and_single_points(spark, tmp_path):
+    import random
+
+    rng = random.Random(5)
+    rows = [(user, at, "view", round(rng.uniform(0, 100), 2)) for user in range(40) for at in rng.sample([0, 3600, 7200, 7201, 9000, 43200, 46800, 50400, 50401, 90000, 200000, 208800, 252000, 252001], 1 + user % 14)]
+    on(recorded([r for r in rows for _ in range(1 + (r[0] == 7))]), tmp_path, "interp_grid", spark)

@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 CHUNK = 65_536
 #: Frames of a cell, for series by frame.
 FRAMES = 65_536
+#: Rows of a task where rows are dealt by key (see ``tasks_of``), and rows from which another task is worth its start.
+ROWS, LEAST = 250_000, 4096
 
 Step = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
@@ -44,6 +46,13 @@ def width_for(df: DataFrame, keys: tuple[str, ...] = ("series_id",), at: str = "
     return None if found is None else max(1, int(found))
 
 
+def tasks_of(df: DataFrame, rows: int | None = None, most: int = ROWS) -> int:
+    """Tasks for ``rows`` rows (those of ``df``, counted by one job, if not given) of at most about ``most`` each, for ``repartition``. Spark's own choice goes by bytes as they are written, and
+    rows that compress well are many more in memory than there."""
+    rows = df.count() if rows is None else rows
+    return max(-(-rows // most), min(df.sparkSession.sparkContext.defaultParallelism, rows // LEAST), 1)
+
+
 def cell(at: str, width: int | None) -> Column:
     return F.lit(0).cast("long") if width is None else F.coalesce(F.floor(F.col(at) / F.lit(width)), F.lit(-(1 << 62))).cast("long")  # rows without a time come first
 
@@ -97,6 +106,22 @@ def around(df: DataFrame, value: str, forward: list[Column], back: list[Column],
     return joined(rows, carry, by).withColumns({"_a": F.coalesce("_a", "_ca"), "_b": F.coalesce("_b", "_cb")}).drop("_cell", "_nf", "_nb", "_ca", "_cb")
 
 
+def followed(df: DataFrame, value: str, keys: tuple[str, ...] = ("series_id",), order: tuple[str, ...] = ("t", "tie"), at: str = "t", width: int | None = None) -> DataFrame:
+    """``df`` with ``_next``, the ``value`` (never null) of the row after a row in its series, null at the last; ``_lo``, the series' least ``at``; and ``_first``, which says that it is the first row."""
+    by = list(keys) if width is None else [*keys, "_cell"]
+    w, upto = Window.partitionBy(*by).orderBy(*order), (Window.unboundedPreceding, 0)
+    rows = df if width is None else df.withColumn("_cell", cell(at, width))
+    rows = rows.withColumn("_next", F.lead(value).over(w)).withColumn("_lo", F.min(at).over(w.rowsBetween(*upto))).withColumn("_first", F.row_number().over(w) == 1)
+    if width is None:
+        return rows
+    rows = materialised(rows)
+    cells = Window.partitionBy(*keys).orderBy("_cell")
+    ends = rows.groupBy(*by).agg(F.min_by(value, F.struct(*order)).alias("_head"), F.min(at).alias("_low"))
+    carry = ends.select(*by, F.lead("_head").over(cells).alias("_then"), F.min("_low").over(cells.rowsBetween(*upto)).alias("_start"))
+    rows = joined(rows, carry, by).withColumns({"_next": F.coalesce("_next", "_then"), "_first": F.col("_first") & (F.col(at) == F.col("_start")), "_lo": F.col("_start")})
+    return rows.drop("_cell", "_then", "_start")
+
+
 def positions(df: DataFrame, keys: tuple[str, ...] = ("series_id",), order: tuple[str, ...] = ("t", "tie"), at: str = "t", width: int | None = None) -> DataFrame:
     """``df`` with ``_i``, the place of a row in its series from 0, and ``_n``, the series' rows."""
     if width is None:

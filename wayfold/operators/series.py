@@ -86,8 +86,23 @@ def steps(data: DataFrame, step: int) -> DataFrame:
 
 
 def resample(data: DataFrame, step: int = GRID_STEP, max_gap: int = MAX_GRID_GAP, values: tuple[str, ...] = ("value",), width: int | None = None) -> DataFrame:
-    """Values on the grid; grid points in gaps over ``max_gap`` are left out."""
-    return at(steps(data, step), data, max_gap, values, width).filter(F.col(values[0]).isNotNull()).select("series_id", "t", F.col("t").alias("tie"), *values)
+    """Values on the grid (see ``steps``), as ``at`` gives them; grid points in gaps over ``max_gap`` are left out.
+
+    Each point makes the grid's points up to the next one, so only the data are sorted, and the grid is neither sorted nor shuffled."""
+    points = data.filter("t IS NOT NULL").select("series_id", "t", F.col("tie").cast("string").alias("tie"), F.struct("t", *[F.col(v) for v in values]).alias("_a"))
+    rows = chunks.followed(points, "_a", width=width).withColumnRenamed("_next", "_b")
+    gap = F.col("_b.t") - F.col("t")
+    place = lambda c: F.expr(f"({c} - _lo) div {int(step)}L")
+    after, upto = place("t") + 1, place("_b.t")
+    hit = F.col("_lo") + upto * step == F.col("_b.t")
+    none = F.array().cast("array<bigint>")
+    made = F.when(upto >= after, F.when(gap <= max_gap, F.sequence(after, upto)).when(hit, F.array(upto)))
+    at_first = F.when(F.col("_first"), F.array(F.lit(0).cast("long"))).otherwise(none)
+    rows = rows.select("series_id", "_a", "_b", "_lo", F.explode(F.concat(at_first, F.coalesce(made, none))).alias("_k")).withColumn("t", F.col("_lo") + F.col("_k") * step)
+    part = (F.col("t") - F.col("_a.t")).cast("double") / (F.col("_b.t") - F.col("_a.t"))
+    between = lambda v: F.col(f"_a.{v}") + part * (F.col(f"_b.{v}") - F.col(f"_a.{v}"))
+    found = [F.when(F.col("t") == F.col("_a.t"), F.col(f"_a.{v}")).when(F.col("t") == F.col("_b.t"), F.col(f"_b.{v}")).otherwise(between(v)).alias(v) for v in values]
+    return rows.select("series_id", "t", F.col("t").alias("tie"), *found).filter(F.col(values[0]).isNotNull())
 
 
 def covered_index(probes: DataFrame, data: DataFrame, width: int | None = None) -> DataFrame:
