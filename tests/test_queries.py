@@ -114,3 +114,17 @@ def test_interp_grid_of_ties_gaps_and_single_points(spark, tmp_path):
     rng = random.Random(5)
     rows = [(user, at, "view", round(rng.uniform(0, 100), 2)) for user in range(40) for at in rng.sample([0, 3600, 7200, 7201, 9000, 43200, 46800, 50400, 50401, 90000, 200000, 208800, 252000, 252001], 1 + user % 14)]
     on(recorded([r for r in rows for _ in range(1 + (r[0] == 7))]), tmp_path, "interp_grid", spark)
+
+
+@pytest.mark.parametrize("name", ["correction_path", "diagnostics_report", "zoom_plan"])
+def test_tasks_of_corrections_are_of_bounded_rows(spark, name):
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    dealt = [n for n in plan.splitlines() if "Exchange " in n]
+    assert dealt and all("REPARTITION_BY_NUM" in n for n in dealt)
+
+
+def test_tasks_grow_with_rows(spark):
+    from wayfold.operators import chunks
+
+    df = spark.range(10)
+    assert chunks.tasks_of(df) == 1 and chunks.tasks_of(df, 100_000_000) == 400 and chunks.tasks_of(df, 100_000) == spark.sparkContext.defaultParallelism

@@ -161,15 +161,17 @@ def by_groups(done: Callable[[pa.Table, np.ndarray], pa.RecordBatch]) -> Callabl
     return work
 
 
-def windowed(df: DataFrame, radius: int, values: tuple[str, ...], run: Callable[..., np.ndarray], keys: tuple[str, ...] = ("series_id",), order: tuple[str, ...] = ("t", "tie"), at: str = "t", width: int | None = None, size: int = CHUNK) -> DataFrame:
+def windowed(df: DataFrame, radius: int, values: tuple[str, ...], run: Callable[..., np.ndarray], keys: tuple[str, ...] = ("series_id",), order: tuple[str, ...] = ("t", "tie"), at: str = "t", width: int | None = None, size: int = CHUNK, tasks: int | None = None) -> DataFrame:
     """``df`` with ``values`` replaced by ``run(values, i, n, starts)``: arrays of (rows x values), positions, lengths of series, and where groups begin. A group is a chunk of one series with
-    ``radius`` rows about it, in order; what is returned for borrowed rows isn't used. A row's other columns pass by as they are."""
+    ``radius`` rows about it, in order; what is returned for borrowed rows isn't used. A row's other columns pass by as they are.
+    ``tasks`` is how many share the chunks (see ``tasks_of``); None leaves that to the session."""
     names = df.columns
+    others = [c for c in names if c not in values]
     rows = dealt(positions(df, keys, order, at, width), radius, size)
     rows = rows.select(
-        *keys, "_c", F.xxhash64(*keys, "_c").alias("_g"), "_i", "_n", *[F.col(v).cast("double").alias(f"_v_{v}") for v in values], F.when(F.col("_own"), F.struct(*[F.col(c) for c in names])).alias("_row")
+        *keys, "_c", F.xxhash64(*keys, "_c").alias("_g"), "_i", "_n", *[F.col(v).cast("double").alias(f"_v_{v}") for v in values], F.when(F.col("_own"), F.struct(*[F.col(c) for c in others])).alias("_row")
     )
-    rows = rows.repartition(*keys, "_c").sortWithinPartitions(*keys, "_c", "_i").select("_g", "_i", "_n", "_row", *[f"_v_{v}" for v in values])
+    rows = rows.repartition(*([tasks] if tasks else []), *keys, "_c").sortWithinPartitions(*keys, "_c", "_i").select("_g", "_i", "_n", "_row", *[f"_v_{v}" for v in values])
     first = 4
 
     def done(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:

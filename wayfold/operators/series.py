@@ -131,18 +131,19 @@ def kernel(sigma: float, multiple: float = 3.0) -> list[float]:
     return [x / sum(w) for x in w]
 
 
-def smooth(df: DataFrame, sigma: float, boundary: str, values: tuple[str, ...] = ("value",), keys: tuple[str, ...] = (), multiple: float = 3.0, width: int | None = None) -> DataFrame:
+def smooth(df: DataFrame, sigma: float, boundary: str, values: tuple[str, ...] = ("value",), keys: tuple[str, ...] = (), multiple: float = 3.0, width: int | None = None, order: tuple[str, ...] = ("t", "tie"), at: str = "t", tasks: int | None = None) -> DataFrame:
     """Gaussian smoothing by position. ``boundary`` says what stands beyond the ends: ``reflect``, ``extrapolate`` (linear fits of the end rows) or ``clamp``.
 
     A series of one point is copied under ``reflect``. Chunks of positions borrow the kernel's radius from their neighbours and are convolved by themselves, so a task holds a chunk, whatever the
-    length of a series; all ``values`` go at once. A null in reach makes a null.
+    length of a series; all ``values`` go at once. A null in reach makes a null. ``order`` and ``at`` name the axis, ``tasks``
+    is how many share the chunks (see ``chunks.windowed``).
     """
     if boundary not in ("reflect", "extrapolate", "clamp"):
         raise ValueError(f"unknown boundary {boundary!r}")
     if sigma <= 0:
         return df
     weights = np.array(kernel(sigma, multiple))
-    return chunks.windowed(df, len(weights) // 2, values, chunks.weighted(weights, boundary), ("series_id", *keys), width=width)
+    return chunks.windowed(df, len(weights) // 2, values, chunks.weighted(weights, boundary), ("series_id", *keys), order, at, width, tasks=tasks)
 
 
 def integrate(df: DataFrame, delta: Column, name: str = "total", width: int | None = None) -> DataFrame:
@@ -156,13 +157,13 @@ def running_max(df: DataFrame, radius: int, value: str = "value", name: str = "h
     return chunks.windowed(df.withColumn(name, F.col(value).cast("double")), radius, (name,), chunks.highest(radius), width=width)
 
 
-def upper_envelope(df: DataFrame, sigma: float, value: str = "value", name: str = "envelope", width: int | None = None) -> DataFrame:
+def upper_envelope(df: DataFrame, sigma: float, value: str = "value", name: str = "envelope", width: int | None = None, order: tuple[str, ...] = ("t", "tie"), at: str = "t", tasks: int | None = None) -> DataFrame:
     """Dilated by a running maximum, smoothed, and never below the value itself. Both in one pass over chunks that borrow twice the kernel's radius."""
     weights = np.array(kernel(sigma))
     r = len(weights) // 2
     top, soft = chunks.highest(r), chunks.weighted(weights, "extrapolate")
     both = lambda v, i, n, starts: soft(top(v, i, n, starts), i, n, starts)
-    return chunks.windowed(df.withColumn(name, F.col(value).cast("double")), 2 * r, (name,), both, width=width).withColumn(name, F.greatest(name, value))
+    return chunks.windowed(df.withColumn(name, F.col(value).cast("double")), 2 * r, (name,), both, order=order, at=at, width=width, tasks=tasks).withColumn(name, F.greatest(name, value))
 
 
 def trapezoid(df: DataFrame, value: str = "value", name: str = "area", width: int | None = None) -> DataFrame:

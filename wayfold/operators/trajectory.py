@@ -27,11 +27,14 @@ def trajectory(motion: DataFrame, width: int | None = None) -> DataFrame:
     return chunks.running(rows, steps, order=("frame",), at="frame", width=width).drop("_log")
 
 
-def corrections(path: DataFrame, sigma: float = 20.0, scale_weight: float = 0.0, max_translation: float = 0.0, max_rotation: float = 0.0, channels: tuple[str, ...] = ("x", "y", "angle", "log_scale")) -> DataFrame:
-    """Smoothed path minus path: dx, dy, rotation, scale, clamped. A limit of 0 is none; translation shrinks in proportion, rotation keeps its sign. Of ``channels`` left out nothing is corrected."""
+def corrections(path: DataFrame, sigma: float = 20.0, scale_weight: float = 0.0, max_translation: float = 0.0, max_rotation: float = 0.0, channels: tuple[str, ...] = ("x", "y", "angle", "log_scale"), tasks: int | None = None) -> DataFrame:
+    """Smoothed path minus path: dx, dy, rotation, scale, clamped. A limit of 0 is none; translation shrinks in proportion, rotation keeps its sign. Of ``channels`` left out nothing is corrected.
+    ``tasks``: see ``chunks.windowed``."""
     names = ("x", "y", "angle", "log_scale")
-    raw = path.select("series_id", "frame", F.col("frame").alias("t"), F.col("frame").alias("tie"), *names, *[F.col(c).alias(f"s_{c}") for c in names])
-    s = series.smooth(raw, sigma, "extrapolate", tuple(f"s_{c}" for c in names if c in channels))
+    softened = [c for c in names if c in channels]
+    raw = path.select("series_id", "frame", *names, *[F.col(c).alias(f"s_{c}") for c in softened])
+    s = series.smooth(raw, sigma, "extrapolate", tuple(f"s_{c}" for c in softened), order=("frame",), at="frame", tasks=tasks)
+    s = s.withColumns({f"s_{c}": F.col(c) for c in names if c not in softened})
     d = {c: F.col(f"s_{c}") - F.col(c) for c in names}
     size = F.hypot(d["x"], d["y"])
     far = (size > max_translation) if max_translation > 0 else F.lit(False)
@@ -54,13 +57,12 @@ def global_zoom(corr: DataFrame, width: int, height: int, cap: float = 0.0) -> D
     return _weakened(rows, width, height)
 
 
-def zoom_envelope(corr: DataFrame, width: int, height: int, sigma: float, cap: float = 0.0) -> DataFrame:
-    """A zoom for each frame: the upper envelope of what is required, capped; never below the requirement unless capped."""
-    rows = zoom(corr, width, height).withColumn("t", F.col("frame")).withColumn("tie", F.col("frame"))
-    rows = series.upper_envelope(rows, sigma, "required", "zoom")
+def zoom_envelope(corr: DataFrame, width: int, height: int, sigma: float, cap: float = 0.0, tasks: int | None = None) -> DataFrame:
+    """A zoom for each frame: the upper envelope of what is required, capped; never below the requirement unless capped. ``tasks``: see ``chunks.windowed``."""
+    rows = series.upper_envelope(zoom(corr, width, height), sigma, "required", "zoom", order=("frame",), at="frame", tasks=tasks)
     if cap > 0:
         rows = rows.withColumn("zoom", F.least("zoom", F.lit(cap)))
-    return _weakened(rows.drop("t", "tie"), width, height)
+    return _weakened(rows, width, height)
 
 
 def _weakened(rows: DataFrame, width: int, height: int) -> DataFrame:
