@@ -749,3 +749,20 @@ def test_nearest_pairs_match_all_pairs_in_any_chunks(spark):
     schema = "block int, id long, d long"
     for chunk in (7, 2048):
         assert {tuple(x) for x in batch.nearest_pairs(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), 0.75, chunk).collect()} == want
+
+
+def test_mesh_field_of_far_features_and_missing_values(spark):
+    r = random.Random(11)
+    rows = [("a", k % 4, r.uniform(-300, 700), r.uniform(-300, 700), None if k % 9 == 0 else r.random(), r.random()) for k in range(60)] + [("b", 0, 9000.0, 9000.0, 1.0, 1.0), ("b", 1, None, 10.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "series_id string, frame int, x double, y double, mx double, my double")
+    got = {(x["series_id"], x["frame"], x["r"], x["c"]): (x["vx"], x["vy"]) for x in trajectory.mesh_field(df, 400, 300, 5, 4, 3).collect()}
+    exp = {}
+    for key in {x[:2] for x in rows}:
+        def first(i, j, at, key=key):
+            near = [x[4 + at] for x in rows if x[:2] == key and x[2] is not None and x[4 + at] is not None and math.hypot(x[2] - j * 100, x[3] - i * 100) <= math.hypot(100, 100)]
+            return float(np.median(near)) if near else 0.0
+        for i in range(4):
+            for j in range(5):
+                around = [(p, q) for p in range(max(0, i - 1), min(4, i + 2)) for q in range(max(0, j - 1), min(5, j + 2))]
+                exp[*key, i, j] = tuple(float(np.median([first(p, q, at) for p, q in around])) for at in (0, 1))
+    assert got.keys() == exp.keys() and all(np.allclose(got[k], exp[k]) for k in exp)

@@ -128,3 +128,8 @@ def test_tasks_grow_with_rows(spark):
 
     df = spark.range(10)
     assert chunks.tasks_of(df) == 1 and chunks.tasks_of(df, 100_000_000) == 400 and chunks.tasks_of(df, 100_000) == spark.sparkContext.defaultParallelism
+
+
+def test_mesh_field_shuffles_features_only(spark):
+    plan = registry.QUERIES["mesh_field"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange " in n for n in plan.splitlines()) == 1

@@ -154,19 +154,34 @@ def residual_motion(features: DataFrame, fits: DataFrame) -> DataFrame:
     return both.select(*features.columns, (F.col("to_x") - (a * x - b * y + F.col("dx"))).alias("mx"), (F.col("to_y") - (b * x + a * y + F.col("dy"))).alias("my"))
 
 
-def mesh_field(features: DataFrame, width: float, height: float, cols: int, rows: int) -> DataFrame:
+def mesh_field(features: DataFrame, width: float, height: float, cols: int, rows: int, tasks: int | None = None) -> DataFrame:
     """(series_id, frame, r, c, vx, vy) of every vertex of a frame with features (x, y and their residual motion mx, my): the averaged median of those within a cell diagonal, 0 without any,
-    then the averaged median of the 3x3 neighbourhood. Features meet vertices through the grid cell they are in."""
+    then the averaged median of the 3x3 neighbourhood. Features meet vertices through the grid cell they are in. Only the features are shuffled, once, to ``tasks`` tasks by frame (None: as many
+    as the session has); a frame's vertices are one row until they are told apart at the end."""
     cw, ch = width / (cols - 1), height / (rows - 1)
     reach = float(np.hypot(cw, ch))
     span = lambda v, cell, n: F.sequence(F.greatest(F.lit(0), F.ceil((v - reach) / cell).cast("int")), F.least(F.lit(n - 1), F.floor((v + reach) / cell).cast("int")))
-    f = features.withColumn("r", F.explode(span(F.col("y"), ch, rows))).withColumn("c", F.explode(span(F.col("x"), cw, cols)))
-    near = f.filter(F.hypot(F.col("x") - F.col("c") * cw, F.col("y") - F.col("r") * ch) <= reach)
-    found = near.groupBy("series_id", "frame", "r", "c").agg(stats.median_average(F.col("mx")).alias("vx"), stats.median_average(F.col("my")).alias("vy"))
-    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    grid = features.select("series_id", "frame").distinct().withColumn("r", upto(rows)).withColumn("c", upto(cols))
-    first = grid.join(found, ["series_id", "frame", "r", "c"], "left").fillna(0.0, ["vx", "vy"])
-    return spatial_median(first, ("vx", "vy")).select("series_id", "frame", "r", "c", "vx", "vy")
+    by = ["series_id", "frame"]
+    # a frame is in one task from here on, so nothing below is shuffled
+    f = features.filter("series_id IS NOT NULL AND frame IS NOT NULL").repartition(*([tasks] if tasks else []), *by)
+    f = f.select(*by, "x", "y", "mx", "my", F.posexplode_outer(span(F.col("y"), ch, rows)).alias("_i", "r"))
+    f = f.select(*by, "x", "y", "mx", "my", "_i", "r", F.posexplode_outer(span(F.col("x"), cw, cols)).alias("_j", "c"))
+    near = F.col("r").between(0, rows - 1) & F.col("c").between(0, cols - 1) & (F.hypot(F.col("x") - F.col("c") * cw, F.col("y") - F.col("r") * ch) <= reach)
+    f = f.withColumn("_v", F.when(near, F.col("r") * cols + F.col("c")))
+    f = f.filter("_v IS NOT NULL OR coalesce(_i, 0) + coalesce(_j, 0) = 0")  # a frame with no feature near a vertex keeps a row
+    value = lambda c: stats.median_average(F.when(F.col("_v").isNotNull(), F.col(c)))
+    found = f.groupBy(*by, "_v").agg(value("mx").alias("vx"), value("my").alias("vy")).filter("_v IS NULL OR vx IS NOT NULL OR vy IS NOT NULL")
+    frames = found.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.when(F.col("_v").isNotNull(), F.struct("_v", F.struct("vx", "vy"))))).alias("_m"))
+    grid = lambda c: F.transform(F.sequence(F.lit(0), F.lit(rows * cols - 1)), lambda v: F.coalesce(F.col("_m")[v][c], F.lit(0.0)))
+    frames = frames.select(*by, grid("vx").alias("_x"), grid("vy").alias("_y"))
+
+    def middle(values: str, r: int, c: int) -> Column:
+        around = [F.col(values)[i * cols + j] for i in range(max(0, r - 1), min(rows, r + 2)) for j in range(max(0, c - 1), min(cols, c + 2))]
+        s, n = F.sort_array(F.array(*around)), len(around)
+        return (s[(n - 1) // 2] + s[n // 2]) / 2
+
+    vertices = [F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), middle("_x", r, c).alias("vx"), middle("_y", r, c).alias("vy")) for r in range(rows) for c in range(cols)]
+    return frames.select(*by, F.inline(F.array(*vertices)))
 
 
 def _turned(new: np.ndarray, old: np.ndarray) -> np.ndarray:
