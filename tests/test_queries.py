@@ -116,8 +116,8 @@ def test_interp_grid_of_ties_gaps_and_single_points(spark, tmp_path):
     on(recorded([r for r in rows for _ in range(1 + (r[0] == 7))]), tmp_path, "interp_grid", spark)
 
 
-@pytest.mark.parametrize("name", ["correction_path", "diagnostics_report", "zoom_plan"])
-def test_tasks_of_corrections_are_of_bounded_rows(spark, name):
+@pytest.mark.parametrize("name", ["correction_path", "diagnostics_report", "zoom_plan", "heading_rates"])
+def test_tasks_of_smoothed_rows_are_bounded(spark, name):
     plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     dealt = [n for n in plan.splitlines() if "Exchange " in n]
     assert dealt and all("REPARTITION_BY_NUM" in n for n in dealt)

@@ -188,19 +188,19 @@ def best_window(df: DataFrame, span: int, value: str = "value", width: int | Non
     return best.select("series_id", F.col("x.net").alias("net"), (-F.col("x.m")).alias("from_t"), F.col("x.to_t").alias("to_t")).filter("net > 0")
 
 
-def unwrap(df: DataFrame, angle: str = "value", name: str = "unwrapped", width: int | None = None) -> DataFrame:
+def unwrap(df: DataFrame, angle: str = "value", name: str = "unwrapped", width: int | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """Shortest-arc phase unwrap: the corrections of raw steps, summed. A step of exactly pi is left alone."""
 
     def turns(before, own) -> Column:
         step = own(angle) - before(angle)
         return F.when(step > math.pi, -F.ceil((step - math.pi) / (2 * math.pi))).when(step < -math.pi, F.ceil((-step - math.pi) / (2 * math.pi))).otherwise(0)
 
-    return chunks.running(df, {"_k": turns}, (angle,), width=width).withColumn(name, F.col(angle) + 2 * math.pi * F.col("_k")).drop("_k")
+    return chunks.running(df, {"_k": turns}, (angle,), ("series_id", *keys), width=width).withColumn(name, F.col(angle) + 2 * math.pi * F.col("_k")).drop("_k")
 
 
-def rates(df: DataFrame, value: str, scale: float = 1.0, limit: float | None = None) -> DataFrame:
+def rates(df: DataFrame, value: str, scale: float = 1.0, limit: float | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """Forward difference per second at the midpoint; ``status`` says ``bad`` where a rate is NaN or beyond ``limit`` (the strict reading is an error)."""
-    w = ordered()
+    w = ordered(*keys)
     dt = (F.lead("t").over(w) - F.col("t")) / SECOND
     out = df.withColumn("_dt", dt).withColumn("rate", (F.lead(value).over(w) - F.col(value)) / F.when(F.col("_dt") > 0, F.col("_dt")) * scale).withColumn("mid", F.col("t") + F.floor((F.lead("t").over(w) - F.col("t")) / 2))
     bad = F.isnan("rate") | (F.abs("rate") > limit) if limit is not None else F.isnan("rate")
@@ -208,15 +208,21 @@ def rates(df: DataFrame, value: str, scale: float = 1.0, limit: float | None = N
 
 
 def heading_rates(fixes: DataFrame, sigma: float = 2.0, step: int = GRID_STEP, max_gap: int = MAX_GRID_GAP) -> DataFrame:
-    """series_id, run_id, t, rate (degrees a second), status: resample, split at gaps, project, smooth, central bearing of moves over half a metre, unwrap, differentiate."""
-    grid = grid_runs(project(resample(fixes.filter(is_finite(F.col("lat")) & is_finite(F.col("lon"))), step, max_gap, ("lat", "lon"))), step)
-    soft = smooth(grid, sigma, "reflect", ("east", "north"), ("run_id",))
+    """series_id, run_id, t, rate (degrees a second), status: resample, split at gaps, project, smooth, central bearing of moves over half a metre, unwrap, differentiate.
+
+    The grid may be many times the fixes: a job over their first and last times says how long it can get, and tasks are dealt by that."""
+    known = fixes.filter(is_finite(F.col("lat")) & is_finite(F.col("lon")))
+    spans = known.groupBy("series_id").agg((F.max("t") - F.min("t")).alias("_s"))
+    tasks = chunks.tasks_of(known, spans.agg(F.sum(F.floor(F.col("_s") / step) + 1)).first()[0] or 0)
+    # runs before the projection, as both windows then share one sort
+    grid = project(grid_runs(resample(known.repartition(tasks, "series_id"), step, max_gap, ("lat", "lon")), step)).select("series_id", "run_id", "t", "tie", "east", "north")
+    soft = smooth(grid, sigma, "reflect", ("east", "north"), ("run_id",), tasks=tasks).repartition(tasks, "series_id")
     w = ordered("run_id")
     de, dn = F.lead("east").over(w) - F.lag("east").over(w), F.lead("north").over(w) - F.lag("north").over(w)
     heads = soft.withColumn("_e", de).withColumn("_n", dn).filter(F.hypot("_e", "_n") >= MIN_DISPLACEMENT).withColumn("value", F.atan2("_e", "_n"))
-    keyed = heads.select(F.struct("series_id", "run_id").alias("series_id"), "t", "tie", "value")
-    out = rates(unwrap(keyed), "unwrapped", 180 / math.pi, MAX_RATE)
-    return out.select("series_id.series_id", "series_id.run_id", F.col("mid").alias("t"), "rate", "status")
+    turned = unwrap(heads.select("series_id", "run_id", "t", "tie", "value"), keys=("run_id",))
+    out = rates(turned, "unwrapped", 180 / math.pi, MAX_RATE, ("run_id",))
+    return out.select("series_id", "run_id", F.col("mid").alias("t"), "rate", "status")
 
 
 def centred(df: DataFrame, value: str, name: str = "velocity") -> DataFrame:
