@@ -135,6 +135,19 @@ def test_ranks_of_groups_of_any_size(spark, accuracy):
             assert got[k]["n_u"] == n
 
 
+@pytest.mark.parametrize("accuracy", [10_000, 400])
+def test_ranks_of_groups_sorted_or_bracketed(spark, accuracy):
+    """A group gives the same whether it is sorted or bracketed; one has a value that is null in most rows."""
+    r = random.Random(4)
+    groups = {"a": 3000, "b": 40, None: 700, "c": 1, "d": 260}
+    rows = [(k, r.choice([r.gauss(0, 1e3), 1.0, -0.0, None, float("nan")]), r.random() if i % 50 == 0 and k != "c" else None) for k, n in groups.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, v double, m double").repartition(5)
+    picks = {"u": ("v", stats.upper()), "l": ("v", stats.lower()), "p": ("m", stats.index(90)), "top": ("v", stats.index(100))}
+    plain = lambda whole, tasks: sorted(map(repr, stats.order_statistics(df, ["k"], picks, accuracy, tasks, whole).collect()))
+    want = plain(10_000, 3)
+    assert len(want) >= 4 and want == plain(250, None) == plain(0, 3)
+
+
 def test_estimates_of_many_clips_in_one_plan(spark):
     clip = lambda name, rows, shift=0: [(name, t + shift * S, i, v) for _, t, i, v in rows]
     turn, late = bump(60), bump(67.35, step=0.5, seconds=240)

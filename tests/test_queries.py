@@ -133,3 +133,13 @@ def test_tasks_grow_with_rows(spark):
 def test_mesh_field_shuffles_features_only(spark):
     plan = registry.QUERIES["mesh_field"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert sum("Exchange " in n for n in plan.splitlines()) == 1
+
+
+def test_medians_sort_rows_in_tasks_of_bounded_size_only(spark):
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = registry.QUERIES["medians"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "SortMergeJoin" not in plan and "REPARTITION_BY_NUM" in plan

@@ -1,8 +1,8 @@
 """Robust statistics and small fits. Two medians and two percentile rules differ on purpose: see each.
 
-Exact ranks of groups of any size go by ``order_statistics``: a quantile sketch of fixed size brackets each rank, and only what lies in the bracket is counted by value, with partial aggregation; what is
-below is one count. So no task holds a group's values, and a group that is a third of all rows spreads as any other. The functions of columns (``median_upper`` and others) are for groups whose
-distinct values fit a task.
+Exact ranks of groups of any size go by ``order_statistics``: groups of bounded size are sorted in tasks of bounded size; in a larger one a quantile sketch of fixed size brackets each rank, and only
+what lies in the bracket is counted by value, with partial aggregation; what is below is one count. So no task holds a large group's values, and a group that is a third of all rows spreads as any
+other. The functions of columns (``median_upper`` and others) are for groups whose distinct values fit a task.
 """
 
 from __future__ import annotations
@@ -73,17 +73,39 @@ def span(p: float) -> tuple[float, Callable[[Column], Column]]:
     return p, lambda n: F.floor((n - 1) * p)
 
 
-def order_statistics(df: DataFrame, keys: list[str], picks: dict[str, tuple[Column | str, tuple[float, Callable[[Column], Column]]]], accuracy: int = ACCURACY) -> DataFrame:
+Picks = dict[str, tuple[Column | str, tuple[float, Callable[[Column], Column]]]]
+
+
+def order_statistics(df: DataFrame, keys: list[str], picks: Picks, accuracy: int = ACCURACY, tasks: int | None = None, whole: int = chunks.ROWS) -> DataFrame:
     """A row for each of ``keys`` with, for each of ``picks`` (name: (value, rank)), the exact value at that rank of the values that aren't null, and ``n_<name>``, how many there are.
 
-    Values are doubles, NaN counts as infinity. Two passes over ``df``, whatever the number of picks: sketches, then counts. A group without values has no row.
+    Values are doubles, NaN counts as infinity. Groups of up to ``whole`` rows are sorted, dealt by key into ``tasks`` (see ``chunks.tasks_of``; None leaves that to the session). Larger ones, of which
+    there are at most one for each ``whole`` rows, are told apart by one broadcast and their rows go nowhere: two passes over ``df`` give sketches, then counts. A group without values has no row.
     """
-    names = list(picks)
     values = list({str(v): v for v, _ in picks.values()}.values())
-    of = {str(v): i for i, v in enumerate(values)}
+    at = {str(v): i for i, v in enumerate(values)}
+    of = {n: at[str(v)] for n, (v, _) in picks.items()}
     column = lambda v: (v if isinstance(v, Column) else F.expr(v)).cast("double")
-    array = F.array(*[F.when(F.isnan(column(v)), float("inf")).otherwise(column(v)) for v in values])
-    rows = df.select(*keys, F.posexplode(array).alias("_v", "_x")).filter("_x IS NOT NULL")
+    flat = [f"_x{i}" for i in range(len(values))]
+    large = F.broadcast(df.groupBy(*keys).agg(F.count("*").alias("_size")).filter(F.col("_size") > whole))
+    rows = chunks.joined(df.select(*keys, *[(F.when(F.isnan(column(v)), float("inf")).otherwise(column(v)) + 0.0).alias(x) for v, x in zip(values, flat, strict=True)]), large, keys)
+    each = lambda some: some.select(*keys, F.posexplode(F.array(*flat)).alias("_v", "_x")).filter("_x IS NOT NULL")
+    small = rows.filter("_size IS NULL").select(*keys, *flat)
+    small = small.repartition(*keys) if tasks is None else small.repartition(tasks, *keys)
+    return _sorted(each(small), keys, picks, of).unionByName(_bracketed(each(rows.filter("_size IS NOT NULL")), keys, picks, of, accuracy))
+
+
+def _sorted(rows: DataFrame, keys: list[str], picks: Picks, of: dict[str, int]) -> DataFrame:
+    """``order_statistics`` of rows (keys, _v, _x) dealt by ``keys``."""
+    by = Window.partitionBy(*keys, "_v")
+    places = rows.withColumn("_i", F.row_number().over(by.orderBy("_x")) - 1).withColumn("_n", F.count("*").over(by))
+    own = lambda name, c: F.when(F.col("_v") == of[name], c)
+    chosen = {name: F.when(F.col("_i") == rank(F.col("_n")), F.col("_x")) for name, (_, (_, rank)) in picks.items()}
+    return places.groupBy(*keys).agg(*[F.min(own(n, x)).alias(n) for n, x in chosen.items()], *[F.max(own(n, F.col("_n"))).alias(f"n_{n}") for n in picks])
+
+
+def _bracketed(rows: DataFrame, keys: list[str], picks: Picks, of: dict[str, int], accuracy: int) -> DataFrame:
+    """``order_statistics`` of rows (keys, _v, _x) of few groups of any size: brackets by sketches, then counts within them."""
     by = [*keys, "_v"]
     # a bracket is wider than the sketch may err by three ranks at least, as a rank and its share differ by two at most
     wide, narrow = NEAR, 4 / accuracy
@@ -98,8 +120,8 @@ def order_statistics(df: DataFrame, keys: list[str], picks: dict[str, tuple[Colu
         own = lambda c: F.when(F.col("_v") == value, c)
         return [own(rank(n).cast("long")).alias(f"_r{k}"), own(end("_lo", -1)).alias(f"_low{k}"), own(end("_hi", 1)).alias(f"_high{k}")]
 
-    brackets = [c for k, (v, (share, rank)) in enumerate(picks.values()) for c in bracket(k, share, rank, of[str(v)])]
-    met = chunks.joined(rows, sketch.select(*by, "_n", *brackets), by)
+    brackets = [c for k, (name, (_, (share, rank))) in enumerate(picks.items()) for c in bracket(k, share, rank, of[name])]
+    met = chunks.joined(rows, F.broadcast(sketch.select(*by, "_n", *brackets)), by).filter("_n IS NOT NULL")
     x, ks = F.col("_x"), range(len(picks))
     bits = lambda test: sum((F.when(test(k), 1 << k).otherwise(0) for k in ks), F.lit(0))
     below, inside = bits(lambda k: x < F.col(f"_low{k}")), bits(lambda k: x.between(F.col(f"_low{k}"), F.col(f"_high{k}")))
@@ -113,7 +135,7 @@ def order_statistics(df: DataFrame, keys: list[str], picks: dict[str, tuple[Colu
     upto = F.sum("_c").over(Window.partitionBy(*by, "_k").orderBy("_x").rangeBetween(Window.unboundedPreceding, 0))
     found = each.withColumn("_upto", upto).filter(F.col("_x").isNotNull() & (F.col("_upto") > F.col("_r")))
     chosen = lambda k, x: F.when(F.col("_k") == k, x)
-    return found.groupBy(*keys).agg(*[F.min(chosen(k, F.col("_x"))).alias(n) for k, n in enumerate(names)], *[F.max(chosen(k, F.col("_n"))).alias(f"n_{n}") for k, n in enumerate(names)])
+    return found.groupBy(*keys).agg(*[F.min(chosen(k, F.col("_x"))).alias(n) for k, n in enumerate(picks)], *[F.max(chosen(k, F.col("_n"))).alias(f"n_{n}") for k, n in enumerate(picks)])
 
 
 def with_statistics(df: DataFrame, keys: list[str], **picks) -> DataFrame:
