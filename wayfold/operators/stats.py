@@ -138,9 +138,9 @@ def _bracketed(rows: DataFrame, keys: list[str], picks: Picks, of: dict[str, int
     return found.groupBy(*keys).agg(*[F.min(chosen(k, F.col("_x"))).alias(n) for k, n in enumerate(picks)], *[F.max(chosen(k, F.col("_n"))).alias(f"n_{n}") for k, n in enumerate(picks)])
 
 
-def with_statistics(df: DataFrame, keys: list[str], **picks) -> DataFrame:
+def with_statistics(df: DataFrame, keys: list[str], tasks: int | None = None, **picks) -> DataFrame:
     """``df`` with the ``order_statistics`` of each row's group."""
-    return chunks.joined(df, order_statistics(df, keys, picks).select(*keys, *picks), keys)
+    return chunks.joined(df, order_statistics(df, keys, picks, tasks=tasks).select(*keys, *picks), keys)
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -165,11 +165,11 @@ def through_origin(x: str = "x", y: str = "y") -> tuple[Column, Column]:
     return F.sum(F.col(x) * F.col(y)) / F.sum(F.col(x) * F.col(x)), F.corr(x, y)
 
 
-def trimmed_origin_fit(df: DataFrame, keys: list[str], x: str = "x", y: str = "y", knee: float = 3.0, least: int = 30) -> DataFrame:
+def trimmed_origin_fit(df: DataFrame, keys: list[str], x: str = "x", y: str = "y", knee: float = 3.0, least: int = 30, tasks: int | None = None) -> DataFrame:
     """Slope through the origin, once more without residuals over knee x 1.4826 x their upper median; ``ok`` where ``least`` samples are left."""
     first = df.groupBy(*keys).agg((F.sum(F.col(x) * F.col(y)) / F.sum(F.col(x) * F.col(x))).alias("_k"))
     left = df.join(first, keys).withColumn("_r", F.abs(F.col(y) - F.col("_k") * F.col(x)))
-    kept = with_statistics(left, keys, _m=("_r", upper())).filter(F.col("_r") <= knee * MAD * F.col("_m"))
+    kept = with_statistics(left, keys, tasks, _m=("_r", upper())).filter(F.col("_r") <= knee * MAD * F.col("_m"))
     slope, r = through_origin(x, y)
     return kept.groupBy(*keys).agg(slope.alias("slope"), r.alias("r"), F.count("*").alias("n")).withColumn("ok", F.col("n") >= least)
 
