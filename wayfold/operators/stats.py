@@ -79,7 +79,7 @@ Picks = dict[str, tuple[Column | str, tuple[float, Callable[[Column], Column]]]]
 def order_statistics(df: DataFrame, keys: list[str], picks: Picks, accuracy: int = ACCURACY, tasks: int | None = None, whole: int = chunks.ROWS) -> DataFrame:
     """A row for each of ``keys`` with, for each of ``picks`` (name: (value, rank)), the exact value at that rank of the values that aren't null, and ``n_<name>``, how many there are.
 
-    Values are doubles, NaN counts as infinity. Groups of up to ``whole`` rows are sorted, dealt by key into ``tasks`` (see ``chunks.tasks_of``; None leaves that to the session). Larger ones, of which
+    Values are doubles, NaN counts as infinity. Groups of up to ``whole`` rows are sorted, dealt by key into ``tasks`` (see ``chunks.tasks_of``; with None all groups are bracketed). Larger ones, of which
     there are at most one for each ``whole`` rows, are told apart by one broadcast and their rows go nowhere: two passes over ``df`` give sketches, then counts. A group without values has no row.
     """
     values = list({str(v): v for v, _ in picks.values()}.values())
@@ -87,12 +87,15 @@ def order_statistics(df: DataFrame, keys: list[str], picks: Picks, accuracy: int
     of = {n: at[str(v)] for n, (v, _) in picks.items()}
     column = lambda v: (v if isinstance(v, Column) else F.expr(v)).cast("double")
     flat = [f"_x{i}" for i in range(len(values))]
-    large = F.broadcast(df.groupBy(*keys).agg(F.count("*").alias("_size")).filter(F.col("_size") > whole))
-    rows = chunks.joined(df.select(*keys, *[(F.when(F.isnan(column(v)), float("inf")).otherwise(column(v)) + 0.0).alias(x) for v, x in zip(values, flat, strict=True)]), large, keys)
+    clean = df.select(*keys, *[(F.when(F.isnan(column(v)), float("inf")).otherwise(column(v)) + 0.0).alias(x) for v, x in zip(values, flat, strict=True)])
     each = lambda some: some.select(*keys, F.posexplode(F.array(*flat)).alias("_v", "_x")).filter("_x IS NOT NULL")
+    if tasks is None:
+        return _bracketed(each(clean), keys, picks, of, accuracy, lambda sketches: sketches)
+    large = F.broadcast(df.groupBy(*keys).agg(F.count("*").alias("_size")).filter(F.col("_size") > whole))
+    rows = chunks.joined(clean, large, keys)
     small = rows.filter("_size IS NULL").select(*keys, *flat)
-    small = small.repartition(*keys) if tasks is None else small.repartition(tasks, *keys)
-    return _sorted(each(small), keys, picks, of).unionByName(_bracketed(each(rows.filter("_size IS NOT NULL")), keys, picks, of, accuracy))
+    small = small.repartition(tasks, *keys)
+    return _sorted(each(small), keys, picks, of).unionByName(_bracketed(each(rows.filter("_size IS NOT NULL")), keys, picks, of, accuracy, F.broadcast))
 
 
 def _sorted(rows: DataFrame, keys: list[str], picks: Picks, of: dict[str, int]) -> DataFrame:
@@ -104,8 +107,8 @@ def _sorted(rows: DataFrame, keys: list[str], picks: Picks, of: dict[str, int])
     return places.groupBy(*keys).agg(*[F.min(own(n, x)).alias(n) for n, x in chosen.items()], *[F.max(own(n, F.col("_n"))).alias(f"n_{n}") for n in picks])
 
 
-def _bracketed(rows: DataFrame, keys: list[str], picks: Picks, of: dict[str, int], accuracy: int) -> DataFrame:
-    """``order_statistics`` of rows (keys, _v, _x) of few groups of any size: brackets by sketches, then counts within them."""
+def _bracketed(rows: DataFrame, keys: list[str], picks: Picks, of: dict[str, int], accuracy: int, met_by: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``order_statistics`` of rows (keys, _v, _x) of groups of any size: brackets by sketches, then counts within them."""
     by = [*keys, "_v"]
     # a bracket is wider than the sketch may err by three ranks at least, as a rank and its share differ by two at most
     wide, narrow = NEAR, 4 / accuracy
@@ -121,7 +124,7 @@ def _bracketed(rows: DataFrame, keys: list[str], picks: Picks, of: dict[str, int
         return [own(rank(n).cast("long")).alias(f"_r{k}"), own(end("_lo", -1)).alias(f"_low{k}"), own(end("_hi", 1)).alias(f"_high{k}")]
 
     brackets = [c for k, (name, (_, (share, rank))) in enumerate(picks.items()) for c in bracket(k, share, rank, of[name])]
-    met = chunks.joined(rows, F.broadcast(sketch.select(*by, "_n", *brackets)), by).filter("_n IS NOT NULL")
+    met = chunks.joined(rows, met_by(sketch.select(*by, "_n", *brackets)), by).filter("_n IS NOT NULL")
     x, ks = F.col("_x"), range(len(picks))
     bits = lambda test: sum((F.when(test(k), 1 << k).otherwise(0) for k in ks), F.lit(0))
     below, inside = bits(lambda k: x < F.col(f"_low{k}")), bits(lambda k: x.between(F.col(f"_low{k}"), F.col(f"_high{k}")))
